@@ -23,7 +23,9 @@ def canonical_server_url(url: Column) -> Column:
     """lower-case scheme and host, default port dropped, one trailing slash removed."""
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    port = F.try_parse_url(url, F.lit("PORT"))
+    # parse_url has no PORT part: read it from the authority (userinfo cut off)
+    authority = F.regexp_replace(F.try_parse_url(url, F.lit("AUTHORITY")), "^.*@", "")
+    port = F.nullif(F.regexp_extract(authority, r":([0-9]+)\z", 1), F.lit(""))
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     query = F.try_parse_url(url, F.lit("QUERY"))
     ref = F.try_parse_url(url, F.lit("REF"))

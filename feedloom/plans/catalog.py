@@ -6,7 +6,6 @@ grows with the data.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,3 +26,318 @@ def query(name: str):
 @query("skill_stats")
 def q_skill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.skill_stats(fx.fx_invocations(spark, sf_dir), fx.fx_corrections(spark, sf_dir))
+
+
+from .params import (ANCHOR, ASSIGN_HWM, EXPORT_FROM, EXPORT_TO, INSTANT_FROM, INSTANT_TO,  # noqa: E402
+                     INTERVAL_DAYS, MAJOR_EVERY, PURGED_AT, RANGE_FROM, RANGE_TO, RECENT_N, TEXT_SIGNALS)
+
+
+def _inv(spark, d):
+    return fx.fx_invocations(spark, d)
+
+
+def _cor(spark, d):
+    return fx.fx_corrections(spark, d)
+
+
+@query("skill_stats_join_form")
+def q_skill_stats_join_form(spark, d):
+    return stats.skill_stats_join_form(_inv(spark, d), _cor(spark, d))
+
+
+@query("totals")
+def q_totals(spark, d):
+    return stats.totals(_inv(spark, d), _cor(spark, d))
+
+
+@query("invocations_by_skill")
+def q_invocations_by_skill(spark, d):
+    return stats.count_by_skill(_inv(spark, d), "invocation_count")
+
+
+@query("corrections_by_skill")
+def q_corrections_by_skill(spark, d):
+    return stats.count_by_skill(_cor(spark, d), "correction_count")
+
+
+@query("skill_universe")
+def q_skill_universe(spark, d):
+    return stats.skill_universe(_inv(spark, d), _cor(spark, d))
+
+
+@query("failure_rate")
+def q_failure_rate(spark, d):
+    return stats.failure_rate(_inv(spark, d))
+
+
+@query("rate_label")
+def q_rate_label(spark, d):
+    s = stats.skill_stats(_inv(spark, d), _cor(spark, d), ordered=False)
+    return stats.with_rate_label(s).select("skill_name", "invocation_count", "correction_count", "rate_label")
+
+
+@query("recent_corrections")
+def q_recent_corrections(spark, d):
+    return stats.recent_corrections(_cor(spark, d), RECENT_N).select("id", "skill_name", "created_at")
+
+
+@query("corrections_in_range")
+def q_corrections_in_range(spark, d):
+    from ..operators.export import in_date_range
+
+    return in_date_range(_cor(spark, d), RANGE_FROM, RANGE_TO).select("id", "skill_name", "created_at")
+
+
+@query("corrections_in_instant_range")
+def q_corrections_in_instant_range(spark, d):
+    from ..operators.export import in_date_range
+
+    return in_date_range(_cor(spark, d), INSTANT_FROM, INSTANT_TO).select("id", "skill_name", "created_at")
+
+
+@query("export_csv_lines")
+def q_export_csv_lines(spark, d):
+    from ..operators.export import export_lines
+
+    return export_lines(_cor(spark, d), EXPORT_FROM, EXPORT_TO)
+
+
+@query("csv_cells_documents")
+def q_csv_cells_documents(spark, d):
+    from ..functions.csv import csv_cell
+
+    return fx.table(spark, d, "documents").select("doc_id", csv_cell(F.col("text")).alias("cell"))
+
+
+@query("html_escape_pages")
+def q_html_escape_pages(spark, d):
+    from ..functions.text import html_escape
+
+    return fx.table(spark, d, "pages").select("page_id", html_escape(F.col("html")).alias("escaped"))
+
+
+def _validated(spark, d):
+    from ..sources.ingest import validate_corrections
+
+    return validate_corrections(fx.fx_raw_posts(spark, d))
+
+
+@query("validate_posts")
+def q_validate_posts(spark, d):
+    from ..operators.export import iso_instant
+
+    valid, _ = _validated(spark, d)
+    return valid.select("arrival", "skill_name", "working_directory", F.to_json("tech_stack").alias("tech_stack_json"),
+                        "ai_output", "user_correction_input", "classification_confidence", "needs_batch_review",
+                        "created_at")
+
+
+@query("rejected_posts")
+def q_rejected_posts(spark, d):
+    from ..operators.checks import errors_text
+
+    _, rejected = _validated(spark, d)
+    return rejected.select("arrival", errors_text(F.col("errors")).alias("error_fields"))
+
+
+@query("assigned_ids")
+def q_assigned_ids(spark, d):
+    from ..sources.ingest import ingest_corrections
+
+    valid, _ = ingest_corrections(fx.fx_raw_posts(spark, d), high_water_mark=ASSIGN_HWM)
+    return valid.select("arrival", "id")
+
+
+@query("title_check")
+def q_title_check(spark, d):
+    from ..functions.titles import parse_title
+    from ..operators.upgrades import check_titles
+
+    posts = check_titles(fx.fx_upgrade_posts(spark, d))
+    p = parse_title(F.col("title"))
+    return posts.select("arrival", p["iteration_type"].alias("parsed_type"),
+                        p["feedback_id_start"].alias("parsed_start"), p["feedback_id_end"].alias("parsed_end"),
+                        "title_error")
+
+
+def _mrs(spark, d):
+    from ..operators.upgrades import empty_merge_requests, upsert
+
+    return upsert(empty_merge_requests(spark), fx.fx_upgrade_posts(spark, d))
+
+
+@query("mr_upsert")
+def q_mr_upsert(spark, d):
+    return _mrs(spark, d)
+
+
+@query("mr_status_update")
+def q_mr_status_update(spark, d):
+    from ..operators.upgrades import apply_status_updates
+
+    new, _ = apply_status_updates(_mrs(spark, d), fx.fx_status_updates(spark, d))
+    return new.select("id", "status", "merged_at")
+
+
+@query("mr_status_errors")
+def q_mr_status_errors(spark, d):
+    from ..operators.upgrades import apply_status_updates
+
+    _, errors = apply_status_updates(_mrs(spark, d), fx.fx_status_updates(spark, d))
+    return errors
+
+
+@query("latest_mr")
+def q_latest_mr(spark, d):
+    from ..operators.upgrades import latest
+
+    return latest(_mrs(spark, d))
+
+
+@query("covered_counts")
+def q_covered_counts(spark, d):
+    from ..operators.ranges import count_in_ranges
+
+    return count_in_ranges(_mrs(spark, d), _cor(spark, d))
+
+
+@query("purge_eligibility")
+def q_purge_eligibility(spark, d):
+    from ..functions.purge_rules import display_reason, purge_eligible, refusal_reason
+    from ..functions.text import is_http_url, status_label
+
+    args = [F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at")]
+    return _mrs(spark, d).select("id", purge_eligible(*args).alias("eligible"),
+                                 refusal_reason(*args).alias("refusal_reason"),
+                                 display_reason(*args).alias("display_reason"),
+                                 status_label(F.col("status")).alias("status_label"),
+                                 is_http_url(F.col("mr_url")).alias("safe_link"))
+
+
+def _purge(spark, d):
+    from ..operators.purge import purge
+
+    return purge(_cor(spark, d), _mrs(spark, d), PURGED_AT)
+
+
+@query("purge_survivors")
+def q_purge_survivors(spark, d):
+    return _purge(spark, d).survivors.select("id", "skill_name")
+
+
+@query("purge_audit")
+def q_purge_audit(spark, d):
+    return _purge(spark, d).audit
+
+
+@query("purge_marked")
+def q_purge_marked(spark, d):
+    return _purge(spark, d).marked.select("id", "purged_at")
+
+
+@query("integrity_violations")
+def q_integrity_violations(spark, d):
+    from ..operators.checks import at_rest_violations, correction_violations
+
+    posts = fx.fx_upgrade_posts(spark, d).withColumnRenamed("arrival", "id")
+    a = at_rest_violations(posts).withColumn("table_name", F.lit("merge_request_posts"))
+    b = correction_violations(_cor(spark, d)).withColumn("table_name", F.lit("corrections"))
+    return a.unionByName(b).select("table_name", "id", "check")
+
+
+@query("turn_pairs")
+def q_turn_pairs(spark, d):
+    from ..operators.routing import turn_pairs
+
+    return turn_pairs(fx.fx_turn_source(spark, d))
+
+
+@query("confidence_tiers")
+def q_confidence_tiers(spark, d):
+    from ..operators.routing import tag_confidence
+
+    return tag_confidence(_cor(spark, d))
+
+
+@query("correction_signals")
+def q_correction_signals(spark, d):
+    from ..operators.routing import tag_signals, turn_pairs
+
+    tagged = tag_signals(turn_pairs(fx.fx_turn_source(spark, d)), TEXT_SIGNALS)
+    return tagged.select("conv_id", "turn", F.array_join("matched_signals", ",").alias("signals"),
+                         F.size("matched_signals").cast("long").alias("signal_count"))
+
+
+@query("tech_stack_default")
+def q_tech_stack_default(spark, d):
+    from ..functions.routing import tech_stack_or_unknown
+
+    return _inv(spark, d).select("id", F.to_json(tech_stack_or_unknown(F.col("tech_stack"))).alias("tech_stack_json"))
+
+
+@query("scope_conflicts")
+def q_scope_conflicts(spark, d):
+    from ..operators.routing import scope_conflicts
+
+    return scope_conflicts(fx.fx_scopes(spark, d))
+
+
+@query("scope_routing")
+def q_scope_routing(spark, d):
+    from ..operators.routing import route
+
+    return route(_cor(spark, d), fx.fx_scopes(spark, d)).select("id", "feedback_scope")
+
+
+@query("allow_list")
+def q_allow_list(spark, d):
+    from ..functions.routing import is_reportable_confidence
+    from ..operators.routing import allow_list, invoked_only
+
+    cor = invoked_only(_cor(spark, d), _inv(spark, d))
+    cor = cor.filter(is_reportable_confidence(F.col("classification_confidence")))
+    return allow_list(cor, fx.fx_scopes(spark, d)).select("feedback_scope", "id")
+
+
+@query("scope_checks")
+def q_scope_checks(spark, d):
+    from ..operators.scopes import check_scopes
+
+    c = check_scopes(fx.fx_scopes_with_broken(spark, d))
+    return c.select("feedback_scope", F.array_join("errors", ",").alias("errors"), "server_url",
+                    F.array_join("skills", ",").alias("skills"))
+
+
+@query("upgrade_decisions")
+def q_upgrade_decisions(spark, d):
+    from ..operators.scopes import decisions, record_last_seen
+    from ..operators.upgrades import latest
+
+    seen = fx.fx_last_seen(spark, d)
+    dec = decisions(seen, latest(_mrs(spark, d)))
+    new = record_last_seen(seen, dec).withColumnRenamed("head_commit_hash", "new_hash")
+    return dec.join(new, "scope").select("scope", "last_seen_hash", "latest_hash", "decision", "new_hash")
+
+
+@query("iteration_summary")
+def q_iteration_summary(spark, d):
+    from ..operators.iterations import summary
+
+    return summary(_cor(spark, d), ANCHOR, INTERVAL_DAYS, MAJOR_EVERY)
+
+
+@query("iteration_skill_groups")
+def q_iteration_skill_groups(spark, d):
+    from ..operators.iterations import skill_groups
+
+    return skill_groups(_cor(spark, d), ANCHOR, INTERVAL_DAYS, MAJOR_EVERY)
+
+
+@query("skill_catalog")
+def q_skill_catalog(spark, d):
+    from ..sources.registry import skill_names
+
+    docs = fx.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("path"),
+        F.concat(F.lit("name: "), F.col("source"), F.lit("\n"), F.col("text")).alias("content"))
+    return skill_names(docs).select(F.col("path").cast("long").alias("doc_id"), "name")

@@ -100,3 +100,303 @@ SELECT s.skill_name,
 FROM skills s LEFT JOIN inv ON inv.skill_name = s.skill_name LEFT JOIN cor ON cor.skill_name = s.skill_name
 ORDER BY correction_count DESC, invocation_count DESC, s.skill_name
 """)
+
+
+# ---------------------------------------------------------------------------
+from .params import (ASSIGN_HWM, INTERVAL_DAYS, MAJOR_EVERY, PURGED_AT, RECENT_N,  # noqa: E402
+                     TEXT_SIGNALS)
+
+_PURGED = f"TIMESTAMP '{PURGED_AT.isoformat(sep=' ')}'"
+
+
+def _cell(x: str) -> str:
+    return (f"coalesce(CASE WHEN regexp_matches({x}, '[,\"\\n\\r]') "
+            f"THEN concat('\"', replace({x}, '\"', '\"\"'), '\"') ELSE {x} END, '')")
+
+
+_MRS = """
+, _last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mr_url ORDER BY arrival DESC) AS rn,
+                                 min(arrival) OVER (PARTITION BY mr_url) AS first_arrival
+                          FROM fx_upgrade_posts) WHERE rn = 1),
+fx_mrs AS (SELECT row_number() OVER (ORDER BY first_arrival, mr_url) AS id, mr_url, title, head_commit_hash,
+             iteration_type, feedback_id_start, feedback_id_end, status, opened_at, merged_at,
+             CAST(NULL AS TIMESTAMP) AS purged_at FROM _last)
+"""
+
+_STATS = """
+, _skills AS (SELECT skill_name FROM fx_invocations UNION SELECT skill_name FROM fx_corrections),
+_inv AS (SELECT skill_name, count(*) AS n FROM fx_invocations GROUP BY skill_name),
+_cor AS (SELECT skill_name, count(*) AS n FROM fx_corrections GROUP BY skill_name),
+_st AS (SELECT s.skill_name, CAST(coalesce(_inv.n, 0) AS BIGINT) AS invocation_count,
+          CAST(coalesce(_cor.n, 0) AS BIGINT) AS correction_count
+        FROM _skills s LEFT JOIN _inv ON _inv.skill_name = s.skill_name LEFT JOIN _cor ON _cor.skill_name = s.skill_name)
+"""
+
+SQL["skill_stats_join_form"] = SQL["skill_stats"]
+
+register("totals", ["fx_invocations", "fx_corrections"], """
+SELECT (SELECT count(*) FROM fx_invocations) AS invocation_count,
+       (SELECT count(*) FROM fx_corrections) AS correction_count""")
+
+register("invocations_by_skill", ["fx_invocations"],
+         "SELECT skill_name, count(*) AS invocation_count FROM fx_invocations GROUP BY skill_name")
+register("corrections_by_skill", ["fx_corrections"],
+         "SELECT skill_name, count(*) AS correction_count FROM fx_corrections GROUP BY skill_name")
+register("skill_universe", ["fx_invocations", "fx_corrections"],
+         "SELECT skill_name FROM fx_invocations UNION SELECT skill_name FROM fx_corrections")
+
+register("failure_rate", ["fx_invocations"], """
+SELECT skill_name, count(*) AS invocation_count, count(*) FILTER (WHERE status = 'failed') AS failed_count,
+  CAST(count(*) FILTER (WHERE status = 'failed') AS DOUBLE) / count(*) AS failure_rate
+FROM fx_invocations GROUP BY skill_name""")
+
+register("rate_label", ["fx_invocations", "fx_corrections"], _STATS + """
+SELECT skill_name, invocation_count, correction_count,
+  CASE WHEN invocation_count = 0 THEN '0.0%'
+       ELSE concat(CAST(((2000 * correction_count + invocation_count) // (2 * invocation_count)) // 10 AS VARCHAR), '.',
+                   CAST(((2000 * correction_count + invocation_count) // (2 * invocation_count)) % 10 AS VARCHAR), '%')
+  END AS rate_label
+FROM _st""")
+
+register("recent_corrections", ["fx_corrections"], f"""
+SELECT id, skill_name, created_at FROM fx_corrections ORDER BY created_at DESC, id DESC LIMIT {RECENT_N}""")
+
+register("corrections_in_range", ["fx_corrections"], """
+SELECT id, skill_name, created_at FROM fx_corrections
+WHERE created_at >= TIMESTAMP '2024-01-05 00:00:00' AND created_at < TIMESTAMP '2024-01-13 00:00:00'""")
+
+register("corrections_in_instant_range", ["fx_corrections"], """
+SELECT id, skill_name, created_at FROM fx_corrections
+WHERE created_at >= TIMESTAMP '2024-01-03 06:00:00' AND created_at <= TIMESTAMP '2024-01-09 18:30:00.5'""")
+
+_CONF_TEXT = ("CASE WHEN classification_confidence = floor(classification_confidence) "
+              "THEN CAST(CAST(classification_confidence AS BIGINT) AS VARCHAR) "
+              "ELSE CAST(classification_confidence AS VARCHAR) END")
+_ISO = ("CASE WHEN epoch_us(created_at) % 1000 = 0 THEN strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' "
+        "ELSE strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END")
+
+register("export_csv_lines", ["fx_corrections"], f"""
+SELECT id, concat_ws(',', CAST(id AS VARCHAR), {_cell('skill_name')}, {_cell('working_directory')},
+  {_cell("array_to_string(tech_stack, ';')")}, {_cell('ai_output')}, {_cell('user_correction_input')},
+  {_cell(_CONF_TEXT)}, CASE WHEN needs_batch_review THEN 'true' ELSE 'false' END, {_cell(_ISO)}) AS line
+FROM fx_corrections
+WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00' AND created_at < TIMESTAMP '2024-01-31 00:00:00'""")
+
+register("csv_cells_documents", [], f"SELECT doc_id, {_cell('text')} AS cell FROM documents")
+
+register("html_escape_pages", [], """
+SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+  '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+
+_VALID_WHERE = ("arrival % 17 <> 0 AND arrival % 19 <> 0 AND arrival % 23 <> 0 AND arrival % 11 <> 0 "
+                "AND arrival % 13 <> 0 AND arrival % 29 <> 0 AND arrival % 31 <> 0")
+
+register("validate_posts", ["fx_raw_posts"], f"""
+SELECT arrival, concat('skill-', CAST(user_id % 20 AS STRING)) AS skill_name, '/repo/project' AS working_directory,
+  CASE WHEN arrival % 7 = 0 THEN '[]' ELSE '["typescript","fastify"]' END AS tech_stack_json,
+  'wrong' AS ai_output, 'no' AS user_correction_input,
+  CAST(concat('0.', lpad(CAST(arrival * 37 % 100 AS STRING), 2, '0')) AS DOUBLE) AS classification_confidence,
+  false AS needs_batch_review,
+  CAST(concat('2024-01-', lpad(CAST(1 + arrival % 28 AS STRING), 2, '0'), ' ',
+              lpad(CAST(arrival % 24 AS STRING), 2, '0'), ':00:00') AS TIMESTAMP) AS created_at
+FROM fx_raw_posts WHERE {_VALID_WHERE}""")
+
+register("rejected_posts", ["fx_raw_posts"], """
+, e AS (SELECT arrival, concat_ws(',',
+    CASE WHEN arrival % 17 = 0 THEN 'skill_name:empty' WHEN arrival % 19 = 0 THEN NULL
+         WHEN arrival % 23 = 0 THEN 'skill_name:type' END,
+    CASE WHEN arrival % 11 = 0 THEN 'tech_stack:type' END,
+    CASE WHEN arrival % 13 = 0 THEN 'classification_confidence:range'
+         WHEN arrival % 29 = 0 THEN 'classification_confidence:type' END,
+    CASE WHEN arrival % 31 = 0 THEN 'created_at:format' END) AS schema_errors
+  FROM fx_raw_posts)
+SELECT arrival, CASE WHEN schema_errors <> '' THEN schema_errors ELSE 'skill_name:reserved' END AS error_fields
+FROM e WHERE schema_errors <> '' OR (arrival % 17 <> 0 AND arrival % 19 = 0)""")
+
+register("assigned_ids", ["fx_raw_posts"], f"""
+SELECT arrival, {ASSIGN_HWM} + row_number() OVER (ORDER BY arrival) AS id FROM fx_raw_posts WHERE {_VALID_WHERE}""")
+
+_TITLE_RE = r"^\[skills-feedback\]\[(minor|major)\]\[feedback:([0-9]+)-([0-9]+)\]\s+.+$"
+register("title_check", ["fx_upgrade_posts"], f"""
+, p AS (SELECT arrival, iteration_type, feedback_id_start, feedback_id_end,
+          regexp_matches(title, '{_TITLE_RE}') AS m,
+          regexp_extract(title, '{_TITLE_RE}', 1) AS t,
+          TRY_CAST(regexp_extract(title, '{_TITLE_RE}', 2) AS BIGINT) AS s,
+          TRY_CAST(regexp_extract(title, '{_TITLE_RE}', 3) AS BIGINT) AS e
+        FROM fx_upgrade_posts),
+q AS (SELECT *, CASE WHEN NOT m OR s IS NULL OR e IS NULL THEN 'invalid_title' WHEN s > e THEN 'range_order' END AS perr
+      FROM p)
+SELECT arrival, CASE WHEN perr IS NULL THEN t END AS parsed_type, CASE WHEN perr IS NULL THEN s END AS parsed_start,
+  CASE WHEN perr IS NULL THEN e END AS parsed_end,
+  CASE WHEN perr IS NOT NULL THEN perr
+       WHEN t <> iteration_type OR s <> feedback_id_start OR e <> feedback_id_end THEN 'title_payload_mismatch'
+  END AS title_error
+FROM q""")
+
+register("mr_upsert", ["fx_upgrade_posts"], _MRS + "SELECT * FROM fx_mrs")
+
+_UPD = """
+, _upd AS (SELECT o_orderkey AS arrival, o_orderkey + 1 AS id, 'merged' AS status,
+                  o_orderdate + INTERVAL '3' DAY AS merged_at FROM orders WHERE o_orderstatus = 'O'),
+_lastu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrival DESC) AS rn FROM _upd)
+           WHERE rn = 1)
+"""
+register("mr_status_update", ["fx_upgrade_posts"], _MRS + _UPD + """
+SELECT m.id, coalesce(u.status, m.status) AS status,
+  CASE WHEN u.id IS NOT NULL THEN u.merged_at ELSE m.merged_at END AS merged_at
+FROM fx_mrs m LEFT JOIN _lastu u ON u.id = m.id""")
+
+register("mr_status_errors", ["fx_upgrade_posts"], _MRS + _UPD + """
+SELECT arrival, id, 'not_found' AS error FROM _upd WHERE id NOT IN (SELECT id FROM fx_mrs)""")
+
+register("latest_mr", ["fx_upgrade_posts"], _MRS + "SELECT * FROM fx_mrs ORDER BY opened_at DESC, id DESC LIMIT 1")
+
+register("covered_counts", ["fx_upgrade_posts", "fx_corrections"], _MRS + """
+SELECT m.id, CAST(count(c.id) AS BIGINT) AS covered_count
+FROM fx_mrs m LEFT JOIN fx_corrections c ON c.id BETWEEN m.feedback_id_start AND m.feedback_id_end
+GROUP BY m.id""")
+
+register("purge_eligibility", ["fx_upgrade_posts"], _MRS + """
+SELECT id,
+  (iteration_type = 'major' AND status = 'merged' AND merged_at IS NOT NULL AND purged_at IS NULL) AS eligible,
+  CASE WHEN iteration_type <> 'major' THEN 'not_major' WHEN status <> 'merged' THEN 'not_merged'
+       WHEN merged_at IS NULL THEN 'missing_merged_at' WHEN purged_at IS NOT NULL THEN 'already_purged' END
+    AS refusal_reason,
+  CASE WHEN purged_at IS NOT NULL THEN 'already_purged' WHEN status = 'closed' THEN 'closed'
+       WHEN status <> 'merged' THEN 'not_merged' WHEN merged_at IS NULL THEN 'missing_merged_at'
+       WHEN iteration_type <> 'major' THEN 'not_major' ELSE 'eligible' END AS display_reason,
+  CASE WHEN status = 'merged' THEN 'Merged' WHEN status = 'closed' THEN 'Closed' ELSE 'Open' END AS status_label,
+  (mr_url LIKE 'http://%' OR mr_url LIKE 'https://%') AS safe_link
+FROM fx_mrs""")
+
+_PURGE = _MRS + """
+, _elig AS (SELECT * FROM fx_mrs WHERE iteration_type = 'major' AND status = 'merged' AND merged_at IS NOT NULL
+                                   AND purged_at IS NULL),
+_own AS (SELECT c.id AS cid, min(e.id) AS owner FROM fx_corrections c
+         JOIN _elig e ON c.id BETWEEN e.feedback_id_start AND e.feedback_id_end GROUP BY c.id)
+"""
+register("purge_survivors", ["fx_upgrade_posts", "fx_corrections"], _PURGE + """
+SELECT id, skill_name FROM fx_corrections WHERE id NOT IN (SELECT cid FROM _own)""")
+register("purge_audit", ["fx_upgrade_posts", "fx_corrections"], _PURGE + f"""
+SELECT row_number() OVER (ORDER BY e.id) AS id, e.id AS merge_request_id, e.feedback_id_start, e.feedback_id_end,
+  CAST(coalesce(o.n, 0) AS BIGINT) AS deleted_count, {_PURGED} AS purged_at
+FROM _elig e LEFT JOIN (SELECT owner, count(*) AS n FROM _own GROUP BY owner) o ON o.owner = e.id""")
+register("purge_marked", ["fx_upgrade_posts", "fx_corrections"], _PURGE + f"""
+SELECT id, CASE WHEN id IN (SELECT id FROM _elig) THEN {_PURGED} ELSE purged_at END AS purged_at FROM fx_mrs""")
+
+register("integrity_violations", ["fx_upgrade_posts", "fx_corrections"], """
+SELECT 'merge_request_posts' AS table_name, min(arrival) AS id, 'unique_mr_url' AS "check"
+FROM fx_upgrade_posts GROUP BY mr_url HAVING count(*) > 1
+UNION ALL SELECT 'merge_request_posts', arrival, 'range_order' FROM fx_upgrade_posts
+  WHERE NOT (feedback_id_start <= feedback_id_end)
+UNION ALL SELECT 'merge_request_posts', arrival, 'status' FROM fx_upgrade_posts
+  WHERE status NOT IN ('open', 'merged', 'closed')
+UNION ALL SELECT 'corrections', id, 'confidence_range' FROM fx_corrections
+  WHERE NOT (classification_confidence BETWEEN 0 AND 1)""")
+
+register("turn_pairs", ["fx_turn_pairs"], "SELECT * FROM fx_turn_pairs")
+
+register("confidence_tiers", ["fx_corrections"], """
+SELECT id,
+  CASE WHEN NOT (classification_confidence BETWEEN 0 AND 1) THEN 'invalid'
+       WHEN classification_confidence >= 0.8 THEN 'report' WHEN classification_confidence >= 0.6 THEN 'review'
+       ELSE 'drop' END AS tier,
+  (classification_confidence >= 0.6 AND classification_confidence < 0.8) AS review_flag,
+  needs_batch_review = (classification_confidence >= 0.6 AND classification_confidence < 0.8) AS flag_consistent
+FROM fx_corrections""")
+
+
+def _signal_sql() -> str:
+    arms = []
+    for name, phrases in TEXT_SIGNALS.items():
+        cond = " OR ".join(f"instr(user_input, '{p}') > 0" for p in phrases)
+        arms.append(f"CASE WHEN {cond} THEN '{name}' END")
+    count = " + ".join(f"(CASE WHEN {a} IS NOT NULL THEN 1 ELSE 0 END)" for a in arms)
+    return (f"SELECT conv_id, turn, concat_ws(',', {', '.join(arms)}) AS signals, "
+            f"CAST({count} AS BIGINT) AS signal_count FROM fx_turn_pairs")
+
+
+register("correction_signals", ["fx_turn_pairs"], _signal_sql())
+
+register("tech_stack_default", ["fx_invocations"], """
+SELECT id, CAST(to_json(CASE WHEN tech_stack IS NULL OR len(tech_stack) = 0 THEN ['unknown'] ELSE tech_stack END)
+  AS VARCHAR) AS tech_stack_json FROM fx_invocations""")
+
+_SS = """
+, _ss AS (SELECT DISTINCT feedback_scope, unnest(reportable_skills) AS skill_name FROM fx_scopes)
+"""
+register("scope_conflicts", ["fx_scopes"], _SS + """
+SELECT skill_name, count(DISTINCT feedback_scope) AS scope_count, min(feedback_scope) AS first_scope,
+  max(feedback_scope) AS last_scope FROM _ss GROUP BY skill_name HAVING count(DISTINCT feedback_scope) > 1""")
+register("scope_routing", ["fx_scopes", "fx_corrections"], _SS + """
+, _owners AS (SELECT skill_name, min(feedback_scope) AS feedback_scope FROM _ss GROUP BY skill_name
+              HAVING count(DISTINCT feedback_scope) = 1)
+SELECT c.id, o.feedback_scope FROM fx_corrections c JOIN _owners o ON o.skill_name = c.skill_name""")
+register("allow_list", ["fx_scopes", "fx_corrections", "fx_invocations"], _SS + """
+SELECT s.feedback_scope, c.id FROM fx_corrections c JOIN _ss s ON s.skill_name = c.skill_name
+WHERE c.skill_name IN (SELECT skill_name FROM fx_invocations)
+  AND c.classification_confidence BETWEEN 0.6 AND 1""")
+
+register("scope_checks", ["fx_scopes"], """
+, _k AS (SELECT n_nationkey AS k, n_nationkey % 6 AS d, CAST(n_nationkey AS STRING) AS ks FROM nation)
+SELECT feedback_scope, '' AS errors, feedback_server_url AS server_url, array_to_string(reportable_skills, ',') AS skills
+FROM fx_scopes
+UNION ALL
+SELECT CASE WHEN d = 0 THEN concat('bad_scope_', ks) ELSE concat('broken-', ks) END,
+  CASE d WHEN 0 THEN 'scope_format' WHEN 1 THEN 'url_unroutable_host' WHEN 2 THEN 'url_query'
+         WHEN 3 THEN 'url_fragment' WHEN 4 THEN 'url_scheme,skills_empty' ELSE 'skills_reserved' END,
+  CASE d WHEN 1 THEN 'http://0.0.0.0:4321' WHEN 2 THEN concat('http://feedback', ks, '.dev.lan:4321/?token=bad')
+         WHEN 3 THEN concat('http://feedback', ks, '.dev.lan:4321/#section') WHEN 4 THEN concat('ftp://feedback', ks, '.dev.lan')
+         ELSE concat('http://feedback', ks, '.dev.lan') END,
+  CASE d WHEN 5 THEN 'skill-01,feedback-rules-x' WHEN 4 THEN ''
+         ELSE concat('skill-', lpad(CAST(k % 20 AS STRING), 2, '0')) END
+FROM _k""")
+
+register("upgrade_decisions", ["fx_upgrade_posts", "fx_last_seen"], _MRS + """
+, _lm AS (SELECT * FROM fx_mrs ORDER BY opened_at DESC, id DESC LIMIT 1),
+_d AS (SELECT s.scope, s.head_commit_hash AS last_seen_hash, _lm.head_commit_hash AS latest_hash,
+         CASE WHEN _lm.id IS NULL THEN 'none'
+              WHEN _lm.head_commit_hash IS NULL OR _lm.head_commit_hash = '' THEN 'error_missing_hash'
+              WHEN s.head_commit_hash = _lm.head_commit_hash THEN 'skip'
+              WHEN _lm.status <> 'merged' THEN 'refuse' ELSE 'sync' END AS decision
+       FROM fx_last_seen s LEFT JOIN _lm ON true)
+SELECT scope, last_seen_hash, latest_hash, decision,
+  CASE WHEN decision = 'sync' THEN latest_hash ELSE last_seen_hash END AS new_hash FROM _d""")
+
+_MEM = f"""
+, _slots AS (SELECT id, skill_name,
+    CAST(floor(date_diff('day', DATE '2024-01-01', CAST(created_at AS DATE)) / {INTERVAL_DAYS}) AS BIGINT) + 1 AS slot
+  FROM fx_corrections),
+_mem AS (SELECT slot AS iteration_slot, 'minor' AS iteration_type, id, skill_name FROM _slots
+         WHERE slot % {MAJOR_EVERY} <> 0
+         UNION ALL
+         SELECT CAST(ceil(slot / {MAJOR_EVERY}) AS BIGINT) * {MAJOR_EVERY}, 'major', id, skill_name FROM _slots),
+_g AS (SELECT iteration_slot, iteration_type, skill_name, count(*) AS feedback_count, min(id) AS feedback_id_start,
+         max(id) AS feedback_id_end FROM _mem GROUP BY iteration_slot, iteration_type, skill_name)
+"""
+register("iteration_skill_groups", ["fx_corrections"], _MEM + "SELECT * FROM _g")
+register("iteration_summary", ["fx_corrections"], _MEM + f"""
+, _s AS (SELECT iteration_slot, iteration_type, CAST(sum(feedback_count) AS BIGINT) AS feedback_count,
+           min(feedback_id_start) AS feedback_id_start, max(feedback_id_end) AS feedback_id_end,
+           string_agg(skill_name, ',' ORDER BY skill_name) AS skills
+         FROM _g GROUP BY iteration_slot, iteration_type),
+_w AS (SELECT *, DATE '2024-01-01' + CAST(((CASE WHEN iteration_type = 'major' THEN iteration_slot - {MAJOR_EVERY} + 1
+                                               ELSE iteration_slot END) - 1) * {INTERVAL_DAYS} AS INTEGER) AS window_from,
+              DATE '2024-01-01' + CAST(iteration_slot * {INTERVAL_DAYS} - 1 AS INTEGER) AS window_to,
+              DATE '2024-01-01' + CAST(iteration_slot * {INTERVAL_DAYS} AS INTEGER) AS run_day
+       FROM _s)
+SELECT iteration_slot, iteration_type, feedback_count, feedback_id_start, feedback_id_end, skills, window_from,
+  window_to,
+  concat('[skills-feedback][', iteration_type, '][feedback:', CAST(feedback_id_start AS VARCHAR), '-',
+         CAST(feedback_id_end AS VARCHAR), '] ', strftime(run_day, '%Y-%m-%d'), ' ',
+         CASE WHEN iteration_type = 'major' THEN 'skill review' ELSE 'skill updates' END) AS mr_title,
+  concat('skills-feedback/', iteration_type, '-', strftime(window_from, '%Y-%m-%d'), '-',
+         strftime(window_to, '%Y-%m-%d')) AS branch
+FROM _w""")
+
+register("skill_catalog", [], r"""
+SELECT doc_id, name FROM (
+  SELECT doc_id, regexp_replace(regexp_extract(concat('name: ', source, chr(10), text), '(?m)^name:\s*(.+)$', 1),
+                                '^\s+|\s+$', '', 'g') AS name
+  FROM documents) t
+WHERE name <> '' AND NOT regexp_matches(name, '^feedback-rules(?:-.+)?$')""")
