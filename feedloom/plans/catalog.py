@@ -341,3 +341,57 @@ def q_skill_catalog(spark, d):
         F.col("doc_id").cast("string").alias("path"),
         F.concat(F.lit("name: "), F.col("source"), F.lit("\n"), F.col("text")).alias("content"))
     return skill_names(docs).select(F.col("path").cast("long").alias("doc_id"), "name")
+
+
+# ---- streaming forms: each runs a finite (availableNow) stream over files
+# written from the fixture views, then reads the sink ----
+
+def _stream_dirs(spark, name):
+    from ..session import scratch_path
+
+    base = scratch_path(spark, name)
+    return f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, d):
+    from ..streaming.ingest import start_ingest
+
+    src, sink, ck = _stream_dirs(spark, "stream-ingest")
+    fx.fx_raw_posts(spark, d).repartitionByRange(4, "arrival").write.json(src)
+    start_ingest(spark, src, sink, ck).awaitTermination()
+    valid = spark.read.parquet(f"{sink}/valid")
+    return valid.select("arrival", "skill_name", "working_directory", F.to_json("tech_stack").alias("tech_stack_json"),
+                        "ai_output", "user_correction_input", "classification_confidence", "needs_batch_review",
+                        "created_at")
+
+
+@query("stream_stats")
+def q_stream_stats(spark, d):
+    from ..streaming.stats import read_stats, start_stats
+
+    src, sink, ck = _stream_dirs(spark, "stream-stats")
+    _inv(spark, d).select("skill_name").write.parquet(f"{src}/invocations")
+    _cor(spark, d).select("skill_name").write.parquet(f"{src}/corrections")
+    start_stats(spark, f"{src}/invocations", f"{src}/corrections", sink, ck).awaitTermination()
+    return read_stats(spark, sink)
+
+
+@query("stream_mr")
+def q_stream_mr(spark, d):
+    from ..streaming.changes import read_merge_requests, start_mr_feed
+
+    src, sink, ck = _stream_dirs(spark, "stream-mr")
+    fx.fx_upgrade_posts(spark, d).write.parquet(src)
+    start_mr_feed(spark, src, sink, ck).awaitTermination()
+    return read_merge_requests(spark, sink)
+
+
+@query("stream_windows")
+def q_stream_windows(spark, d):
+    from ..streaming.windows import read_windows, start_windows
+
+    src, sink, ck = _stream_dirs(spark, "stream-windows")
+    _cor(spark, d).select("id", "created_at").write.parquet(src)
+    start_windows(spark, src, sink, ck, ANCHOR, INTERVAL_DAYS).awaitTermination()
+    return read_windows(spark, sink)

@@ -400,3 +400,14 @@ SELECT doc_id, name FROM (
                                 '^\s+|\s+$', '', 'g') AS name
   FROM documents) t
 WHERE name <> '' AND NOT regexp_matches(name, '^feedback-rules(?:-.+)?$')""")
+
+SQL["stream_ingest"] = SQL["validate_posts"]
+SQL["stream_stats"] = SQL["skill_stats"]
+SQL["stream_mr"] = SQL["mr_upsert"]
+register("stream_windows", ["fx_corrections"], f"""
+, _w AS (SELECT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(created_at AS DATE)) / {INTERVAL_DAYS}) AS BIGINT)
+           AS k, id FROM fx_corrections)
+SELECT TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST({INTERVAL_DAYS} * k AS INTEGER)) AS window_start,
+  TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST({INTERVAL_DAYS} * k + {INTERVAL_DAYS} AS INTEGER)) AS window_end,
+  count(*) AS correction_count, min(id) AS feedback_id_start, max(id) AS feedback_id_end
+FROM _w GROUP BY k""")

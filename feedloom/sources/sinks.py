@@ -62,9 +62,10 @@ def high_water_mark(spark: SparkSession, base: str, table: str) -> int:
     return int(row[0]) if row and row[0] is not None else 0
 
 
-def read_table(spark: SparkSession, base: str, table: str, schema=None) -> DataFrame | None:
-    """The table as of the current committed version (None when never written)."""
-    v = current_version(spark, base)
+def read_table(spark: SparkSession, base: str, table: str, schema=None,
+               version: int | None = None) -> DataFrame | None:
+    """The table as of the current (or the given) committed version (None when never written)."""
+    v = current_version(spark, base) if version is None else version
     if v == 0:
         return None
     r = spark.read
@@ -74,17 +75,18 @@ def read_table(spark: SparkSession, base: str, table: str, schema=None) -> DataF
 
 
 def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
-           high_water_marks: dict[str, int] | None = None, carry: list[str] | None = None) -> int:
+           high_water_marks: dict[str, int] | None = None, carry: list[str] | None = None,
+           version: int | None = None) -> int:
     """Write ``tables`` as a new version, then its commit record.
 
     ``carry`` names unchanged tables copied by reference (re-written from the
     current version, so every version folder is self-contained).
     """
-    v = current_version(spark, base) + 1
+    v = current_version(spark, base) + 1 if version is None else version
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/v={v}/{name}")
     for name in carry or []:
-        cur = read_table(spark, base, name)
+        cur = read_table(spark, base, name, version=v - 1)
         if cur is not None:
             cur.write.mode("overwrite").parquet(f"{base}/v={v}/{name}")
     prev = {}
