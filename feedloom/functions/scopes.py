@@ -56,13 +56,15 @@ def scope_errors(scope: Column, url: Column, skills: Column) -> Column:
     ref = F.try_parse_url(url, F.lit("REF"))
     cleaned = F.array_distinct(F.filter(F.transform(F.coalesce(skills, F.array().cast("array<string>")), js_trim),
                                         lambda x: x != ""))
+    parsed = proto.isNotNull()
     checks = [
         (F.coalesce(scope.rlike(SCOPE_PATTERN), F.lit(False)), "scope_format"),
-        (host.isNotNull(), "url_invalid"),
-        (F.coalesce(proto.isin("http", "https"), F.lit(False)), "url_scheme"),
-        (F.coalesce(host != UNROUTABLE_HOST, F.lit(False)), "url_unroutable_host"),
-        (F.coalesce(query.isNull() | (query == ""), F.lit(True)), "url_query"),
-        (F.coalesce(ref.isNull() | (ref == ""), F.lit(True)), "url_fragment"),
+        (parsed, "url_invalid"),
+        (~parsed | F.coalesce(proto.isin("http", "https") & host.isNotNull() & (host != ""), F.lit(False)),
+         "url_scheme"),
+        (~parsed | F.coalesce(host != UNROUTABLE_HOST, F.lit(True)), "url_unroutable_host"),
+        (~parsed | F.coalesce(query.isNull() | (query == ""), F.lit(True)), "url_query"),
+        (~parsed | F.coalesce(ref.isNull() | (ref == ""), F.lit(True)), "url_fragment"),
         (F.coalesce(F.size(cleaned) > 0, F.lit(False)), "skills_empty"),
         (F.coalesce(F.forall(cleaned, lambda x: ~x.rlike("[\n\r]")), F.lit(False)), "skills_multiline"),
         (F.coalesce(F.forall(cleaned, lambda x: ~is_reserved_skill(x)), F.lit(False)), "skills_reserved"),
