@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import compact
+
 # Confidence thresholds of the reporting rules.
 REPORT_THRESHOLD = 0.8
 REVIEW_THRESHOLD = 0.6
@@ -57,8 +59,8 @@ def correction_signals(text: Column, families: dict[str, list[str]] | None = Non
         hit = F.lit(False)
         for p in phrases:
             hit = hit | F.coalesce(F.instr(text, p) > 0, F.lit(False))
-        arms.append(F.when(hit, F.lit(name)))
-    return F.filter(F.array(*arms), lambda x: x.isNotNull())
+        arms.append((hit, F.lit(name)))
+    return compact(arms, "string")
 
 
 def is_reportable_type(input_type: Column, signals: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import all_nonempty_strings, compact
 from ..functions.names import is_reserved_skill
 from ..functions.text import is_http_url
 
@@ -49,12 +50,34 @@ def iso_instant_ntz(text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(ISO_UTC_PATTERN), F.lit(False)), _ntz(text).cast("timestamp_ntz"))
 
 
-def field_check(v: Column, f: Field) -> tuple[Column, Column]:
-    """(error code or NULL, typed value) for one field."""
+def field_reads(v: Column, f: Field) -> dict[str, Column]:
+    """Stage 2 of validation: the raw reads of one field (kind and the typed value), each once."""
     path = f"$.{f.name}"
-    k = _kind(v, path)
+    n = f.name
+    reads = {f"_k_{n}": F.schema_of_variant(F.try_variant_get(v, path, "variant"))}
+    if f.kind in ("nonempty_string", "enum", "http_url", "iso_datetime"):
+        reads[f"_s_{n}"] = F.try_variant_get(v, path, "string")
+    elif f.kind == "boolean":
+        reads[f"_b_{n}"] = F.try_variant_get(v, path, "boolean")
+    elif f.kind == "unit_number":
+        reads[f"_d_{n}"] = F.try_variant_get(v, path, "double")
+    elif f.kind == "positive_int":
+        reads[f"_d_{n}"] = F.try_variant_get(v, path, "double")
+        reads[f"_l_{n}"] = F.try_variant_get(v, path, "bigint")
+    elif f.kind == "string_array":
+        reads[f"_a_{n}"] = F.try_variant_get(v, path, "array<string>")
+    else:
+        raise ValueError(f"unknown field kind {f.kind}")
+    return reads
+
+
+def field_rule(f: Field) -> tuple[Column, Column]:
+    """Stage 3: (error code or NULL, typed value) of one field from its raw reads."""
+    n = f.name
+    k = F.col(f"_k_{n}")
     missing = k.isNull() | (k == "VOID")
-    s = F.try_variant_get(v, path, "string")
+    if f.kind in ("nonempty_string", "enum", "http_url", "iso_datetime"):
+        s = F.col(f"_s_{n}")
     if f.kind == "nonempty_string":
         err = F.when(k != "STRING", F.lit("type")).when(F.length(s) == 0, F.lit("empty"))
         val = s
@@ -70,29 +93,25 @@ def field_check(v: Column, f: Field) -> tuple[Column, Column]:
         val = ts
     elif f.kind == "boolean":
         err = F.when(k != "BOOLEAN", F.lit("type"))
-        val = F.try_variant_get(v, path, "boolean")
+        val = F.col(f"_b_{n}")
     elif f.kind == "unit_number":
-        d = F.try_variant_get(v, path, "double")
+        d = F.col(f"_d_{n}")
         err = (F.when(~_is_numeric_kind(k), F.lit("type"))
                .when(~F.coalesce(d.between(0.0, 1.0) & ~F.isnan(d), F.lit(False)), F.lit("range")))
         val = d
     elif f.kind == "positive_int":
-        d = F.try_variant_get(v, path, "double")
-        b = F.try_variant_get(v, path, "bigint")
+        d, b = F.col(f"_d_{n}"), F.col(f"_l_{n}")
         err = (F.when(~_is_numeric_kind(k), F.lit("type"))
                .when(~F.coalesce((d == F.floor(d)) & b.isNotNull() & (F.abs(d) <= MAX_SAFE_INTEGER), F.lit(False)),
                      F.lit("type"))
                .when(b <= 0, F.lit("range")))
         val = b
-    elif f.kind == "string_array":
-        arr = F.try_variant_get(v, path, "array<string>")
-        elems_ok = F.coalesce(F.forall(arr, lambda x: F.coalesce(F.length(x) > 0, F.lit(False))), F.lit(False))
+    else:  # string_array
+        arr = F.col(f"_a_{n}")
         err = (F.when(k == "ARRAY<VOID>", F.when(F.coalesce(F.size(arr), F.lit(1)) != 0, F.lit("element")))
                .when(k != "ARRAY<STRING>", F.lit("type"))
-               .when(~elems_ok, F.lit("element")))
+               .when(~all_nonempty_strings(arr), F.lit("element")))
         val = F.when(k == "ARRAY<VOID>", F.array().cast("array<string>")).otherwise(arr)
-    else:
-        raise ValueError(f"unknown field kind {f.kind}")
     if f.optional:
         err = F.when(~missing, err)
         val = F.when(~missing, val)
@@ -101,11 +120,13 @@ def field_check(v: Column, f: Field) -> tuple[Column, Column]:
     return err, val
 
 
+_ERROR_TYPE = "struct<field:string,message:string>"
+
+
 def error_list(named: list[tuple[str, Column]]) -> Column:
     """All failures of a row, in field order, as ARRAY<STRUCT<field, message>>."""
-    arms = [F.when(err.isNotNull(), F.struct(F.lit(name).alias("field"), err.alias("message")))
-            for name, err in named]
-    return F.filter(F.array(*arms), lambda x: x.isNotNull())
+    return compact([(err.isNotNull(), F.struct(F.lit(name).alias("field"), err.alias("message")))
+                    for name, err in named], _ERROR_TYPE)
 
 
 def errors_text(errors: Column) -> Column:
@@ -121,6 +142,11 @@ class Rule:
     ok: callable  # (typed columns dict) -> Column
 
 
+def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add ``cols`` computed exactly once per row (a Generate barrier against inlining)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = None,
              payload_col: str = "payload", keep: list[str] | None = None,
              reserved_skill_field: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -132,22 +158,26 @@ def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = Non
     else, as the service answers one error class at a time.
     """
     keep = keep or []
-    v = F.try_parse_json(F.col(payload_col))
-    parsed = raw.select(*keep, payload_col, v.alias("_v"))
-    not_object = ~F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))
+    # Stage 1: parse once. Stage 2: read every field's kind and value once.
+    # Each stage is a Generate (``inline`` of a one-row array): filters on the
+    # errors cannot be pushed below it, so the parse and the field reads are
+    # not copied into every use of their results.
+    parsed = once(raw.select(*keep, payload_col), {"_v": F.try_parse_json(F.col(payload_col))})
+    reads = {"_not_object": ~F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))}
+    for f in fields:
+        reads.update(field_reads(F.col("_v"), f))
+    raw_cols = [c for c in reads if c != "_not_object"]
     errs, vals = [], {}
     for f in fields:
-        e, val = field_check(F.col("_v"), f)
+        e, val = field_rule(f)
         errs.append((f.name, e))
         vals[f.name] = val
-    typed = parsed.select(*keep, payload_col, not_object.alias("_not_object"),
-                          *[val.alias(n) for n, val in vals.items()],
-                          *[e.alias(f"_e_{n}") for n, e in errs])
+    typed = once(once(parsed, reads).drop("_v"), {**vals, **{f"_e_{n}": e for n, e in errs}}).drop(*raw_cols)
     field_errors = error_list([(n, F.col(f"_e_{n}")) for n, _ in errs])
     field_errors = F.when(F.col("_not_object"), F.array(F.struct(F.lit("$").alias("field"),
                                                                  F.lit("type").alias("message")))
                           ).otherwise(field_errors)
-    typed = typed.withColumn("errors", field_errors)
+    typed = once(typed, {"errors": field_errors})
     cols = {f.name: F.col(f.name) for f in fields}
     if rules:
         rule_errs = error_list([(r.field, F.when(~F.coalesce(r.ok(cols), F.lit(False)), F.lit(r.message)))
@@ -238,9 +268,8 @@ def at_rest_violations(mrs: DataFrame) -> DataFrame:
         ("status", F.col("status").isin("open", "merged", "closed")),
         ("range_order", F.col("feedback_id_start") <= F.col("feedback_id_end")),
     ]
-    per_row = mrs.select(F.col("id"), F.explode(F.filter(F.array(*[
-        F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]), lambda x: x.isNotNull()))
-        .alias("check"))
+    per_row = mrs.select(F.col("id"), F.explode(compact([(~F.coalesce(ok, F.lit(False)), F.lit(name))
+                                                         for name, ok in checks], "string")).alias("check"))
     dups = (mrs.groupBy("mr_url").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
             .filter(F.col("n") > 1).select("id", F.lit("unique_mr_url").alias("check")))
     return per_row.unionByName(dups)
@@ -254,8 +283,8 @@ def correction_violations(corrections: DataFrame) -> DataFrame:
         ("not_null", F.col("skill_name").isNotNull() & F.col("created_at").isNotNull()
          & F.col("needs_batch_review").isNotNull()),
     ]
-    return corrections.select(F.col("id"), F.explode(F.filter(F.array(*[
-        F.when(~ok, F.lit(name)) for name, ok in checks]), lambda x: x.isNotNull())).alias("check"))
+    return corrections.select(F.col("id"), F.explode(compact([(~ok, F.lit(name)) for name, ok in checks],
+                                                              "string")).alias("check"))
 
 
 def orphan_audit_rows(audit: DataFrame, mrs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import compact
 from ..functions.iterations import (DEFAULT_INTERVAL_DAYS, DEFAULT_MAJOR_EVERY, iteration_slot, major_slot)
 from ..functions.titles import branch_name, render_title
 
@@ -23,8 +24,9 @@ def memberships(corrections: DataFrame, anchor: dt.date, interval_days: int = DE
     base = corrections.select("id", "skill_name", slot.alias("_slot"))
     minor = F.struct(F.col("_slot").alias("s"), F.lit("minor").alias("t"))
     major = F.struct(major_slot(F.col("_slot"), major_every).alias("s"), F.lit("major").alias("t"))
-    arms = F.array(F.when(F.pmod(F.col("_slot"), F.lit(major_every)) != 0, minor), major)
-    return (base.select("id", "skill_name", F.explode(F.filter(arms, lambda x: x.isNotNull())).alias("_m"))
+    arms = compact([(F.pmod(F.col("_slot"), F.lit(major_every)) != 0, minor), (F.lit(True), major)],
+                   "struct<s:bigint,t:string>")
+    return (base.select("id", "skill_name", F.explode(arms).alias("_m"))
             .select(F.col("_m.s").alias("iteration_slot"), F.col("_m.t").alias("iteration_type"), "id",
                     "skill_name"))
 

@@ -29,6 +29,7 @@ def decompose(ranges: DataFrame, keys: list[str], start: str = "feedback_id_star
     kind = 'edge'   bucket of width W, only ids in [lo, hi] count;
            'fine'   whole bucket of width W;
            'coarse' whole bucket of width W*F.
+    Bucket lists are built with ``sequence`` and exploded (no lambda functions).
     """
     s, e = F.col(start).cast("long"), F.col(end).cast("long")
     w, fo = F.lit(width).cast("long"), F.lit(fanout).cast("long")
@@ -37,23 +38,27 @@ def decompose(ranges: DataFrame, keys: list[str], start: str = "feedback_id_star
     ca = F.floor((a + fo - 1) / fo).cast("long")
     cb = (F.floor((b + 1) / fo) - 1).cast("long")
     has_coarse = ca <= cb
-    edge_one = F.array(F.struct(F.lit("edge").alias("kind"), fs.alias("bucket"), s.alias("lo"), e.alias("hi")))
+    r = ranges.filter(s <= e).select(*keys, s.alias("_p_s"), e.alias("_p_e"), fs.alias("_p_fs"), fe.alias("_p_fe"),
+                                     a.alias("_p_a"), b.alias("_p_b"), ca.alias("_p_ca"), cb.alias("_p_cb"),
+                                     has_coarse.alias("_p_hc"))
+    edge_one = F.array(F.struct(F.col("_p_fs").alias("bucket"), F.col("_p_s").alias("lo"), F.col("_p_e").alias("hi")))
     edge_two = F.array(
-        F.struct(F.lit("edge").alias("kind"), fs.alias("bucket"), s.alias("lo"), ((fs + 1) * w - 1).alias("hi")),
-        F.struct(F.lit("edge").alias("kind"), fe.alias("bucket"), (fe * w).alias("lo"), e.alias("hi")))
-
-    def whole(kind: str, lo: Column, hi: Column) -> Column:
-        return F.transform(_seq(lo, hi), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("bucket"),
-                                                             F.lit(None).cast("long").alias("lo"),
-                                                             F.lit(None).cast("long").alias("hi")))
-
-    fine_left = whole("fine", a, F.when(has_coarse, ca * fo - 1).otherwise(b))
-    fine_right = whole("fine", F.when(has_coarse, (cb + 1) * fo).otherwise(F.lit(1)),
-                       F.when(has_coarse, b).otherwise(F.lit(0)))
-    coarse = whole("coarse", F.when(has_coarse, ca).otherwise(F.lit(1)), F.when(has_coarse, cb).otherwise(F.lit(0)))
-    pieces = F.when(fs == fe, edge_one).otherwise(F.concat(edge_two, fine_left, fine_right, coarse))
-    return (ranges.filter(s <= e).select(*keys, F.explode(pieces).alias("p"))
-            .select(*keys, "p.kind", "p.bucket", "p.lo", "p.hi"))
+        F.struct(F.col("_p_fs").alias("bucket"), F.col("_p_s").alias("lo"), ((F.col("_p_fs") + 1) * w - 1).alias("hi")),
+        F.struct(F.col("_p_fe").alias("bucket"), (F.col("_p_fe") * w).alias("lo"), F.col("_p_e").alias("hi")))
+    edges = (r.select(*keys, F.explode(F.when(F.col("_p_fs") == F.col("_p_fe"), edge_one).otherwise(edge_two)).alias("p"))
+             .select(*keys, F.lit("edge").alias("kind"), "p.bucket", "p.lo", "p.hi"))
+    inner = r.filter(F.col("_p_fs") != F.col("_p_fe"))
+    hc = F.col("_p_hc")
+    fine_lists = F.concat(
+        _seq(F.col("_p_a"), F.when(hc, F.col("_p_ca") * fo - 1).otherwise(F.col("_p_b"))),
+        _seq(F.when(hc, (F.col("_p_cb") + 1) * fo).otherwise(F.lit(1)), F.when(hc, F.col("_p_b")).otherwise(F.lit(0))))
+    none = F.lit(None).cast("long")
+    fine = inner.select(*keys, F.lit("fine").alias("kind"), F.explode(fine_lists).alias("bucket"),
+                        none.alias("lo"), none.alias("hi"))
+    coarse = (inner.filter(hc).select(*keys, F.lit("coarse").alias("kind"),
+                                      F.explode(_seq(F.col("_p_ca"), F.col("_p_cb"))).alias("bucket"),
+                                      none.alias("lo"), none.alias("hi")))
+    return edges.unionByName(fine).unionByName(coarse)
 
 
 def bucket_counts(rows: DataFrame, id_col: str = "id", width: int = DEFAULT_WIDTH,
