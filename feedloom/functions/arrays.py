@@ -26,3 +26,11 @@ def has_null_element(arr: Column) -> Column:
 def all_nonempty_strings(arr: Column) -> Column:
     """Every element is a non-NULL, non-empty string (true for an empty array)."""
     return F.coalesce(~has_null_element(arr) & (F.array_position(arr, "") == 0), F.lit(False))
+
+
+def floor_div(c: Column, divisor: int | Column) -> Column:
+    """Exact integer floor division of BIGINTs (no trip through DOUBLE, which loses
+    precision above 2**53): ``(c - pmod(c, d)) div d``."""
+    d = divisor if isinstance(divisor, Column) else F.lit(int(divisor)).cast("long")
+    c = c.cast("long")
+    return F.call_function("div", c - F.pmod(c, d), d).cast("long")

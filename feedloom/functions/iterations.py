@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import floor_div
+
 # The documented defaults, X days per slot and a major every Y slots.
 DEFAULT_INTERVAL_DAYS = 7
 DEFAULT_MAJOR_EVERY = 4
@@ -14,7 +16,7 @@ DEFAULT_MAJOR_EVERY = 4
 def iteration_slot(ts: Column, anchor: dt.date, interval_days: int = DEFAULT_INTERVAL_DAYS) -> Column:
     """Slot n covers days [(n-1)X, nX) counted from the anchor date."""
     days = F.datediff(ts.cast("date"), F.lit(anchor))
-    return (F.floor(days / F.lit(interval_days)) + 1).cast("long")
+    return floor_div(days, interval_days) + 1
 
 
 def iteration_type(slot: Column, major_every: int = DEFAULT_MAJOR_EVERY) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import floor_div
+
 
 def html_escape(c: Column) -> Column:
     """``&`` first, then ``<`` ``>`` ``"`` ``'``; NULL becomes empty."""
@@ -21,8 +23,9 @@ def rate_label(corrections: Column, invocations: Column) -> Column:
     """
     cor = corrections.cast("long")
     inv = invocations.cast("long")
-    t = F.floor((F.lit(2000) * cor + inv) / (F.lit(2) * inv)).cast("long")
-    label = F.concat(F.floor(t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%"))
+    safe_inv = F.when(inv == 0, F.lit(1).cast("long")).otherwise(inv)
+    t = floor_div(F.lit(2000) * cor + inv, F.lit(2) * safe_inv)
+    label = F.concat(floor_div(t, 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string"), F.lit("%"))
     return F.when(inv == 0, F.lit("0.0%")).otherwise(label)
 
 

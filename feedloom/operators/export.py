@@ -50,12 +50,22 @@ def normalize_bounds(date_from: str, date_to: str) -> tuple[dt.datetime, dt.date
     return lo, hi, inclusive
 
 
-def in_date_range(corrections: DataFrame, date_from: str, date_to: str) -> DataFrame:
-    """P1 with P2's bounds; ``from > to`` gives no rows."""
+def in_date_range(corrections: DataFrame, date_from: str, date_to: str,
+                  partition_col: str = "created_day") -> DataFrame:
+    """P1 with P2's bounds; ``from > to`` gives no rows.
+
+    The bounds are typed TIMESTAMP_NTZ literals, so they reach the Parquet scan
+    as pushed filters; when the table is stored partitioned by created day
+    (``partition_col``), the same bounds on that column prune whole folders.
+    """
     lo, hi, inclusive = normalize_bounds(date_from, date_to)
     c = F.col("created_at")
     upper = (c <= _ntz_literal(hi)) if inclusive else (c < _ntz_literal(hi))
-    return corrections.filter((c >= _ntz_literal(lo)) & upper)
+    cond = (c >= _ntz_literal(lo)) & upper
+    if partition_col in corrections.columns:
+        day = F.col(partition_col)
+        cond = cond & (day >= F.lit(lo.date())) & (day <= F.lit(hi.date()))
+    return corrections.filter(cond)
 
 
 def iso_instant(ts: Column) -> Column:

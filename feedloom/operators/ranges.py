@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import floor_div
+
 DEFAULT_WIDTH = 256
 DEFAULT_FANOUT = 256
 
@@ -33,10 +35,10 @@ def decompose(ranges: DataFrame, keys: list[str], start: str = "feedback_id_star
     """
     s, e = F.col(start).cast("long"), F.col(end).cast("long")
     w, fo = F.lit(width).cast("long"), F.lit(fanout).cast("long")
-    fs, fe = F.floor(s / w).cast("long"), F.floor(e / w).cast("long")
+    fs, fe = floor_div(s, w), floor_div(e, w)
     a, b = fs + 1, fe - 1  # inner fine buckets
-    ca = F.floor((a + fo - 1) / fo).cast("long")
-    cb = (F.floor((b + 1) / fo) - 1).cast("long")
+    ca = floor_div(a + fo - 1, fo)
+    cb = floor_div(b + 1, fo) - 1
     has_coarse = ca <= cb
     r = ranges.filter(s <= e).select(*keys, s.alias("_p_s"), e.alias("_p_e"), fs.alias("_p_fs"), fe.alias("_p_fe"),
                                      a.alias("_p_a"), b.alias("_p_b"), ca.alias("_p_ca"), cb.alias("_p_cb"),
@@ -64,9 +66,9 @@ def decompose(ranges: DataFrame, keys: list[str], start: str = "feedback_id_star
 def bucket_counts(rows: DataFrame, id_col: str = "id", width: int = DEFAULT_WIDTH,
                   fanout: int = DEFAULT_FANOUT) -> tuple[DataFrame, DataFrame]:
     """Per-bucket row counts on both levels (partial aggregation map-side)."""
-    fine = rows.groupBy(F.floor(F.col(id_col) / width).cast("long").alias("bucket")).agg(
+    fine = rows.groupBy(floor_div(F.col(id_col), width).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"))
-    coarse = fine.groupBy(F.floor(F.col("bucket") / fanout).cast("long").alias("bucket")).agg(
+    coarse = fine.groupBy(floor_div(F.col("bucket"), fanout).alias("bucket")).agg(
         F.sum("n").alias("n"))
     return fine, coarse
 
@@ -82,7 +84,7 @@ def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start:
     pieces = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout)
     fine, coarse = bucket_counts(rows, id_col, width, fanout)
     ids = rows.select(F.col(id_col).cast("long").alias("_id"),
-                      F.floor(F.col(id_col) / width).cast("long").alias("bucket"))
+                      floor_div(F.col(id_col), width).alias("bucket"))
     edge = (pieces.filter(F.col("kind") == "edge").join(ids, "bucket")
             .filter(F.col("_id").between(F.col("lo"), F.col("hi")))
             .groupBy("_s", "_e").agg(F.count(F.lit(1)).alias("n")))
@@ -115,8 +117,8 @@ def first_owner(rows: DataFrame, ranges: DataFrame, owner: Column, start: str =
                .agg(F.min("_own").alias("_own_f")).withColumnRenamed("bucket", "_fb"))
     edges = pieces.filter(F.col("kind") == "edge").select(F.col("bucket").alias("_fb"), "lo", "hi", "_own")
     base = (rows.withColumn("_rid", F.col(id_col).cast("long"))
-            .withColumn("_fb", F.floor(F.col("_rid") / width).cast("long"))
-            .withColumn("_cb", F.floor(F.col("_fb") / fanout).cast("long")))
+            .withColumn("_fb", floor_div(F.col("_rid"), width))
+            .withColumn("_cb", floor_div(F.col("_fb"), fanout)))
     by_edge = (base.select("_rid", "_fb").join(edges, "_fb")
                .filter(F.col("_rid").between(F.col("lo"), F.col("hi")))
                .groupBy("_rid").agg(F.min("_own").alias("_own_e")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.arrays import floor_div
 from ..functions.routing import confidence_tier, correction_signals, review_flag
 
 DEFAULT_TURN_BUCKET = 1024
@@ -21,7 +22,7 @@ def turn_pairs(conversations: DataFrame, bucket_turns: int = DEFAULT_TURN_BUCKET
     last turn of the previous non-empty bucket from a per-bucket summary
     (one row per bucket).
     """
-    b = F.floor(F.col("turn") / bucket_turns).cast("long")
+    b = floor_div(F.col("turn"), bucket_turns)
     base = conversations.select("conv_id", "turn", "role", "text", b.alias("_b"))
     w = Window.partitionBy("conv_id", "_b").orderBy("turn")
     inner = (base.withColumn("_prev_role", F.lag("role").over(w))
