@@ -12,7 +12,7 @@ once (pre-aggregation before the shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import floor_div
 
@@ -79,15 +79,21 @@ def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start:
     """For every range row, the number of ``rows`` with start <= id <= end (0 when none).
 
     Returns (key, out) for every row of ``ranges`` (left outer semantics).
+    Identical ranges are counted once, and edge pieces are counted once per
+    distinct (bucket, lo, hi) -- at most W*(W+1)/2 shapes per bucket -- so a
+    bucket shared by very many ranges costs bounded work.
     """
-    distinct_ranges = ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")).distinct()
+    distinct_ranges = ranges.select(F.col(start).cast("long").alias("_s"),
+                                    F.col(end).cast("long").alias("_e")).distinct()
     pieces = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout)
     fine, coarse = bucket_counts(rows, id_col, width, fanout)
-    ids = rows.select(F.col(id_col).cast("long").alias("_id"),
-                      floor_div(F.col(id_col), width).alias("bucket"))
-    edge = (pieces.filter(F.col("kind") == "edge").join(ids, "bucket")
-            .filter(F.col("_id").between(F.col("lo"), F.col("hi")))
-            .groupBy("_s", "_e").agg(F.count(F.lit(1)).alias("n")))
+    ids = rows.select(F.col(id_col).cast("long").alias("_id"), floor_div(F.col(id_col), width).alias("bucket"))
+    edges = pieces.filter(F.col("kind") == "edge")
+    edge_shapes = edges.select("bucket", "lo", "hi").distinct()
+    shape_counts = (edge_shapes.join(ids, "bucket").filter(F.col("_id").between(F.col("lo"), F.col("hi")))
+                    .groupBy("bucket", "lo", "hi").agg(F.count(F.lit(1)).alias("n")))
+    edge = (edges.join(shape_counts, ["bucket", "lo", "hi"])
+            .groupBy("_s", "_e").agg(F.sum("n").alias("n")))
     whole_fine = (pieces.filter(F.col("kind") == "fine").join(fine, "bucket")
                   .groupBy("_s", "_e").agg(F.sum("n").alias("n")))
     whole_coarse = (pieces.filter(F.col("kind") == "coarse").join(coarse, "bucket")
@@ -105,23 +111,36 @@ def first_owner(rows: DataFrame, ranges: DataFrame, owner: Column, start: str =
     """Every row of ``rows`` with the least ``owner`` value among the ranges covering its id
     (NULL when no range covers it). ``owner`` is an orderable expression over ``ranges``
     (e.g. struct(purged_at, mr_id)).
+
+    Whole-bucket owners are reduced to one row per fine bucket (coarse owners
+    folded in), edge owners to one row per distinct (bucket, lo, hi). The rows
+    are then shuffled once, on the fine bucket, and both joins and the final
+    per-row minimum run inside that partitioning.
     """
     keyed = ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
                           owner.alias("_own"))
-    # one piece set per distinct range, with the least owner of that range
+    # one piece set per distinct range, carrying the least owner of that range
     keyed = keyed.groupBy("_s", "_e").agg(F.min("_own").alias("_own"))
     pieces = decompose(keyed, ["_own"], "_s", "_e", width, fanout)
-    by_coarse = (pieces.filter(F.col("kind") == "coarse").groupBy("bucket")
-                 .agg(F.min("_own").alias("_own_c")).withColumnRenamed("bucket", "_cb"))
-    by_fine = (pieces.filter(F.col("kind") == "fine").groupBy("bucket")
-               .agg(F.min("_own").alias("_own_f")).withColumnRenamed("bucket", "_fb"))
-    edges = pieces.filter(F.col("kind") == "edge").select(F.col("bucket").alias("_fb"), "lo", "hi", "_own")
+    by_coarse = (pieces.filter(F.col("kind") == "coarse").groupBy(F.col("bucket").alias("_cb"))
+                 .agg(F.min("_own").alias("_own_c")))
+    by_fine = (pieces.filter(F.col("kind") == "fine").groupBy(F.col("bucket").alias("_fb"))
+               .agg(F.min("_own").alias("_own_f")))
+    edges = (pieces.filter(F.col("kind") == "edge").groupBy(F.col("bucket").alias("_fb"), "lo", "hi")
+             .agg(F.min("_own").alias("_own_e")))
     base = (rows.withColumn("_rid", F.col(id_col).cast("long"))
-            .withColumn("_fb", floor_div(F.col("_rid"), width))
-            .withColumn("_cb", floor_div(F.col("_fb"), fanout)))
-    by_edge = (base.select("_rid", "_fb").join(edges, "_fb")
-               .filter(F.col("_rid").between(F.col("lo"), F.col("hi")))
-               .groupBy("_rid").agg(F.min("_own").alias("_own_e")))
-    owned = (base.join(by_coarse, "_cb", "left").join(by_fine, "_fb", "left").join(by_edge, "_rid", "left")
-             .withColumn(out, F.least("_own_c", "_own_f", "_own_e")))
-    return owned.drop("_rid", "_fb", "_cb", "_own_c", "_own_f", "_own_e")
+            .withColumn("_fb", floor_div(F.col("_rid"), width)))
+    # owner of every fine bucket that holds rows: fine pieces and the coarse piece above it
+    occupied = base.select("_fb").distinct().withColumn("_cb", floor_div(F.col("_fb"), fanout))
+    bucket_owner = (occupied.join(by_coarse, "_cb", "left").join(by_fine, "_fb", "left")
+                    .select("_fb", F.least("_own_c", "_own_f").alias("_own_b"))
+                    .filter(F.col("_own_b").isNotNull()))
+    # the row side is partitioned by _fb once; both joins and the window reuse it
+    parted = base.repartition("_fb")
+    j = (parted.join(bucket_owner, "_fb", "left")
+         .join(edges, (parted["_fb"] == edges["_fb"]) & F.col("_rid").between(edges["lo"], edges["hi"]), "left")
+         .drop(edges["_fb"]).drop("lo", "hi"))
+    w = Window.partitionBy("_fb", "_rid").orderBy(F.col("_own_e").asc_nulls_last())
+    best = (j.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1)
+            .withColumn(out, F.least("_own_b", "_own_e")))
+    return best.drop("_rid", "_fb", "_own_b", "_own_e", "_n")
