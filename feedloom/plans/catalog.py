@@ -237,12 +237,15 @@ def q_purge_marked(spark, d):
 
 @query("integrity_violations")
 def q_integrity_violations(spark, d):
-    from ..operators.checks import at_rest_violations, correction_violations
+    from ..operators.checks import at_rest_violations, correction_violations, orphan_audit_rows
 
     posts = fx.fx_upgrade_posts(spark, d).withColumnRenamed("arrival", "id")
     a = at_rest_violations(posts).withColumn("table_name", F.lit("merge_request_posts"))
     b = correction_violations(_cor(spark, d)).withColumn("table_name", F.lit("corrections"))
-    return a.unionByName(b).select("table_name", "id", "check")
+    res = _purge(spark, d)
+    c = (orphan_audit_rows(res.audit, res.marked)
+         .select(F.lit("purge_audit").alias("table_name"), "id", F.lit("orphan_merge_request").alias("check")))
+    return a.unionByName(b).unionByName(c).select("table_name", "id", "check")
 
 
 @query("turn_pairs")

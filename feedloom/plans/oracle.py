@@ -284,7 +284,8 @@ FROM _elig e LEFT JOIN (SELECT owner, count(*) AS n FROM _own GROUP BY owner) o
 register("purge_marked", ["fx_upgrade_posts", "fx_corrections"], _PURGE + f"""
 SELECT id, CASE WHEN id IN (SELECT id FROM _elig) THEN {_PURGED} ELSE purged_at END AS purged_at FROM fx_mrs""")
 
-register("integrity_violations", ["fx_upgrade_posts", "fx_corrections"], """
+register("integrity_violations", ["fx_upgrade_posts", "fx_corrections"], _PURGE + """
+, _audit AS (SELECT row_number() OVER (ORDER BY id) AS id, id AS merge_request_id FROM _elig)
 SELECT 'merge_request_posts' AS table_name, min(arrival) AS id, 'unique_mr_url' AS "check"
 FROM fx_upgrade_posts GROUP BY mr_url HAVING count(*) > 1
 UNION ALL SELECT 'merge_request_posts', arrival, 'range_order' FROM fx_upgrade_posts
@@ -292,7 +293,9 @@ UNION ALL SELECT 'merge_request_posts', arrival, 'range_order' FROM fx_upgrade_p
 UNION ALL SELECT 'merge_request_posts', arrival, 'status' FROM fx_upgrade_posts
   WHERE status NOT IN ('open', 'merged', 'closed')
 UNION ALL SELECT 'corrections', id, 'confidence_range' FROM fx_corrections
-  WHERE NOT (classification_confidence BETWEEN 0 AND 1)""")
+  WHERE NOT (classification_confidence BETWEEN 0 AND 1)
+UNION ALL SELECT 'purge_audit', id, 'orphan_merge_request' FROM _audit
+  WHERE merge_request_id NOT IN (SELECT id FROM fx_mrs)""")
 
 register("turn_pairs", ["fx_turn_pairs"], "SELECT * FROM fx_turn_pairs")
 
