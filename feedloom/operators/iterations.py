@@ -60,7 +60,8 @@ def summary(corrections: DataFrame, anchor: dt.date, interval_days: int = DEFAUL
     run_day = F.date_add(F.lit(anchor), (F.col("iteration_slot") * interval_days).cast("int"))
     return s.select(
         "iteration_slot", "iteration_type", "feedback_count", "feedback_id_start", "feedback_id_end", "skills",
-        day_from.alias("window_from"), day_to.alias("window_to"),
+        F.date_format(day_from, "yyyy-MM-dd").alias("window_from"),
+        F.date_format(day_to, "yyyy-MM-dd").alias("window_to"),
         render_title(F.col("iteration_type"), F.col("feedback_id_start"), F.col("feedback_id_end"), run_day)
         .alias("mr_title"),
         branch_name(F.col("iteration_type"), day_from, day_to).alias("branch"))

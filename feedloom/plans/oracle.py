@@ -388,8 +388,8 @@ _w AS (SELECT *, DATE '2024-01-01' + CAST(((CASE WHEN iteration_type = 'major' T
               DATE '2024-01-01' + CAST(iteration_slot * {INTERVAL_DAYS} - 1 AS INTEGER) AS window_to,
               DATE '2024-01-01' + CAST(iteration_slot * {INTERVAL_DAYS} AS INTEGER) AS run_day
        FROM _s)
-SELECT iteration_slot, iteration_type, feedback_count, feedback_id_start, feedback_id_end, skills, window_from,
-  window_to,
+SELECT iteration_slot, iteration_type, feedback_count, feedback_id_start, feedback_id_end, skills,
+  strftime(window_from, '%Y-%m-%d') AS window_from, strftime(window_to, '%Y-%m-%d') AS window_to,
   concat('[skills-feedback][', iteration_type, '][feedback:', CAST(feedback_id_start AS VARCHAR), '-',
          CAST(feedback_id_end AS VARCHAR), '] ', strftime(run_day, '%Y-%m-%d'), ' ',
          CASE WHEN iteration_type = 'major' THEN 'skill review' ELSE 'skill updates' END) AS mr_title,
