@@ -26,6 +26,8 @@ from feedloom.session import build_session  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
+ONLY = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
+PARTITIONS = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "0")) or max(8, 2 * CPUS)
 
 
 def sf_of(path: str) -> str:
@@ -34,7 +36,7 @@ def sf_of(path: str) -> str:
 
 
 def main() -> None:
-    spark = build_session(master=f"local[{CPUS}]", shuffle_partitions=max(8, 2 * CPUS), app="feedloom-bench",
+    spark = build_session(master=f"local[{CPUS}]", shuffle_partitions=PARTITIONS, app="feedloom-bench",
                           extra={"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"})
     from feedloom.operators import stats
     from feedloom.operators.export import export_lines, in_date_range
@@ -46,18 +48,21 @@ def main() -> None:
     from feedloom.sources.ingest import validate_corrections
 
     work = tempfile.mkdtemp(prefix="feedloom-bench-")
-    # ---- setup: stored tables ----
-    fx.fx_invocations(spark, SF_DIR).write.parquet(f"{work}/invocations")
+    # ---- setup: stored tables, several files each as a stored table has (the
+    # driver's inputs are single files, which would make every scan one task) ----
+    files = 2 * CPUS
+    fx.fx_invocations(spark, SF_DIR).repartition(files).write.parquet(f"{work}/invocations")
     (fx.fx_corrections(spark, SF_DIR).withColumn("created_day", F.to_date("created_at"))
-     .write.partitionBy("created_day").parquet(f"{work}/corrections"))
+     .repartition(files, "created_day").write.partitionBy("created_day").parquet(f"{work}/corrections"))
     # the range-join variant of FIXTURES.md (ranges up to 400 wide over 15000 starts)
-    fx.fx_upgrade_posts(spark, SF_DIR, start_mod=15000, width_mod=400).write.parquet(f"{work}/posts")
+    (fx.fx_upgrade_posts(spark, SF_DIR, start_mod=15000, width_mod=400).repartition(files)
+     .write.parquet(f"{work}/posts"))
     upsert(empty_merge_requests(spark), spark.read.parquet(f"{work}/posts")).write.parquet(f"{work}/mrs")
-    fx.fx_raw_posts(spark, SF_DIR).write.parquet(f"{work}/raw_posts")
+    fx.fx_raw_posts(spark, SF_DIR).repartition(files).write.parquet(f"{work}/raw_posts")
     ranges = fx.fx_upgrade_posts(spark, SF_DIR, start_mod=15000, width_mod=400).select(
         F.col("arrival").alias("id"), "feedback_id_start", "feedback_id_end")
-    ranges.write.parquet(f"{work}/ranges")
-    fx.fx_turn_source(spark, SF_DIR).write.parquet(f"{work}/conversations")
+    ranges.repartition(files).write.parquet(f"{work}/ranges")
+    fx.fx_turn_source(spark, SF_DIR).repartition(files).write.parquet(f"{work}/conversations")
 
     inv = lambda: spark.read.parquet(f"{work}/invocations")
     cor = lambda: spark.read.parquet(f"{work}/corrections").drop("created_day")
@@ -76,6 +81,8 @@ def main() -> None:
     }
     results = {}
     for name, build in queries.items():
+        if ONLY and name not in ONLY:
+            continue
         times = []
         for i in range(RUNS + 1):
             t0 = time.perf_counter()
@@ -86,7 +93,7 @@ def main() -> None:
     total = round(sum(results.values()), 4)
     print(json.dumps({"metric": "sum_of_median_query_sec", "value": total, "unit": "sec", "queries": results,
                       "sf": sf_of(SF_DIR), "cpus": CPUS, "runs": RUNS,
-                      "spark": {"shuffle_partitions": max(8, 2 * CPUS), "aqe": True}}))
+                      "spark": {"shuffle_partitions": PARTITIONS, "aqe": True}}))
     spark.stop()
 
 

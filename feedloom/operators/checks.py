@@ -50,9 +50,11 @@ def iso_instant_ntz(text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(ISO_UTC_PATTERN), F.lit(False)), _ntz(text).cast("timestamp_ntz"))
 
 
-def field_reads(v: Column, f: Field) -> dict[str, Column]:
-    """Stage 2 of validation: the raw reads of one field (kind and the typed value), each once."""
-    path = f"$.{f.name}"
+def field_reads(sub: Column, f: Field) -> dict[str, Column]:
+    """Stage 3 of validation: the raw reads of one field's sub-VARIANT ``sub`` (its kind and
+    its typed value), each once. A missing key is SQL NULL, a JSON null has kind VOID."""
+    path = "$"
+    v = sub
     n = f.name
     reads = {f"_k_{n}": F.schema_of_variant(F.try_variant_get(v, path, "variant"))}
     if f.kind in ("nonempty_string", "enum", "http_url", "iso_datetime"):
@@ -158,21 +160,28 @@ def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = Non
     else, as the service answers one error class at a time.
     """
     keep = keep or []
-    # Stage 1: parse once. Stage 2: read every field's kind and value once.
+    # Stage 1: parse once. Stage 2: split the object into its fields. Stage 3:
+    # read every field's kind and value once. Stage 4: rules. Stage 5: errors.
     # Each stage is a Generate (``inline`` of a one-row array): filters on the
     # errors cannot be pushed below it, so the parse and the field reads are
     # not copied into every use of their results.
     parsed = once(raw.select(*keep, payload_col), {"_v": F.try_parse_json(F.col(payload_col))})
-    reads = {"_not_object": ~F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))}
+    # all fields at once: an object cast to a struct of VARIANTs (surplus keys dropped)
+    as_struct = "struct<" + ",".join(f"`{f.name}`:variant" for f in fields) + ">"
+    split = once(parsed, {
+        "_not_object": ~F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False)),
+        "_o": F.try_variant_get(F.col("_v"), "$", as_struct)}).drop("_v")
+    reads = {}
     for f in fields:
-        reads.update(field_reads(F.col("_v"), f))
-    raw_cols = [c for c in reads if c != "_not_object"]
+        reads.update(field_reads(F.col("_o")[f.name], f))
+    parsed = split
+    raw_cols = list(reads)
     errs, vals = [], {}
     for f in fields:
         e, val = field_rule(f)
         errs.append((f.name, e))
         vals[f.name] = val
-    typed = once(once(parsed, reads).drop("_v"), {**vals, **{f"_e_{n}": e for n, e in errs}}).drop(*raw_cols)
+    typed = once(once(parsed, reads).drop("_o"), {**vals, **{f"_e_{n}": e for n, e in errs}}).drop(*raw_cols)
     field_errors = error_list([(n, F.col(f"_e_{n}")) for n, _ in errs])
     field_errors = F.when(F.col("_not_object"), F.array(F.struct(F.lit("$").alias("field"),
                                                                  F.lit("type").alias("message")))

@@ -1,13 +1,18 @@
-"""Range joins of closed id ranges against correction ids, without a nested loop.
-
-A range [s, e] is cut into pieces on two aligned bucket levels: at most two
-partial *edge* buckets of width W (joined to the rows of that bucket with the
-range as a residual predicate), whole *fine* buckets of width W, and whole
-*coarse* buckets of width W*F. Whole buckets are answered from pre-aggregated
-per-bucket tables, so the work per range is bounded by 2 edge buckets +
-2(F-1) fine buckets + width/(W*F) coarse buckets, and the equi-join keys are
-bucket numbers, which hash-partition evenly. Identical ranges are handled
-once (pre-aggregation before the shuffle).
+"""Range joins of closed id ranges against row ids, without a nested loop.
+
+Ids are grouped into a hierarchy of aligned blocks: level-0 buckets of
+``width`` ids, and blocks of ``width * fanout**j`` ids at level j. A range
+[s, e] is cut into at most two partial *edge* buckets (joined to the rows of
+that bucket with the range as a residual predicate) and whole *blocks*: at
+most 2(fanout-1) per level, plus the whole blocks of the top level.
+
+Whole blocks are answered from one pre-aggregated (level, block) table, built
+from the level-0 counts (or owners), so the work per range is bounded by its
+piece count. Edge pieces are reduced to distinct (bucket, lo, hi) shapes, at
+most width*(width+1)/2 per bucket, and each shape meets at most ``width``
+ids, so a bucket shared by very many ranges costs bounded work. All join keys
+are bucket or block numbers, which hash-partition evenly. Bucket arithmetic
+is exact integer division.
 """
 
 from __future__ import annotations
@@ -16,90 +21,94 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import floor_div
 
-DEFAULT_WIDTH = 256
-DEFAULT_FANOUT = 256
+DEFAULT_WIDTH = 128
+DEFAULT_FANOUT = 64
+DEFAULT_LEVELS = 3  # whole-block levels 0..3; top blocks hold 128 * 64**3 = 33.5M ids
+
+_BLOCK = "struct<level:int,block:bigint>"
 
 
 def _seq(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _tag(level: int, blocks: Column) -> Column:
+    """[block, ...] -> [struct(level, block), ...] without a lambda."""
+    return F.arrays_zip(F.array_repeat(F.lit(level), F.size(blocks)).alias("level"),
+                        blocks.alias("block")).cast(f"array<{_BLOCK}>")
+
+
 def decompose(ranges: DataFrame, keys: list[str], start: str = "feedback_id_start", end: str = "feedback_id_end",
-              width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT) -> DataFrame:
-    """Pieces of each range: (keys..., kind, bucket, lo, hi).
+              width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
+              levels: int = DEFAULT_LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(edges, blocks) of every range.
 
-    kind = 'edge'   bucket of width W, only ids in [lo, hi] count;
-           'fine'   whole bucket of width W;
-           'coarse' whole bucket of width W*F.
-    Bucket lists are built with ``sequence`` and exploded (no lambda functions).
+    edges:  (keys..., bucket, lo, hi)   level-0 bucket, only ids in [lo, hi] count
+    blocks: (keys..., level, block)     whole block of ``width * fanout**level`` ids
     """
     s, e = F.col(start).cast("long"), F.col(end).cast("long")
-    w, fo = F.lit(width).cast("long"), F.lit(fanout).cast("long")
-    fs, fe = floor_div(s, w), floor_div(e, w)
-    a, b = fs + 1, fe - 1  # inner fine buckets
-    ca = floor_div(a + fo - 1, fo)
-    cb = floor_div(b + 1, fo) - 1
-    has_coarse = ca <= cb
-    r = ranges.filter(s <= e).select(*keys, s.alias("_p_s"), e.alias("_p_e"), fs.alias("_p_fs"), fe.alias("_p_fe"),
-                                     a.alias("_p_a"), b.alias("_p_b"), ca.alias("_p_ca"), cb.alias("_p_cb"),
-                                     has_coarse.alias("_p_hc"))
-    edge_one = F.array(F.struct(F.col("_p_fs").alias("bucket"), F.col("_p_s").alias("lo"), F.col("_p_e").alias("hi")))
-    edge_two = F.array(
-        F.struct(F.col("_p_fs").alias("bucket"), F.col("_p_s").alias("lo"), ((F.col("_p_fs") + 1) * w - 1).alias("hi")),
-        F.struct(F.col("_p_fe").alias("bucket"), (F.col("_p_fe") * w).alias("lo"), F.col("_p_e").alias("hi")))
-    edges = (r.select(*keys, F.explode(F.when(F.col("_p_fs") == F.col("_p_fe"), edge_one).otherwise(edge_two)).alias("p"))
-             .select(*keys, F.lit("edge").alias("kind"), "p.bucket", "p.lo", "p.hi"))
-    inner = r.filter(F.col("_p_fs") != F.col("_p_fe"))
-    hc = F.col("_p_hc")
-    fine_lists = F.concat(
-        _seq(F.col("_p_a"), F.when(hc, F.col("_p_ca") * fo - 1).otherwise(F.col("_p_b"))),
-        _seq(F.when(hc, (F.col("_p_cb") + 1) * fo).otherwise(F.lit(1)), F.when(hc, F.col("_p_b")).otherwise(F.lit(0))))
-    none = F.lit(None).cast("long")
-    fine = inner.select(*keys, F.lit("fine").alias("kind"), F.explode(fine_lists).alias("bucket"),
-                        none.alias("lo"), none.alias("hi"))
-    coarse = (inner.filter(hc).select(*keys, F.lit("coarse").alias("kind"),
-                                      F.explode(_seq(F.col("_p_ca"), F.col("_p_cb"))).alias("bucket"),
-                                      none.alias("lo"), none.alias("hi")))
-    return edges.unionByName(fine).unionByName(coarse)
-
-
-def bucket_counts(rows: DataFrame, id_col: str = "id", width: int = DEFAULT_WIDTH,
-                  fanout: int = DEFAULT_FANOUT) -> tuple[DataFrame, DataFrame]:
-    """Per-bucket row counts on both levels (partial aggregation map-side)."""
-    fine = rows.groupBy(floor_div(F.col(id_col), width).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"))
-    coarse = fine.groupBy(floor_div(F.col("bucket"), fanout).alias("bucket")).agg(
-        F.sum("n").alias("n"))
-    return fine, coarse
+    w = F.lit(width).cast("long")
+    r = ranges.filter(s <= e).select(*keys, s.alias("_p_s"), e.alias("_p_e"),
+                                     floor_div(s, width).alias("_p_bs"), floor_div(e, width).alias("_p_be"))
+    bs, be = F.col("_p_bs"), F.col("_p_be")
+    one = F.array(F.struct(bs.alias("bucket"), F.col("_p_s").alias("lo"), F.col("_p_e").alias("hi")))
+    two = F.array(F.struct(bs.alias("bucket"), F.col("_p_s").alias("lo"), ((bs + 1) * w - 1).alias("hi")),
+                  F.struct(be.alias("bucket"), (be * w).alias("lo"), F.col("_p_e").alias("hi")))
+    edges = (r.select(*keys, F.explode(F.when(bs == be, one).otherwise(two)).alias("_p"))
+             .select(*keys, "_p.bucket", "_p.lo", "_p.hi"))
+    # whole level-0 buckets strictly inside: [a, z]; level-j blocks fully inside: [A_j, Z_j]
+    a, z = bs + 1, be - 1
+    lo_j = [floor_div(a + (fanout ** j - 1), fanout ** j) for j in range(levels + 1)]
+    hi_j = [floor_div(z + 1, fanout ** j) - 1 for j in range(levels + 1)]
+    has = [(lo_j[j] <= hi_j[j]) & (a <= z) for j in range(levels + 1)]
+    parts = []
+    for j in range(levels + 1):
+        if j < levels:
+            edge_blocks = F.concat(_seq(lo_j[j], lo_j[j + 1] * fanout - 1), _seq((hi_j[j + 1] + 1) * fanout, hi_j[j]))
+            blocks_j = (F.when(has[j + 1], edge_blocks).when(has[j], _seq(lo_j[j], hi_j[j]))
+                        .otherwise(F.array().cast("array<bigint>")))
+        else:
+            blocks_j = F.when(has[j], _seq(lo_j[j], hi_j[j])).otherwise(F.array().cast("array<bigint>"))
+        parts.append(_tag(j, blocks_j))
+    blocks = (r.filter(bs + 1 < be).select(*keys, F.explode(F.concat(*parts)).alias("_p"))
+              .select(*keys, "_p.level", "_p.block"))
+    return edges, blocks
+
+
+def _ancestors(bucket: Column, fanout: int, levels: int) -> Column:
+    """Every (level, block) holding a level-0 bucket."""
+    return F.array(*[F.struct(F.lit(j).alias("level"), floor_div(bucket, fanout ** j).alias("block"))
+                     for j in range(levels + 1)])
+
+
+def block_counts(rows: DataFrame, id_col: str = "id", width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
+                 levels: int = DEFAULT_LEVELS) -> DataFrame:
+    """(level, block, n): rows per block on every level, built from the level-0 counts
+    (partial aggregation map-side; the table is at most ids/width rows per level)."""
+    c0 = rows.groupBy(floor_div(F.col(id_col), width).alias("_b0")).agg(F.count(F.lit(1)).alias("n"))
+    return (c0.select(F.explode(_ancestors(F.col("_b0"), fanout, levels)).alias("_a"), "n")
+            .groupBy(F.col("_a.level").alias("level"), F.col("_a.block").alias("block")).agg(F.sum("n").alias("n")))
 
 
 def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start: str = "feedback_id_start",
                     end: str = "feedback_id_end", id_col: str = "id", out: str = "covered_count",
-                    width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT) -> DataFrame:
+                    width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
+                    levels: int = DEFAULT_LEVELS) -> DataFrame:
     """For every range row, the number of ``rows`` with start <= id <= end (0 when none).
 
     Returns (key, out) for every row of ``ranges`` (left outer semantics).
-    Identical ranges are counted once, and edge pieces are counted once per
-    distinct (bucket, lo, hi) -- at most W*(W+1)/2 shapes per bucket -- so a
-    bucket shared by very many ranges costs bounded work.
+    Identical ranges are counted once.
     """
     distinct_ranges = ranges.select(F.col(start).cast("long").alias("_s"),
                                     F.col(end).cast("long").alias("_e")).distinct()
-    pieces = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout)
-    fine, coarse = bucket_counts(rows, id_col, width, fanout)
+    edges, blocks = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout, levels)
     ids = rows.select(F.col(id_col).cast("long").alias("_id"), floor_div(F.col(id_col), width).alias("bucket"))
-    edges = pieces.filter(F.col("kind") == "edge")
-    edge_shapes = edges.select("bucket", "lo", "hi").distinct()
-    shape_counts = (edge_shapes.join(ids, "bucket").filter(F.col("_id").between(F.col("lo"), F.col("hi")))
+    shape_counts = (edges.select("bucket", "lo", "hi").distinct().join(ids, "bucket")
+                    .filter(F.col("_id").between(F.col("lo"), F.col("hi")))
                     .groupBy("bucket", "lo", "hi").agg(F.count(F.lit(1)).alias("n")))
-    edge = (edges.join(shape_counts, ["bucket", "lo", "hi"])
-            .groupBy("_s", "_e").agg(F.sum("n").alias("n")))
-    whole_fine = (pieces.filter(F.col("kind") == "fine").join(fine, "bucket")
-                  .groupBy("_s", "_e").agg(F.sum("n").alias("n")))
-    whole_coarse = (pieces.filter(F.col("kind") == "coarse").join(coarse, "bucket")
-                    .groupBy("_s", "_e").agg(F.sum("n").alias("n")))
-    per_range = (edge.unionByName(whole_fine).unionByName(whole_coarse)
-                 .groupBy("_s", "_e").agg(F.sum("n").cast("long").alias(out)))
+    edge = edges.join(shape_counts, ["bucket", "lo", "hi"]).select("_s", "_e", "n")
+    whole = blocks.join(block_counts(rows, id_col, width, fanout, levels), ["level", "block"]).select("_s", "_e", "n")
+    per_range = edge.unionByName(whole).groupBy("_s", "_e").agg(F.sum("n").cast("long").alias(out))
     return (ranges.select(key, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
             .join(per_range, ["_s", "_e"], "left")
             .select(key, F.coalesce(F.col(out), F.lit(0)).cast("long").alias(out)))
@@ -107,40 +116,38 @@ def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start:
 
 def first_owner(rows: DataFrame, ranges: DataFrame, owner: Column, start: str = "feedback_id_start",
                 end: str = "feedback_id_end", id_col: str = "id", out: str = "owner",
-                width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT) -> DataFrame:
-    """Every row of ``rows`` with the least ``owner`` value among the ranges covering its id
-    (NULL when no range covers it). ``owner`` is an orderable expression over ``ranges``
-    (e.g. struct(purged_at, mr_id)).
-
-    Whole-bucket owners are reduced to one row per fine bucket (coarse owners
-    folded in), edge owners to one row per distinct (bucket, lo, hi). The rows
-    are then shuffled once, on the fine bucket, and both joins and the final
-    per-row minimum run inside that partitioning.
+                width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
+                levels: int = DEFAULT_LEVELS) -> DataFrame:
+    """Every row of ``rows`` (ids unique) with the least ``owner`` value among the ranges
+    covering its id (NULL when none covers it). ``owner`` is an orderable expression over
+    ``ranges`` (e.g. struct(purged_at, mr_id)).
+
+    Block owners (least per (level, block)) are folded into one owner per
+    occupied level-0 bucket through the bucket's ancestors; edge owners are
+    reduced per distinct (bucket, lo, hi). The rows are then shuffled once, on
+    the bucket, and both joins and the per-row minimum run inside that
+    partitioning.
     """
-    keyed = ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
-                          owner.alias("_own"))
-    # one piece set per distinct range, carrying the least owner of that range
-    keyed = keyed.groupBy("_s", "_e").agg(F.min("_own").alias("_own"))
-    pieces = decompose(keyed, ["_own"], "_s", "_e", width, fanout)
-    by_coarse = (pieces.filter(F.col("kind") == "coarse").groupBy(F.col("bucket").alias("_cb"))
-                 .agg(F.min("_own").alias("_own_c")))
-    by_fine = (pieces.filter(F.col("kind") == "fine").groupBy(F.col("bucket").alias("_fb"))
-               .agg(F.min("_own").alias("_own_f")))
-    edges = (pieces.filter(F.col("kind") == "edge").groupBy(F.col("bucket").alias("_fb"), "lo", "hi")
-             .agg(F.min("_own").alias("_own_e")))
+    keyed = (ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
+                           owner.alias("_own"))
+             .groupBy("_s", "_e").agg(F.min("_own").alias("_own")))
+    edges, blocks = decompose(keyed, ["_own"], "_s", "_e", width, fanout, levels)
+    block_owner = blocks.groupBy("level", "block").agg(F.min("_own").alias("_own_blk"))
+    edge_owner = (edges.groupBy(F.col("bucket").alias("_b0"), "lo", "hi")
+                  .agg(F.min("_own").alias("_own_e")))
     base = (rows.withColumn("_rid", F.col(id_col).cast("long"))
-            .withColumn("_fb", floor_div(F.col("_rid"), width)))
-    # owner of every fine bucket that holds rows: fine pieces and the coarse piece above it
-    occupied = base.select("_fb").distinct().withColumn("_cb", floor_div(F.col("_fb"), fanout))
-    bucket_owner = (occupied.join(by_coarse, "_cb", "left").join(by_fine, "_fb", "left")
-                    .select("_fb", F.least("_own_c", "_own_f").alias("_own_b"))
-                    .filter(F.col("_own_b").isNotNull()))
-    # the row side is partitioned by _fb once; both joins and the window reuse it
-    parted = base.repartition("_fb")
-    j = (parted.join(bucket_owner, "_fb", "left")
-         .join(edges, (parted["_fb"] == edges["_fb"]) & F.col("_rid").between(edges["lo"], edges["hi"]), "left")
-         .drop(edges["_fb"]).drop("lo", "hi"))
-    w = Window.partitionBy("_fb", "_rid").orderBy(F.col("_own_e").asc_nulls_last())
+            .withColumn("_b0", floor_div(F.col("_rid"), width)))
+    occupied = base.select("_b0").distinct()
+    bucket_owner = (occupied.select("_b0", F.explode(_ancestors(F.col("_b0"), fanout, levels)).alias("_a"))
+                    .select("_b0", "_a.level", "_a.block")
+                    .join(block_owner, ["level", "block"])
+                    .groupBy("_b0").agg(F.min("_own_blk").alias("_own_b")))
+    parted = base.repartition("_b0")
+    j = (parted.join(bucket_owner, "_b0", "left")
+         .join(edge_owner, (parted["_b0"] == edge_owner["_b0"]) & F.col("_rid").between(edge_owner["lo"],
+                                                                                        edge_owner["hi"]), "left")
+         .drop(edge_owner["_b0"]).drop("lo", "hi"))
+    w = Window.partitionBy("_b0", "_rid").orderBy(F.col("_own_e").asc_nulls_last())
     best = (j.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1)
             .withColumn(out, F.least("_own_b", "_own_e")))
-    return best.drop("_rid", "_fb", "_own_b", "_own_e", "_n")
+    return best.drop("_rid", "_b0", "_own_b", "_own_e", "_n")

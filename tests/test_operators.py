@@ -156,7 +156,7 @@ def test_range_counts_match_brute_force(spark):
     rows = spark.createDataFrame([(i,) for i in ids], "id long")
     rdf = spark.createDataFrame(ranges, "id long, feedback_id_start long, feedback_id_end long")
     # tiny buckets so edge, fine and coarse pieces all occur
-    got = dict(count_in_ranges(rdf, rows, width=4, fanout=4).collect())
+    got = dict(count_in_ranges(rdf, rows, width=4, fanout=2, levels=3).collect())
     assert got == brute_counts(ranges, ids)
 
 
@@ -211,7 +211,7 @@ def test_purge_overlaps_brute_force(spark):
     assert all((marked[k] is not None) == (k in audit) for k in marked)
     # small buckets exercise coarse and fine pieces of the ownership join
     small = first_owner(cor, mrs.filter("iteration_type = 'major' AND status = 'merged'"), F.col("id"),
-                        width=4, fanout=4)
+                        width=4, fanout=2, levels=3)
     got = {x[0]: x[1] for x in small.select("id", "owner").collect()}
     assert {i: o for i, o in got.items() if o is not None} == owner
 
