@@ -65,3 +65,50 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
               .withColumn("purged_at", F.when(F.col("_hit").isNotNull(), ts).otherwise(F.col("purged_at")))
               .select(*MR_COLUMNS))
     return PurgeResult(survivors=survivors, audit=audit, marked=marked, refused=refused)
+
+
+def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame | None = None) -> int:
+    """M3-M5 as one all-or-nothing step over a versioned store (sources.sinks).
+
+    Reads corrections, merge_requests and purge_audit of the current version,
+    writes the ownership of every correction once into the new version folder
+    (cutting the lineage, so executor loss recomputes from that file, not from
+    the scan), derives the three new tables from it, and commits the version
+    last. Returns the new version number.
+    """
+    from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
+    from ..sources import sinks
+
+    v = sinks.current_version(spark, base)
+    cor = sinks.read_table(spark, base, "corrections", CORRECTIONS)
+    mrs = sinks.read_table(spark, base, "merge_requests", MERGE_REQUESTS)
+    audit_old = sinks.read_table(spark, base, "purge_audit", PURGE_AUDIT)
+    audit_hwm = sinks.high_water_mark(spark, base, "purge_audit")
+    nv = v + 1
+    res = purge(cor, mrs, purged_at, requests, audit_high_water_mark=audit_hwm)
+    # stage the ownership once; the survivors and the audit counts both read it
+    ts = _ntz(purged_at)
+    ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
+    chosen = mrs.filter(ok) if requests is None else mrs.join(requests.select("id").distinct(), "id",
+                                                              "left_semi").filter(ok)
+    chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
+    owned = first_owner(cor, chosen, F.struct(F.col("_at"), F.col("id")), out="_owner")
+    staged = f"{base}/v={nv}/_owned"
+    owned.withColumn("_owner_id", F.col("_owner.id")).drop("_owner").write.mode("overwrite").parquet(staged)
+    owned = spark.read.parquet(staged)
+    survivors = owned.filter(F.col("_owner_id").isNull()).select(*CORRECTION_COLUMNS)
+    deleted = owned.filter(F.col("_owner_id").isNotNull()).groupBy(
+        F.col("_owner_id").alias("merge_request_id")).agg(F.count(F.lit(1)).alias("deleted_count"))
+    audit_new = (chosen.withColumnRenamed("id", "merge_request_id").join(deleted, "merge_request_id", "left")
+                 .select("merge_request_id", "feedback_id_start", "feedback_id_end",
+                         F.coalesce("deleted_count", F.lit(0)).cast("long").alias("deleted_count"),
+                         F.col("_at").alias("purged_at")))
+    audit_new = assign_ids(audit_new, ["purged_at", "merge_request_id"], start_after=audit_hwm).select(
+        "id", "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count", "purged_at")
+    audit = audit_new if audit_old is None else audit_old.unionByName(audit_new)
+    tables = {"corrections": survivors, "merge_requests": res.marked, "purge_audit": audit}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{base}/v={nv}/{name}")
+    new_audit_hwm = spark.read.parquet(f"{base}/v={nv}/purge_audit").agg(F.max("id")).first()[0]
+    marks = {"purge_audit": max(audit_hwm, int(new_audit_hwm or 0))}
+    return sinks.commit(spark, base, {}, marks, carry=["invocations"], version=nv)

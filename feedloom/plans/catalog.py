@@ -398,3 +398,19 @@ def q_stream_windows(spark, d):
     _cor(spark, d).select("id", "created_at").write.parquet(src)
     start_windows(spark, src, sink, ck, ANCHOR, INTERVAL_DAYS).awaitTermination()
     return read_windows(spark, sink)
+
+
+@query("purge_committed")
+def q_purge_committed(spark, d):
+    """M3-M5 through the versioned store: fixtures committed as version 1, purge commits
+    version 2; the surviving corrections are read back from the store."""
+    from ..operators.purge import purge_version
+    from ..schemas import CORRECTIONS
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    base = scratch_path(spark, "purge-store")
+    sinks.commit(spark, base, {"corrections": _cor(spark, d), "merge_requests": _mrs(spark, d),
+                               "invocations": _inv(spark, d)})
+    purge_version(spark, base, PURGED_AT)
+    return sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id", "skill_name")

@@ -414,3 +414,4 @@ SELECT TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST({INTERVAL_DAYS} * k AS INT
   TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST({INTERVAL_DAYS} * k + {INTERVAL_DAYS} AS INTEGER)) AS window_end,
   count(*) AS correction_count, min(id) AS feedback_id_start, max(id) AS feedback_id_end
 FROM _w GROUP BY k""")
+SQL["purge_committed"] = SQL["purge_survivors"]

@@ -71,7 +71,10 @@ def read_table(spark: SparkSession, base: str, table: str, schema=None,
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.parquet(f"{base}/v={v}/{table}")
+    try:
+        return r.parquet(f"{base}/v={v}/{table}")
+    except Exception:  # noqa: BLE001 - table not part of this version
+        return None
 
 
 def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],

@@ -82,3 +82,35 @@ def test_tables_helpers(spark):
     assert dec[1]["tech_stack"] == [] and dec[1]["needs_batch_review"] is False
     assert in_id_range(df, 2, 5).count() == 1
     assert count_in_id_range(df, 1, 5).first()["count"] == 2
+
+
+def test_purge_version_commits_all_three(spark, tmp_path):
+    from feedloom.operators.purge import purge_version
+    from feedloom.schemas import MERGE_REQUESTS
+    from feedloom.sources import sinks
+
+    t = dt.datetime(2026, 6, 11)
+    cor = spark.createDataFrame([(i, "s", "/r", ["ts"], "a", "u", 0.9, False, t) for i in range(1, 11)], CORRECTIONS)
+    mrs = spark.createDataFrame([
+        (1, "u1", "[skills-feedback][major][feedback:1-4] x", "h1", "major", 1, 4, "merged", t, t, None),
+        (2, "u2", "[skills-feedback][major][feedback:3-6] x", "h2", "major", 3, 6, "merged", t, t, None),
+        (3, "u3", "[skills-feedback][minor][feedback:7-9] x", "h3", "minor", 7, 9, "merged", t, t, None)],
+        MERGE_REQUESTS)
+    base = str(tmp_path / "store")
+    sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs,
+                               "invocations": spark.range(0).withColumnRenamed("id", "x")},
+                 {"corrections": 10, "merge_requests": 3})
+    v = purge_version(spark, base, dt.datetime(2026, 6, 20))
+    assert v == 2
+    left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections").select("id").collect())
+    assert left == [7, 8, 9, 10]
+    audit = sorted((r["merge_request_id"], r["deleted_count"], r["id"])
+                   for r in sinks.read_table(spark, base, "purge_audit").collect())
+    assert audit == [(1, 4, 1), (2, 2, 2)]  # overlap 3-4 counted for the earlier MR only
+    marked = {r["id"]: r["purged_at"] for r in sinks.read_table(spark, base, "merge_requests").collect()}
+    assert marked[1] is not None and marked[2] is not None and marked[3] is None
+    assert sinks.high_water_mark(spark, base, "corrections") == 10  # ids never come back
+    # a second purge finds nothing eligible and appends no audit rows
+    purge_version(spark, base, dt.datetime(2026, 6, 21))
+    assert sinks.read_table(spark, base, "purge_audit").count() == 2
+    assert sinks.high_water_mark(spark, base, "purge_audit") == 2
