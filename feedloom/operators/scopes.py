@@ -24,17 +24,16 @@ def check_scopes(scopes: DataFrame) -> DataFrame:
 def decisions(last_seen: DataFrame, latest_mr: DataFrame) -> DataFrame:
     """J9 + F17 for every scope at once.
 
-    ``latest_mr`` has at most one row (W2's top-1), so joining it on a
-    constant key with a broadcast is bounded; an empty frame means "no MR".
+    ``latest_mr`` has at most one row (W2's top-1); it enters as a scalar
+    subquery returning one struct (NULL when there is no MR), evaluated once
+    and shared by every scope row -- no join at all.
     """
-    one = F.broadcast(latest_mr.limit(1).select(
-        F.lit(1).alias("_k"), F.col("head_commit_hash").alias("latest_hash"),
-        F.col("status").alias("latest_status"), F.col("mr_url").alias("latest_url")))
-    j = last_seen.withColumn("_k", F.lit(1)).join(one, "_k", "left")
-    exists = F.col("latest_url").isNotNull() | F.col("latest_hash").isNotNull() | F.col("latest_status").isNotNull()
-    return j.select("scope", F.col("head_commit_hash").alias("last_seen_hash"), "latest_hash",
-                    upgrade_decision(exists, F.col("latest_hash"), F.col("latest_status"),
-                                     F.col("head_commit_hash")).alias("decision"))
+    latest = latest_mr.limit(1).select(
+        F.struct(F.col("head_commit_hash").alias("hash"), F.col("status").alias("status"))).scalar()
+    return last_seen.select(
+        "scope", F.col("head_commit_hash").alias("last_seen_hash"), latest["hash"].alias("latest_hash"),
+        upgrade_decision(latest.isNotNull(), latest["hash"], latest["status"],
+                         F.col("head_commit_hash")).alias("decision"))
 
 
 def record_last_seen(last_seen: DataFrame, decided: DataFrame, synced: DataFrame | None = None) -> DataFrame:
