@@ -41,13 +41,14 @@ def _is_numeric_kind(k: Column) -> Column:
 
 
 def _ntz(text: Column) -> Column:
-    # the text has no zone after the Z is cut, so parse it straight as TIMESTAMP_NTZ
-    return F.try_to_timestamp(F.regexp_replace(text, "Z\\z", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]"))
+    # a string cast to TIMESTAMP_NTZ never consults the session time zone, so a
+    # wall-clock time inside a DST gap of that zone is kept as written
+    return F.regexp_replace(text, "Z\\z", "").try_cast("timestamp_ntz")
 
 
 def iso_instant_ntz(text: Column) -> Column:
     """V3: ``...Z`` text to a TIMESTAMP_NTZ of UTC wall-clock time; NULL when invalid."""
-    return F.when(F.coalesce(text.rlike(ISO_UTC_PATTERN), F.lit(False)), _ntz(text).cast("timestamp_ntz"))
+    return F.when(F.coalesce(text.rlike(ISO_UTC_PATTERN), F.lit(False)), _ntz(text))
 
 
 def field_reads(sub: Column, f: Field) -> dict[str, Column]:

@@ -27,6 +27,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("FEEDLOOM_DRIVER_MEMORY", "16g")
+    # results do not depend on the zone (instants are UTC TIMESTAMP_NTZ); the
+    # variable only lets tests prove that
+    conf["spark.sql.session.timeZone"] = os.environ.get("FEEDLOOM_SESSION_TZ", "UTC")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -318,3 +318,15 @@ def test_upgrade_decisions_and_last_seen(spark):
     unmerged = decisions(seen, latest.withColumn("status", F.lit("open")))
     assert sorted(tuple(r) for r in unmerged.select("scope", "decision").collect()) == [
         ("s1", "skip"), ("s2", "refuse"), ("s3", "refuse")]
+
+
+def test_instants_ignore_session_zone(spark):
+    from feedloom.operators.checks import iso_instant_ntz
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in spark.createDataFrame([("2024-03-10T02:30:00.000Z",), ("2024-02-30T00:00:00Z",)],
+                                                   "s string").select(iso_instant_ntz(F.col("s"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [dt.datetime(2024, 3, 10, 2, 30), None]
