@@ -14,7 +14,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -47,7 +46,9 @@ def main() -> None:
     from feedloom.sources import fixtures as fx
     from feedloom.sources.ingest import validate_corrections
 
-    work = tempfile.mkdtemp(prefix="feedloom-bench-")
+    from feedloom.session import scratch_path
+
+    work = scratch_path(spark, "bench")  # under the session's shared folder (spark.checkpoint.dir)
     # ---- setup: stored tables, several files each as a stored table has (the
     # driver's inputs are single files, which would make every scan one task) ----
     files = 2 * CPUS
