@@ -90,13 +90,17 @@ def export_projection(corrections: DataFrame) -> DataFrame:
     )
 
 
-def export_lines(corrections: DataFrame, date_from: str, date_to: str) -> DataFrame:
-    """K2: (id, line) for the corrections of a range; ``line`` is the CSV row text."""
-    rows = in_date_range(corrections, date_from, date_to)
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """K2: (id, line) for every row; ``line`` is the CSV row text of the export columns."""
     p = export_projection(rows).withColumn("_row_id", F.col("id").cast("long"))
     return p.select(F.col("_row_id").alias("id"), csv_line([F.col(c) for c in EXPORT_COLUMNS]).alias("line"))
 
 
+def export_lines(corrections: DataFrame, date_from: str, date_to: str) -> DataFrame:
+    """P1 + P2 + K2: (id, line) for the corrections of a date range."""
+    return csv_lines(in_date_range(corrections, date_from, date_to))
+
+
 def csv_header(columns: list[str] | None = None) -> str:
     return ",".join(columns or EXPORT_COLUMNS)
 

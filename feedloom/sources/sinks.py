@@ -28,8 +28,27 @@ CSV_OPTIONS = {
 }
 
 
-def write_csv(corrections: DataFrame, path: str) -> None:
-    """K1: the export projection ordered by id (range-partitioned sort; files in order)."""
+def write_csv(corrections: DataFrame, path: str, date_from: str | None = None, date_to: str | None = None) -> None:
+    """K1: the export as exact CSV text: header, then the K2 lines in id order.
+
+    The lines are this library's own CSV text (F1 per cell), written as text
+    after a range-partitioned sort on id, so the part files concatenate in
+    order. The only difference to the service's text is the newline after the
+    last line. (Spark's CSV writer is not used here: it rewrites a CR inside a
+    quoted value as LF.)
+    """
+    from ..operators.export import csv_header, csv_lines, in_date_range
+
+    rows = corrections if date_from is None else in_date_range(corrections, date_from, date_to)
+    lines = csv_lines(rows)
+    header = corrections.sparkSession.createDataFrame([(None, csv_header())], "id long, line string")
+    (header.unionByName(lines).orderBy(F.col("id").asc_nulls_first()).select("line")
+     .write.mode("overwrite").option("lineSep", "\n").text(path))
+
+
+def write_csv_spark(corrections: DataFrame, path: str) -> None:
+    """K1 through Spark's CSV writer with the T12 options (same text for ordinary values,
+    but a CR inside a value comes out as LF)."""
     out = export_projection(corrections).withColumn("_id", F.col("id").cast("long")).orderBy("_id").drop("_id")
     out.select(*EXPORT_COLUMNS).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 

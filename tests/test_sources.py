@@ -47,14 +47,19 @@ def test_csv_sink_text(spark, tmp_path):
     from feedloom.sources.sinks import write_csv
 
     rows = [(2, "s,1", "/r", ["a", "b"], 'say "hi"', "line\nbreak", 1.0, True, dt.datetime(2026, 6, 11, 18, 2)),
-            (1, "s", "/r", [], "", "fix", 0.25, False, dt.datetime(2026, 6, 11, 18, 2, 0, 123000))]
-    write_csv(spark.createDataFrame(rows, CORRECTIONS), str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    lines = text.split("\n")
-    assert lines[0].startswith("id,skill_name")
-    body = text[text.index("\n") + 1:]
-    assert body.startswith("1,s,/r,,,fix,0.25,false,2026-06-11T18:02:00.123Z\n")
-    assert '2,"s,1",/r,a;b,"say ""hi""","line\nbreak",1,true,2026-06-11T18:02:00.000Z' in body
+            (1, "s", "/r", [], "", "fix", 0.25, False, dt.datetime(2026, 6, 11, 18, 2, 0, 123000)),
+            (3, "s", "/r", ["x"], "cr\rhere", " pad ", 1e-7, False, dt.datetime(2026, 6, 12))]
+    write_csv(spark.createDataFrame(rows, CORRECTIONS).repartition(3), str(tmp_path / "out"))
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text == (
+        "id,skill_name,working_directory,tech_stack,ai_output,user_correction_input,classification_confidence,"
+        "needs_batch_review,created_at\n"
+        "1,s,/r,,,fix,0.25,false,2026-06-11T18:02:00.123Z\n"
+        '2,"s,1",/r,a;b,"say ""hi""","line\nbreak",1,true,2026-06-11T18:02:00.000Z\n'
+        '3,s,/r,x,"cr\rhere", pad ,1e-7,false,2026-06-12T00:00:00.000Z\n')
+    write_csv(spark.createDataFrame(rows, CORRECTIONS), str(tmp_path / "range"), "2026-06-12", "2026-06-12")
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "range").glob("part-*")))
+    assert text.count("\n") == 2 and text.endswith("2026-06-12T00:00:00.000Z\n")
 
 
 def test_versioned_commit(spark, tmp_path):
