@@ -44,13 +44,6 @@ def js_number_text(x: Column) -> Column:
     )
 
 
-def cell_text(c: Column, kind: str = "string") -> Column:
-    """The text a value has in a CSV cell before escaping (JavaScript ``String``)."""
-    if kind == "double":
-        return js_number_text(c)
-    return c.cast("string")
-
-
 def csv_cell(text: Column) -> Column:
     """NULL -> empty; quoted when it holds , " LF or CR; quotes doubled."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
