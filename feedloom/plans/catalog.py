@@ -124,7 +124,6 @@ def _validated(spark, d):
 
 @query("validate_posts")
 def q_validate_posts(spark, d):
-
     valid, _ = _validated(spark, d)
     return valid.select("arrival", "skill_name", "working_directory", F.to_json("tech_stack").alias("tech_stack_json"),
                         "ai_output", "user_correction_input", "classification_confidence", "needs_batch_review",

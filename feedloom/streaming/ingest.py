@@ -28,17 +28,32 @@ def _previous_mark(spark: SparkSession, marks: str, batch_id: int, start: int) -
 
 def start_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str,
                  fields: list[checks.Field] | None = None, start_high_water_mark: int = 0,
-                 max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Stream JSON-lines files with ``arrival`` and ``payload`` into ``<sink>/valid``,
-    ``<sink>/rejected`` and ``<sink>/marks``. Returns the StreamingQuery."""
+                 max_files_per_trigger: int | None = None, available_now: bool = True,
+                 raw_lines: bool = False):
+    """Stream feed files into ``<sink>/valid``, ``<sink>/rejected`` and ``<sink>/marks``.
+
+    By default a file holds JSON records ``{"arrival": n, "payload": "<json text>"}``
+    (the producer's sequence orders them). With ``raw_lines`` a file holds one
+    payload document per line, and arrival is (file modification time, file
+    path, position in the batch's scan). Returns the StreamingQuery.
+    """
     fields = fields or checks.CORRECTION_FIELDS
-    reader = spark.readStream.schema(FEED_SCHEMA)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(source)
+    if raw_lines:
+        stream = reader.text(source).select(
+            F.col("_metadata.file_modification_time").alias("_mtime"), F.col("_metadata.file_path").alias("_path"),
+            F.col("value").alias("payload"))
+    else:
+        stream = reader.schema(FEED_SCHEMA).json(source)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
+        if raw_lines:  # positions exist only on the static micro-batch frame
+            batch = batch.select(F.struct(F.col("_mtime").alias("file_modification_time"),
+                                          F.col("_path").alias("file_path"),
+                                          F.monotonically_increasing_id().alias("pos")).alias("arrival"), "payload")
         prev = _previous_mark(s, f"{sink}/marks", batch_id, start_high_water_mark)
         valid, rejected = checks.validate(batch, fields, keep=["arrival"], reserved_skill_field="skill_name")
         valid = assign_ids(valid, ["arrival"], start_after=prev)

@@ -48,3 +48,22 @@ def test_mr_feed_matches_batch_upsert(spark, tmp_path):
     streamed = {tuple(r) for r in read_merge_requests(spark, str(tmp_path / "base")).collect()}
     batch = {tuple(r) for r in upsert(empty_merge_requests(spark), posts).collect()}
     assert streamed == batch
+
+
+def test_ingest_raw_lines(spark, tmp_path):
+    from feedloom.streaming.ingest import start_ingest
+
+    src = tmp_path / "feed"
+    src.mkdir()
+    good = {"skill_name": "s", "working_directory": "/r", "tech_stack": [], "ai_output": "a",
+            "user_correction_input": "u", "classification_confidence": 0.7, "needs_batch_review": True,
+            "created_at": "2026-06-11T18:02:00.000Z"}
+    import json
+    lines = [json.dumps({**good, "ai_output": f"a{i}"}) for i in range(5)] + ['{"skill_name": 1}', "oops"]
+    (src / "part-0.jsonl").write_text("\n".join(lines) + "\n")
+    start_ingest(spark, str(src), str(tmp_path / "sink"), str(tmp_path / "ck"), raw_lines=True,
+                 start_high_water_mark=7).awaitTermination()
+    valid = spark.read.parquet(str(tmp_path / "sink" / "valid"))
+    got = sorted((r["id"], r["ai_output"]) for r in valid.select("id", "ai_output").collect())
+    assert got == [(8 + i, f"a{i}") for i in range(5)]  # ids follow line order
+    assert spark.read.parquet(str(tmp_path / "sink" / "rejected")).count() == 2
