@@ -36,7 +36,9 @@ def sf_of(path: str) -> str:
 
 def main() -> None:
     spark = build_session(master=f"local[{CPUS}]", shuffle_partitions=PARTITIONS, app="feedloom-bench",
-                          extra={"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"})
+                          extra={"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+                                 "spark.sql.adaptive.coalescePartitions.parallelismFirst":
+                                     os.environ.get("BENCH_PARALLELISM_FIRST", "true")})
     from feedloom.operators import stats
     from feedloom.operators.export import export_lines, in_date_range
     from feedloom.operators.purge import purge
