@@ -119,3 +119,17 @@ def test_purge_version_commits_all_three(spark, tmp_path):
     purge_version(spark, base, dt.datetime(2026, 6, 21))
     assert sinks.read_table(spark, base, "purge_audit").count() == 2
     assert sinks.high_water_mark(spark, base, "purge_audit") == 2
+
+
+def test_append_and_endpoint_base(spark, tmp_path):
+    from feedloom.functions.scopes import endpoint_base
+    from feedloom.sources.sinks import append
+
+    path = str(tmp_path / "events")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, skill_name string")
+    append(df, path)
+    append(df, path)  # no deduplication: the same event twice is two rows
+    assert spark.read.parquet(path).count() == 4
+    got = [r[0] for r in spark.createDataFrame([("http://x:1///",), ("http://x:1",)], "u string")
+           .select(endpoint_base(F.col("u"))).collect()]
+    assert got == ["http://x:1", "http://x:1"]
