@@ -111,4 +111,4 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
         df.write.mode("overwrite").parquet(f"{base}/v={nv}/{name}")
     new_audit_hwm = spark.read.parquet(f"{base}/v={nv}/purge_audit").agg(F.max("id")).first()[0]
     marks = {"purge_audit": max(audit_hwm, int(new_audit_hwm or 0))}
-    return sinks.commit(spark, base, {}, marks, carry=["invocations"], version=nv)
+    return sinks.commit(spark, base, {}, marks, version=nv, already_written=list(tables))

@@ -62,11 +62,11 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def committed_versions(spark: SparkSession, base: str) -> DataFrame:
-    """(v, table, high_water_mark) of every committed version."""
+    """(v, table, high_water_mark, written) of every committed version."""
     try:
         return spark.read.parquet(f"{base}/_commits")
     except Exception:  # noqa: BLE001 - no commit yet
-        return spark.createDataFrame([], "v long, table string, high_water_mark long")
+        return spark.createDataFrame([], "table string, high_water_mark long, written boolean, v long")
 
 
 def current_version(spark: SparkSession, base: str) -> int:
@@ -81,42 +81,52 @@ def high_water_mark(spark: SparkSession, base: str, table: str) -> int:
     return int(row[0]) if row and row[0] is not None else 0
 
 
+def table_version(spark: SparkSession, base: str, table: str, as_of: int | None = None) -> int:
+    """The newest committed version (up to ``as_of``) that wrote ``table``; 0 when none."""
+    log = committed_versions(spark, base).filter((F.col("table") == table) & F.col("written"))
+    if as_of is not None:
+        log = log.filter(F.col("v") <= as_of)
+    row = log.agg(F.max("v")).first()
+    return int(row[0]) if row and row[0] is not None else 0
+
+
 def read_table(spark: SparkSession, base: str, table: str, schema=None,
                version: int | None = None) -> DataFrame | None:
-    """The table as of the current (or the given) committed version (None when never written)."""
-    v = current_version(spark, base) if version is None else version
+    """The table as of the current (or the given) committed version (None when never written).
+
+    Each version folder holds only the tables that version changed; a table is
+    read from the newest committed version that wrote it, so unchanged tables
+    are never copied.
+    """
+    v = table_version(spark, base, table, version)
     if v == 0:
         return None
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    try:
-        return r.parquet(f"{base}/v={v}/{table}")
-    except Exception:  # noqa: BLE001 - table not part of this version
-        return None
+    return r.parquet(f"{base}/v={v}/{table}")
 
 
 def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
-           high_water_marks: dict[str, int] | None = None, carry: list[str] | None = None,
-           version: int | None = None) -> int:
-    """Write ``tables`` as a new version, then its commit record.
+           high_water_marks: dict[str, int] | None = None, version: int | None = None,
+           already_written: list[str] | None = None) -> int:
+    """Write ``tables`` into a new version folder, then its commit record (last).
 
-    ``carry`` names unchanged tables copied by reference (re-written from the
-    current version, so every version folder is self-contained).
+    ``already_written`` names tables the caller wrote into the version folder
+    itself. The record lists every table's high-water mark (carried from the
+    previous version unless given) and which tables this version wrote.
     """
     v = current_version(spark, base) + 1 if version is None else version
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/v={v}/{name}")
-    for name in carry or []:
-        cur = read_table(spark, base, name, version=v - 1)
-        if cur is not None:
-            cur.write.mode("overwrite").parquet(f"{base}/v={v}/{name}")
-    prev = {}
+    marks = {}
     if v > 1:
-        for r in committed_versions(spark, base).filter(F.col("v") == v - 1).collect():
-            prev[r["table"]] = r["high_water_mark"]
-    prev.update(high_water_marks or {})
-    rows = [(v, t, int(h)) for t, h in prev.items()] or [(v, "", 0)]
-    (spark.createDataFrame(rows, "v long, table string, high_water_mark long").drop("v")
+        for r in committed_versions(spark, base).filter(F.col("v") == v - 1).collect():  # one row per table
+            marks[r["table"]] = r["high_water_mark"]
+    marks.update(high_water_marks or {})
+    written = set(tables) | set(already_written or [])
+    names = sorted(set(marks) | written)
+    rows = [(t, int(marks.get(t) or 0), t in written) for t in names] or [("", 0, False)]
+    (spark.createDataFrame(rows, "table string, high_water_mark long, written boolean")
      .write.mode("overwrite").parquet(f"{base}/_commits/v={v}"))
     return v

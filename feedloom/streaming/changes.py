@@ -39,7 +39,8 @@ def start_mr_feed(spark: SparkSession, source: str, base: str, checkpoint: str,
         path = f"{base}/v={batch_id + 1}/merge_requests"
         new.write.mode("overwrite").parquet(path)
         top = s.read.parquet(path).agg({"id": "max"}).first()[0]
-        sinks.commit(s, base, {}, {"merge_requests": max(hwm, int(top or 0))}, version=batch_id + 1)
+        sinks.commit(s, base, {}, {"merge_requests": max(hwm, int(top or 0))}, version=batch_id + 1,
+                     already_written=["merge_requests"])
 
     w = posts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

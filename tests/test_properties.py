@@ -93,3 +93,43 @@ def test_invocation_ingest_and_status_updates(spark):
     assert sorted(r["arrival"] for r in ok.collect()) == [1, 5]
     assert dict(bad.select("arrival", errors_text(F.col("errors"))).collect()) == {
         2: "merged_at:merged_at_status", 3: "id:not_found", 4: "id:invalid_id"}
+
+
+POST_COLS = ["title", "head_commit_hash", "iteration_type", "feedback_id_start", "feedback_id_end", "status",
+             "opened_at", "merged_at"]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["u1", "u2", "u3", "u4"]), st.sampled_from(["open", "merged", "closed"]),
+                          st.integers(1, 50), st.booleans()), min_size=1, max_size=25),
+       st.integers(0, 20))
+def test_upsert_equals_sequential_posts(spark, posts, hwm_extra):
+    """Batch upsert == the service's one-post-at-a-time update, incl. kept ids and purged_at."""
+    import datetime as dt
+
+    from feedloom.operators.upgrades import upsert
+    from feedloom.schemas import MERGE_REQUESTS
+
+    t0 = dt.datetime(2026, 1, 1)
+    old_rows = [(3, "u2", "t", "h", "major", 1, 2, "merged", t0, t0, t0)]  # purged already
+    hwm = 3 + hwm_extra
+    table = {r[1]: dict(zip([f.name for f in MERGE_REQUESTS.fields], r)) for r in old_rows}
+    next_id = hwm
+    rows = []
+    for arrival, (url, status, start, merged_flag) in enumerate(posts):
+        merged = t0 + dt.timedelta(days=arrival) if status == "merged" and merged_flag else None
+        post = dict(title=f"p{arrival}", head_commit_hash=f"h{arrival}", iteration_type="minor",
+                    feedback_id_start=start, feedback_id_end=start + 1, status=status,
+                    opened_at=t0 + dt.timedelta(hours=arrival), merged_at=merged)
+        rows.append((arrival, url, *[post[c] for c in POST_COLS]))
+        if url in table:
+            table[url].update(post)  # id and purged_at kept
+        else:
+            next_id += 1
+            table[url] = dict(id=next_id, mr_url=url, purged_at=None, **post)
+    posts_df = spark.createDataFrame(rows, "arrival long, mr_url string, title string, head_commit_hash string, "
+                                     "iteration_type string, feedback_id_start long, feedback_id_end long, "
+                                     "status string, opened_at timestamp_ntz, merged_at timestamp_ntz")
+    got = {r["mr_url"]: r.asDict() for r in upsert(spark.createDataFrame(old_rows, MERGE_REQUESTS), posts_df,
+                                                   hwm).collect()}
+    assert got == table

@@ -68,9 +68,10 @@ def test_versioned_commit(spark, tmp_path):
     base = str(tmp_path / "store")
     assert sinks.read_table(spark, base, "t") is None
     v1 = sinks.commit(spark, base, {"t": spark.range(3)}, {"t": 3})
-    v2 = sinks.commit(spark, base, {"u": spark.range(1)}, {"u": 1}, carry=["t"])
+    v2 = sinks.commit(spark, base, {"u": spark.range(1)}, {"u": 1})
     assert (v1, v2) == (1, 2)
-    assert sinks.read_table(spark, base, "t").count() == 3
+    assert sinks.read_table(spark, base, "t").count() == 3  # read from version 1, never copied
+    assert sinks.table_version(spark, base, "t") == 1 and sinks.table_version(spark, base, "u") == 2
     assert sinks.high_water_mark(spark, base, "t") == 3 and sinks.high_water_mark(spark, base, "u") == 1
     # a version without its commit record is never read
     spark.range(10).write.parquet(f"{base}/v=3/t")
