@@ -26,6 +26,31 @@ def _ntz(value: dt.datetime):
     return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
 
 
+def _marked(mrs: DataFrame, chosen: DataFrame, ts) -> DataFrame:
+    """M5: purged_at set on the purged MRs."""
+    hit = chosen.select(F.col("id").alias("_hit"))
+    return (mrs.join(hit, mrs["id"] == hit["_hit"], "left")
+            .withColumn("purged_at", F.when(F.col("_hit").isNotNull(), ts).otherwise(F.col("purged_at")))
+            .select(*MR_COLUMNS))
+
+
+def _ownership(corrections: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows no purge can touch, touched rows with ``_owner``).
+
+    Only ids inside the overall span of the chosen ranges can be deleted. The
+    span is two scalars read from the (small) range table; as literals they
+    reach the Parquet scan, so the ownership join shuffles only the touched
+    rows and the others pass straight through.
+    """
+    span = chosen.agg(F.min("feedback_id_start").alias("lo"), F.max("feedback_id_end").alias("hi")).first()
+    owner_type = "struct<_at:timestamp_ntz,id:bigint>"
+    if span is None or span["lo"] is None:
+        return corrections, corrections.filter(F.lit(False)).withColumn("_owner", F.lit(None).cast(owner_type))
+    inside = F.col("id").between(F.lit(int(span["lo"])), F.lit(int(span["hi"])))
+    owned = first_owner(corrections.filter(inside), chosen, F.struct(F.col("_at"), F.col("id")), out="_owner")
+    return corrections.filter(~inside), owned
+
+
 def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
           requests: DataFrame | None = None, audit_high_water_mark: int = 0) -> PurgeResult:
     """M3-M5 on one snapshot.
@@ -49,8 +74,9 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
         chosen = mrs.filter(ok)
         refused = mrs.filter(F.lit(False)).select("id", F.lit(None).cast("string").alias("reason"))
     chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
-    owned = first_owner(corrections, chosen, F.struct(F.col("_at"), F.col("id")), out="_owner")
-    survivors = owned.filter(F.col("_owner").isNull()).select(*CORRECTION_COLUMNS)
+    outside, owned = _ownership(corrections, chosen)
+    survivors = outside.select(*CORRECTION_COLUMNS).unionByName(
+        owned.filter(F.col("_owner").isNull()).select(*CORRECTION_COLUMNS))
     deleted = owned.filter(F.col("_owner").isNotNull()).groupBy(F.col("_owner.id").alias("merge_request_id")).agg(
         F.count(F.lit(1)).alias("deleted_count"))
     audit = (chosen.withColumnRenamed("id", "merge_request_id").join(deleted, "merge_request_id", "left")
@@ -60,10 +86,7 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
     audit = assign_ids(audit, ["purged_at", "merge_request_id"], start_after=audit_high_water_mark)
     audit = audit.select("id", "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count",
                          "purged_at")
-    hit = chosen.select(F.col("id").alias("_hit"))
-    marked = (mrs.join(hit, mrs["id"] == hit["_hit"], "left")
-              .withColumn("purged_at", F.when(F.col("_hit").isNotNull(), ts).otherwise(F.col("purged_at")))
-              .select(*MR_COLUMNS))
+    marked = _marked(mrs, chosen, ts)
     return PurgeResult(survivors=survivors, audit=audit, marked=marked, refused=refused)
 
 
@@ -85,18 +108,18 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     audit_old = sinks.read_table(spark, base, "purge_audit", PURGE_AUDIT)
     audit_hwm = sinks.high_water_mark(spark, base, "purge_audit")
     nv = v + 1
-    res = purge(cor, mrs, purged_at, requests, audit_high_water_mark=audit_hwm)
     # stage the ownership once; the survivors and the audit counts both read it
     ts = _ntz(purged_at)
     ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
     chosen = mrs.filter(ok) if requests is None else mrs.join(requests.select("id").distinct(), "id",
                                                               "left_semi").filter(ok)
     chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
-    owned = first_owner(cor, chosen, F.struct(F.col("_at"), F.col("id")), out="_owner")
+    outside, owned = _ownership(cor, chosen)
     staged = f"{base}/v={nv}/_owned"
     owned.withColumn("_owner_id", F.col("_owner.id")).drop("_owner").write.mode("overwrite").parquet(staged)
     owned = spark.read.parquet(staged)
-    survivors = owned.filter(F.col("_owner_id").isNull()).select(*CORRECTION_COLUMNS)
+    survivors = outside.select(*CORRECTION_COLUMNS).unionByName(
+        owned.filter(F.col("_owner_id").isNull()).select(*CORRECTION_COLUMNS))
     deleted = owned.filter(F.col("_owner_id").isNotNull()).groupBy(
         F.col("_owner_id").alias("merge_request_id")).agg(F.count(F.lit(1)).alias("deleted_count"))
     audit_new = (chosen.withColumnRenamed("id", "merge_request_id").join(deleted, "merge_request_id", "left")
@@ -106,7 +129,7 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     audit_new = assign_ids(audit_new, ["purged_at", "merge_request_id"], start_after=audit_hwm).select(
         "id", "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count", "purged_at")
     audit = audit_new if audit_old is None else audit_old.unionByName(audit_new)
-    tables = {"corrections": survivors, "merge_requests": res.marked, "purge_audit": audit}
+    tables = {"corrections": survivors, "merge_requests": _marked(mrs, chosen, ts), "purge_audit": audit}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/v={nv}/{name}")
     new_audit_hwm = spark.read.parquet(f"{base}/v={nv}/purge_audit").agg(F.max("id")).first()[0]
