@@ -83,7 +83,7 @@ def test_title_render_round_trip(spark):
 def test_reserved_names(spark):
     from feedloom.functions.names import is_reserved_skill
 
-    names = ["feedback-rules", "feedback-rules-moon", "feedback-rules-", "feedback-rulesX", "feedback-rules\n", "x"]
+    names = ["feedback-rules", "feedback-rules-team", "feedback-rules-", "feedback-rulesX", "feedback-rules\n", "x"]
     got = one(spark, is_reserved_skill(F.col("s")), [(n,) for n in names], "s string")
     assert got == [True, True, False, False, False, False]
 

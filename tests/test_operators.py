@@ -58,7 +58,7 @@ def test_validation_golden(spark):
             "created_at": "2026-06-11T18:02:00.000Z"}
     cases = [
         {},  # valid
-        {"skill_name": "feedback-rules"}, {"skill_name": "feedback-rules-moon"},
+        {"skill_name": "feedback-rules"}, {"skill_name": "feedback-rules-team"},
         {"classification_confidence": 1.5}, {"classification_confidence": "0.9"}, {"skill_name": 123},
         {"tech_stack": ["ts", 1]}, {"tech_stack": "ts"}, {"tech_stack": []}, {"tech_stack": [""]},
         {"created_at": "2026-06-11T18:02:00+08:00"}, {"needs_batch_review": 0}, {"extra": 1},
