@@ -15,9 +15,13 @@ from .common import read_changelog, write_batch
 
 
 def start_stats(spark: SparkSession, invocations_src: str, corrections_src: str, sink: str, checkpoint: str,
-                available_now: bool = True):
-    inv = spark.readStream.schema("skill_name string").parquet(invocations_src)
-    cor = spark.readStream.schema("skill_name string").parquet(corrections_src)
+                available_now: bool = True, max_files_per_trigger: int | None = None):
+    def reader():
+        r = spark.readStream.schema("skill_name string")
+        return r.option("maxFilesPerTrigger", max_files_per_trigger) if max_files_per_trigger else r
+
+    inv = reader().parquet(invocations_src)
+    cor = reader().parquet(corrections_src)
     tagged = (inv.select("skill_name", F.lit(1).alias("inv"), F.lit(0).alias("cor"))
               .unionByName(cor.select("skill_name", F.lit(0).alias("inv"), F.lit(1).alias("cor"))))
     agg = tagged.groupBy("skill_name").agg(F.sum("inv").cast("long").alias("invocation_count"),

@@ -18,9 +18,13 @@ _EPOCH = dt.date(1970, 1, 1)
 
 
 def start_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, anchor: dt.date,
-                  interval_days: int = 7, lateness: str = "30 days", available_now: bool = True):
+                  interval_days: int = 7, lateness: str = "30 days", available_now: bool = True,
+                  max_files_per_trigger: int | None = None):
     offset = (anchor - _EPOCH).days % interval_days
-    events = spark.readStream.schema("id long, created_at timestamp_ntz").parquet(source)
+    reader = spark.readStream.schema("id long, created_at timestamp_ntz")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.parquet(source)
     events = events.withColumn("event_time", ntz_to_instant(F.col("created_at")))
     agg = (events.withWatermark("event_time", lateness)
            .groupBy(F.window("event_time", f"{interval_days} days", f"{interval_days} days", f"{offset} days"))
