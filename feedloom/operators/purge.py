@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import floor_div
 from ..functions.purge_rules import purge_eligible, refusal_reason
 from ..schemas import CORRECTION_COLUMNS, MR_COLUMNS
 from .ids import assign_ids
@@ -90,30 +91,46 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
     return PurgeResult(survivors=survivors, audit=audit, marked=marked, refused=refused)
 
 
+def _touched_blocks(chosen: DataFrame, width: int, high_water_mark: int) -> list[int]:
+    """Id blocks the chosen ranges reach, clipped to ids ever assigned. Block numbers
+    only (at most one per block of the table), read on the driver for the commit record."""
+    s, e = F.col("feedback_id_start").cast("long"), F.least(F.col("feedback_id_end").cast("long"),
+                                                           F.lit(int(high_water_mark)))
+    rows = (chosen.filter(s <= e).select(F.explode(F.sequence(floor_div(s, width), floor_div(e, width))).alias("b"))
+            .distinct().collect())
+    return sorted(int(r[0]) for r in rows)
+
+
 def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame | None = None) -> int:
     """M3-M5 as one all-or-nothing step over a versioned store (sources.sinks).
 
     Reads corrections, merge_requests and purge_audit of the current version,
-    writes the ownership of every correction once into the new version folder
-    (cutting the lineage, so executor loss recomputes from that file, not from
-    the scan), derives the three new tables from it, and commits the version
-    last. Returns the new version number.
+    writes the ownership of the touched corrections once into the new version
+    folder (cutting the lineage, so executor loss recomputes from that file,
+    not from the scan), derives the three new tables from it, and commits the
+    version last. Corrections are stored by id block: only the blocks the
+    purged ranges reach are read and rewritten, every other block stays in
+    its older version. Returns the new version number.
     """
     from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
     from ..sources import sinks
 
     v = sinks.current_version(spark, base)
-    cor = sinks.read_table(spark, base, "corrections", CORRECTIONS)
+    width = sinks.block_ids(spark, base, "corrections")
     mrs = sinks.read_table(spark, base, "merge_requests", MERGE_REQUESTS)
     audit_old = sinks.read_table(spark, base, "purge_audit", PURGE_AUDIT)
     audit_hwm = sinks.high_water_mark(spark, base, "purge_audit")
     nv = v + 1
-    # stage the ownership once; the survivors and the audit counts both read it
     ts = _ntz(purged_at)
     ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
     chosen = mrs.filter(ok) if requests is None else mrs.join(requests.select("id").distinct(), "id",
                                                               "left_semi").filter(ok)
     chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
+    touched = None
+    if width is not None:
+        touched = _touched_blocks(chosen, width, sinks.high_water_mark(spark, base, "corrections"))
+    cor = sinks.read_table(spark, base, "corrections", CORRECTIONS, blocks=touched)
+    # stage the ownership once; the survivors and the audit counts both read it
     outside, owned = _ownership(cor, chosen)
     staged = f"{base}/v={nv}/_owned"
     owned.withColumn("_owner_id", F.col("_owner.id")).drop("_owner").write.mode("overwrite").parquet(staged)
@@ -129,9 +146,17 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     audit_new = assign_ids(audit_new, ["purged_at", "merge_request_id"], start_after=audit_hwm).select(
         "id", "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count", "purged_at")
     audit = audit_new if audit_old is None else audit_old.unionByName(audit_new)
-    tables = {"corrections": survivors, "merge_requests": _marked(mrs, chosen, ts), "purge_audit": audit}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/v={nv}/{name}")
+    whole = {"merge_requests": _marked(mrs, chosen, ts), "purge_audit": audit}
+    block_writes = {}
+    if width is None:
+        whole["corrections"] = survivors
+    elif touched:
+        path = f"{base}/v={nv}/corrections"
+        sinks.write_table(survivors, path, width)
+        block_writes["corrections"] = (touched, sinks.filled_blocks(spark, path))
+    for name, df in whole.items():
+        sinks.write_table(df, f"{base}/v={nv}/{name}")
     new_audit_hwm = spark.read.parquet(f"{base}/v={nv}/purge_audit").agg(F.max("id")).first()[0]
     marks = {"purge_audit": max(audit_hwm, int(new_audit_hwm or 0))}
-    return sinks.commit(spark, base, {}, marks, version=nv, already_written=list(tables))
+    return sinks.commit(spark, base, {}, marks, version=nv, already_written=list(whole),
+                        block_writes=block_writes)

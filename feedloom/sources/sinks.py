@@ -5,12 +5,13 @@ A snapshot is a version folder ``<base>/v=<n>/<table>``; it becomes visible
 when its commit record ``<base>/_commits/v=<n>`` is written, last. Readers take
 the highest committed version, so a half-written version is never read. The
 commit record also carries the id high-water mark of every table, so ids are
-never reused after a purge (T7).
+never reused after a purge (T7). Corrections are stored by id block, and a
+version may replace only some blocks of such a table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.export import EXPORT_COLUMNS, export_projection
 
@@ -61,12 +62,29 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     w.parquet(path)
 
 
+# Tables stored partitioned by id block (``_blk = id div block_ids``). A version
+# that changes a few id ranges (a purge) rewrites only the blocks they touch
+# instead of the whole table. A block holds at most ``block_ids`` rows (ids are
+# unique), so no block file grows with a hot key. Fixed value: the default
+# block width.
+ID_BLOCKED = {"corrections": 1 << 20}
+BLOCK_COL = "_blk"
+
+_LOG_SCHEMA = ("table string, high_water_mark long, written boolean, block_ids long, "
+               "blocks array<bigint>, filled array<bigint>")
+
+
 def committed_versions(spark: SparkSession, base: str) -> DataFrame:
-    """(v, table, high_water_mark, written) of every committed version."""
+    """(v, table, high_water_mark, written, block_ids, blocks, filled) of every committed version.
+
+    ``block_ids`` is set for tables stored by id block. ``blocks`` is NULL when
+    the version wrote the table whole, else the blocks it replaced; ``filled``
+    lists those of them that hold rows in this version's folder.
+    """
     try:
-        return spark.read.parquet(f"{base}/_commits")
+        return spark.read.schema(_LOG_SCHEMA + ", v long").parquet(f"{base}/_commits")
     except Exception:  # noqa: BLE001 - no commit yet
-        return spark.createDataFrame([], "table string, high_water_mark long, written boolean, v long")
+        return spark.createDataFrame([], _LOG_SCHEMA + ", v long")
 
 
 def current_version(spark: SparkSession, base: str) -> int:
@@ -74,11 +92,20 @@ def current_version(spark: SparkSession, base: str) -> int:
     return int(row["v"]) if row and row["v"] is not None else 0
 
 
-def high_water_mark(spark: SparkSession, base: str, table: str) -> int:
+def _record(spark: SparkSession, base: str, table: str):
     v = current_version(spark, base)
-    row = (committed_versions(spark, base).filter((F.col("v") == v) & (F.col("table") == table))
-           .select("high_water_mark").first())
-    return int(row[0]) if row and row[0] is not None else 0
+    return committed_versions(spark, base).filter((F.col("v") == v) & (F.col("table") == table)).first()
+
+
+def high_water_mark(spark: SparkSession, base: str, table: str) -> int:
+    row = _record(spark, base, table)
+    return int(row["high_water_mark"]) if row and row["high_water_mark"] is not None else 0
+
+
+def block_ids(spark: SparkSession, base: str, table: str) -> int | None:
+    """The id-block width of a table stored by id block; None for other tables."""
+    row = _record(spark, base, table)
+    return int(row["block_ids"]) if row and row["block_ids"] is not None else None
 
 
 def table_version(spark: SparkSession, base: str, table: str, as_of: int | None = None) -> int:
@@ -90,43 +117,128 @@ def table_version(spark: SparkSession, base: str, table: str, as_of: int | None
     return int(row[0]) if row and row[0] is not None else 0
 
 
+def write_table(df: DataFrame, path: str, block_width: int | None = None) -> None:
+    """One table into a version folder; by id block when ``block_width`` is set.
+
+    Rows are range-partitioned and sorted on id first, so each task holds a
+    contiguous id span: a block gets few files, and the id min/max statistics
+    of its row groups let id-range filters skip data.
+    """
+    if block_width is None:
+        df.write.mode("overwrite").parquet(path)
+        return
+    from ..functions.arrays import floor_div
+
+    (df.repartitionByRange("id").sortWithinPartitions("id")
+     .withColumn(BLOCK_COL, floor_div(F.col("id"), block_width))
+     .write.mode("overwrite").partitionBy(BLOCK_COL).parquet(path))
+
+
+def filled_blocks(spark: SparkSession, path: str) -> list[int]:
+    """The blocks of a by-block folder that hold rows (read from the partition column only)."""
+    rows = spark.read.schema(f"{BLOCK_COL} long").parquet(path).select(BLOCK_COL).distinct().collect()
+    return sorted(int(r[0]) for r in rows)
+
+
 def read_table(spark: SparkSession, base: str, table: str, schema=None,
-               version: int | None = None) -> DataFrame | None:
+               version: int | None = None, blocks: list[int] | None = None) -> DataFrame | None:
     """The table as of the current (or the given) committed version (None when never written).
 
     Each version folder holds only the tables that version changed; a table is
     read from the newest committed version that wrote it, so unchanged tables
-    are never copied.
+    are never copied. A table stored by id block takes every block from the
+    newest version that replaced it: each contributing folder is read with a
+    filter on the block column, which Spark applies as a partition filter, so
+    replaced blocks are never scanned. ``blocks`` restricts the read to those
+    blocks. Only commit metadata (block numbers) is read on the driver.
     """
     v = table_version(spark, base, table, version)
     if v == 0:
         return None
+    log = committed_versions(spark, base).filter((F.col("table") == table) & F.col("written") & (F.col("v") <= v))
+    rows = sorted(log.select("v", "block_ids", "blocks", "filled").collect(), key=lambda r: -r["v"])
     r = spark.read
+    if rows[0]["block_ids"] is None:
+        if schema is not None:
+            r = r.schema(schema)
+        return r.parquet(f"{base}/v={v}/{table}")
     if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(f"{base}/v={v}/{table}")
+        r = r.schema(T.StructType(list(schema.fields) + [T.StructField(BLOCK_COL, T.LongType())]))
+    want = None if blocks is None else set(int(b) for b in blocks)
+    blk = F.col(BLOCK_COL)
+    parts, claimed = [], set()
+    for row in rows:
+        path = f"{base}/v={row['v']}/{table}"
+        if row["blocks"] is None:  # written whole: every block not replaced later
+            df = r.parquet(path)
+            if want is not None:
+                take = sorted(want - claimed)
+                parts.append(df.filter(blk.isin(take) if take else F.lit(False)))
+            else:
+                parts.append(df.filter(~blk.isin(sorted(claimed))) if claimed else df)
+            break
+        take = set(row["filled"] or []) - claimed
+        if want is not None:
+            take &= want
+        if take:
+            parts.append(r.parquet(path).filter(blk.isin(sorted(take))))
+        claimed |= set(row["blocks"])
+    if not parts:
+        return _empty(spark, schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop(BLOCK_COL)
+
+
+def _empty(spark: SparkSession, schema) -> DataFrame:
+    if schema is None:
+        raise ValueError("an empty by-block read needs the table schema")
+    return spark.createDataFrame([], schema)
 
 
 def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
            high_water_marks: dict[str, int] | None = None, version: int | None = None,
-           already_written: list[str] | None = None) -> int:
+           already_written: list[str] | None = None,
+           block_writes: dict[str, tuple[list[int], list[int]]] | None = None,
+           blocked: dict[str, int] | None = None) -> int:
     """Write ``tables`` into a new version folder, then its commit record (last).
 
-    ``already_written`` names tables the caller wrote into the version folder
-    itself. The record lists every table's high-water mark (carried from the
-    previous version unless given) and which tables this version wrote.
+    ``already_written`` names tables the caller wrote whole into the version
+    folder itself; ``block_writes`` maps a by-block table the caller wrote in
+    part to (replaced blocks, filled blocks). Tables named in ``blocked``
+    (default ``ID_BLOCKED``) are stored by id block of that width. The record
+    lists every table's high-water mark (carried from the previous version
+    unless given), block width, and what this version wrote.
     """
     v = current_version(spark, base) + 1 if version is None else version
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/v={v}/{name}")
-    marks = {}
+    widths = dict(ID_BLOCKED if blocked is None else blocked)
+    marks, carried = {}, {}
     if v > 1:
         for r in committed_versions(spark, base).filter(F.col("v") == v - 1).collect():  # one row per table
             marks[r["table"]] = r["high_water_mark"]
-    marks.update(high_water_marks or {})
-    written = set(tables) | set(already_written or [])
-    names = sorted(set(marks) | written)
-    rows = [(t, int(marks.get(t) or 0), t in written) for t in names] or [("", 0, False)]
-    (spark.createDataFrame(rows, "table string, high_water_mark long, written boolean")
+            carried[r["table"]] = r["block_ids"]
+    given = high_water_marks or {}
+    for name, df in tables.items():
+        width = carried.get(name) or widths.get(name)
+        carried[name] = width
+        path = f"{base}/v={v}/{name}"
+        write_table(df, path, width)
+        if name not in given and "id" in df.columns:
+            # no mark given: at least the largest id written (one column read back)
+            top = spark.read.parquet(path).agg(F.max("id")).first()[0]
+            marks[name] = max(int(marks.get(name) or 0), int(top or 0))
+    marks.update(given)
+    block_writes = block_writes or {}
+    whole = set(tables) | set(already_written or [])
+    names = sorted(set(marks) | whole | set(block_writes))
+    rows = []
+    for t in names:
+        replaced, filled = block_writes.get(t, (None, None))
+        rows.append((t, int(marks.get(t) or 0), t in whole or t in block_writes, carried.get(t),
+                     None if replaced is None else [int(b) for b in replaced],
+                     None if filled is None else [int(b) for b in filled]))
+    rows = rows or [("", 0, False, None, None, None)]
+    (spark.createDataFrame(rows, _LOG_SCHEMA)
      .write.mode("overwrite").parquet(f"{base}/_commits/v={v}"))
     return v

@@ -134,3 +134,51 @@ def test_append_and_endpoint_base(spark, tmp_path):
     got = [r[0] for r in spark.createDataFrame([("http://x:1///",), ("http://x:1",)], "u string")
            .select(endpoint_base(F.col("u"))).collect()]
     assert got == ["http://x:1", "http://x:1"]
+
+
+def test_purge_rewrites_only_touched_blocks(spark, tmp_path):
+    import os
+
+    from feedloom.operators.purge import purge_version
+    from feedloom.schemas import MERGE_REQUESTS
+    from feedloom.sources import sinks
+
+    t = dt.datetime(2026, 6, 11)
+    cor = spark.createDataFrame([(i, f"s{i % 3}", "/r", ["ts"], "a", "u", 0.9, False, t) for i in range(1, 21)],
+                                CORRECTIONS)
+
+    def mr(i, lo, hi, typ="major"):
+        return (i, f"u{i}", f"[skills-feedback][{typ}][feedback:{lo}-{hi}] x", f"h{i}", typ, lo, hi, "merged", t, t,
+                None)
+
+    # block width 4: blocks 0 = ids 0-3, 1 = 4-7, 2 = 8-11, ...
+    mrs = spark.createDataFrame([mr(1, 5, 6), mr(2, 8, 11), mr(3, 18, 1000)], MERGE_REQUESTS)
+    base = str(tmp_path / "store")
+    sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs}, {"corrections": 20, "merge_requests": 3},
+                 blocked={"corrections": 4})
+    assert sinks.block_ids(spark, base, "corrections") == 4
+    v = purge_version(spark, base, dt.datetime(2026, 6, 20))
+    written = sorted(d for d in os.listdir(f"{base}/v={v}/corrections") if d.startswith("_blk="))
+    # block 2 lost all its rows; the range past the high-water mark stops at block 5
+    assert written == ["_blk=1", "_blk=4"]
+    rec = sinks.committed_versions(spark, base).filter(f"v = {v} AND table = 'corrections'").first()
+    assert rec["blocks"] == [1, 2, 4, 5] and rec["filled"] == [1, 4]
+    left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id").collect())
+    assert left == [1, 2, 3, 4, 7, 12, 13, 14, 15, 16, 17]
+    audit = sorted((r["merge_request_id"], r["deleted_count"]) for r in
+                   sinks.read_table(spark, base, "purge_audit").collect())
+    assert audit == [(1, 2), (2, 4), (3, 3)]
+    assert sinks.high_water_mark(spark, base, "corrections") == 20
+    # a later purge over block 1 and 3 replaces them again; the read takes each block's newest version
+    more = sinks.read_table(spark, base, "merge_requests", MERGE_REQUESTS).unionByName(
+        spark.createDataFrame([mr(4, 4, 4), mr(5, 13, 13)], MERGE_REQUESTS))
+    v3 = sinks.commit(spark, base, {"merge_requests": more})
+    purge_version(spark, base, dt.datetime(2026, 6, 21))
+    left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id").collect())
+    assert left == [1, 2, 3, 7, 12, 14, 15, 16, 17]
+    assert sinks.read_table(spark, base, "corrections", CORRECTIONS, version=v3).count() == 11
+    # a read of a few blocks scans only their folders (partition filters on the block column)
+    few = sinks.read_table(spark, base, "corrections", CORRECTIONS, blocks=[0, 3])
+    assert sorted(r[0] for r in few.select("id").collect()) == [1, 2, 3, 12, 14, 15]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "_blk" in plan
