@@ -35,6 +35,21 @@ def _marked(mrs: DataFrame, chosen: DataFrame, ts) -> DataFrame:
             .select(*MR_COLUMNS))
 
 
+def _audit_rows(chosen: DataFrame, deleted: DataFrame, high_water_mark: int) -> DataFrame:
+    """M4: one audit row per purged MR, deleted_count 0 when its range held nothing.
+
+    Audit ids depend only on (purged_at, MR id), so they are numbered on the
+    small MR side; the per-MR counts are joined afterwards, and the id
+    numbering never re-runs the ownership join.
+    """
+    numbered = assign_ids(chosen.select(F.col("id").alias("merge_request_id"), "feedback_id_start",
+                                        "feedback_id_end", F.col("_at").alias("purged_at")),
+                          ["purged_at", "merge_request_id"], start_after=high_water_mark)
+    return (numbered.join(deleted, "merge_request_id", "left")
+            .select("id", "merge_request_id", "feedback_id_start", "feedback_id_end",
+                    F.coalesce("deleted_count", F.lit(0)).cast("long").alias("deleted_count"), "purged_at"))
+
+
 def _ownership(corrections: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows no purge can touch, touched rows with ``_owner``).
 
@@ -80,13 +95,7 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
         owned.filter(F.col("_owner").isNull()).select(*CORRECTION_COLUMNS))
     deleted = owned.filter(F.col("_owner").isNotNull()).groupBy(F.col("_owner.id").alias("merge_request_id")).agg(
         F.count(F.lit(1)).alias("deleted_count"))
-    audit = (chosen.withColumnRenamed("id", "merge_request_id").join(deleted, "merge_request_id", "left")
-             .select("merge_request_id", "feedback_id_start", "feedback_id_end",
-                     F.coalesce("deleted_count", F.lit(0)).cast("long").alias("deleted_count"),
-                     F.col("_at").alias("purged_at")))
-    audit = assign_ids(audit, ["purged_at", "merge_request_id"], start_after=audit_high_water_mark)
-    audit = audit.select("id", "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count",
-                         "purged_at")
+    audit = _audit_rows(chosen, deleted, audit_high_water_mark)
     marked = _marked(mrs, chosen, ts)
     return PurgeResult(survivors=survivors, audit=audit, marked=marked, refused=refused)
 
@@ -139,12 +148,7 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
         owned.filter(F.col("_owner_id").isNull()).select(*CORRECTION_COLUMNS))
     deleted = owned.filter(F.col("_owner_id").isNotNull()).groupBy(
         F.col("_owner_id").alias("merge_request_id")).agg(F.count(F.lit(1)).alias("deleted_count"))
-    audit_new = (chosen.withColumnRenamed("id", "merge_request_id").join(deleted, "merge_request_id", "left")
-                 .select("merge_request_id", "feedback_id_start", "feedback_id_end",
-                         F.coalesce("deleted_count", F.lit(0)).cast("long").alias("deleted_count"),
-                         F.col("_at").alias("purged_at")))
-    audit_new = assign_ids(audit_new, ["purged_at", "merge_request_id"], start_after=audit_hwm).select(
-        "id", "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count", "purged_at")
+    audit_new = _audit_rows(chosen, deleted, audit_hwm)
     audit = audit_new if audit_old is None else audit_old.unionByName(audit_new)
     whole = {"merge_requests": _marked(mrs, chosen, ts), "purge_audit": audit}
     block_writes = {}
