@@ -124,12 +124,12 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
     from ..sources import sinks
 
-    v = sinks.current_version(spark, base)
-    width = sinks.block_ids(spark, base, "corrections")
-    mrs = sinks.read_table(spark, base, "merge_requests", MERGE_REQUESTS)
-    audit_old = sinks.read_table(spark, base, "purge_audit", PURGE_AUDIT)
-    audit_hwm = sinks.high_water_mark(spark, base, "purge_audit")
-    nv = v + 1
+    snap = sinks.Snapshot(spark, base)  # the commit log, read once
+    width = snap.block_ids("corrections")
+    mrs = snap.read("merge_requests", MERGE_REQUESTS)
+    audit_old = snap.read("purge_audit", PURGE_AUDIT)
+    audit_hwm = snap.high_water_mark("purge_audit")
+    nv = snap.version + 1
     ts = _ntz(purged_at)
     ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
     chosen = mrs.filter(ok) if requests is None else mrs.join(requests.select("id").distinct(), "id",
@@ -137,8 +137,8 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
     touched = None
     if width is not None:
-        touched = _touched_blocks(chosen, width, sinks.high_water_mark(spark, base, "corrections"))
-    cor = sinks.read_table(spark, base, "corrections", CORRECTIONS, blocks=touched)
+        touched = _touched_blocks(chosen, width, snap.high_water_mark("corrections"))
+    cor = snap.read("corrections", CORRECTIONS, blocks=touched)
     # stage the ownership once; the survivors and the audit counts both read it
     outside, owned = _ownership(cor, chosen)
     staged = f"{base}/v={nv}/_owned"

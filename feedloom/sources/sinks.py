@@ -87,34 +87,58 @@ def committed_versions(spark: SparkSession, base: str) -> DataFrame:
         return spark.createDataFrame([], _LOG_SCHEMA + ", v long")
 
 
-def current_version(spark: SparkSession, base: str) -> int:
-    row = committed_versions(spark, base).agg(F.max("v").alias("v")).first()
-    return int(row["v"]) if row and row["v"] is not None else 0
+class Snapshot:
+    """The commit log of a store, read once: versions, marks, block widths and
+    which blocks each version replaced. Metadata only (one row per table per
+    version), so it is read on the driver; table data stays in Spark."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base
+        self.rows = committed_versions(spark, base).collect()
+        self.version = max((int(r["v"]) for r in self.rows), default=0)
+
+    def record(self, table: str):
+        return next((r for r in self.rows if r["v"] == self.version and r["table"] == table), None)
+
+    def high_water_mark(self, table: str) -> int:
+        r = self.record(table)
+        return int(r["high_water_mark"]) if r and r["high_water_mark"] is not None else 0
+
+    def block_ids(self, table: str) -> int | None:
+        r = self.record(table)
+        return int(r["block_ids"]) if r and r["block_ids"] is not None else None
+
+    def writes(self, table: str, as_of: int | None = None) -> list:
+        """Log rows of the versions (up to ``as_of``) that wrote ``table``, newest first."""
+        top = self.version if as_of is None else as_of
+        return sorted((r for r in self.rows if r["table"] == table and r["written"] and r["v"] <= top),
+                      key=lambda r: -r["v"])
 
+    def table_version(self, table: str, as_of: int | None = None) -> int:
+        w = self.writes(table, as_of)
+        return int(w[0]["v"]) if w else 0
 
-def _record(spark: SparkSession, base: str, table: str):
-    v = current_version(spark, base)
-    return committed_versions(spark, base).filter((F.col("v") == v) & (F.col("table") == table)).first()
+    def read(self, table: str, schema=None, version: int | None = None,
+             blocks: list[int] | None = None) -> DataFrame | None:
+        return _read(self, table, schema, version, blocks)
+
+
+def current_version(spark: SparkSession, base: str) -> int:
+    return Snapshot(spark, base).version
 
 
 def high_water_mark(spark: SparkSession, base: str, table: str) -> int:
-    row = _record(spark, base, table)
-    return int(row["high_water_mark"]) if row and row["high_water_mark"] is not None else 0
+    return Snapshot(spark, base).high_water_mark(table)
 
 
 def block_ids(spark: SparkSession, base: str, table: str) -> int | None:
     """The id-block width of a table stored by id block; None for other tables."""
-    row = _record(spark, base, table)
-    return int(row["block_ids"]) if row and row["block_ids"] is not None else None
+    return Snapshot(spark, base).block_ids(table)
 
 
 def table_version(spark: SparkSession, base: str, table: str, as_of: int | None = None) -> int:
     """The newest committed version (up to ``as_of``) that wrote ``table``; 0 when none."""
-    log = committed_versions(spark, base).filter((F.col("table") == table) & F.col("written"))
-    if as_of is not None:
-        log = log.filter(F.col("v") <= as_of)
-    row = log.agg(F.max("v")).first()
-    return int(row[0]) if row and row[0] is not None else 0
+    return Snapshot(spark, base).table_version(table, as_of)
 
 
 def write_table(df: DataFrame, path: str, block_width: int | None = None) -> None:
@@ -152,16 +176,19 @@ def read_table(spark: SparkSession, base: str, table: str, schema=None,
     replaced blocks are never scanned. ``blocks`` restricts the read to those
     blocks. Only commit metadata (block numbers) is read on the driver.
     """
-    v = table_version(spark, base, table, version)
-    if v == 0:
+    return Snapshot(spark, base).read(table, schema, version, blocks)
+
+
+def _read(snap: Snapshot, table: str, schema, version, blocks) -> DataFrame | None:
+    rows = snap.writes(table, version)
+    if not rows:
         return None
-    log = committed_versions(spark, base).filter((F.col("table") == table) & F.col("written") & (F.col("v") <= v))
-    rows = sorted(log.select("v", "block_ids", "blocks", "filled").collect(), key=lambda r: -r["v"])
+    spark, base = snap.spark, snap.base
     r = spark.read
     if rows[0]["block_ids"] is None:
         if schema is not None:
             r = r.schema(schema)
-        return r.parquet(f"{base}/v={v}/{table}")
+        return r.parquet(f"{base}/v={rows[0]['v']}/{table}")
     if schema is not None:
         r = r.schema(T.StructType(list(schema.fields) + [T.StructField(BLOCK_COL, T.LongType())]))
     want = None if blocks is None else set(int(b) for b in blocks)
@@ -211,11 +238,12 @@ def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
     lists every table's high-water mark (carried from the previous version
     unless given), block width, and what this version wrote.
     """
-    v = current_version(spark, base) + 1 if version is None else version
+    snap = Snapshot(spark, base)
+    v = snap.version + 1 if version is None else version
     widths = dict(ID_BLOCKED if blocked is None else blocked)
     marks, carried = {}, {}
-    if v > 1:
-        for r in committed_versions(spark, base).filter(F.col("v") == v - 1).collect():  # one row per table
+    for r in snap.rows:
+        if r["v"] == v - 1:  # one row per table
             marks[r["table"]] = r["high_water_mark"]
             carried[r["table"]] = r["block_ids"]
     given = high_water_marks or {}
