@@ -52,8 +52,12 @@ def upsert(old: DataFrame, posts: DataFrame, high_water_mark: int = 0) -> DataFr
         *[F.when(F.col("mr_url").isNotNull(), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in _POSTED],
         F.col("_o_purged_at").alias("purged_at"),
     )
-    fresh = j.filter(F.col("_o_id").isNull()).select("mr_url", "first_arrival", *_POSTED)
-    fresh = assign_ids(fresh, ["first_arrival", "mr_url"], start_after=high_water_mark)
+    # ids of new URLs depend only on (first arrival, url): number them from a
+    # two-column aggregate, so the numbering never re-runs the whole-post aggregate
+    new_urls = (posts.groupBy("mr_url").agg(F.min("arrival").alias("first_arrival"))
+                .join(old.select("mr_url"), "mr_url", "left_anti"))
+    ids = assign_ids(new_urls, ["first_arrival", "mr_url"], start_after=high_water_mark).select("mr_url", "id")
+    fresh = j.filter(F.col("_o_id").isNull()).select("mr_url", *_POSTED).join(ids, "mr_url")
     fresh = fresh.select("id", "mr_url", *_POSTED, F.lit(None).cast("timestamp_ntz").alias("purged_at"))
     return matched_or_old.unionByName(fresh).select(*MR_COLUMNS)
 
