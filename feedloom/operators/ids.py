@@ -5,6 +5,13 @@ Rows are range-partitioned on the order key and sorted inside each partition;
 frame of per-partition counts (one row per partition, so its size is bounded
 by the partition count) gives each partition its offset. Nothing moves to one
 task and nothing goes through the driver.
+
+The positions are checkpointed (reliably, into the shared checkpoint folder)
+before they are counted. Evaluated twice, a range partitioning need not give
+the same layout twice: Spark re-samples the bounds of an imbalanced input with
+a seed taken from the RDD id, so the counts and the rows could see different
+partitions, and ids would repeat. One stored copy also keeps the ids stable
+when an executor is lost.
 """
 
 from __future__ import annotations
@@ -24,9 +31,13 @@ def assign_ids(df: DataFrame, order_cols: list[str | Column], id_col: str = "id"
 
     ``order_cols`` must identify a row (ties would get an arbitrary order).
     """
+    from ..session import shared_dir
+
+    shared_dir(df.sparkSession)  # the cluster's checkpoint folder (set only where unset, as in tests)
     ranged = (df.repartitionByRange(_parts(df, num_partitions), *order_cols)
               .sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
