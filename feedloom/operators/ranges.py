@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import floor_div
+from ..functions.arrays import compact, floor_div
 
 DEFAULT_WIDTH = 128
 DEFAULT_FANOUT = 64
@@ -90,6 +90,26 @@ def block_counts(rows: DataFrame, id_col: str = "id", width: int = DEFAULT_WIDTH
             .groupBy(F.col("_a.level").alias("level"), F.col("_a.block").alias("block")).agg(F.sum("n").alias("n")))
 
 
+def _prefix_counts(rows: DataFrame, shapes: DataFrame, id_col: str, width: int) -> DataFrame:
+    """(bucket, _x, _c): for every query point x of an edge shape (hi and lo - 1), the
+    number of ids of that bucket that are <= x.
+
+    Ids of the edge buckets and the query points are merged per bucket and a
+    running sum counts the ids (ids sort before a point at the same place). A
+    bucket holds at most ``width`` ids and ``width + 1`` points, so every
+    window partition is bounded, and no id is paired with a shape.
+    """
+    points = (shapes.select("bucket", F.col("hi").alias("_x"))
+              .unionByName(shapes.select("bucket", (F.col("lo") - 1).alias("_x"))).distinct())
+    ids = (rows.select(floor_div(F.col(id_col), width).alias("bucket"), F.col(id_col).cast("long").alias("_x"))
+           .join(shapes.select("bucket").distinct(), "bucket", "left_semi"))
+    merged = ids.withColumn("_w", F.lit(1)).unionByName(points.withColumn("_w", F.lit(0)))
+    w = (Window.partitionBy("bucket").orderBy(F.col("_x"), F.col("_w").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (merged.withColumn("_c", F.sum("_w").over(w)).filter(F.col("_w") == 0)
+            .select("bucket", "_x", F.col("_c").cast("long").alias("_c")))
+
+
 def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start: str = "feedback_id_start",
                     end: str = "feedback_id_end", id_col: str = "id", out: str = "covered_count",
                     width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
@@ -102,10 +122,12 @@ def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start:
     distinct_ranges = ranges.select(F.col(start).cast("long").alias("_s"),
                                     F.col(end).cast("long").alias("_e")).distinct()
     edges, blocks = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout, levels)
-    ids = rows.select(F.col(id_col).cast("long").alias("_id"), floor_div(F.col(id_col), width).alias("bucket"))
-    shape_counts = (edges.select("bucket", "lo", "hi").distinct().join(ids, "bucket")
-                    .filter(F.col("_id").between(F.col("lo"), F.col("hi")))
-                    .groupBy("bucket", "lo", "hi").agg(F.count(F.lit(1)).alias("n")))
+    shapes = edges.select("bucket", "lo", "hi").distinct()
+    prefix = _prefix_counts(rows, shapes, id_col, width)
+    at_hi = prefix.select("bucket", F.col("_x").alias("hi"), F.col("_c").alias("_c_hi"))
+    below_lo = prefix.select("bucket", (F.col("_x") + 1).alias("lo"), F.col("_c").alias("_c_lo"))
+    shape_counts = (shapes.join(at_hi, ["bucket", "hi"]).join(below_lo, ["bucket", "lo"])
+                    .select("bucket", "lo", "hi", (F.col("_c_hi") - F.col("_c_lo")).alias("n")))
     edge = edges.join(shape_counts, ["bucket", "lo", "hi"]).select("_s", "_e", "n")
     whole = blocks.join(block_counts(rows, id_col, width, fanout, levels), ["level", "block"]).select("_s", "_e", "n")
     per_range = edge.unionByName(whole).groupBy("_s", "_e").agg(F.sum("n").cast("long").alias(out))
@@ -124,9 +146,9 @@ def first_owner(rows: DataFrame, ranges: DataFrame, owner: Column, start: str =
 
     Block owners (least per (level, block)) are folded into one owner per
     occupied level-0 bucket through the bucket's ancestors; edge owners are
-    reduced per distinct (bucket, lo, hi). The rows are then shuffled once, on
-    the bucket, and both joins and the per-row minimum run inside that
-    partitioning.
+    reduced per distinct (bucket, lo, hi) and then to one id -> owner map per
+    edge bucket. The rows are shuffled once, on the bucket, and meet one row
+    of each table per bucket: no row is paired with the shapes of its bucket.
     """
     keyed = (ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
                            owner.alias("_own"))
@@ -142,12 +164,48 @@ def first_owner(rows: DataFrame, ranges: DataFrame, owner: Column, start: str =
                     .select("_b0", "_a.level", "_a.block")
                     .join(block_owner, ["level", "block"])
                     .groupBy("_b0").agg(F.min("_own_blk").alias("_own_b")))
+    edge_map = _edge_owner_map(edge_owner, width)
     parted = base.repartition("_b0")
-    j = (parted.join(bucket_owner, "_b0", "left")
-         .join(edge_owner, (parted["_b0"] == edge_owner["_b0"]) & F.col("_rid").between(edge_owner["lo"],
-                                                                                        edge_owner["hi"]), "left")
-         .drop(edge_owner["_b0"]).drop("lo", "hi"))
-    w = Window.partitionBy("_b0", "_rid").orderBy(F.col("_own_e").asc_nulls_last())
-    best = (j.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1)
-            .withColumn(out, F.least("_own_b", "_own_e")))
-    return best.drop("_rid", "_b0", "_own_b", "_own_e", "_n")
+    j = parted.join(bucket_owner, "_b0", "left").join(edge_map, "_b0", "left")
+    best = j.withColumn(out, F.least("_own_b", F.try_element_at(F.col("_own_map"), F.col("_rid"))))
+    return best.drop("_rid", "_b0", "_own_b", "_own_map")
+
+
+def _dyadic_pieces(shapes: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys..., level, block): the aligned dyadic blocks (``2**level`` ids) that tile each
+    [lo, hi] exactly, at most two per level. Bottom-up walk of l = lo and r = hi + 1:
+    a piece is cut where l or r is odd, then both halve. The bounds of each level
+    are kept as columns, so every expression stays small."""
+    df = shapes.select(*keys, F.col("lo").cast("long").alias("_l0"), (F.col("hi").cast("long") + 1).alias("_r0"))
+    steps = max(1, (int(width) - 1).bit_length() + 1)
+    items = []
+    for k in range(steps):
+        lk, rk = F.col(f"_l{k}"), F.col(f"_r{k}")
+        left_odd, right_odd = F.pmod(lk, 2) == 1, F.pmod(rk, 2) == 1
+        items.append((left_odd & (lk < rk), F.struct(F.lit(k).alias("level"), lk.alias("block"))))
+        l_in = lk + F.pmod(lk, 2)
+        items.append((right_odd & (l_in < rk), F.struct(F.lit(k).alias("level"), (rk - 1).alias("block"))))
+        df = df.withColumn(f"_l{k + 1}", F.shiftright(l_in, 1)).withColumn(f"_r{k + 1}",
+                                                                          F.shiftright(rk - F.pmod(rk, 2), 1))
+    pieces = compact(items, "struct<level:int,block:bigint>")
+    return df.select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.level", "_p.block")
+
+
+def _edge_owner_map(edge_owner: DataFrame, width: int) -> DataFrame:
+    """(_b0, _own_map): per edge bucket, a map id -> least owner among its edge shapes.
+
+    Each shape [lo, hi] (inside one bucket) is cut into dyadic pieces (at most
+    two per size), the least owner is kept per piece (at most 2 * width - 1
+    pieces per bucket), and the pieces are spread to their ids (at most
+    width * (log2(width) + 1) rows per bucket). So the map holds at most
+    ``width`` entries, and the rows meet it with one equi-join row per bucket.
+    """
+    per_block = (_dyadic_pieces(edge_owner, ["_own_e"], width)
+                 .groupBy("level", "block").agg(F.min("_own_e").alias("_own_e")))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    spread = per_block.select(F.explode(F.sequence(F.col("block") * size, (F.col("block") + 1) * size - 1))
+                              .alias("_id"), "_own_e")
+    # one shuffle on the bucket serves both the least owner per id and the map per bucket
+    per_id = (spread.withColumn("_b0", floor_div(F.col("_id"), width)).repartition("_b0")
+              .groupBy("_b0", "_id").agg(F.min("_own_e").alias("_own_e")))
+    return per_id.groupBy("_b0").agg(F.map_from_entries(F.collect_list(F.struct("_id", "_own_e"))).alias("_own_map"))

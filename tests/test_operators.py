@@ -5,6 +5,8 @@ import datetime as dt
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from feedloom.schemas import CORRECTIONS, INVOCATIONS, MERGE_REQUESTS
@@ -216,6 +218,30 @@ def test_purge_overlaps_brute_force(spark):
     assert {i: o for i, o in got.items() if o is not None} == owner
 
 
+@pytest.mark.parametrize("width", [6, 16, 128])
+def test_range_edges_in_hot_buckets_brute_force(spark, width):
+    """Many short, overlapping ranges packed into a few buckets (edges dominate)."""
+    from feedloom.operators.ranges import count_in_ranges, first_owner
+
+    rnd = random.Random(width)
+    ids = sorted(rnd.sample(range(0, 300), 220))
+    ranges = []
+    for k in range(1, 400):
+        s = rnd.randint(0, 300)
+        ranges.append((k, s, s + rnd.choice([0, 1, 2, 5, 9, 17, 33, 90])))
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    rdf = spark.createDataFrame(ranges, "id long, feedback_id_start long, feedback_id_end long")
+    got = dict(count_in_ranges(rdf, rows, width=width, fanout=2, levels=2).collect())
+    assert got == brute_counts(ranges, ids)
+    owners = {x[0]: x[1] for x in first_owner(rows, rdf, F.col("id"), width=width, fanout=2, levels=2)
+              .select("id", "owner").collect()}
+    expect = {}
+    for i in ids:
+        cover = [k for k, s, e in ranges if s <= i <= e]
+        expect[i] = min(cover) if cover else None
+    assert owners == expect
+
+
 def test_upsert_update_branch(spark):
     from feedloom.operators.upgrades import apply_status_updates, latest, upsert
 
