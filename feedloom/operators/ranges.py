@@ -123,12 +123,12 @@ def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start:
                                     F.col(end).cast("long").alias("_e")).distinct()
     edges, blocks = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout, levels)
     shapes = edges.select("bucket", "lo", "hi").distinct()
-    prefix = _prefix_counts(rows, shapes, id_col, width)
-    at_hi = prefix.select("bucket", F.col("_x").alias("hi"), F.col("_c").alias("_c_hi"))
-    below_lo = prefix.select("bucket", (F.col("_x") + 1).alias("lo"), F.col("_c").alias("_c_lo"))
-    shape_counts = (shapes.join(at_hi, ["bucket", "hi"]).join(below_lo, ["bucket", "lo"])
-                    .select("bucket", "lo", "hi", (F.col("_c_hi") - F.col("_c_lo")).alias("n")))
-    edge = edges.join(shape_counts, ["bucket", "lo", "hi"]).select("_s", "_e", "n")
+    # one map point -> count per edge bucket (at most width + 1 entries), met once per shape
+    prefix = (_prefix_counts(rows, shapes, id_col, width).groupBy("bucket")
+              .agg(F.map_from_entries(F.collect_list(F.struct("_x", "_c"))).alias("_cmap")))
+    edge = (edges.join(prefix, "bucket")
+            .select("_s", "_e", (F.element_at("_cmap", F.col("hi")) - F.element_at("_cmap", F.col("lo") - 1))
+                    .alias("n")))
     whole = blocks.join(block_counts(rows, id_col, width, fanout, levels), ["level", "block"]).select("_s", "_e", "n")
     per_range = edge.unionByName(whole).groupBy("_s", "_e").agg(F.sum("n").cast("long").alias(out))
     return (ranges.select(key, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
