@@ -127,7 +127,7 @@ def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start:
     prefix = (_prefix_counts(rows, shapes, id_col, width).groupBy("bucket")
               .agg(F.map_from_entries(F.collect_list(F.struct("_x", "_c"))).alias("_cmap")))
     edge = (edges.join(prefix, "bucket")
-            .select("_s", "_e", (F.element_at("_cmap", F.col("hi")) - F.element_at("_cmap", F.col("lo") - 1))
+            .select("_s", "_e", (F.try_element_at("_cmap", F.col("hi")) - F.try_element_at("_cmap", F.col("lo") - 1))
                     .alias("n")))
     whole = blocks.join(block_counts(rows, id_col, width, fanout, levels), ["level", "block"]).select("_s", "_e", "n")
     per_range = edge.unionByName(whole).groupBy("_s", "_e").agg(F.sum("n").cast("long").alias(out))
