@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # id numbering checkpoints its layout; drop those files once no frame refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
