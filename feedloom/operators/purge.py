@@ -4,7 +4,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,9 +20,15 @@ from .ranges import first_owner
 @dataclass
 class PurgeResult:
     survivors: DataFrame   # corrections left after the purge
-    audit: DataFrame       # one row per purged MR, deleted_count may be 0
     marked: DataFrame      # MR table with purged_at set on purged MRs
     refused: DataFrame     # requested MRs that were refused, with the reason
+    _audit: Callable[[], DataFrame]
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        """One row per purged MR, deleted_count may be 0. Built on first use: numbering
+        the audit ids runs a job, which a caller after the survivors only never pays."""
+        return self._audit()
 
 
 def _ntz(value: dt.datetime):
@@ -95,9 +103,9 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
         owned.filter(F.col("_owner").isNull()).select(*CORRECTION_COLUMNS))
     deleted = owned.filter(F.col("_owner").isNotNull()).groupBy(F.col("_owner.id").alias("merge_request_id")).agg(
         F.count(F.lit(1)).alias("deleted_count"))
-    audit = _audit_rows(chosen, deleted, audit_high_water_mark)
     marked = _marked(mrs, chosen, ts)
-    return PurgeResult(survivors=survivors, audit=audit, marked=marked, refused=refused)
+    return PurgeResult(survivors=survivors, marked=marked, refused=refused,
+                       _audit=lambda: _audit_rows(chosen, deleted, audit_high_water_mark))
 
 
 def _touched_blocks(chosen: DataFrame, width: int, high_water_mark: int) -> list[int]:
