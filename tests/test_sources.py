@@ -197,3 +197,22 @@ def test_assigned_ids_unique_when_written_whole(spark, tmp_path):
     got = spark.read.parquet(path).agg(F.count("id").alias("n"), F.countDistinct("id").alias("d"),
                                        F.min("id").alias("lo"), F.max("id").alias("hi")).first()
     assert (got["d"], got["lo"], got["hi"]) == (got["n"], 1, got["n"])
+
+
+def test_purge_that_empties_every_touched_block(spark, tmp_path):
+    from feedloom.operators.purge import purge_version
+    from feedloom.schemas import MERGE_REQUESTS
+    from feedloom.sources import sinks
+
+    t = dt.datetime(2026, 6, 11)
+    cor = spark.createDataFrame([(i, "s", "/r", ["ts"], "a", "u", 0.9, False, t) for i in range(1, 9)], CORRECTIONS)
+    mrs = spark.createDataFrame([(1, "u1", "[skills-feedback][major][feedback:1-8] x", "h1", "major", 1, 8, "merged",
+                                  t, t, None)], MERGE_REQUESTS)
+    base = str(tmp_path / "store")
+    sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs}, blocked={"corrections": 4})
+    v = purge_version(spark, base, dt.datetime(2026, 6, 20))
+    rec = sinks.committed_versions(spark, base).filter(f"v = {v} AND table = 'corrections'").first()
+    assert rec["blocks"] == [0, 1, 2] and rec["filled"] == []
+    assert sinks.read_table(spark, base, "corrections", CORRECTIONS).count() == 0
+    assert [r["deleted_count"] for r in sinks.read_table(spark, base, "purge_audit").collect()] == [8]
+    assert sinks.high_water_mark(spark, base, "corrections") == 8
