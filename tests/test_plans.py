@@ -57,3 +57,18 @@ def test_skill_stats_single_hash_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["covered_counts", "purge_survivors", "purge_audit"])
+def test_range_joins_are_pure_equi_joins(spark, name):
+    """Range joins meet rows by bucket / block keys only: no join compares a column
+    with another column by range, so no row is paired with the ranges of its bucket.
+    (Comparisons with literal bounds, such as the pushed-down purge span, are filters.)"""
+    import re
+
+    text = plan_text(E.queries()[name](spark, SF))
+    joins = [ln for ln in text.splitlines() if re.search(r"(HashJoin|SortMergeJoin|NestedLoopJoin)", ln)]
+    assert joins
+    column_range = re.compile(r"(<=|>=|<|>)\s*\(*[A-Za-z_]\w*#\d+")
+    bad = [ln.strip() for ln in joins if column_range.search(ln)]
+    assert not bad, bad
