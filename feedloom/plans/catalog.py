@@ -159,9 +159,14 @@ def q_title_check(spark, d):
 
 
 def _mrs(spark, d):
+    """The MR table upserted from the whole post feed, staged once (a reliable checkpoint
+    in the shared folder): the queries over it read it as a stored table, several
+    times, without re-running the upsert over the posts in every branch."""
     from ..operators.upgrades import empty_merge_requests, upsert
+    from ..session import shared_dir
 
-    return upsert(empty_merge_requests(spark), fx.fx_upgrade_posts(spark, d))
+    shared_dir(spark)
+    return upsert(empty_merge_requests(spark), fx.fx_upgrade_posts(spark, d)).checkpoint(eager=True)
 
 
 @query("mr_upsert")
