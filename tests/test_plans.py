@@ -4,6 +4,7 @@ joins are bucketed equi-joins) and no Python evaluation (everything stays in the
 import pytest
 
 import __spark_entry__ as E
+from feedloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
@@ -14,7 +15,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
 def test_plan_shape(spark, name):
     text = plan_text(E.queries()[name](spark, SF))
     bad = [op for op in FORBIDDEN if op in text]
