@@ -37,3 +37,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archive(spark, path)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))

@@ -29,37 +29,28 @@ _LOADED: dict[str, Callable[[list[str]], list[int]]] = {}
 
 
 def safe_cut(pieces: list[str], encode: Callable[[str], list[int]]) -> bool:
-    """Whether a text may be cut before a run of spaces.
+    """Whether a text may be cut at a single space between printable ASCII characters.
 
     True if no piece has its word mark after another character (so nothing
-    merges across the cut) and the encoder itself puts one mark before a text
-    (which stands for the space dropped at the cut) and keeps further spaces.
+    merges across the cut) and the encoder itself puts one mark before a text,
+    which stands for the space dropped at the cut.
     """
     mark = "▁"
     if any(re.search(f"[^{mark}]{mark}", p) for p in pieces):
         return False
-    return encode("a a  a") == encode("a") * 2 + encode(" a") and encode(" ") != []
+    return encode("a a") == encode("a") * 2
+
+
+#: Neither side can be changed by the other through normalisation or joined with the space.
+CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
 def parts(text: str, limit: int) -> list[str]:
-    """Parts of about ``limit`` characters, cut before runs of spaces; a part after a cut lacks its first space."""
+    """Parts of ``limit`` characters or a little more, cut at safe spaces, which are dropped."""
     out, at = [], 0
-    while len(text) - at > limit:
-        cut = text.find(" ", at + limit)
-        while cut > 0 and text[cut - 1] == " ":  # inside a run: go to its start if that lies ahead, else beyond it
-            start = cut
-            while start > at + 1 and text[start - 1] == " ":
-                start -= 1
-            if start > at + 1:
-                cut = start
-                break
-            while cut < len(text) and text[cut] == " ":
-                cut += 1
-            cut = text.find(" ", cut)
-        if cut < 0 or cut <= at:
-            break
-        out.append(text[at:cut])
-        at = cut + 1
+    while len(text) - at > limit and (m := CUT.search(text, at + limit)):
+        out.append(text[at:m.start()])
+        at = m.end()
     out.append(text[at:])
     return out
 
