@@ -64,17 +64,22 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(
             let(F.array_sort(twice), covered))
 
+    def doubled(hashes: Column, by: int) -> Column:
+        """Hashes of twice as many words: each with the one ``by`` places on."""
+        return let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - by), F.slice(h, F.lit(1 + by), F.size(h) - by),
+                                                lambda a, b: F.xxhash64(a, b)))
+
     def windows(w: Column) -> Column:
-        hashed = F.transform(w, lambda x: F.xxhash64(x))
-        return let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)),
-                                                 lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+        return doubled(doubled(doubled(F.transform(w, lambda x: F.xxhash64(x)), 1), 2), 4)
 
     return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(windows(words), over))
 
 
 SHOUT, NOISE = r"[!?]{2,}", rf"[{SYMBOLS}]{{2,}}"
-MENU = rf"(?:^|{SPACE})(?:\||>|»|·|•|/)(?={SPACE}|$)"
+MENU = rf"(?:^|{SPACE})[|>»·•](?={SPACE}|$)"
 STUTTER = rf"(?:^|{SPACE})([^\x20\x09-\x0D]+)(?={SPACE}+\1(?:{SPACE}|$))"
+STUTTERED = rf"(?:^|{SPACE})([^\x20\x09-\x0D]+)(?:{SPACE}+\1){{3}}(?:{SPACE}|$)"  # four in a row
+SUSPECT = "[!?#*$%&|<>»·•]"
 PLATE_CHARS = 80  # boilerplate stands in short lines
 
 
@@ -85,21 +90,21 @@ def boilerplate(line: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line is no running text: shouting, symbol noise, stuttered words, a menu or table row, boilerplate."""
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    most = lambda pattern: line.rlike(pattern) & (2 * F.regexp_count(line, F.lit(pattern)) > n)
-    punctuation = most(SHOUT) | most(NOISE) | most(STUTTER)
+    most = lambda pattern: 2 * F.regexp_count(line, F.lit(pattern)) > n
+    punctuation = (line.rlike(SHOUT) & most(SHOUT)) | (line.rlike(NOISE) & most(NOISE)) | (line.rlike(STUTTERED) & most(STUTTER))
     navigation = line.rlike(MENU) & (F.regexp_count(line, F.lit(MENU)) >= NAV_SEPARATORS)
     return punctuation | navigation | ((F.char_length(line) <= PLATE_CHARS) & boilerplate(line))
 
 
 def clean_lines(text: Column) -> Column:
     """The text without its failing lines. Texts in which no rule can fire skip the line work."""
-    suspect = text.rlike(f"{SHOUT}|{NOISE}|{MENU}") | text.rlike(STUTTER) | boilerplate(text)
+    suspect = text.rlike(SUSPECT) | text.rlike(STUTTERED) | boilerplate(text)
     return F.when(suspect, F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")).otherwise(text)
 
 
 def word_chars(text: Column) -> Column:
     """Code points in words."""
-    return F.coalesce(F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
+    return F.coalesce(F.char_length(text) - F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")
 
 
 def quality(text: Column) -> Column:
@@ -112,7 +117,7 @@ def quality(text: Column) -> Column:
     def judged(w: Column) -> Column:
         return let(F.struct(
             F.size(w).cast("long").alias("n_words"), word_chars(t).alias("word_chars"),
-            (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lines).alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"), clean_lines(text).alias("cleaned")), verdict)
 

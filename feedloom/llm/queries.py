@@ -53,3 +53,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_path(spark, "postings"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
