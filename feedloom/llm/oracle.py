@@ -1,7 +1,18 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+import math
+
+from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
 SQL: dict[str, str] = {}
 
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + str(v) + "'" for v in values) + "]"
+
 SQL["op9_warc_archive"] = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
@@ -13,3 +24,37 @@ SELECT p.page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 100 OR p.page_id = owner THEN NULL ELSE owner END AS refers_to
 FROM p JOIN o ON p.html = o.html
 """
+
+_templates = [(label, sorted(set(t.split(" ")))) for label, ts in TEMPLATES.items() for t in ts]
+_template_rows = ", ".join(f"('{label}', {_sql_list(t)}, {math.ceil(THRESHOLD * len(t) - 1e-9)})" for label, t in _templates)
+_phrase_rows = ", ".join(f"({_sql_list(p.split(' '))}, '{label}')" for p, label in PHRASES.items())
+
+SQL["op3_license_scan"] = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '{BREAK}'), lambda x: x <> '') AS words,
+         string_split({LOWER}, chr(10)) AS lines
+  FROM documents
+), phrases(p, label) AS (VALUES {_phrase_rows}),
+templates(label, t, need) AS (VALUES {_template_rows}),
+places AS (
+  SELECT doc_id, label, i - 1 AS pos
+  FROM d, phrases, unnest(range(1, len(words) + 1)) AS u(i)
+  WHERE words[i] = p[1] AND words[i:i + len(p) - 1] = p
+),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
+  FROM places GROUP BY doc_id
+),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_split_to_array(line, '{BREAK}')) AS b FROM d, unnest(lines) AS u(line)
+),
+own AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(b, t)) / len(t)) AS best
+  FROM blocks, templates WHERE len(list_intersect(b, t)) >= need GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+       greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
