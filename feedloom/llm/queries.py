@@ -84,3 +84,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), scratch_path(spark, "near"), percent=85, size=3)
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), scratch_path(spark, "substrings"))
