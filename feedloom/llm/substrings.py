@@ -372,7 +372,8 @@ def substring_dedup(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     first, _ = stored(parse_sections(src, buckets).groupBy("bucket").applyInArrow(settle_triggers, settled), f"{path}/phrases")
     own = stored_chunks(src).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
     listed = lambda f: f.groupBy("chunk").agg(F.collect_list(F.struct("check", "kind", "places")).alias("found"))  # noqa: E731  bounded by the chunk
-    todo = own.join(listed(first.filter("kind = 'open'")), "chunk")
+    # both joins keep every chunk, so the one exchange of the texts serves both
+    todo = own.join(listed(first.filter("kind = 'open'")), "chunk", "left")
     second = compare_strings(todo.select("chunk", "check", "ids", "sizes", "texts", "found"), buckets).groupBy("bucket").applyInArrow(settle_strings, settled)
     every = listed(first.filter("kind = 'gone'").unionByName(second))
     return cut(own.join(every, "chunk", "left").select("chunk", "check", "ids", "sizes", "texts", "found"), id_col, "long", with_text)
