@@ -22,6 +22,7 @@ other columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,12 +78,13 @@ def band_hashes(sets: list[np.ndarray], bands: int, band: int = BAND) -> np.ndar
 
 
 def signatures(docs: DataFrame, bands: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, key, bands`` per row (key and bands null for an empty set)."""
+    """``id, n_shingles, key, bands, text_crc32`` per row (key and bands null for an empty set)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, BATCH_BYTES):
-            sets = shingle_sets(text_bytes(b.column(1)), size)
+            texts = text_bytes(b.column(1))
+            sets = shingle_sets(texts, size)
             full = [i for i, s in enumerate(sets) if len(s)]
             rows: list = [None] * len(sets)
             if full:
@@ -90,11 +92,11 @@ def signatures(docs: DataFrame, bands: int, size: int, id_col: str, text_col: st
                     rows[i] = x
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "key", "bands"])
+                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(rows, pa.list_(pa.int64())),
+                 pa.array([zlib.crc32(t) for t in texts], pa.int64())], names=["id", "n_shingles", "key", "bands", "text_crc32"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        run, f"id {kind}, n_shingles long, key binary, bands array<bigint>")
+        run, f"id {kind}, n_shingles long, key binary, bands array<bigint>, text_crc32 long")
 
 
 def sets_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -128,7 +130,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id, kept`` per row; intermediate tables are written below ``path``."""
+    """``id, n_shingles, component_id, kept, text_crc32`` per row; intermediate tables are written below ``path``."""
     near = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))  # noqa: E731  sizes alone allow the threshold
     rows, _ = stored(signatures(docs, bands_for(percent), size, id_col, text_col), f"{path}/signatures")
     classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
@@ -159,9 +161,9 @@ def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5
     if found["n"]:
         root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), f"{path}/components2")
 
-    keyed = rows.join(root, F.col("key") == F.col("node"), "left").select("id", "n_shingles", "key", F.coalesce("root", "key").alias("root"))
+    keyed = rows.join(root, F.col("key") == F.col("node"), "left").select("id", "n_shingles", "text_crc32", F.coalesce("root", "key").alias("root"))
     least = keyed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "of")
     result = keyed.join(least, F.col("root") == F.col("of"), "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
     return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                         F.col("id").eqNullSafe(component).alias("kept"))
+                         F.col("id").eqNullSafe(component).alias("kept"), "text_crc32")

@@ -83,7 +83,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), scratch_path(spark, "near"), percent=85, size=3)
+    return near_duplicates(table(spark, sf_dir, "documents"), scratch_path(spark, "near"), percent=85, size=3).drop("text_crc32")
 
 
 @query("op2_substring_dedup")
@@ -91,3 +91,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"), scratch_path(spark, "substrings"))
+
+
+@query("op10_compact_windows")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents"))
