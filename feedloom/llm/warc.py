@@ -50,18 +50,27 @@ def _header() -> Column:
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string"))))
 
 
+def _one_line(url: Column) -> Column:
+    """A header value holds no line ends; they are percent-encoded."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def _key(page_id: Column) -> Column:
+    return F.coalesce(page_id.cast("string"), F.lit("null"))
+
+
 def write_archive(pages: DataFrame, path: str, payload_col: str = "html") -> None:
     """Write the archive of ``pages(page_id, url, <payload>)`` below ``path``."""
-    p = pages.select("page_id", F.col("url").cast("string").alias("url"),
+    p = pages.select("page_id", _one_line(F.col("url").cast("string")).alias("url"),
                      F.coalesce(F.encode(F.col(payload_col).cast("string"), "utf-8"), F.lit("").cast("binary")).alias("payload"))
     keyed = p.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     # narrow: one row per page without its bytes; combined map-side, so copies meet as one row per task
     owners = keyed.groupBy("digest").agg(F.min("page_id").alias("owner"))
-    # the owner's row brings the bytes; grouping reuses the join's partitioning and drops repeated rows
-    stored = (keyed.select("digest", "page_id", "payload").alias("k")
-              .join(owners.alias("o"), (F.col("k.digest") == F.col("o.digest")) & F.col("k.page_id").eqNullSafe(F.col("o.owner")))
-              .select("k.digest", "k.page_id", "k.payload")
-              .groupBy("digest", "page_id").agg(F.first("payload").alias("payload")).select("digest", "payload"))
+    # the owner's row brings the bytes; grouping reuses the join's partitioning (plain equality on both
+    # keys, so null ids take a key of their own) and drops repeated rows
+    own = owners.select("digest", _key(F.col("owner")).alias("key"))
+    stored = (keyed.select("digest", _key(F.col("page_id")).alias("key"), "payload").join(own, ["digest", "key"])
+              .groupBy("digest", "key").agg(F.first("payload").alias("payload")).select("digest", "payload"))
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
     records = (keyed.select("page_id", "url", "digest", "n_bytes").join(owners, "digest")
                .withColumn("record_type", F.when((F.col("n_bytes") < MIN_REVISIT) | F.col("page_id").eqNullSafe(F.col("owner")),
