@@ -5,37 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import urls
 from .names import is_reserved_skill
+from .text import js_trim
 
 # Fixed value: scope names are lower-case words joined by single hyphens.
 SCOPE_PATTERN = r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"
 # Fixed value: the listen-only address that must not be a request target.
 UNROUTABLE_HOST = "0.0.0.0"
-DEFAULT_PORTS = {"http": "80", "https": "443"}
-
-
-def js_trim(c: Column) -> Column:
-    """Trim all white space at both ends (not only blanks, as ``trim`` does)."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
 def canonical_server_url(url: Column) -> Column:
-    """lower-case scheme and host, default port dropped, one trailing slash removed."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    # parse_url has no PORT part: read it from the authority (userinfo cut off)
-    authority = F.regexp_replace(F.try_parse_url(url, F.lit("AUTHORITY")), "^.*@", "")
-    port = F.nullif(F.regexp_extract(authority, r":([0-9]+)\z", 1), F.lit(""))
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    ref = F.try_parse_url(url, F.lit("REF"))
-    default_port = F.when(scheme == "http", F.lit("80")).when(scheme == "https", F.lit("443"))
-    port_txt = F.when(port.isNotNull() & (port != F.coalesce(default_port, F.lit(""))),
-                      F.concat(F.lit(":"), port)).otherwise(F.lit(""))
-    full = F.concat(scheme, F.lit("://"), host, port_txt, F.when(path == "", F.lit("/")).otherwise(path),
-                    F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-                    F.when(ref.isNotNull(), F.concat(F.lit("#"), ref)).otherwise(F.lit("")))
-    return F.when(scheme.isNotNull() & host.isNotNull(), F.regexp_replace(full, "/\\z", ""))
+    """the URL's standard form with one trailing slash removed."""
+    return F.regexp_replace(urls.canonical(url), "/\\z", "")
 
 
 def endpoint_base(url: Column) -> Column:
@@ -50,18 +32,15 @@ def split_skills(text: Column) -> Column:
 
 def scope_errors(scope: Column, url: Column, skills: Column) -> Column:
     """Every failing registry check of a manifest row, as codes in check order."""
-    proto = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.try_parse_url(url, F.lit("HOST"))
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    ref = F.try_parse_url(url, F.lit("REF"))
+    host, query, ref = urls.host(url), urls.query(url), urls.fragment(url)
     cleaned = F.array_distinct(F.filter(F.transform(F.coalesce(skills, F.array().cast("array<string>")), js_trim),
                                         lambda x: x != ""))
-    parsed = proto.isNotNull()
+    # something that is not http(s) parses if it has a scheme; an http(s) URL needs a host
+    parsed = urls.is_http_url(url) | F.coalesce(~urls.scheme(url).isin("http", "https"), F.lit(False))
     checks = [
         (F.coalesce(scope.rlike(SCOPE_PATTERN), F.lit(False)), "scope_format"),
         (parsed, "url_invalid"),
-        (~parsed | F.coalesce(proto.isin("http", "https") & host.isNotNull() & (host != ""), F.lit(False)),
-         "url_scheme"),
+        (~parsed | urls.is_http_url(url), "url_scheme"),
         (~parsed | F.coalesce(host != UNROUTABLE_HOST, F.lit(True)), "url_unroutable_host"),
         (~parsed | F.coalesce(query.isNull() | (query == ""), F.lit(True)), "url_query"),
         (~parsed | F.coalesce(ref.isNull() | (ref == ""), F.lit(True)), "url_fragment"),

@@ -1,4 +1,4 @@
-"""Display text: HTML escape (F2), rate label (F3), status label (F4), safe link."""
+"""Display text: HTML escape (F2), rate label (F3), status label (F4); JavaScript white space."""
 
 from __future__ import annotations
 
@@ -16,19 +16,34 @@ def html_escape(c: Column) -> Column:
 
 
 def rate_label(corrections: Column, invocations: Column) -> Column:
-    """``rate*100`` with one decimal and ``%``, computed on exact integers.
+    """``rate * 100`` with one decimal and ``%``, where rate is a DOUBLE.
 
-    ``t = (2000*cor + inv) div (2*inv)`` is ``round-half-up(1000*cor/inv)``;
-    the label is ``t div 10 . t % 10 %``. No invocations gives ``0.0%``.
+    The one-decimal number nearest to the exact value of the DOUBLE is taken, the larger one on a tie. The
+    fraction of a DOUBLE, scaled by 2^62, is an exact integer (fractions under 2^-10 round to 0.0 anyway), so the
+    comparison with the tie is done in DECIMAL. No invocations gives ``0.0%``.
     """
-    cor = corrections.cast("long")
     inv = invocations.cast("long")
-    safe_inv = F.when(inv == 0, F.lit(1).cast("long")).otherwise(inv)
-    t = floor_div(F.lit(2000) * cor + inv, F.lit(2) * safe_inv)
-    label = F.concat(floor_div(t, 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string"), F.lit("%"))
+    rate = corrections.cast("double") / F.when(inv == 0, F.lit(1.0)).otherwise(inv.cast("double"))
+    x = rate * F.lit(100.0)
+    whole = F.floor(x).cast("long")
+    scale = F.lit(1 << 62).cast("decimal(20,0)")
+    tenths = ((x - whole.cast("double")) * F.lit(float(1 << 62))).cast("long").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+    q = (tenths - F.pmod(tenths, scale)) / scale
+    up = F.pmod(tenths, scale) * 2 >= scale
+    n = whole * 10 + q.cast("long") + F.when(up, 1).otherwise(0)
+    label = F.concat(floor_div(n, 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"), F.lit("%"))
     return F.when(inv == 0, F.lit("0.0%")).otherwise(label)
 
 
+# Space characters of JavaScript's ``\s`` and ``trim`` (fixed values).
+JS_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def js_trim(c: Column) -> Column:
+    """Trim all white space at both ends, as JavaScript does (``trim`` takes blanks only)."""
+    return F.regexp_replace(c, rf"^{JS_SPACE}+|{JS_SPACE}+\z", "")
+
+
 # Fixed display labels of the merge-request status (English forms).
 STATUS_LABELS = {"merged": "Merged", "closed": "Closed", "open": "Open"}
 
@@ -39,10 +54,3 @@ def status_label(status: Column, labels: dict | None = None) -> Column:
     return (F.when(status == "merged", F.lit(lab["merged"]))
             .when(status == "closed", F.lit(lab["closed"]))
             .otherwise(F.lit(lab["open"])))
-
-
-def is_http_url(url: Column) -> Column:
-    """The URL parses and its scheme is http or https (any case)."""
-    proto = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.try_parse_url(url, F.lit("HOST"))
-    return F.coalesce(proto.isin("http", "https") & host.isNotNull() & (host != ""), F.lit(False))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import JS_SPACE
+
 # The title form ``[skills-feedback][<type>][feedback:<a>-<b>] <text>``
 # and the branch prefix.
-TITLE_PATTERN = r"^\[skills-feedback\]\[(minor|major)\]\[feedback:([0-9]+)-([0-9]+)\]\s+.+\z"
+TITLE_PATTERN = (r"^\[skills-feedback\]\[(minor|major)\]\[feedback:([0-9]+)-([0-9]+)\]"
+                 + JS_SPACE + r"+[^\n\r\u2028\u2029]+\z")
 BRANCH_PREFIX = "skills-feedback/"
 TITLE_SUFFIX = {"minor": "skill updates", "major": "skill review"}
 

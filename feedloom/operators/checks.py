@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import all_nonempty_strings, compact
 from ..functions.names import is_reserved_skill
-from ..functions.text import is_http_url
+from ..functions.urls import is_http_url
 
 _INT_KINDS = ["TINYINT", "SMALLINT", "INT", "BIGINT"]
 _NUM_KINDS = _INT_KINDS + ["FLOAT", "DOUBLE"]
-# Fixed value: UTC ISO-8601 instants in the ``Z`` form (no offsets).
-ISO_UTC_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?Z\z"
+# Fixed value: UTC ISO-8601 instants in the ``Z`` form (no offsets); seconds and their fraction may be left out.
+ISO_UTC_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?Z\z"
 MAX_SAFE_INTEGER = 9007199254740991
 
 
@@ -41,9 +41,9 @@ def _is_numeric_kind(k: Column) -> Column:
 
 
 def _ntz(text: Column) -> Column:
-    # a string cast to TIMESTAMP_NTZ never consults the session time zone, so a
+    # digits below microseconds don't fit the type and are cut. A string cast to TIMESTAMP_NTZ never consults the session time zone, so a
     # wall-clock time inside a DST gap of that zone is kept as written
-    return F.regexp_replace(text, "Z\\z", "").try_cast("timestamp_ntz")
+    return F.regexp_replace(F.regexp_replace(text, "Z\\z", ""), r"(\.[0-9]{6})[0-9]+\z", "$1").try_cast("timestamp_ntz")
 
 
 def iso_instant_ntz(text: Column) -> Column:

@@ -88,12 +88,8 @@ def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
     ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
     if requests is not None:
         req = requests.select("id").distinct()
-        asked = mrs.join(req, "id", "left_semi")
-        unknown = req.join(mrs.select("id"), "id", "left_anti").select("id", F.lit("not_found").alias("reason"))
-        refused = asked.filter(~ok).select("id", refusal_reason(F.col("iteration_type"), F.col("status"),
-                                                                F.col("merged_at"), F.col("purged_at")).alias("reason"))
-        refused = refused.unionByName(unknown)
-        chosen = asked.filter(ok)
+        refused = _refusals(mrs, requests)
+        chosen = mrs.join(req, "id", "left_semi").filter(ok)
     else:
         chosen = mrs.filter(ok)
         refused = mrs.filter(F.lit(False)).select("id", F.lit(None).cast("string").alias("reason"))
@@ -118,7 +114,22 @@ def _touched_blocks(chosen: DataFrame, width: int, high_water_mark: int) -> list
     return sorted(int(r[0]) for r in rows)
 
 
-def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame | None = None) -> int:
+@dataclass
+class PurgedVersion:
+    version: int        # the new version of the store
+    refused: DataFrame  # requested MRs that were refused (id, reason), as the version before had them
+
+
+def _refusals(mrs: DataFrame, requests: DataFrame) -> DataFrame:
+    """F10 for every requested MR that may not be purged; ``not_found`` for ids that name none."""
+    req = requests.select("id").distinct()
+    why = refusal_reason(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
+    ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
+    refused = mrs.join(req, "id", "left_semi").filter(~ok).select("id", why.alias("reason"))
+    return refused.unionByName(req.join(mrs.select("id"), "id", "left_anti").select("id", F.lit("not_found").alias("reason")))
+
+
+def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame | None = None) -> PurgedVersion:
     """M3-M5 as one all-or-nothing step over a versioned store (sources.sinks).
 
     Reads corrections, merge_requests and purge_audit of the current version,
@@ -127,7 +138,8 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     not from the scan), derives the three new tables from it, and commits the
     version last. Corrections are stored by id block: only the blocks the
     purged ranges reach are read and rewritten, every other block stays in
-    its older version. Returns the new version number.
+    its older version, and its deleted rows stay on the disk in older versions
+    until ``sinks.vacuum``. Returns the new version number and the refused requests.
     """
     from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
     from ..sources import sinks
@@ -138,6 +150,7 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
     audit_old = snap.read("purge_audit", PURGE_AUDIT)
     audit_hwm = snap.high_water_mark("purge_audit")
     nv = snap.version + 1
+    sinks.claim(spark, base, nv)
     ts = _ntz(purged_at)
     ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
     chosen = mrs.filter(ok) if requests is None else mrs.join(requests.select("id").distinct(), "id",
@@ -170,5 +183,9 @@ def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame
         sinks.write_table(df, f"{base}/v={nv}/{name}")
     new_audit_hwm = spark.read.parquet(f"{base}/v={nv}/purge_audit").agg(F.max("id")).first()[0]
     marks = {"purge_audit": max(audit_hwm, int(new_audit_hwm or 0))}
-    return sinks.commit(spark, base, {}, marks, version=nv, already_written=list(whole),
-                        block_writes=block_writes)
+    sinks.commit(spark, base, {}, marks, version=nv, already_written=list(whole), claimed=True, block_writes=block_writes)
+    fs, path = sinks._fs(spark, staged)
+    fs.delete(path, True)  # it held the deleted rows
+    refused = _refusals(mrs, requests) if requests is not None else mrs.filter(F.lit(False)).select(
+        "id", F.lit(None).cast("string").alias("reason"))
+    return PurgedVersion(nv, refused)

@@ -23,7 +23,9 @@ from ..functions.arrays import compact, floor_div
 
 DEFAULT_WIDTH = 128
 DEFAULT_FANOUT = 64
-DEFAULT_LEVELS = 3  # whole-block levels 0..3; top blocks hold 128 * 64**3 = 33.5M ids
+# Whole-block levels 0..8: a top block holds 128 * 64**8 = 2^55 ids, more than any valid id, so a range
+# of any width is cut into at most 2 * 63 blocks a level.
+DEFAULT_LEVELS = 8
 
 _BLOCK = "struct<level:int,block:bigint>"
 

@@ -153,10 +153,12 @@ FROM fx_invocations GROUP BY skill_name""")
 register("rate_label", ["fx_invocations", "fx_corrections"], _STATS + """
 SELECT skill_name, invocation_count, correction_count,
   CASE WHEN invocation_count = 0 THEN '0.0%'
-       ELSE concat(CAST(((2000 * correction_count + invocation_count) // (2 * invocation_count)) // 10 AS VARCHAR), '.',
-                   CAST(((2000 * correction_count + invocation_count) // (2 * invocation_count)) % 10 AS VARCHAR), '%')
-  END AS rate_label
-FROM _st""")
+       ELSE concat(CAST(n // 10 AS VARCHAR), '.', CAST(n % 10 AS VARCHAR), '%') END AS rate_label
+FROM (SELECT *, CAST(floor(x) AS HUGEINT) * 10 + (t // 4611686018427387904)
+             + CASE WHEN 2 * (t % 4611686018427387904) >= 4611686018427387904 THEN 1 ELSE 0 END AS n
+      FROM (SELECT *, 10 * CAST((x - floor(x)) * 4611686018427387904.0 AS HUGEINT) AS t
+            FROM (SELECT *, coalesce(CAST(correction_count AS DOUBLE) / nullif(CAST(invocation_count AS DOUBLE), 0), 0) * CAST(100 AS DOUBLE) AS x
+                  FROM _st)))""")
 
 register("recent_corrections", ["fx_corrections"], f"""
 SELECT id, skill_name, created_at FROM fx_corrections ORDER BY created_at DESC, id DESC LIMIT {RECENT_N}""")

@@ -43,27 +43,30 @@ def validate_corrections(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def validate_mr_posts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S3: schema checks, range order and merged_at rules, then the title checks."""
-    valid, rejected = checks.validate(raw, checks.MR_FIELDS, rules=checks.MR_RULES, keep=["arrival"])
+    sent = raw.withColumn("_sent", F.col("payload"))  # every rejected row keeps its payload, so it can be replayed
+    valid, rejected = checks.validate(sent, checks.MR_FIELDS, rules=checks.MR_RULES, keep=["arrival", "_sent"])
     titled = check_titles(valid)
     bad_title = titled.filter(F.col("title_error").isNotNull()).select(
-        "arrival", F.lit(None).cast("string").alias("payload"),
+        "arrival", F.col("_sent").alias("payload"),
         F.array(F.struct(F.lit("title").alias("field"), F.col("title_error").alias("message"))).alias("errors"))
-    good = titled.filter(F.col("title_error").isNull()).drop("title_error")
-    return good, rejected.unionByName(bad_title)
+    good = titled.filter(F.col("title_error").isNull()).drop("title_error", "_sent")
+    return good, rejected.drop("_sent").unionByName(bad_title)
 
 
 def validate_status_updates(raw: DataFrame, mrs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw rows carry ``id`` (the MR id of the request) and ``payload``; an id that
     names no MR is an error row (J5)."""
-    valid, rejected = checks.validate(raw, checks.STATUS_FIELDS, rules=checks.STATUS_RULES, keep=["arrival", "id"])
+    sent = raw.withColumn("_sent", F.col("payload"))
+    valid, rejected = checks.validate(sent, checks.STATUS_FIELDS, rules=checks.STATUS_RULES, keep=["arrival", "id", "_sent"])
+    rejected = rejected.drop("_sent")
     bad_id = (valid.filter(~F.coalesce(F.col("id") > 0, F.lit(False)))
-              .select("arrival", "id", F.lit(None).cast("string").alias("payload"),
+              .select("arrival", "id", F.col("_sent").alias("payload"),
                       F.array(F.struct(F.lit("id").alias("field"), F.lit("invalid_id").alias("message")))
                       .alias("errors")))
     valid = valid.filter(F.col("id") > 0)
     unknown = (valid.join(mrs.select("id"), "id", "left_anti")
-               .select("arrival", "id", F.lit(None).cast("string").alias("payload"),
+               .select("arrival", "id", F.col("_sent").alias("payload"),
                        F.array(F.struct(F.lit("id").alias("field"), F.lit("not_found").alias("message")))
                        .alias("errors")))
-    known = valid.join(mrs.select("id"), "id", "left_semi")
+    known = valid.join(mrs.select("id"), "id", "left_semi").drop("_sent")
     return known, rejected.unionByName(bad_id).unionByName(unknown)

@@ -11,24 +11,9 @@ version may replace only some blocks of such a table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.export import EXPORT_COLUMNS, export_projection
-
-# Options that make Spark's CSV text match the service's (T12): quotes doubled,
-# empty cells for NULL and empty strings, no trimming, header always written.
-CSV_OPTIONS = {
-    "header": "true",
-    "quote": '"',
-    "escape": '"',
-    "emptyValue": "",
-    "nullValue": "",
-    "ignoreLeadingWhiteSpace": "false",
-    "ignoreTrailingWhiteSpace": "false",
-    "lineSep": "\n",
-}
-
-
 def write_csv(corrections: DataFrame, path: str, date_from: str | None = None, date_to: str | None = None) -> None:
     """K1: the export as exact CSV text: header, then the K2 lines in id order.
 
@@ -47,13 +32,6 @@ def write_csv(corrections: DataFrame, path: str, date_from: str | None = None, d
      .write.mode("overwrite").option("lineSep", "\n").text(path))
 
 
-def write_csv_spark(corrections: DataFrame, path: str) -> None:
-    """K1 through Spark's CSV writer with the T12 options (same text for ordinary values,
-    but a CR inside a value comes out as LF)."""
-    out = export_projection(corrections).withColumn("_id", F.col("id").cast("long")).orderBy("_id").drop("_id")
-    out.select(*EXPORT_COLUMNS).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
-
-
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """K3: append rows to a Parquet table."""
     w = df.write.mode("append")
@@ -83,10 +61,57 @@ def committed_versions(spark: SparkSession, base: str) -> DataFrame:
     """
     try:
         return spark.read.schema(_LOG_SCHEMA + ", v long").parquet(f"{base}/_commits")
-    except Exception:  # noqa: BLE001 - no commit yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], _LOG_SCHEMA + ", v long")
 
 
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def claim(spark: SparkSession, base: str, version: int) -> None:
+    """Take a version number; exactly one writer can. A second one fails before it writes anything."""
+    fs, p = _fs(spark, f"{base}/_claims/v={version}")
+    fs.mkdirs(p.getParent())
+    try:
+        fs.create(p, False).close()
+    except Exception as e:
+        raise FileExistsError(f"version {version} of {base} is being written or was given up by another writer; "
+                              "read the store again, or call abandon() if that writer is gone") from e
+
+
+def abandon(spark: SparkSession, base: str, version: int) -> None:
+    """Free the number and the files of a version whose writer died before its commit."""
+    if version <= current_version(spark, base):
+        raise ValueError(f"version {version} is committed")
+    for path in (f"{base}/v={version}", f"{base}/_claims/v={version}"):
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
+def vacuum(spark: SparkSession, base: str, schemas: dict | None = None) -> int:
+    """Write all tables whole into a new version and delete all older ones, so purged rows are gone
+    from the disk and the commit log is short again. Older versions can't be read any more.
+    ``schemas`` names the schemas of tables of which no row may be left."""
+    snap = Snapshot(spark, base)
+    if snap.version == 0:
+        return 0
+    names = sorted({r["table"] for r in snap.rows if r["written"]})
+    marks = {t: snap.high_water_mark(t) for t in names}
+    widths = {t: w for t in names if (w := snap.block_ids(t)) is not None}
+    tables = {t: snap.read(t, (schemas or {}).get(t)) for t in names}
+    v = commit(spark, base, tables, marks, blocked=widths)
+    for old in range(1, v):
+        for path in (f"{base}/v={old}", f"{base}/_commits/v={old}", f"{base}/_claims/v={old}"):
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+    return v
+
+
 class Snapshot:
     """The commit log of a store, read once: versions, marks, block widths and
     which blocks each version replaced. Metadata only (one row per table per
@@ -226,7 +251,7 @@ def _empty(spark: SparkSession, schema) -> DataFrame:
 
 def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
            high_water_marks: dict[str, int] | None = None, version: int | None = None,
-           already_written: list[str] | None = None,
+           already_written: list[str] | None = None, claimed: bool = False,
            block_writes: dict[str, tuple[list[int], list[int]]] | None = None,
            blocked: dict[str, int] | None = None) -> int:
     """Write ``tables`` into a new version folder, then its commit record (last).
@@ -236,10 +261,14 @@ def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
     part to (replaced blocks, filled blocks). Tables named in ``blocked``
     (default ``ID_BLOCKED``) are stored by id block of that width. The record
     lists every table's high-water mark (carried from the previous version
-    unless given), block width, and what this version wrote.
+    unless given), block width, and what this version wrote. It is one file and
+    is never replaced: a version number that another writer has claimed or committed raises an
+    error. ``claimed`` says that the caller has claimed ``version`` itself.
     """
     snap = Snapshot(spark, base)
     v = snap.version + 1 if version is None else version
+    if not claimed:
+        claim(spark, base, v)
     widths = dict(ID_BLOCKED if blocked is None else blocked)
     marks, carried = {}, {}
     for r in snap.rows:
@@ -267,6 +296,6 @@ def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
                      None if replaced is None else [int(b) for b in replaced],
                      None if filled is None else [int(b) for b in filled]))
     rows = rows or [("", 0, False, None, None, None)]
-    (spark.createDataFrame(rows, _LOG_SCHEMA)
-     .write.mode("overwrite").parquet(f"{base}/_commits/v={v}"))
+    (spark.createDataFrame(rows, _LOG_SCHEMA).coalesce(1)
+     .write.mode("errorifexists").parquet(f"{base}/_commits/v={v}"))
     return v

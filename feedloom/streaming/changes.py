@@ -27,20 +27,24 @@ def start_mr_feed(spark: SparkSession, source: str, base: str, checkpoint: str,
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
+        if sinks.current_version(s, base) > batch_id:
+            return  # the batch ran before and its version is committed
         old = sinks.read_table(s, base, "merge_requests", MERGE_REQUESTS, version=batch_id) if batch_id > 0 else None
         hwm = 0
-        if old is None:
+        if batch_id == 0:
             old = empty_merge_requests(s)
         else:
             row = (sinks.committed_versions(s, base).filter(f"v = {batch_id} AND table = 'merge_requests'")
                    .select("high_water_mark").first())
-            hwm = int(row[0]) if row else 0
+            if row is None:
+                raise ValueError(f"no committed version {batch_id} below {base}; the table would start empty again")
+            hwm = int(row[0])
         new = upsert(old, batch, hwm)
         path = f"{base}/v={batch_id + 1}/merge_requests"
         new.write.mode("overwrite").parquet(path)
         top = s.read.parquet(path).agg({"id": "max"}).first()[0]
         sinks.commit(s, base, {}, {"merge_requests": max(hwm, int(top or 0))}, version=batch_id + 1,
-                     already_written=["merge_requests"])
+                     already_written=["merge_requests"], claimed=True)
 
     w = posts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

@@ -23,7 +23,9 @@ def _previous_mark(spark: SparkSession, marks: str, batch_id: int, start: int) -
         return start
     row = (spark.read.schema("high_water_mark long, batch_id long").parquet(marks)
            .filter(F.col("batch_id") == batch_id - 1).select("high_water_mark").first())
-    return int(row[0]) if row else start
+    if row is None:
+        raise ValueError(f"no high-water mark of batch {batch_id - 1} below {marks}; ids would be given twice")
+    return int(row[0])
 
 
 def start_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str,

@@ -1,8 +1,9 @@
 """ST4: corrections per iteration window as a tumbling event-time window.
 
-Windows of X days are aligned to the anchor date with ``startTime``; the
-watermark (a parameter: the service leaves closing a window to whoever runs
-the export) bounds the state. Update mode writes changed windows per batch into
+Windows of X days are aligned to the anchor date with ``startTime``. By default
+there is no watermark: a late row is counted whenever it comes, and the state is one row per
+window. With ``lateness`` the state of older windows is given up, and rows that come
+later than that are not counted. Update mode writes changed windows per batch into
 a change log; readers take the latest count per window.
 """
 
@@ -18,7 +19,7 @@ _EPOCH = dt.date(1970, 1, 1)
 
 
 def start_windows(spark: SparkSession, source: str, sink: str, checkpoint: str, anchor: dt.date,
-                  interval_days: int = 7, lateness: str = "30 days", available_now: bool = True,
+                  interval_days: int = 7, lateness: str | None = None, available_now: bool = True,
                   max_files_per_trigger: int | None = None):
     offset = (anchor - _EPOCH).days % interval_days
     reader = spark.readStream.schema("id long, created_at timestamp_ntz")
@@ -26,8 +27,8 @@ def start_windows(spark: SparkSession, source: str, sink: str, checkpoint: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(source)
     events = events.withColumn("event_time", ntz_to_instant(F.col("created_at")))
-    agg = (events.withWatermark("event_time", lateness)
-           .groupBy(F.window("event_time", f"{interval_days} days", f"{interval_days} days", f"{offset} days"))
+    events = events.withWatermark("event_time", lateness) if lateness else events
+    agg = (events.groupBy(F.window("event_time", f"{interval_days} days", f"{interval_days} days", f"{offset} days"))
            .agg(F.count(F.lit(1)).alias("correction_count"), F.min("id").alias("feedback_id_start"),
                 F.max("id").alias("feedback_id_end")))
     out = agg.select(instant_to_ntz(F.col("window.start")).alias("window_start"),

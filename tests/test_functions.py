@@ -43,9 +43,9 @@ def test_html_escape(spark):
 def test_rate_label(spark):
     from feedloom.functions.text import rate_label
 
-    rows = [(1, 2), (0, 1), (1, 3), (2, 1), (1, 16), (3, 0), (0, 0)]
+    rows = [(1, 2), (0, 1), (1, 3), (2, 1), (1, 16), (3, 0), (0, 0), (3, 2000), (9, 2000), (23, 2000)]
     got = one(spark, rate_label(F.col("c"), F.col("i")), rows, "c long, i long")
-    assert got == ["50.0%", "0.0%", "33.3%", "200.0%", "6.3%", "0.0%", "0.0%"]
+    assert got == ["50.0%", "0.0%", "33.3%", "200.0%", "6.3%", "0.0%", "0.0%", "0.1%", "0.4%", "1.1%"]
 
 
 def test_title_parse_cases(spark):

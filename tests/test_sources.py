@@ -106,7 +106,7 @@ def test_purge_version_commits_all_three(spark, tmp_path):
     sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs,
                                "invocations": spark.range(0).withColumnRenamed("id", "x")},
                  {"corrections": 10, "merge_requests": 3})
-    v = purge_version(spark, base, dt.datetime(2026, 6, 20))
+    v = purge_version(spark, base, dt.datetime(2026, 6, 20)).version
     assert v == 2
     left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections").select("id").collect())
     assert left == [7, 8, 9, 10]
@@ -157,7 +157,7 @@ def test_purge_rewrites_only_touched_blocks(spark, tmp_path):
     sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs}, {"corrections": 20, "merge_requests": 3},
                  blocked={"corrections": 4})
     assert sinks.block_ids(spark, base, "corrections") == 4
-    v = purge_version(spark, base, dt.datetime(2026, 6, 20))
+    v = purge_version(spark, base, dt.datetime(2026, 6, 20)).version
     written = sorted(d for d in os.listdir(f"{base}/v={v}/corrections") if d.startswith("_blk="))
     # block 2 lost all its rows; the range past the high-water mark stops at block 5
     assert written == ["_blk=1", "_blk=4"]
@@ -210,9 +210,65 @@ def test_purge_that_empties_every_touched_block(spark, tmp_path):
                                   t, t, None)], MERGE_REQUESTS)
     base = str(tmp_path / "store")
     sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs}, blocked={"corrections": 4})
-    v = purge_version(spark, base, dt.datetime(2026, 6, 20))
+    v = purge_version(spark, base, dt.datetime(2026, 6, 20)).version
     rec = sinks.committed_versions(spark, base).filter(f"v = {v} AND table = 'corrections'").first()
     assert rec["blocks"] == [0, 1, 2] and rec["filled"] == []
     assert sinks.read_table(spark, base, "corrections", CORRECTIONS).count() == 0
     assert [r["deleted_count"] for r in sinks.read_table(spark, base, "purge_audit").collect()] == [8]
     assert sinks.high_water_mark(spark, base, "corrections") == 8
+
+
+def test_store_refuses_two_writers_and_reads_no_error_as_empty(spark, tmp_path):
+    import pytest
+
+    from feedloom.sources import sinks
+
+    base = str(tmp_path / "s")
+    one = spark.createDataFrame([(1, "a")], "id long, x string")
+    assert sinks.commit(spark, base, {"t": one}) == 1
+    assert len(list((tmp_path / "s" / "_commits" / "v=1").glob("part-*"))) == 1
+    with pytest.raises(FileExistsError):
+        sinks.commit(spark, base, {"t": one.limit(0)}, version=1)
+    sinks.claim(spark, base, 2)
+    with pytest.raises(FileExistsError):
+        sinks.commit(spark, base, {"t": one})
+    sinks.abandon(spark, base, 2)
+    assert sinks.commit(spark, base, {"t": one}) == 2
+    # a log that can't be read is an error, not an empty store
+    for f in (tmp_path / "s" / "_commits" / "v=2").glob("part-*"):
+        f.write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        sinks.commit(spark, base, {"t": one})
+    assert not (tmp_path / "s" / "v=1" / "gone").exists() and (tmp_path / "s" / "v=1" / "t").exists()
+
+
+def test_vacuum_removes_purged_text(spark, tmp_path):
+    import datetime as dt
+
+    import pyarrow.dataset as ds
+
+    from feedloom.operators.purge import purge_version
+    from feedloom.schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
+    from feedloom.sources import sinks
+
+    base = str(tmp_path / "s")
+    T0 = dt.datetime(2026, 6, 1)
+    kinds = {f.name: f.dataType.simpleString() for f in CORRECTIONS.fields}
+
+    def correction(i):
+        made = {"string": f"SECRET{i}", "bigint": i, "double": 0.5, "boolean": False, "timestamp_ntz": T0, "array<string>": [f"SECRET{i}"]}
+        return tuple(i if n == "id" else made[k] for n, k in kinds.items())
+
+    cor = spark.createDataFrame([correction(i) for i in range(1, 11)], CORRECTIONS)
+    values = {"id": 7, "iteration_type": "major", "status": "merged", "merged_at": T0, "feedback_id_start": 3, "feedback_id_end": 6, "purged_at": None}
+    mr = [tuple(values.get(f.name, T0 if "timestamp" in f.dataType.simpleString() else "x") for f in MERGE_REQUESTS.fields)]
+    sinks.commit(spark, base, {"corrections": cor, "merge_requests": spark.createDataFrame(mr, MERGE_REQUESTS)})
+    requests = spark.createDataFrame([(7,), (99,)], "id long")
+    done = purge_version(spark, base, dt.datetime(2026, 6, 20), requests)
+    assert [tuple(r) for r in done.refused.collect()] == [(99, "not_found")]
+    assert not (tmp_path / "s" / f"v={done.version}" / "_owned").exists()
+    v = sinks.vacuum(spark, base, {"corrections": CORRECTIONS, "merge_requests": MERGE_REQUESTS, "purge_audit": PURGE_AUDIT})
+    assert sorted(r.id for r in sinks.read_table(spark, base, "corrections", CORRECTIONS).collect()) == [1, 2, 7, 8, 9, 10]
+    assert sinks.high_water_mark(spark, base, "corrections") == 10 and sinks.current_version(spark, base) == v
+    text = "".join(str(ds.dataset(str(f)).to_table().to_pydict()) for f in (tmp_path / "s").rglob("*.parquet"))
+    assert "SECRET1" in text and "SECRET4" not in text

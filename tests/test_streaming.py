@@ -107,6 +107,33 @@ def test_windows_watermark_drops_late_rows(spark, tmp_path):
     assert got[t(2024, 2, 12)] == 1
 
 
+def test_windows_count_late_rows_by_default(spark, tmp_path):
+    import datetime as dt
+
+    from feedloom.streaming.windows import read_windows, start_windows
+
+    t = dt.datetime
+    schema = "id long, created_at timestamp_ntz"
+    batches = [spark.createDataFrame([(1, t(2024, 1, 2)), (2, t(2024, 4, 20))], schema),
+               spark.createDataFrame([(4, t(2024, 4, 21))], schema), spark.createDataFrame([(3, t(2024, 1, 3))], schema)]
+    _files_in_order(spark, batches, str(tmp_path / "src"))
+    start_windows(spark, str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ck"), dt.date(2024, 1, 1), 7,
+                  max_files_per_trigger=1).awaitTermination()
+    got = {r["window_start"]: r["correction_count"] for r in read_windows(spark, str(tmp_path / "sink")).collect()}
+    assert got[t(2024, 1, 1)] == 2 and sum(got.values()) == 4
+
+
+def test_a_missing_mark_stops_the_ingest(spark, tmp_path):
+    import pytest
+
+    from feedloom.streaming.ingest import _previous_mark
+
+    spark.createDataFrame([(5,)], "high_water_mark long").write.parquet(str(tmp_path / "batch_id=0"))
+    assert _previous_mark(spark, str(tmp_path), 1, 0) == 5
+    with pytest.raises(ValueError):
+        _previous_mark(spark, str(tmp_path), 2, 0)
+
+
 def test_stats_changelog_over_batches(spark, tmp_path):
     from feedloom.operators.stats import skill_stats
     from feedloom.streaming.stats import read_stats, start_stats
