@@ -7,10 +7,12 @@ bands of ``BAND`` values; the number of bands follows from the threshold and
 
 Documents with equal shingle sets form a class and are handled once. Pairs come
 from the bands without listing all pairs of a bucket: first every class is
-compared with the smallest class of its bucket; classes that are then connected need
-no further comparison inside a bucket; the rest of each bucket is compared with the classes
-it is not yet connected to. Links are confirmed on whole sets; the components
-of the confirmed links are the result.
+compared with the smallest class of its bucket (the pivot; the classes compared with one pivot
+are a family). Classes that are then connected need no further comparison. In families that are
+not yet connected, classes are described by their differences from the family's
+middle, and only unconnected classes whose differences meet are compared (an exact filter,
+see ``differences``). Links are confirmed on whole sets; the components of the links are the
+result.
 
 Defined results: a null, empty or wordless text has an empty set, is linked with
 nothing and is its own component; repeated rows are copies of each other; a null id
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import by_bytes, mix64, text_bytes
 from .components import components, stored
@@ -35,6 +37,7 @@ from .shingles import shingle_hashes, word_hashes
 
 BAND = 4
 MISS = 1e-6
+MIDDLE = 25  # classes of a family that vote on its middle
 BATCH_BYTES = 1 << 20
 
 
@@ -128,6 +131,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def differences(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``f, key, n, slack, size, gone, own, lost``: how each class of a family differs from the family's middle.
+
+    The middle is the set of shingles that most of ``MIDDLE`` classes of the family hold; any reference set gives right
+    results, this one makes the differences small and rare. With D the symmetric difference of a class
+    and the middle, two classes differ by |D1| + |D2| - 2 |D1 and D2| shingles. So:
+
+    - classes whose ``slack`` (100 - percent) n - (100 + percent) |D| add up to 0 or more are linked for sure;
+    - all others are linked only if their D share (-slack1 - slack2) / 2 (100 + percent) elements or more. D is
+      ordered: first the shingles that the middle lacks (mostly a class's own), then the ``gone`` ones that the class lacks.
+      A class shares at least |D| - s elements with one that it is linked to, s being the largest difference
+      of two linked classes, so the first s + 1 elements of both D meet. They meet in ``own``, or else (both have
+      fewer than s + 1 shingles of their own and share none) in ``lost``, and then no more than ``gone`` are shared.
+    """
+    w = Window.partitionBy("f").orderBy(F.col("root") != F.col("f"), F.xxhash64("key"), "key")
+    some = family.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= MIDDLE).select("f", "key").join(sets, "key")
+
+    def middle(table: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        value, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.table({"f": table.column("f").slice(0, 1), "middle": pa.array([value[2 * n > len(held)].tobytes()], pa.binary())})
+
+    middles = some.select("f", "shingles").groupBy("f").applyInArrow(middle, "f binary, middle binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slack, size, gone, own, lost = [], [], [], [], []
+            for n, x, m in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
+                x, m = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(m.as_buffer(), np.uint64)
+                more, less = np.setdiff1d(x, m, assume_unique=True), np.setdiff1d(m, x, assume_unique=True)
+                first = (100 - percent) * (n + 100 * n // percent) // (100 + percent) + 1
+                size.append(len(more) + len(less))
+                slack.append((100 - percent) * n - (100 + percent) * size[-1])
+                gone.append(len(less))
+                own.append(more[:first].view(np.int64))
+                lost.append(less[:max(0, first - len(more))].view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], *(pa.array(c, pa.int64()) for c in (slack, size, gone)), pa.array(own, longs), pa.array(lost, longs)],
+                names=["f", "key", "n", "slack", "size", "gone", "own", "lost"])
+
+    return (family.join(sets, "key").join(middles, "f").select("f", "key", "n", "shingles", "middle")
+            .mapInArrow(run, "f binary, key binary, n long, slack long, size long, gone long, own array<bigint>, lost array<bigint>"))
+
+
+def sharing(diffs: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of unconnected classes of a family whose differences meet. Of each meeting place's classes, those of
+    the largest component are not compared with each other."""
+    rooted = diffs.join(root, F.col("key") == F.col("node"), "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
+    places = F.concat(F.transform("own", lambda e: F.struct(e.alias("e"), F.lit(True).alias("mine"))),
+                      F.transform("lost", lambda e: F.struct(e.alias("e"), F.lit(False).alias("mine"))))
+    rows = rooted.select("f", "key", "n", "root", "slack", "gone", F.explode(places).alias("e")).select(
+        F.xxhash64("f", "e.e").alias("place"), "key", "n", "root", "slack", "gone", "e.mine")
+    open_ = (rows.groupBy("place", "root").count().groupBy("place")
+             .agg(F.max(F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+             .select("place", F.col("main.root").alias("main")))
+    there = rows.join(open_, "place")
+    other = there.filter("root <> main").select("place", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "slack", "gone")])
+    short = -(F.col("slack") + F.col("slack2"))  # 2 (100 + percent) times the elements that must be shared
+    enough = F.col("mine") | (short <= 2 * (100 + percent) * F.least("gone", "gone2"))
+    near = (100 + percent) * F.abs(F.col("n") - F.col("n2")) <= (100 - percent) * (F.col("n") + F.col("n2"))
+    return (there.join(other, "place").filter((F.col("root") != F.col("root2")) & (short > 0) & enough & near)
+            .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept, text_crc32`` per row; intermediate tables are written below ``path``."""
@@ -146,20 +214,25 @@ def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5
              .select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct())
     links, _ = stored(confirmed(stars, sets, percent), f"{path}/links1")
     root = components(links, f"{path}/components1")
-    rooted = members.join(root, F.col("key") == F.col("node"), "left").select(
-        "band", "hash", "key", "n", F.coalesce("root", "key").alias("root"))
-    main = (rooted.groupBy("band", "hash", "root").count().groupBy("band", "hash")
-            .agg(F.max(F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-            .filter("roots > 1").select("band", "hash", F.col("main.root").alias("main")))
-    mixed, _ = stored(rooted.join(main, ["band", "hash"]), f"{path}/mixed")
-    other = mixed.filter("root <> main").select("band", "hash", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = (mixed.join(other, ["band", "hash"])
-            .filter((F.col("root") != F.col("root2")) & near(F.col("n"), F.col("n2")))
-            .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more, found = stored(confirmed(rest, sets, percent), f"{path}/links2", n=F.count(F.lit(1)))
-    if found["n"]:
-        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), f"{path}/components2")
+    # families: the classes that share a bucket whose pivot lies in component f
+    named = lambda c: root.select(F.col("node").alias(f"_{c}"), F.col("root").alias(c))
+    family = (members.select(F.col("pivot.key").alias("p"), "key", "n").distinct()
+              .join(named("f"), F.col("p") == F.col("_f"), "left").select(F.coalesce("f", "p").alias("f"), "key", "n").distinct()
+              .join(named("root"), F.col("key") == F.col("_root"), "left").select("f", "key", "n", F.coalesce("root", "key").alias("root")))
+    # a class that is not connected to the pivot can still be connected to another of the family
+    mixed = family.groupBy("f").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("c"))
+    family, open_ = stored(family.join(mixed.filter("r <> s and c > 2").select("f"), "f"), f"{path}/families", n=F.count(F.lit(1)))
+    if open_["n"]:
+        diffs, _ = stored(differences(family, sets, percent), f"{path}/differences")
+        best = diffs.groupBy("f").agg(F.max(F.struct("slack", "key")).alias("best"))
+        sure = (diffs.join(best, "f").filter((F.col("slack") + F.col("best.slack") >= 0) & (F.col("key") != F.col("best.key")))
+                .select(F.col("best.key").alias("a"), F.col("key").alias("b")))
+        known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        root = components(known.unionAll(sure), f"{path}/components2")
+        more, found = stored(confirmed(sharing(diffs, root, percent), sets, percent), f"{path}/links2", n=F.count(F.lit(1)))
+        if found["n"]:
+            known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            root = components(known.unionAll(more), f"{path}/components3")
 
     keyed = rows.join(root, F.col("key") == F.col("node"), "left").select("id", "n_shingles", "text_crc32", F.coalesce("root", "key").alias("root"))
     least = keyed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "of")
