@@ -42,8 +42,10 @@ from .shingles import Powers
 SPAN = 50
 TRIGGER = 20
 CHUNK_BYTES = 1 << 20  # texts handled together in numpy
-SECTION_BYTES = 32 << 20  # texts whose phrases are reduced before they are shipped
-BUCKET_BYTES = 24 << 20  # texts per hash bucket
+# Texts whose phrases are reduced before they are shipped, and texts per hash bucket. A task needs about 15 times as
+# much memory; on large executors both are raised together, so that a section has many entries for each bucket.
+SECTION_BYTES = 8 << 20
+BUCKET_BYTES = 12 << 20
 LAST = np.iinfo(np.int64).max  # order of a null id
 
 _POWERS = Powers(0xD1342543DE82EF95)
@@ -138,7 +140,7 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
-def parse_sections(docs: DataFrame, buckets: int) -> DataFrame:
+def parse_sections(docs: DataFrame, buckets: int, section_bytes: int) -> DataFrame:
     """``bucket, section, chunks, checks, kind, ...``: a section's triggers per bucket.
 
     For every trigger hash of a section: if all its phrases are equal, the smallest document's places of the
@@ -149,10 +151,11 @@ def parse_sections(docs: DataFrame, buckets: int) -> DataFrame:
         held: list[tuple[int, bytes, Parse, np.ndarray]] = []
         size = 0
         for number, order, _, texts in chunks(batches):
-            held.append((number, _check(order, texts), Parse(texts), order))
-            held[-1][2].total = held[-1][2].down = None
+            p = Parse(texts)
+            p.total = p.down = p.count = None  # not used here
+            held.append((number, _check(order, texts), p, order))
             size += sum(map(len, texts))
-            if size >= SECTION_BYTES:
+            if size >= section_bytes:
                 yield section(held)
                 held, size = [], 0
         if held:
@@ -360,7 +363,8 @@ def cut(joined: DataFrame, id_col: str, kind: str, with_text: bool) -> DataFrame
     return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{text}")
 
 
-def substring_dedup(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+                    section_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Remove every byte covered by a ``SPAN``-byte string that starts in a document with a smaller id too.
 
     ``with_text`` adds the kept bytes as text (bytes of a character that was cut are left out) and the CRC-32 of
@@ -369,9 +373,9 @@ def substring_dedup(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     total = src.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(8, total // BUCKET_BYTES)
+    buckets = max(8, total // (bucket_bytes or BUCKET_BYTES))
     settled = "chunk long, check binary, kind string, places binary"
-    first, _ = stored(parse_sections(src, buckets).groupBy("bucket").applyInArrow(settle_triggers, settled), f"{path}/phrases")
+    first, _ = stored(parse_sections(src, buckets, section_bytes or SECTION_BYTES).groupBy("bucket").applyInArrow(settle_triggers, settled), f"{path}/phrases")
     own = stored_chunks(src).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
     listed = lambda f: f.groupBy("chunk").agg(F.collect_list(F.struct("check", "kind", "places")).alias("found"))  # noqa: E731  bounded by the chunk
     # both joins keep every chunk, so the one exchange of the texts serves both
