@@ -27,11 +27,3 @@ def iteration_type(slot: Column, major_every: int = DEFAULT_MAJOR_EVERY) -> Colu
 def major_slot(slot: Column, major_every: int = DEFAULT_MAJOR_EVERY) -> Column:
     """The major slot whose window holds ``slot``: slots (k-1)Y+1 .. kY."""
     return (F.ceil(slot / F.lit(major_every)) * major_every).cast("long")
-
-
-def slot_first_day(slot: Column, anchor: dt.date, interval_days: int = DEFAULT_INTERVAL_DAYS) -> Column:
-    return F.date_add(F.lit(anchor), ((slot - 1) * interval_days).cast("int"))
-
-
-def slot_last_day(slot: Column, anchor: dt.date, interval_days: int = DEFAULT_INTERVAL_DAYS) -> Column:
-    return F.date_add(F.lit(anchor), (slot * interval_days - 1).cast("int"))

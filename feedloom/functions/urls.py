@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values of the URL standard: code points that no host may hold, and the ports that are left out.
 HOST = r"\[[0-9A-Fa-f:.]+\]|(?:[^\x00-\x20#/:<>?@\[\\\]^|%\x7F]|%[0-9A-Fa-f]{2})+"
-DEFAULT_PORTS = {"http": "80", "https": "443"}
-_WEB = rf"(?is)^(https?):[/\\]*(?:[^/\\?#]*@)?({HOST})(?::([0-9]*))?([/\\][^?#]*)?(?:(\?)([^#]*))?(?:(#)(.*))?\z"
+DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
+_WEB = rf"(?is)^(https?|ftp|wss?):[/\\]*(?:[^/\\?#]*@)?({HOST})(?::([0-9]*))?([/\\][^?#]*)?(?:(\?)([^#]*))?(?:(#)(.*))?\z"
 _ANY = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):(?:.+)\z"
 
 
@@ -30,14 +30,19 @@ def scheme(url: Column) -> Column:
     return F.when(s != "", F.lower(s))
 
 
-def is_http_url(url: Column) -> Column:
-    """An http or https URL (any case) with a host and a port of at most 65535; NULL is none."""
+def _valid(url: Column) -> Column:
+    """A URL of the schemes above with a host and a port of at most 65535; NULL is none."""
     port = F.when(_part(url, 3) != "", _part(url, 3).try_cast("int")).otherwise(0)
     return F.coalesce(_clean(url).rlike(_WEB) & F.coalesce(port <= 65535, F.lit(False)), F.lit(False))
 
 
+def is_http_url(url: Column) -> Column:
+    """A valid URL whose scheme is http or https (any case)."""
+    return _valid(url) & F.coalesce(scheme(url).isin("http", "https"), F.lit(False))
+
+
 def host(url: Column) -> Column:
-    return F.when(is_http_url(url), F.lower(_part(url, 2)))
+    return F.when(_valid(url), F.lower(_part(url, 2)))
 
 
 def query(url: Column) -> Column:
@@ -73,9 +78,9 @@ def canonical(url: Column) -> Column:
     """Scheme and host in lower case, no user, no default port, resolved path, query and fragment kept; NULL when invalid."""
     proto = F.lower(_part(url, 1))
     port = F.regexp_replace(_part(url, 3), "^0+(?=[0-9])", "")
-    usual = F.when(proto == "http", F.lit(DEFAULT_PORTS["http"])).otherwise(F.lit(DEFAULT_PORTS["https"]))
+    usual = F.element_at(F.create_map(*[F.lit(x) for kv in DEFAULT_PORTS.items() for x in kv]), proto)
     text = F.concat(proto, F.lit("://"), host(url),
                     F.when((port != "") & (port != usual), F.concat(F.lit(":"), port)).otherwise(F.lit("")), path(url),
                     F.when(_part(url, 5) != "", F.concat(F.lit("?"), _escaped(query(url), "'"))).otherwise(F.lit("")),
                     F.when(_part(url, 7) != "", F.concat(F.lit("#"), _escaped(fragment(url), "`"))).otherwise(F.lit("")))
-    return F.when(is_http_url(url), text)
+    return F.when(_valid(url), text)

@@ -32,10 +32,6 @@ class Field:
     values: list[str] = field(default_factory=list)
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-
-
 def _is_numeric_kind(k: Column) -> Column:
     return k.isin(*_NUM_KINDS) | k.startswith("DECIMAL")
 

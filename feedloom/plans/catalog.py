@@ -25,7 +25,7 @@ def query(name: str):
 
 @query("skill_stats")
 def q_skill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.skill_stats(fx.fx_invocations(spark, sf_dir), fx.fx_corrections(spark, sf_dir))
+    return stats.skill_stats(fx.fx_invocations(spark, sf_dir), fx.fx_corrections_plain(spark, sf_dir))
 
 
 from .params import (ANCHOR, ASSIGN_HWM, EXPORT_FROM, EXPORT_TO, INSTANT_FROM, INSTANT_TO,  # noqa: E402
@@ -40,14 +40,18 @@ def _cor(spark, d):
     return fx.fx_corrections(spark, d)
 
 
+def _plain(spark, d):
+    return fx.fx_corrections_plain(spark, d)
+
+
 @query("skill_stats_join_form")
 def q_skill_stats_join_form(spark, d):
-    return stats.skill_stats_join_form(_inv(spark, d), _cor(spark, d))
+    return stats.skill_stats_join_form(_inv(spark, d), _plain(spark, d))
 
 
 @query("totals")
 def q_totals(spark, d):
-    return stats.totals(_inv(spark, d), _cor(spark, d))
+    return stats.totals(_inv(spark, d), _plain(spark, d))
 
 
 @query("invocations_by_skill")
@@ -57,12 +61,12 @@ def q_invocations_by_skill(spark, d):
 
 @query("corrections_by_skill")
 def q_corrections_by_skill(spark, d):
-    return stats.count_by_skill(_cor(spark, d), "correction_count")
+    return stats.count_by_skill(_plain(spark, d), "correction_count")
 
 
 @query("skill_universe")
 def q_skill_universe(spark, d):
-    return stats.skill_universe(_inv(spark, d), _cor(spark, d))
+    return stats.skill_universe(_inv(spark, d), _plain(spark, d))
 
 
 @query("failure_rate")
@@ -72,7 +76,7 @@ def q_failure_rate(spark, d):
 
 @query("rate_label")
 def q_rate_label(spark, d):
-    s = stats.skill_stats(_inv(spark, d), _cor(spark, d), ordered=False)
+    s = stats.skill_stats(_inv(spark, d), _plain(spark, d), ordered=False)
     return stats.with_rate_label(s).select("skill_name", "invocation_count", "correction_count", "rate_label")
 
 
@@ -204,10 +208,34 @@ def q_covered_counts(spark, d):
     return count_in_ranges(_mrs(spark, d), _cor(spark, d))
 
 
+@query("covered_counts_wide")
+def q_covered_counts_wide(spark, d):
+    """Ranges that grow with the orders, whole blocks and ranges up to the largest valid id included."""
+    from ..operators.ranges import count_in_ranges
+
+    return count_in_ranges(fx.fx_wide_ranges(spark, d), _cor(spark, d))
+
+
+@query("url_checks")
+def q_url_checks(spark, d):
+    from ..functions import urls
+
+    u = F.col("url")
+    return fx.fx_urls(spark, d).select("id", urls.is_http_url(u).alias("is_http"), urls.canonical(u).alias("canonical"))
+
+
+@query("skill_lists")
+def q_skill_lists(spark, d):
+    from ..functions.scopes import split_skills
+
+    return fx.fx_skill_lists(spark, d).select("id", F.array_join(split_skills(F.col("skills")), "|").alias("skills"))
+
+
 @query("purge_eligibility")
 def q_purge_eligibility(spark, d):
     from ..functions.purge_rules import display_reason, purge_eligible, refusal_reason
-    from ..functions.text import is_http_url, status_label
+    from ..functions.text import status_label
+    from ..functions.urls import is_http_url
 
     args = [F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at")]
     return _mrs(spark, d).select("id", purge_eligible(*args).alias("eligible"),
@@ -417,3 +445,39 @@ def q_purge_committed(spark, d):
                                "invocations": _inv(spark, d)})
     purge_version(spark, base, PURGED_AT)
     return sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id", "skill_name")
+
+
+def _purged_store(spark, d):
+    from ..operators.purge import purge_version
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    base = scratch_path(spark, "purge-store")
+    sinks.commit(spark, base, {"corrections": _cor(spark, d), "merge_requests": _mrs(spark, d)})
+    requests = fx.table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("id")).distinct()
+    return base, purge_version(spark, base, PURGED_AT, requests)
+
+
+@query("purge_refusals")
+def q_purge_refusals(spark, d):
+    """F10 per requested MR, from the versioned purge; ids that name no MR are ``not_found``."""
+    return _purged_store(spark, d)[1].refused
+
+
+@query("purge_audit_committed")
+def q_purge_audit_committed(spark, d):
+    """The audit rows of the versioned purge, read back from the store after a vacuum."""
+    from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
+    from ..sources import sinks
+
+    base, _ = _purged_store(spark, d)
+    sinks.vacuum(spark, base, {"corrections": CORRECTIONS, "merge_requests": MERGE_REQUESTS, "purge_audit": PURGE_AUDIT})
+    return sinks.read_table(spark, base, "purge_audit", PURGE_AUDIT).select(
+        "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count")
+
+
+@query("mr_by_id")
+def q_mr_by_id(spark, d):
+    from ..operators.upgrades import by_id
+
+    return by_id(_mrs(spark, d), 5)

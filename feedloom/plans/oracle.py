@@ -417,3 +417,36 @@ SELECT TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST({INTERVAL_DAYS} * k AS INT
   count(*) AS correction_count, min(id) AS feedback_id_start, max(id) AS feedback_id_end
 FROM _w GROUP BY k""")
 SQL["purge_committed"] = SQL["purge_survivors"]
+
+
+register("covered_counts_wide", ["fx_corrections"], """
+, r AS (SELECT o_orderkey AS id, 1 + o_orderkey * 7 % 5000 AS s,
+          CASE o_orderkey % 5 WHEN 0 THEN 9007199254740991 WHEN 1 THEN 1 + o_orderkey * 7 % 5000 + 100000
+               ELSE 1 + o_orderkey * 7 % 5000 + o_orderkey % 400 END AS e FROM orders)
+SELECT r.id, CAST(count(c.id) AS BIGINT) AS covered_count
+FROM r LEFT JOIN fx_corrections c ON c.id BETWEEN r.s AND r.e GROUP BY r.id""")
+
+SQL["url_checks"] = """
+SELECT o_orderkey AS id, w[1] = 'y' AS is_http, nullif(replace(w[2], '%s', CAST(o_orderkey AS VARCHAR)), '') AS canonical
+FROM (SELECT o_orderkey, CASE o_orderkey % 16
+  WHEN 0 THEN ['y', 'http://my_host/x%s'] WHEN 1 THEN ['y', 'http://git_lab.internal:3000/mr/%s']
+  WHEN 2 THEN ['y', 'https://h/a%20b%s'] WHEN 3 THEN ['y', 'https://h/x?q={%s}'] WHEN 4 THEN ['y', 'https://h/|a%s']
+  WHEN 5 THEN ['y', 'https://例子.cn/mr/%s'] WHEN 6 THEN ['y', 'http://ex.com/b/%s/'] WHEN 7 THEN ['y', 'http://h/%s']
+  WHEN 8 THEN ['y', 'https://h:8443/%s#f'] WHEN 9 THEN ['n', 'ftp://h/%s'] WHEN 13 THEN ['y', 'https://h/%s']
+  WHEN 14 THEN ['y', 'http://h%s/'] ELSE ['n', ''] END AS w FROM orders)"""
+
+SQL["skill_lists"] = "SELECT o_orderkey AS id, concat('a b|技能|', CAST(o_orderkey AS VARCHAR)) AS skills FROM orders"
+
+register("purge_refusals", ["fx_upgrade_posts"], _MRS + """
+, q AS (SELECT DISTINCT o_orderkey % 150 AS id FROM orders),
+w AS (SELECT q.id, CASE WHEN m.id IS NULL THEN 'not_found' WHEN iteration_type <> 'major' THEN 'not_major'
+         WHEN status <> 'merged' THEN 'not_merged' WHEN merged_at IS NULL THEN 'missing_merged_at' END AS reason
+      FROM q LEFT JOIN fx_mrs m ON m.id = q.id)
+SELECT id, reason FROM w WHERE reason IS NOT NULL""")
+
+register("purge_audit_committed", ["fx_upgrade_posts", "fx_corrections"], _PURGE + """
+SELECT e.id AS merge_request_id, e.feedback_id_start, e.feedback_id_end, CAST(count(o.cid) AS BIGINT) AS deleted_count
+FROM _elig e LEFT JOIN _own o ON o.owner = e.id
+WHERE e.id IN (SELECT o_orderkey % 150 FROM orders) GROUP BY ALL""")
+
+register("mr_by_id", ["fx_upgrade_posts"], _MRS + "SELECT * FROM fx_mrs WHERE id = 5")

@@ -38,10 +38,18 @@ def fx_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_corrections_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrections without ids, for queries that use none."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    return ev.select(_skill(F.col("user_id") % 20).alias("skill_name"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+
+
 def fx_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the key is numbered; the other columns are joined to it, so filters on them and unused columns
+    reach the scan."""
     ev = (table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
           .select("event_id", "user_id", "props", "ts"))
-    ev = assign_ids(ev, ["event_id"])
+    ev = ev.join(assign_ids(ev.select("event_id"), ["event_id"]), "event_id")
     k = F.col("event_id") * 37 % 101
     return ev.select(
         "id",
@@ -156,3 +164,34 @@ def fx_raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"needs_batch_review":false,"extra":1,"created_at":"2024-01-'), pad2(1 + i % 28), F.lit("T"),
         pad2(i % 24), F.lit(":00:00"), F.when(i % 31 == 0, F.lit("+08:00")).otherwise(F.lit(".000Z")), F.lit('"}'))
     return e.select(i.alias("arrival"), payload.alias("payload"))
+
+
+def fx_wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed id range per order: to the largest valid id, over many blocks, or short."""
+    k = F.col("o_orderkey")
+    start = 1 + k * 7 % 5000
+    end = F.when(k % 5 == 0, F.lit((1 << 53) - 1)).when(k % 5 == 1, start + 100_000).otherwise(start + k % 400)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), start.cast("long").alias("feedback_id_start"),
+                                                 end.cast("long").alias("feedback_id_end"))
+
+
+# URL forms with %s for a number.
+URL_FORMS = ["http://my_host/x%s", "http://git_lab.internal:3000/mr/%s", "https://h/a b%s", "https://h/x?q={%s}", "https://h/|a%s",
+             "https://例子.cn/mr/%s", "HTTP://Ex.com/a/../b/%s/", "http://h:80/./%s", "https://u:p@h:8443/%s#f", "ftp://h/%s", "http://:80/%s",
+             "mailto:a%s@b", "http://h:70000/%s", "  https://h/%s\t", "http:h%s", "nothing %s"]
+
+
+def fx_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    forms = F.array(*[F.lit(u) for u in URL_FORMS])
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.replace(F.element_at(forms, (k % len(URL_FORMS) + 1).cast("int")), F.lit("%s"), k.cast("string")).alias("url"))
+
+
+def fx_skill_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma lists padded with all kinds of white space, empty entries included."""
+    k = F.col("o_orderkey")
+    pads = F.array(*[F.lit(p) for p in (" ", "\u3000", "\u00a0", "\t\n", "\ufeff", "")])
+    pad = F.element_at(pads, (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(pad, F.lit("a b"), pad, F.lit(","), pad, F.lit(",技能"), pad, F.lit(","),
+                                                                         k.cast("string"), pad).alias("skills"))

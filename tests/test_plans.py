@@ -73,3 +73,21 @@ def test_range_joins_are_pure_equi_joins(spark, name):
     column_range = re.compile(r"(<=|>=|<|>)\s*\(*[A-Za-z_]\w*#\d+")
     bad = [ln.strip() for ln in joins if column_range.search(ln)]
     assert not bad, bad
+
+
+@pytest.mark.parametrize("name", ["skill_stats", "skill_stats_join_form", "totals", "corrections_by_skill", "skill_universe", "rate_label"])
+def test_queries_without_ids_number_nothing(spark, name):
+    df = E.queries()[name](spark, SF)
+    text = plan_text(df)
+    assert "Scan ExistingRDD" not in text
+    assert "props" not in text and "event_id" not in text  # only the skill's columns are read
+
+
+def test_registered_date_query_pushes_its_bounds(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        text = plan_text(E.queries()["corrections_in_range"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(ts" in text and "LessThan(ts" in text
+    assert "props" not in text
