@@ -3,6 +3,8 @@
 import math
 
 from .licenses import PHRASES, TEMPLATES, THRESHOLD
+from .quality_rules import (BOILERPLATE, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAV_SEPARATORS, PLATE_CHARS,
+                            WINDOW)
 
 SQL: dict[str, str] = {}
 
@@ -58,3 +60,79 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n
        greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
 """
+
+SPACE = r"[\x20\x09-\x0D]"
+WORDS = f"list_filter(regexp_split_to_array({{}}, '{SPACE}+'), lambda x: x <> '')"
+
+# every 50-byte string (by its MD5) with the smallest document that holds it; runs are islands of removed strings
+SQL["op2_substring_dedup"] = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i,
+        unnest(list_transform(range(0, len(h) // 2 - 49), lambda i: md5_number(h[2 * i + 1:2 * i + 100]))) AS g FROM d),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM s) WHERE least < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS head FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b
+         FROM (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS upto,
+          string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+        FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE concat(kept, substring(h, 2 * upto + 1)) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+SQL["op5_near_duplicates"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, words[i:i + 2] AS g FROM w, unnest(range(1, greatest(len(words) - 1, least(len(words), 1) + 1))) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+          JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
+"""
+
+_plates = "[" + ", ".join(f"'{p}'" for p in BOILERPLATE) + "]"
+
+SQL["op7_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {WORDS.format('t')} AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, words[i:i + {WINDOW - 1}] AS g FROM w, unnest(range(1, len(words) - {WINDOW - 2})) AS u(i)),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n
+          FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), unnest(range(0, {WINDOW})) AS r(k)
+          WHERE c > 1 GROUP BY doc_id),
+line AS (SELECT doc_id, line, {WORDS.format('line')} AS lw, len(regexp_replace(line, '{SPACE}', '', 'g')) AS chars
+         FROM w, unnest(lines) AS u(line)),
+judged AS (SELECT doc_id, chars,
+    2 * len(regexp_extract_all(line, '[!?]{{2,}}')) > len(lw) OR 2 * len(regexp_extract_all(line, '[#*$%&|<>]{{2,}}')) > len(lw)
+    OR (2 * len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) > len(lw)
+        AND len(list_filter(range(1, len(lw) - 2), lambda i: lw[i] = lw[i + 1] AND lw[i] = lw[i + 2] AND lw[i] = lw[i + 3])) > 0)
+    OR len(list_filter(lw, lambda x: x IN ('|', '>', '»', '·', '•'))) >= {NAV_SEPARATORS}
+    OR (len(line) <= {PLATE_CHARS} AND len(list_filter({_plates}, lambda p: contains(lower(line), p))) > 0) AS fails FROM line),
+lost AS (SELECT doc_id, sum(chars) FILTER (WHERE fails) AS n FROM judged GROUP BY doc_id),
+counts AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '{SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN cover USING (doc_id))
+SELECT counts.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
+    AND 100 * coalesce(lost.n, 0) <= {MAX_LOST_PERCENT} * word_chars AS kept
+FROM counts LEFT JOIN lost USING (doc_id)
+"""
+
+SQL["op8_decontamination"] = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '{BREAK}'), lambda x: x <> '') AS words FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array({LOWER}, '{BREAK}'), lambda x: x <> '') AS words FROM benchmark),
+win AS (SELECT DISTINCT item, words[i:i + 9] AS g FROM b, unnest(range(1, greatest(len(words) - 8, least(len(words), 1) + 1))) AS u(i)),
+sizes AS (SELECT DISTINCT len(g) AS n FROM win),
+found AS (SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, words[i:i + n - 1] AS g FROM d, sizes, unnest(range(1, len(words) - n + 2)) AS u(i)) x
+          JOIN win USING (g)),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM found, unnest(range(0, n)) AS r(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(items.list, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
