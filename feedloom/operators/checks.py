@@ -148,13 +148,15 @@ def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = None,
              payload_col: str = "payload", keep: list[str] | None = None,
-             reserved_skill_field: str | None = None) -> tuple[DataFrame, DataFrame]:
+             reserved_skill_field: str | None = None, stage_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split raw JSON rows into (valid, rejected).
 
     ``valid`` keeps ``keep`` columns plus the typed fields; ``rejected`` keeps
     ``keep``, the payload and ``errors``. Rules run only on rows whose fields
     all pass, and the reserved-skill check only on rows that pass everything
-    else, as the service answers one error class at a time.
+    else, as the service answers one error class at a time. With ``stage_path`` the
+    checked rows are written there once and both results read them, so no payload is
+    parsed twice; the caller removes the folder after use.
     """
     keep = keep or []
     # Stage 1: parse once. Stage 2: split the object into its fields. Stage 3:
@@ -194,6 +196,9 @@ def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = Non
                                 F.when(is_reserved_skill(F.col(reserved_skill_field)), F.lit("reserved")))])
         typed = typed.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(reserved))
     typed = typed.drop("_not_object", *[f"_e_{n}" for n, _ in errs])
+    if stage_path:
+        typed.write.mode("overwrite").parquet(stage_path)
+        typed = raw.sparkSession.read.schema(typed.schema).parquet(stage_path)
     valid = typed.filter(F.size("errors") == 0).select(*keep, *[f.name for f in fields])
     rejected = typed.filter(F.size("errors") > 0).select(*keep, payload_col, "errors")
     return valid, rejected

@@ -481,3 +481,26 @@ def q_mr_by_id(spark, d):
     from ..operators.upgrades import by_id
 
     return by_id(_mrs(spark, d), 5)
+
+
+def _stream_changes(spark, d):
+    from ..streaming.changes import start_mr_feed
+
+    src, sink, ck = _stream_dirs(spark, "stream-mr-status")
+    fx.fx_mr_changes(spark, d).write.parquet(src)
+    start_mr_feed(spark, src, sink, ck).awaitTermination()
+    return sink
+
+
+@query("stream_mr_status")
+def q_stream_mr_status(spark, d):
+    from ..streaming.changes import read_merge_requests
+
+    return read_merge_requests(spark, _stream_changes(spark, d)).select("id", "mr_url", "title", "status", "merged_at")
+
+
+@query("stream_mr_status_errors")
+def q_stream_mr_status_errors(spark, d):
+    from ..streaming.changes import read_status_errors
+
+    return read_status_errors(spark, _stream_changes(spark, d))

@@ -450,3 +450,20 @@ FROM _elig e LEFT JOIN _own o ON o.owner = e.id
 WHERE e.id IN (SELECT o_orderkey % 150 FROM orders) GROUP BY ALL""")
 
 register("mr_by_id", ["fx_upgrade_posts"], _MRS + "SELECT * FROM fx_mrs WHERE id = 5")
+
+
+_CHANGES = _MRS + """
+, _posted AS (SELECT mr_url, min(arrival) * 2 AS first_at, max(arrival) * 2 AS last_at FROM fx_upgrade_posts GROUP BY mr_url),
+_sent AS (SELECT 2 * o_orderkey + 1 AS arrival, 1 + o_orderkey * 13 % 120 AS id,
+            CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'merged' END AS status,
+            CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS merged_at FROM orders),
+_placed AS (SELECT s.*, p.last_at, coalesce(s.arrival > p.first_at, false) AS found
+            FROM _sent s LEFT JOIN fx_mrs m ON m.id = s.id LEFT JOIN _posted p ON p.mr_url = m.mr_url),
+_final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrival DESC) AS rn FROM _placed
+                          WHERE found AND arrival > last_at) WHERE rn = 1)
+"""
+register("stream_mr_status", ["fx_upgrade_posts"], _CHANGES + """
+SELECT m.id, m.mr_url, m.title, coalesce(f.status, m.status) AS status,
+  CASE WHEN f.id IS NULL THEN m.merged_at ELSE f.merged_at END AS merged_at
+FROM fx_mrs m LEFT JOIN _final f ON f.id = m.id""")
+register("stream_mr_status_errors", ["fx_upgrade_posts"], _CHANGES + "SELECT arrival, id, 'not_found' AS error FROM _placed WHERE NOT found")

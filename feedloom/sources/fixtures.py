@@ -195,3 +195,13 @@ def fx_skill_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = F.element_at(pads, (k % 6 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(pad, F.lit("a b"), pad, F.lit(","), pad, F.lit(",技能"), pad, F.lit(","),
                                                                          k.cast("string"), pad).alias("skills"))
+
+
+def fx_mr_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The post feed (even arrivals) and a status update per order (odd arrivals); some ids name no MR (yet)."""
+    posts = fx_upgrade_posts(spark, sf_dir).withColumn("arrival", F.col("arrival") * 2).withColumn("id", F.lit(None).cast("long"))
+    k = F.col("o_orderkey")
+    updates = table(spark, sf_dir, "orders").select(
+        (2 * k + 1).alias("arrival"), (1 + k * 13 % 120).alias("id"), F.when(k % 3 == 0, "closed").otherwise("merged").alias("status"),
+        F.when(k % 3 != 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("merged_at"))
+    return posts.unionByName(updates, allowMissingColumns=True)

@@ -1,21 +1,38 @@
 """ST3: merge-request change feed applied as a keyed merge per micro-batch.
 
 Batch n reads the table version n (the state after batch n-1), upserts its
-posts (M1) and writes version n+1 with its id high-water mark. A retried batch
-rewrites the same version from the same input: idempotent by batch id.
+posts (M1), applies its status updates (M2) and writes version n+1 with its id
+high-water mark. A row with ``mr_url`` is a post; a row without one changes the status of
+the MR ``id``. Both are taken in arrival order: an update before the MR's first
+post is a ``not_found`` error, one before its last post is overwritten by it. The batch
+is staged once. A retried batch rewrites the same version from the same
+input: idempotent by batch id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.upgrades import empty_merge_requests, upsert
+from ..operators.upgrades import apply_status_updates, empty_merge_requests, upsert
 from ..schemas import MERGE_REQUESTS
 from ..sources import sinks
+from .common import write_batch
 
 POST_SCHEMA = ("arrival long, mr_url string, title string, head_commit_hash string, iteration_type string, "
                "feedback_id_start long, feedback_id_end long, status string, opened_at timestamp_ntz, "
-               "merged_at timestamp_ntz")
+               "merged_at timestamp_ntz, id long")
+
+
+def _apply_in_order(new: DataFrame, posts: DataFrame, updates: DataFrame, hwm: int) -> tuple[DataFrame, DataFrame]:
+    """Status updates of a batch on the table its posts are in already: (table, not_found errors)."""
+    span = posts.groupBy("mr_url").agg(F.min("arrival").alias("_first"), F.max("arrival").alias("_last"))
+    own = new.select(F.col("id").alias("_id"), "mr_url").join(span, "mr_url").drop("mr_url")
+    placed = updates.join(own, F.col("id") == F.col("_id"), "left")
+    early = (F.col("_id") > hwm) & (F.col("arrival") < F.col("_first"))  # its MR is made later in the batch
+    errors = placed.filter(F.coalesce(early, F.lit(False))).select("arrival", "id", F.lit("not_found").alias("error"))
+    table, unknown = apply_status_updates(new, placed.filter(F.col("_id").isNull() | (F.col("arrival") > F.col("_last")))
+                                          .select("arrival", "id", "status", "merged_at"))
+    return table, unknown.unionByName(errors)
 
 
 def start_mr_feed(spark: SparkSession, source: str, base: str, checkpoint: str, available_now: bool = True,
@@ -39,12 +56,25 @@ def start_mr_feed(spark: SparkSession, source: str, base: str, checkpoint: str,
             if row is None:
                 raise ValueError(f"no committed version {batch_id} below {base}; the table would start empty again")
             hwm = int(row[0])
-        new = upsert(old, batch, hwm)
+        stage = f"{base}/_stage/v={batch_id + 1}"
+        batch.write.mode("overwrite").parquet(f"{stage}/batch")  # evaluated once
+        batch = s.read.schema(batch.schema).parquet(f"{stage}/batch")
+        posts = batch.filter("mr_url is not null").drop("id")
+        updates = batch.filter("mr_url is null").select("arrival", "id", "status", "merged_at")
+        new = upsert(old, posts, hwm)
         path = f"{base}/v={batch_id + 1}/merge_requests"
-        new.write.mode("overwrite").parquet(path)
+        if updates.isEmpty():
+            new.write.mode("overwrite").parquet(path)
+        else:
+            new.write.mode("overwrite").parquet(f"{stage}/new")
+            table, errors = _apply_in_order(s.read.schema(MERGE_REQUESTS).parquet(f"{stage}/new"), posts, updates, hwm)
+            table.write.mode("overwrite").parquet(path)
+            write_batch(errors, f"{base}/_status_errors", batch_id)
         top = s.read.parquet(path).agg({"id": "max"}).first()[0]
         sinks.commit(s, base, {}, {"merge_requests": max(hwm, int(top or 0))}, version=batch_id + 1,
                      already_written=["merge_requests"], claimed=True)
+        fs, staged = sinks._fs(s, stage)
+        fs.delete(staged, True)
 
     w = posts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
@@ -53,3 +83,8 @@ def start_mr_feed(spark: SparkSession, source: str, base: str, checkpoint: str,
 
 def read_merge_requests(spark: SparkSession, base: str) -> DataFrame:
     return sinks.read_table(spark, base, "merge_requests", MERGE_REQUESTS)
+
+
+def read_status_errors(spark: SparkSession, base: str) -> DataFrame:
+    """Status updates that named no MR: (arrival, id, error)."""
+    return spark.read.schema("arrival long, id long, error string, batch_id int").parquet(f"{base}/_status_errors").drop("batch_id")
