@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, bands: int, size: int, id_col: str, text_col: st
         run, f"id {kind}, n_shingles long, key binary, bands array<bigint>, text_crc32 long")
 
 
-def sets_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, size: int, text_col: str) -> DataFrame:
     """``key, shingles`` (packed) per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 0, BATCH_BYTES):
@@ -207,8 +207,9 @@ def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5
     shared = (in_bands.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n")).alias("pivot"))
               .filter("c > 1").select("band", "hash", "pivot"))
     members, _ = stored(in_bands.join(shared, ["band", "hash"]), f"{path}/members")
-    of_members = docs.join(members.select("rep").distinct(), F.col(id_col).eqNullSafe(F.col("rep")), "left_semi")
-    sets, _ = stored(sets_of(of_members, size, id_col, text_col), f"{path}/sets")
+    of_members = (docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+                  .join(members.select("rep").distinct(), F.col("_i").eqNullSafe(F.col("rep")), "left_semi"))
+    sets, _ = stored(sets_of(of_members, size, "_t"), f"{path}/sets")
 
     stars = (members.filter((F.col("key") != F.col("pivot.key")) & near(F.col("n"), F.col("pivot.n")))
              .select(F.col("pivot.key").alias("a"), F.col("key").alias("b")).distinct())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 EXTRA = ["n_bytes", "n_tokens", "key", "id", "bands", "chunk", "bucket", "quality", "score", "x", "hash", "value", "labels", "start",
-         "segment", "digest", "payload", "owner", "_text", "_id", "_hash", "doc", "text_crc32", "kept", "items", "_crc", "count"]
+         "segment", "digest", "payload", "owner", "_text", "_id", "_hash", "doc", "text_crc32", "kept", "items", "_crc", "count", "rep", "node", "root", "a", "b", "f", "p", "pivot", "z", "_i", "_t"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                        T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
                       + [T.StructField(c, T.StringType()) for c in EXTRA])
