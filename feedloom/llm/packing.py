@@ -34,7 +34,7 @@ SEQUENCE = 2048
 END_ID = 1
 CHUNK_TOKENS = 1 << 22  # documents packed together: 4M tokens, 16 MB of ids
 BATCH_BYTES = 4 << 20
-MEMO_WORDS = 1_000_000  # words whose ids a worker remembers; then it starts anew
+MEMO_WORDS = 400_000  # words whose ids a task remembers; then it starts anew
 JOINED = 256  # unseen words given to the tokenizer as one text
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 
@@ -207,6 +207,12 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base = word_ids(model), TaskContext.get().partitionId() << 32
+        try:
+            yield from pieces_of(batches, words, base)
+        finally:
+            words._clear()  # the worker lives on for tasks of other stages
+
+    def pieces_of(batches: Iterator[pa.RecordBatch], words: WordIds, base: int) -> Iterator[pa.RecordBatch]:
         keys, ids, tokens = [], [], 0
         for b in by_bytes(batches, 1, BATCH_BYTES):
             keys += b.column(0).to_pylist()
