@@ -481,6 +481,26 @@ def test_compare_finds_passages_one_by_one():
     assert compare(a, b, 46) == []
 
 
+@pytest.mark.parametrize("size", [50, 60, 75])
+def test_compare_finds_passages_with_one_changed_word(size):
+    import random
+
+    from feedloom.llm.passages import compare
+    from feedloom.llm.shingles import shingle_hashes, word_hashes
+
+    rnd = random.Random(size)
+    word = lambda: "w" + str(rnd.randrange(10 ** 9))
+    passage = [word() for _ in range(size)]
+    for k in range(size):
+        other = passage[:k] + ["new"] + passage[k + 1:]
+        for before, after in ((30, 40), (0, 0)):
+            a, b = ([word() for _ in range(before)] + p + [word() for _ in range(after)] for p in (passage, other))
+            h, n = shingle_hashes(*word_hashes([" ".join(a).encode(), " ".join(b).encode()]), 5)
+            (lo, hi, p, q, s), = compare(h[:n[0]], h[n[0]:], 46)
+            assert q - p >= 46 and s >= 0.8 and lo == p and hi == q
+            assert p <= before + (k + 1 if k < 5 else 0) and q >= before + size - 4 - (size - k if k > size - 6 else 0)
+
+
 def test_near_passages(docs, rows, make):
     from feedloom.llm.passages import near_passages
 
