@@ -501,6 +501,22 @@ def test_compare_finds_passages_with_one_changed_word(size):
             assert p <= before + (k + 1 if k < 5 else 0) and q >= before + size - 4 - (size - k if k > size - 6 else 0)
 
 
+def test_compare_meets_every_place_of_a_token(monkeypatch):
+    from feedloom.llm import passages
+
+    rnd = np.random.default_rng(8)
+    a, far = rnd.integers(0, 1 << 60, 56, dtype=np.uint64), rnd.integers(0, 1 << 60, 400, dtype=np.uint64)
+    near = lambda x, y: passages.compare(np.concatenate(x), np.concatenate(y), 46)
+    for limit in (1 << 20, 40):
+        monkeypatch.setattr(passages, "MATCHES", limit, raising=False)
+        # a first part earlier, the whole later; the whole twice
+        assert near([a[:26], far[:200], a], [far[300:], a]) == [(226, 282, 100, 156, 1.0)]
+        assert near([a[:20], far[:3], a], [a]) == [(23, 79, 0, 56, 1.0)]
+        assert near([a, far[:200], a], [a]) == [(0, 56, 0, 56, 1.0), (256, 312, 0, 56, 1.0)]
+        line = np.tile(a[:7], 30)
+        assert (0, 210, 0, 210, 1.0) in near([line], [line])
+
+
 def test_near_passages(docs, rows, make):
     from feedloom.llm.passages import near_passages
 
