@@ -534,6 +534,40 @@ def test_near_passages(docs, rows, make):
             assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9
 
 
+def test_copies_are_paired_beside_a_smaller_holder_of_their_values(make):
+    """Exact copies whose min-hash values are held by smaller documents too: a variant that is no near duplicate, unrelated documents
+    with a stock phrase each, and many documents with a common line."""
+    import random
+
+    from feedloom.llm.passages import near_passages
+
+    rnd = random.Random(11)
+    new = lambda n: ["w" + str(rnd.randrange(10 ** 9)) for _ in range(n)]
+    out, want = [], set()
+
+    def add(*parts):
+        out.append((len(out), " ".join(w for p in (new(8), *parts, new(8)) for w in p)))
+        return out[-1][0]
+
+    for _ in range(12):
+        passage = new(60)
+        add([new(1)[0] if k in (15, 30, 45) else w for k, w in enumerate(passage)])
+        want.add((add(passage), add(passage)))
+    for _ in range(12):
+        stock = [new(9) for _ in range(7)]
+        for p in stock:
+            add(new(30), p, new(30))
+        want.add((add(*stock), add(*stock)))
+    line = new(16)
+    for k in range(120):
+        add(new(30), line, new(30))
+        if k % 20 == 0:
+            before, after = new(17), new(17)
+            want.add((add(before, line, after), add(before, line, after)))
+    found = {(r.partner_id, r.doc_id) for r in near_passages(make(out, "beside")).collect()}
+    assert found == want
+
+
 # ---- empty tables
 
 @pytest.mark.parametrize("name", ["tokens", "substrings", "licenses", "near", "pack", "rules", "leaks", "passages"])
