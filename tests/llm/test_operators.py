@@ -568,6 +568,14 @@ def test_copies_are_paired_beside_a_smaller_holder_of_their_values(make):
     assert found == want
 
 
+def test_functions_of_passages_keep_the_chance_of_a_miss():
+    from feedloom.llm import passages as P
+
+    s, n = P.PERCENT / 100, P.HASHES
+    assert (1 - s) ** n + n * s * (1 - s) ** (n - 1) <= 5e-5 and P.NEED == 2
+    assert (1 - s ** P.ROWS) ** P.BANDS <= 5e-5
+
+
 # ---- empty tables
 
 @pytest.mark.parametrize("name", ["tokens", "substrings", "licenses", "near", "pack", "rules", "leaks", "passages"])
