@@ -17,10 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PERCENT, SHINGLE = 80, 5
 
 
+def _id():
+    """The id as text, so that null is a value."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
+
+
 def _key() -> list:
-    """What names a row: its id (as text, so that null is a value) and its text's checksum."""
-    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
-            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc")]
+    """What names a row: its id and its text's SHA-256. Rows that are equal in both have equal results in every stage."""
+    return [_id(), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("_sha")]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,28 +36,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that of the smallest id (of repeated rows, one)."""
-    found = near_duplicates.near_duplicates(docs, scratch_path(spark, "pipeline-near"), percent=PERCENT, size=SHINGLE)
-    kept = found.filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
-                                       F.col("text_crc32").alias("_crc"))
-    return (docs.select(*COLUMNS, *_key()).join(kept, ["_id", "_crc"], "left_semi")
-            .dropDuplicates(["_id", "_crc"]).select(*COLUMNS))
+    found = near_duplicates.near_duplicates(docs, scratch_path(spark, "pipeline-near"), percent=PERCENT, size=SHINGLE, digest=True)
+    kept = found.filter("kept").select(_id(), F.col("text_sha256").alias("_sha"))
+    return (docs.select(*COLUMNS, *_key()).join(kept, ["_id", "_sha"], "left_semi")
+            .dropDuplicates(["_id", "_sha"]).select(*COLUMNS))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes that a smaller document holds too; a document of which no word is left goes."""
     cut = substrings.substring_dedup(docs, scratch_path(spark, "pipeline-substrings"), with_text=True)
-    cut = cut.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_crc32").alias("_crc"),
-                     "kept_text", "n_removed")
-    rest = docs.select("doc_id", "lang", "source", *_key()).join(cut, ["_id", "_crc"])
+    cut = cut.select(_id(), F.col("text_sha256").alias("_sha"), "kept_text", "n_removed").dropDuplicates(["_id", "_sha"])
+    rest = docs.select("doc_id", "lang", "source", *_key()).join(cut, ["_id", "_sha"])
     return (rest.filter("n_removed = 0 or kept_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumnRenamed("kept_text", "text")
             .withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch_path(spark, "pipeline-postings"))
+    named = F.concat_ws(":", "_id", F.hex("_sha"))
+    keyed = docs.select(*COLUMNS, *_key())
+    found = decontaminate.decontaminate(keyed.select(named.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+                                        scratch_path(spark, "pipeline-postings"))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return keyed.join(bad, named == F.col("_bad"), "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -80,9 +81,10 @@ def band_hashes(sets: list[np.ndarray], bands: int, band: int = BAND) -> np.ndar
     return out
 
 
-def signatures(docs: DataFrame, bands: int, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_shingles, key, bands, text_crc32`` per row (key and bands null for an empty set)."""
+def signatures(docs: DataFrame, bands: int, size: int, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+    """``id, n_shingles, key, bands, text_crc32`` (and ``text_sha256``) per row (key and bands null for an empty set)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "n_shingles", "key", "bands", "text_crc32"] + ["text_sha256"] * digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, BATCH_BYTES):
@@ -96,10 +98,11 @@ def signatures(docs: DataFrame, bands: int, size: int, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(rows, pa.list_(pa.int64())),
-                 pa.array([zlib.crc32(t) for t in texts], pa.int64())], names=["id", "n_shingles", "key", "bands", "text_crc32"])
+                 pa.array([zlib.crc32(t) for t in texts], pa.int64()),
+                 *([pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())] if digest else [])], names=names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        run, f"id {kind}, n_shingles long, key binary, bands array<bigint>, text_crc32 long")
+        run, f"id {kind}, n_shingles long, key binary, bands array<bigint>, text_crc32 long" + ", text_sha256 binary" * digest)
 
 
 def sets_of(docs: DataFrame, size: int, text_col: str) -> DataFrame:
@@ -197,10 +200,12 @@ def sharing(diffs: DataFrame, root: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id, kept, text_crc32`` per row; intermediate tables are written below ``path``."""
+                    text_col: str = "text", digest: bool = False) -> DataFrame:
+    """``id, n_shingles, component_id, kept, text_crc32`` per row; intermediate tables are written below ``path``. ``digest`` adds
+    ``text_sha256``, which tells rows with equal ids apart."""
+    names = ["text_crc32"] + ["text_sha256"] * digest
     near = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))  # noqa: E731  sizes alone allow the threshold
-    rows, _ = stored(signatures(docs, bands_for(percent), size, id_col, text_col), f"{path}/signatures")
+    rows, _ = stored(signatures(docs, bands_for(percent), size, id_col, text_col, digest), f"{path}/signatures")
     classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     in_bands = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "hash"))
@@ -235,9 +240,9 @@ def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5
             known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
             root = components(known.unionAll(more), f"{path}/components3")
 
-    keyed = rows.join(root, F.col("key") == F.col("node"), "left").select("id", "n_shingles", "text_crc32", F.coalesce("root", "key").alias("root"))
+    keyed = rows.join(root, F.col("key") == F.col("node"), "left").select("id", "n_shingles", *names, F.coalesce("root", "key").alias("root"))
     least = keyed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "of")
     result = keyed.join(least, F.col("root") == F.col("of"), "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
     return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                         F.col("id").eqNullSafe(component).alias("kept"), "text_crc32")
+                         F.col("id").eqNullSafe(component).alias("kept"), *names)

@@ -339,8 +339,8 @@ def removed_runs(p: Parse, phrases: np.ndarray, strings: np.ndarray, size: int)
 
 
 def cut(joined: DataFrame, id_col: str, kind: str, with_text: bool) -> DataFrame:
-    """``id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``text_crc32, kept_text``) per row."""
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text_crc32", "kept_text"] * with_text
+    """``id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``text_crc32, text_sha256, kept_text``) per row."""
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text_crc32", "text_sha256", "kept_text"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -355,11 +355,11 @@ def cut(joined: DataFrame, id_col: str, kind: str, with_text: bool) -> DataFrame
                     n = int(m.sum())
                     kept = np.frombuffer(t, np.uint8)[~m].tobytes() if n else t
                     spans = int((np.diff(m.astype(np.int8), prepend=0) == 1).sum()) if n else 0
-                    rows.append((key, len(t), n, spans, hashlib.sha256(kept).hexdigest(), *([zlib.crc32(t), kept.decode("utf-8", "ignore")] if with_text else [])))
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.string()] * with_text
+                    rows.append((key, len(t), n, spans, hashlib.sha256(kept).hexdigest(), *([zlib.crc32(t), hashlib.sha256(t).digest(), kept.decode("utf-8", "ignore")] if with_text else [])))
+                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.binary(), pa.string()] * with_text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    text = ", text_crc32 long, kept_text string" if with_text else ""
+    text = ", text_crc32 long, text_sha256 binary, kept_text string" if with_text else ""
     return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{text}")
 
 
@@ -367,8 +367,8 @@ def substring_dedup(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                     section_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Remove every byte covered by a ``SPAN``-byte string that starts in a document with a smaller id too.
 
-    ``with_text`` adds the kept bytes as text (bytes of a character that was cut are left out) and the CRC-32 of
-    the whole text, which tells rows with equal ids apart.
+    ``with_text`` adds the kept bytes as text (bytes of a character that was cut are left out) and the CRC-32 and SHA-256 of
+    the whole text, which tell rows with equal ids apart.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))

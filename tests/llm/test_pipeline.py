@@ -100,6 +100,31 @@ def brute_rows(own):
     return out
 
 
+def colliding():
+    """Two different texts with equal CRC-32."""
+    import zlib
+
+    seen = {}
+    for k in range(10 ** 7):
+        t = f"clean text {k} of its own " + " ".join(f"c{k}x{j}" for j in range(6))
+        if (c := zlib.crc32(t.encode())) in seen:
+            return seen[c], t
+        seen[c] = t
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, make, tmp_path):
+    leak = "Here are the " + ITEMS[2][1]
+    one, two = colliding()
+    rows = [(None, leak), (None, "a clean text without an id"), (None, one), (None, two), (5, "Some quite different words stand before it: " + ITEMS[2][1]), (5, "a clean text of the same id"),
+            (6, "twice the same clean row"), (6, "twice the same clean row")]
+    docs = make(rows, "ids")
+    sf = folder(spark, tmp_path, docs)
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    assert Counter(pairs(P.leaks(spark, docs, sf))) == Counter(r for r in rows if ITEMS[2][1] not in r[1])
+    assert Counter(pairs(P.near(spark, docs, sf))) == Counter(set(rows))
+    assert Counter(pairs(P.substring(spark, docs, sf))) == brute_cut(rows)
+
+
 def test_empty_documents(spark, empty, tmp_path):
     sf = folder(spark, tmp_path, empty)
     assert P.run(spark, sf).collect() == []
