@@ -1,7 +1,7 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line) matches a template if it holds at least ``THRESHOLD`` of the
-template's distinct tokens. Tokens are put in one global order, rarest in the
+A block (a line, or as many words in a row as the template has, over line breaks) matches a
+template if it holds at least ``THRESHOLD`` of the template's distinct tokens. For lines, tokens are put in one global order, rarest in the
 corpus first. If a block holds ``need`` tokens of a template, then the two
 share a token among the template's first ``size - need + 1`` (its prefix), so
 only these are joined; block length and the places of the shared token in
@@ -135,11 +135,36 @@ def matches(docs: DataFrame, key: list[str], text_col: str, templates: dict[str,
             .select(*key, "block", "label", "template", (shared / F.size("t_ranks")).alias("containment")))
 
 
+def wrapped(docs: DataFrame, key: list[str], text_col: str, templates: dict[str, list[str]] = TEMPLATES,
+            threshold: float = THRESHOLD) -> DataFrame:
+    """``key, label, containment``: the best run of words, as long as the template and over line breaks, that reaches the threshold."""
+    sets = [(label, sorted(set(t.split(" "))), len(t.split(" "))) for label, ts in templates.items() for t in ts]
+    words = lambda ts: F.array(*[F.lit(t) for t in ts])
+    every = F.array(*[F.struct(F.lit(label).alias("label"), words(ts).alias("tokens"), F.lit(math.ceil(threshold * len(ts) - 1e-9)).alias("need"),
+                               F.lit(n).alias("length")) for label, ts, n in sets])
+    own = F.array_intersect(words_of(F.col(text_col)), words(sorted({t for _, ts, _ in sets for t in ts})))
+    maybe = let(own, lambda o: F.filter(every, lambda t: F.size(F.array_intersect(o, t["tokens"])) >= t["need"]))
+    pairs = (docs.select(*key, text_col, maybe.alias("_maybe")).filter(F.size("_maybe") > 0)
+             .select(*key, text_col, F.explode("_maybe").alias("_t")))
+    places = F.filter(F.transform(words_of(F.col(text_col)), lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
+                      lambda x: F.array_contains(F.col("_t.tokens"), x["w"]))
+
+    def held(p: Column) -> Column:
+        """The most distinct tokens in a run that begins with a token of the template."""
+        return F.array_max(F.transform(p, lambda x, k: F.size(F.array_distinct(F.transform(
+            F.filter(F.slice(p, k + 1, F.col("_t.length")), lambda y: y["i"] < x["i"] + F.col("_t.length")), lambda y: y["w"])))))
+
+    found = pairs.select(*key, "_t", let(places, held).alias("_held")).filter(F.col("_held") >= F.col("_t.need"))
+    return found.select(*key, F.col("_t.label").alias("label"), (F.col("_held") / F.size("_t.tokens")).alias("containment"))
+
+
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per row."""
     text = F.col("_text")
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    found = (matches(src, ["_id", "_hash"], "_text").groupBy("_id", "_hash")
+    columns = ["_id", "_hash", "label", "containment"]
+    blocks = matches(src, ["_id", "_hash"], "_text").select(*columns).unionAll(wrapped(src, ["_id", "_hash"], "_text").select(*columns))
+    found = (blocks.groupBy("_id", "_hash")
              .agg(F.collect_set("label").alias("_own"), F.max("containment").alias("_best")))  # a label each at most
     base = src.select("_id", "_hash", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
                       phrase_report(text).alias("_b"))

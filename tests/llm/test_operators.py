@@ -151,6 +151,22 @@ def test_license_report(docs, rows):
     assert sum(k[2] for k in want) >= 4 and any("rights-reserved" in k[6] for k in want)
 
 
+def test_license_notices_over_several_lines(make):
+    from feedloom.llm.licenses import TEMPLATES, license_report
+
+    def wrap(text, n):
+        w = text.split(" ")
+        return "".join(f"\n * {' '.join(w[k:k + n])}" for k in range(0, len(w), n))
+
+    notices = [(label, t) for label, ts in TEMPLATES.items() for t in ts if len(t.split()) >= 20]
+    rows = [(k, "Some words before." + wrap(t, 7) + "\nand after") for k, (_, t) in enumerate(notices)]
+    far = notices[0][1].split(" ")  # all its tokens, but not in a row
+    rows += [(90, "\n".join(w + " x y z u v" for w in far)), (91, "nothing here")]
+    out = {r.doc_id: r for r in license_report(make(rows, "wrapped")).collect()}
+    assert len(notices) >= 4 and all(label in out[k].labels.split(",") and out[k].score == 1.0 for k, (label, _) in enumerate(notices))
+    assert (out[90].labels, out[90].score, out[91].labels, out[91].score) == ("", 0.0, "", 0.0)
+
+
 # ---- quality classifier
 
 def test_trees_learn_and_walk():
