@@ -136,3 +136,82 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_
   sha256(coalesce(items.list, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _lloyd(dims: int = 64, k: int = 8, rounds: int = 10, scale: int = 1024, seed: int = 3) -> str:
+    """Lloyd's rounds as a chain of common table expressions."""
+    key = f"sha256('{seed}:' || vec_id)"
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY {key}, v) - 1 AS c, v FROM (SELECT * FROM kept WHERE vec_id IS NOT NULL ORDER BY {key}, v LIMIT {k})
+)"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS near
+  FROM (SELECT row, vec_id, kept.v, c,
+               list_sum(list_transform(list_zip(kept.v, m.v), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT))) AS d
+        FROM kept, c{r} AS m) GROUP BY row
+)""")
+        if r < rounds:
+            ctes.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT old.c, coalesce(new.v, old.v) AS v
+  FROM c{r} AS old LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT near.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) AS u(i) GROUP BY ALL) GROUP BY c
+  ) AS new ON old.c = new.c
+)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, CAST(near.d AS BIGINT) AS distance,
+       CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS m ON near.c = m.c
+"""
+
+
+SQL["op11_centroids"] = _lloyd()
+
+# CRC-32 of the id in decimal, bit by bit; then the planted repeats, all maximal stretches of every lag, and of those that
+# qualify the ones that no smaller lag covers.
+SQL["op13_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)) AS code
+  FROM documents
+), h AS (
+  SELECT row, doc_id, w, len(w) AS n,
+         xor(4294967295, list_reduce(flatten(list_transform(code, lambda o: list_transform(range(8), lambda b: (o >> b) & 1))),
+             lambda c, b: xor((xor(c, b)) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) AS h
+  FROM d
+), a AS (SELECT *, h % 10 = 0 AND n > 0 AS planted, h // 10 AS g FROM h),
+p AS (SELECT row, doc_id, w, n, planted, CASE WHEN planted THEN g % n END AS a,
+             CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM a),
+docs AS (
+  SELECT row, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END])
+                              ELSE w END AS w FROM p
+), words AS (SELECT row, n, unnest(range(n)) AS i, unnest(w) AS word FROM docs WHERE n >= 24),
+same AS (
+  SELECT x.row, y.i - x.i AS q, x.i AS i, x.i - row_number() OVER (PARTITION BY x.row, y.i - x.i ORDER BY x.i) AS island
+  FROM words AS x JOIN words AS y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT row, q, min(i) AS s, count(*) + q AS len FROM same GROUP BY row, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT * FROM stretches AS r WHERE NOT EXISTS (
+    SELECT 1 FROM stretches AS t WHERE t.row = r.row AND t.q < r.q AND t.s <= r.s AND t.s + t.len >= r.s + r.len)
+), best AS (
+  SELECT row, s, len, q FROM runs AS r WHERE NOT EXISTS (
+    SELECT 1 FROM runs AS t WHERE t.row = r.row AND (t.len * r.q > r.len * t.q OR (t.len * r.q = r.len * t.q AND
+      (t.s < r.s OR (t.s = r.s AND t.q < r.q)))))
+), listed AS (
+  SELECT row, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM runs GROUP BY row
+), dropped AS (SELECT row, list(DISTINCT i) AS gone FROM (SELECT row, unnest(range(s + q, s + len)) AS i FROM runs) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, CAST(len AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * len // q AS BIGINT) AS exponent_milli, sha256(coalesce(txt, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+                                   ELSE list_transform(list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' '))
+         AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (row) LEFT JOIN best USING (row) LEFT JOIN dropped USING (row)
+"""

@@ -98,3 +98,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import near_passages
 
     return near_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroids")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"), scratch_path(spark, "centroids"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256"))
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .languages import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import echo_plan, periodic_runs
+
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=echo_plan)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

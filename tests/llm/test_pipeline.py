@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 
 import corpus_pipeline as P
-from test_operators import brute_leaks, brute_near
+from test_llm_operators import brute_leaks, brute_near
 
 REPO = Path(__file__).resolve().parents[2]
 ITEMS = [("a", None), ("w", "One of the words"), ("leak", "leaked words of a test item that nobody should train on at all")]
