@@ -34,3 +34,10 @@ def floor_div(c: Column, divisor: int | Column) -> Column:
     d = divisor if isinstance(divisor, Column) else F.lit(int(divisor)).cast("long")
     c = c.cast("long")
     return F.call_function("div", c - F.pmod(c, d), d).cast("long")
+
+
+def search(array: Column, key: Column, most: int) -> Column:
+    """The number of entries of an ascending array that are <= ``key`` (0 for a NULL array or key): a binary search in
+    log2(``most``) steps. ``most``: the most entries an array may have."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(int(most).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) <= key, at + step).otherwise(at))

@@ -4,46 +4,57 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import floor_div
 from ..functions.purge_rules import purge_eligible, refusal_reason
 from ..schemas import CORRECTION_COLUMNS, MR_COLUMNS
 from .ids import assign_ids
-from .ranges import first_owner
+from .ranges import count_by_owner, owner_at, owner_steps
 
 
 @dataclass
 class PurgeResult:
-    survivors: DataFrame   # corrections left after the purge
-    marked: DataFrame      # MR table with purged_at set on purged MRs
+    corrections: DataFrame
+    mrs: DataFrame
+    chosen: DataFrame      # the MRs that are purged, with their times
     refused: DataFrame     # requested MRs that were refused, with the reason
-    _audit: Callable[[], DataFrame]
+    audit_high_water_mark: int
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return _steps(self.chosen)
+
+    @cached_property
+    def survivors(self) -> DataFrame:
+        """Corrections left after the purge."""
+        return _survivors(self.corrections, self.steps)
+
+    @cached_property
+    def marked(self) -> DataFrame:
+        """The MR table with purged_at set on purged MRs."""
+        return _marked(self.mrs, self.chosen)
 
     @cached_property
     def audit(self) -> DataFrame:
-        """One row per purged MR, deleted_count may be 0. Built on first use: numbering
-        the audit ids runs a job, which a caller after the survivors only never pays."""
-        return self._audit()
+        """One row per purged MR, deleted_count may be 0."""
+        return _audit_rows(self.chosen, _deleted(self.corrections, self.steps), self.audit_high_water_mark)
 
 
 def _ntz(value: dt.datetime):
     return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
 
 
-def _marked(mrs: DataFrame, chosen: DataFrame, ts) -> DataFrame:
+def _marked(mrs: DataFrame, chosen: DataFrame) -> DataFrame:
     """M5: purged_at set on the purged MRs."""
-    hit = chosen.select(F.col("id").alias("_hit"))
+    hit = chosen.select(F.col("id").alias("_hit"), "_at")
     return (mrs.join(hit, mrs["id"] == hit["_hit"], "left")
-            .withColumn("purged_at", F.when(F.col("_hit").isNotNull(), ts).otherwise(F.col("purged_at")))
-            .select(*MR_COLUMNS))
+            .withColumn("purged_at", F.coalesce("_at", "purged_at")).select(*MR_COLUMNS))
 
 
-def _audit_rows(chosen: DataFrame, deleted: DataFrame, high_water_mark: int) -> DataFrame:
+def _audit_rows(chosen: DataFrame, deleted: DataFrame, high_water_mark: int | Column) -> DataFrame:
     """M4: one audit row per purged MR, deleted_count 0 when its range held nothing.
 
     Audit ids depend only on (purged_at, MR id), so they are numbered on the
@@ -58,66 +69,47 @@ def _audit_rows(chosen: DataFrame, deleted: DataFrame, high_water_mark: int) ->
                     F.coalesce("deleted_count", F.lit(0)).cast("long").alias("deleted_count"), "purged_at"))
 
 
-def _ownership(corrections: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows no purge can touch, touched rows with ``_owner``).
+def _chosen(mrs: DataFrame, purged_at: dt.datetime, requests: DataFrame | None) -> DataFrame:
+    """(id, feedback_id_start, feedback_id_end, _at) of the MRs to purge: all eligible ones, or those of the requests. A
+    request may carry its own time in a column ``purged_at``; of several for one MR the earliest counts."""
+    ok = mrs.filter(purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at")))
+    ok = ok.select("id", "feedback_id_start", "feedback_id_end")
+    if requests is None:
+        return ok.withColumn("_at", _ntz(purged_at))
+    at = F.min("purged_at") if "purged_at" in requests.columns else F.lit(None).cast("timestamp_ntz")
+    times = requests.groupBy("id").agg(F.coalesce(at, _ntz(purged_at)).alias("_at"))
+    return ok.join(times, "id")
+
+
+def _steps(chosen: DataFrame) -> DataFrame:
+    """The step function from ids to the purge that deletes them: the earliest one (time, then MR id)."""
+    return owner_steps(chosen, F.struct("_at", "id"))
 
-    Only ids inside the overall span of the chosen ranges can be deleted. The
-    span is two scalars read from the (small) range table; as literals they
-    reach the Parquet scan, so the ownership join shuffles only the touched
-    rows and the others pass straight through.
-    """
-    span = chosen.agg(F.min("feedback_id_start").alias("lo"), F.max("feedback_id_end").alias("hi")).first()
-    owner_type = "struct<_at:timestamp_ntz,id:bigint>"
-    if span is None or span["lo"] is None:
-        return corrections, corrections.filter(F.lit(False)).withColumn("_owner", F.lit(None).cast(owner_type))
-    inside = F.col("id").between(F.lit(int(span["lo"])), F.lit(int(span["hi"])))
-    owned = first_owner(corrections.filter(inside), chosen, F.struct(F.col("_at"), F.col("id")), out="_owner")
-    return corrections.filter(~inside), owned
+
+def _deleted(corrections: DataFrame, steps: DataFrame) -> DataFrame:
+    """A10: deleted rows per MR, by ranks: no correction is moved for it."""
+    return count_by_owner(corrections, steps, out="deleted_count").select(F.col("_own.id").alias("merge_request_id"), "deleted_count")
+
+
+def _survivors(corrections: DataFrame, steps: DataFrame) -> DataFrame:
+    """The corrections that no purge covers."""
+    return owner_at(corrections, steps, out="_owner").filter(F.col("_owner").isNull()).select(*CORRECTION_COLUMNS)
 
 
 def purge(corrections: DataFrame, mrs: DataFrame, purged_at: dt.datetime,
           requests: DataFrame | None = None, audit_high_water_mark: int = 0) -> PurgeResult:
     """M3-M5 on one snapshot.
 
-    ``requests`` (column ``id``) names the MRs to purge; without it every
+    ``requests`` (column ``id``, and ``purged_at`` where purges differ in time) names the MRs to purge; without it every
     eligible MR is purged. Each deleted correction is counted for the earliest
     purge covering it (purged_at, then MR id), so audit counts sum to the
-    number of deleted rows even when ranges overlap.
+    number of deleted rows even when ranges overlap. The step function of the ranges is stored once (a
+    checkpoint of the ranges' size) when a result is first asked for.
     """
-    ts = _ntz(purged_at)
-    ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
-    if requests is not None:
-        req = requests.select("id").distinct()
-        refused = _refusals(mrs, requests)
-        chosen = mrs.join(req, "id", "left_semi").filter(ok)
-    else:
-        chosen = mrs.filter(ok)
-        refused = mrs.filter(F.lit(False)).select("id", F.lit(None).cast("string").alias("reason"))
-    chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
-    outside, owned = _ownership(corrections, chosen)
-    survivors = outside.select(*CORRECTION_COLUMNS).unionByName(
-        owned.filter(F.col("_owner").isNull()).select(*CORRECTION_COLUMNS))
-    deleted = owned.filter(F.col("_owner").isNotNull()).groupBy(F.col("_owner.id").alias("merge_request_id")).agg(
-        F.count(F.lit(1)).alias("deleted_count"))
-    marked = _marked(mrs, chosen, ts)
-    return PurgeResult(survivors=survivors, marked=marked, refused=refused,
-                       _audit=lambda: _audit_rows(chosen, deleted, audit_high_water_mark))
-
-
-def _touched_blocks(chosen: DataFrame, width: int, high_water_mark: int) -> list[int]:
-    """Id blocks the chosen ranges reach, clipped to ids ever assigned. Block numbers
-    only (at most one per block of the table), read on the driver for the commit record."""
-    s, e = F.col("feedback_id_start").cast("long"), F.least(F.col("feedback_id_end").cast("long"),
-                                                           F.lit(int(high_water_mark)))
-    rows = (chosen.filter(s <= e).select(F.explode(F.sequence(floor_div(s, width), floor_div(e, width))).alias("b"))
-            .distinct().collect())
-    return sorted(int(r[0]) for r in rows)
-
-
-@dataclass
-class PurgedVersion:
-    version: int        # the new version of the store
-    refused: DataFrame  # requested MRs that were refused (id, reason), as the version before had them
+    chosen = _chosen(mrs, purged_at, requests)
+    refused = (mrs.filter(F.lit(False)).select("id", F.lit(None).cast("string").alias("reason")) if requests is None
+               else _refusals(mrs, requests))
+    return PurgeResult(corrections, mrs, chosen, refused, audit_high_water_mark)
 
 
 def _refusals(mrs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -129,63 +121,33 @@ def _refusals(mrs: DataFrame, requests: DataFrame) -> DataFrame:
     return refused.unionByName(req.join(mrs.select("id"), "id", "left_anti").select("id", F.lit("not_found").alias("reason")))
 
 
-def purge_version(spark, base: str, purged_at: dt.datetime, requests: DataFrame | None = None) -> PurgedVersion:
-    """M3-M5 as one all-or-nothing step over a versioned store (sources.sinks).
+def purge_stored(spark, base: str, purged_at: dt.datetime, requests: DataFrame | None = None) -> DataFrame:
+    """M3-M5 over the stored tables (``sources.sinks``): returns the refused requests (id, reason).
 
-    Reads corrections, merge_requests and purge_audit of the current version,
-    writes the ownership of the touched corrections once into the new version
-    folder (cutting the lineage, so executor loss recomputes from that file,
-    not from the scan), derives the three new tables from it, and commits the
-    version last. Corrections are stored by id block: only the blocks the
-    purged ranges reach are read and rewritten, every other block stays in
-    its older version, and its deleted rows stay on the disk in older versions
-    until ``sinks.vacuum``. Returns the new version number and the refused requests.
+    Corrections and MRs are stored by id block. Only blocks that hold a purged id, or a purged MR, are read for
+    it and replaced (dynamic partition overwrite), so purged text is gone from the disk at once. The steps come in an order
+    that lets a purge that stopped half-way be called again: the audit rows are appended first; an MR
+    that has one but is not marked yet is purged again with its own time, and keeps its count; deleting and
+    marking give the same when repeated. One writer at a time, as with the service.
     """
     from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
+    from ..session import shared_dir
     from ..sources import sinks
 
-    snap = sinks.Snapshot(spark, base)  # the commit log, read once
-    width = snap.block_ids("corrections")
-    mrs = snap.read("merge_requests", MERGE_REQUESTS)
-    audit_old = snap.read("purge_audit", PURGE_AUDIT)
-    audit_hwm = snap.high_water_mark("purge_audit")
-    nv = snap.version + 1
-    sinks.claim(spark, base, nv)
-    ts = _ntz(purged_at)
-    ok = purge_eligible(F.col("iteration_type"), F.col("status"), F.col("merged_at"), F.col("purged_at"))
-    chosen = mrs.filter(ok) if requests is None else mrs.join(requests.select("id").distinct(), "id",
-                                                              "left_semi").filter(ok)
-    chosen = chosen.select("id", "feedback_id_start", "feedback_id_end").withColumn("_at", ts)
-    touched = None
-    if width is not None:
-        touched = _touched_blocks(chosen, width, snap.high_water_mark("corrections"))
-    cor = snap.read("corrections", CORRECTIONS, blocks=touched)
-    # stage the ownership once; the survivors and the audit counts both read it
-    outside, owned = _ownership(cor, chosen)
-    staged = f"{base}/v={nv}/_owned"
-    owned.withColumn("_owner_id", F.col("_owner.id")).drop("_owner").write.mode("overwrite").parquet(staged)
-    owned = spark.read.parquet(staged)
-    survivors = outside.select(*CORRECTION_COLUMNS).unionByName(
-        owned.filter(F.col("_owner_id").isNull()).select(*CORRECTION_COLUMNS))
-    deleted = owned.filter(F.col("_owner_id").isNotNull()).groupBy(
-        F.col("_owner_id").alias("merge_request_id")).agg(F.count(F.lit(1)).alias("deleted_count"))
-    audit_new = _audit_rows(chosen, deleted, audit_hwm)
-    audit = audit_new if audit_old is None else audit_old.unionByName(audit_new)
-    whole = {"merge_requests": _marked(mrs, chosen, ts), "purge_audit": audit}
-    block_writes = {}
-    if width is None:
-        whole["corrections"] = survivors
-    elif touched:
-        path = f"{base}/v={nv}/corrections"
-        sinks.write_table(survivors, path, width)
-        block_writes["corrections"] = (touched, sinks.filled_blocks(spark, path))
-    for name, df in whole.items():
-        sinks.write_table(df, f"{base}/v={nv}/{name}")
-    new_audit_hwm = spark.read.parquet(f"{base}/v={nv}/purge_audit").agg(F.max("id")).first()[0]
-    marks = {"purge_audit": max(audit_hwm, int(new_audit_hwm or 0))}
-    sinks.commit(spark, base, {}, marks, version=nv, already_written=list(whole), claimed=True, block_writes=block_writes)
-    fs, path = sinks._fs(spark, staged)
-    fs.delete(path, True)  # it held the deleted rows
-    refused = _refusals(mrs, requests) if requests is not None else mrs.filter(F.lit(False)).select(
-        "id", F.lit(None).cast("string").alias("reason"))
-    return PurgedVersion(nv, refused)
+    shared_dir(spark)
+    mrs, audit = sinks.read_blocks(spark, base, "merge_requests", MERGE_REQUESTS), sinks.read_stored(spark, base, "purge_audit", PURGE_AUDIT)
+    corrections = sinks.read_blocks(spark, base, "corrections", CORRECTIONS)
+    refused = (mrs.filter(F.lit(False)).select("id", F.lit(None).cast("string").alias("reason")) if requests is None
+               else _refusals(mrs, requests)).checkpoint(eager=True)  # as the tables were before
+    begun = (audit.select(F.col("merge_request_id").alias("id"), "feedback_id_start", "feedback_id_end", F.col("purged_at").alias("_at"))
+             .join(mrs.filter("purged_at IS NULL").select("id"), "id", "left_semi").withColumn("_begun", F.lit(True)))
+    new = _chosen(mrs, purged_at, requests).join(begun.select("id"), "id", "left_anti").withColumn("_begun", F.lit(False))
+    chosen = begun.unionByName(new).checkpoint(eager=True)
+    steps = _steps(chosen)
+    last = F.coalesce(audit.agg(F.max("id")).scalar(), F.lit(0))
+    sinks.append(_audit_rows(chosen.filter(~F.col("_begun")).drop("_begun"), _deleted(corrections, steps), last), f"{base}/purge_audit")
+    touched = sinks.blocks_of_steps(spark, base, "corrections", steps)
+    sinks.replace_blocks(_survivors(sinks.read_blocks(spark, base, "corrections", CORRECTIONS, touched), steps), touched, base, "corrections")
+    marked = sinks.block_col(chosen).select(sinks.BLOCK_COL).distinct()
+    sinks.replace_blocks(_marked(sinks.read_blocks(spark, base, "merge_requests", MERGE_REQUESTS, marked), chosen), marked, base, "merge_requests")
+    return refused

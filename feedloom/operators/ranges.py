@@ -1,213 +1,175 @@
-"""Range joins of closed id ranges against row ids, without a nested loop.
-
-Ids are grouped into a hierarchy of aligned blocks: level-0 buckets of
-``width`` ids, and blocks of ``width * fanout**j`` ids at level j. A range
-[s, e] is cut into at most two partial *edge* buckets (joined to the rows of
-that bucket with the range as a residual predicate) and whole *blocks*: at
-most 2(fanout-1) per level, plus the whole blocks of the top level.
-
-Whole blocks are answered from one pre-aggregated (level, block) table, built
-from the level-0 counts (or owners), so the work per range is bounded by its
-piece count. Edge pieces are reduced to distinct (bucket, lo, hi) shapes, at
-most width*(width+1)/2 per bucket, and each shape meets at most ``width``
-ids, so a bucket shared by very many ranges costs bounded work. All join keys
-are bucket or block numbers, which hash-partition evenly. Bucket arithmetic
-is exact integer division.
+"""Closed id ranges against row ids by rank: counts (J2, A5, A10) and owners (W5, J3), without a nested loop.
+
+*Rank.* Ids fall into blocks of 2**BLOCK_BITS. How many ids lie at or below a
+point is the number of ids in all earlier blocks plus the number in its own block up to
+it. The first part is an exclusive running sum over the block counts (blocks
+are summed to groups of 2**GROUP_BITS blocks, groups have their own running sum),
+so no id is moved for it: ids are counted map-side first. The second is a running
+count inside a block, and only the ids of blocks that hold a point take part. A
+range then holds rank(end) - rank(start - 1) ids, whatever its width. Every window
+partition is bounded: 2**BLOCK_BITS ids and as many points in a block,
+2**GROUP_BITS blocks in a group, and one row per group (2**21 for ids below 2**53).
+
+*Owners.* All starts and all ends + 1, ranked, cut the ids into elementary
+intervals, and a range is a stretch of these ranks. It is cut into dyadic nodes over the
+ranks (at most two per level), each node keeps its least owner, and an interval takes the
+least of the nodes above it. (Nodes above NODE_BITS levels are met once per 2**NODE_BITS
+intervals, so the few top nodes don't gather one row per interval.) What is
+left is a step function from ids to owners, one row per elementary
+interval. A row finds its owner by its block: the steps inside the block (binary
+search) and the owner that holds where the block begins.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import compact, floor_div
+from ..functions.arrays import search
 
-DEFAULT_WIDTH = 128
-DEFAULT_FANOUT = 64
-# Whole-block levels 0..8: a top block holds 128 * 64**8 = 2^55 ids, more than any valid id, so a range
-# of any width is cut into at most 2 * 63 blocks a level.
-DEFAULT_LEVELS = 8
+BLOCK_BITS = 12
+GROUP_BITS = 20
+NODE_BITS = 10
+TOP_LEVEL = 45  # of the dyadic nodes: more elementary intervals than ids of 2**44 ranges
 
-_BLOCK = "struct<level:int,block:bigint>"
 
+_EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
-def _seq(lo: Column, hi: Column) -> Column:
-    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
+def _block(x: Column) -> Column:
+    return F.shiftright(x, BLOCK_BITS)
 
-def _tag(level: int, blocks: Column) -> Column:
-    """[block, ...] -> [struct(level, block), ...] without a lambda."""
-    return F.arrays_zip(F.array_repeat(F.lit(level), F.size(blocks)).alias("level"),
-                        blocks.alias("block")).cast(f"array<{_BLOCK}>")
 
+def _ranks(points: str, ids: str) -> str:
+    """Common table expressions that end in ranks(b, x, rank): per point the number of ids at or below it.
 
-def decompose(ranges: DataFrame, keys: list[str], start: str = "feedback_id_start", end: str = "feedback_id_end",
-              width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
-              levels: int = DEFAULT_LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(edges, blocks) of every range.
+    ``points``: a query of (b, x), repeats allowed; ``ids``: a query of (b, x)."""
+    return f"""
+points AS (SELECT DISTINCT b, x FROM (SELECT /*+ REPARTITION(b) */ b, x FROM ({points}))),
+own AS ({ids}),
+edge AS (SELECT DISTINCT b FROM points),
+counts AS (SELECT b, shiftright(b, {GROUP_BITS}) AS g, sum(n) AS n
+           FROM (SELECT b, 1L AS n FROM own UNION ALL SELECT b, 0L FROM edge) GROUP BY b),
+outside AS (SELECT g, coalesce(sum(n) OVER (PARTITION BY 0 ORDER BY g {_EARLIER}), 0L) AS n
+            FROM (SELECT g, sum(n) AS n FROM counts GROUP BY g)),
+inside AS (SELECT b, g, coalesce(sum(n) OVER (PARTITION BY g ORDER BY b {_EARLIER}), 0L) AS n FROM counts),
+before AS (SELECT b, inside.n + outside.n AS n FROM inside JOIN outside USING (g)),
+near AS (SELECT b, x, 1 AS w FROM own LEFT SEMI JOIN edge USING (b) UNION ALL SELECT b, x, 0 FROM points),
+within AS (SELECT b, x, w, sum(w) OVER (PARTITION BY b ORDER BY x, w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM near),
+ranks AS (SELECT b, x, c + n AS rank FROM within JOIN before USING (b) WHERE w = 0)"""
 
-    edges:  (keys..., bucket, lo, hi)   level-0 bucket, only ids in [lo, hi] count
-    blocks: (keys..., level, block)     whole block of ``width * fanout**level`` ids
-    """
-    s, e = F.col(start).cast("long"), F.col(end).cast("long")
-    w = F.lit(width).cast("long")
-    r = ranges.filter(s <= e).select(*keys, s.alias("_p_s"), e.alias("_p_e"),
-                                     floor_div(s, width).alias("_p_bs"), floor_div(e, width).alias("_p_be"))
-    bs, be = F.col("_p_bs"), F.col("_p_be")
-    one = F.array(F.struct(bs.alias("bucket"), F.col("_p_s").alias("lo"), F.col("_p_e").alias("hi")))
-    two = F.array(F.struct(bs.alias("bucket"), F.col("_p_s").alias("lo"), ((bs + 1) * w - 1).alias("hi")),
-                  F.struct(be.alias("bucket"), (be * w).alias("lo"), F.col("_p_e").alias("hi")))
-    edges = (r.select(*keys, F.explode(F.when(bs == be, one).otherwise(two)).alias("_p"))
-             .select(*keys, "_p.bucket", "_p.lo", "_p.hi"))
-    # whole level-0 buckets strictly inside: [a, z]; level-j blocks fully inside: [A_j, Z_j]
-    a, z = bs + 1, be - 1
-    lo_j = [floor_div(a + (fanout ** j - 1), fanout ** j) for j in range(levels + 1)]
-    hi_j = [floor_div(z + 1, fanout ** j) - 1 for j in range(levels + 1)]
-    has = [(lo_j[j] <= hi_j[j]) & (a <= z) for j in range(levels + 1)]
-    parts = []
-    for j in range(levels + 1):
-        if j < levels:
-            edge_blocks = F.concat(_seq(lo_j[j], lo_j[j + 1] * fanout - 1), _seq((hi_j[j + 1] + 1) * fanout, hi_j[j]))
-            blocks_j = (F.when(has[j + 1], edge_blocks).when(has[j], _seq(lo_j[j], hi_j[j]))
-                        .otherwise(F.array().cast("array<bigint>")))
-        else:
-            blocks_j = F.when(has[j], _seq(lo_j[j], hi_j[j])).otherwise(F.array().cast("array<bigint>"))
-        parts.append(_tag(j, blocks_j))
-    blocks = (r.filter(bs + 1 < be).select(*keys, F.explode(F.concat(*parts)).alias("_p"))
-              .select(*keys, "_p.level", "_p.block"))
-    return edges, blocks
-
-
-def _ancestors(bucket: Column, fanout: int, levels: int) -> Column:
-    """Every (level, block) holding a level-0 bucket."""
-    return F.array(*[F.struct(F.lit(j).alias("level"), floor_div(bucket, fanout ** j).alias("block"))
-                     for j in range(levels + 1)])
-
-
-def block_counts(rows: DataFrame, id_col: str = "id", width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
-                 levels: int = DEFAULT_LEVELS) -> DataFrame:
-    """(level, block, n): rows per block on every level, built from the level-0 counts
-    (partial aggregation map-side; the table is at most ids/width rows per level)."""
-    c0 = rows.groupBy(floor_div(F.col(id_col), width).alias("_b0")).agg(F.count(F.lit(1)).alias("n"))
-    return (c0.select(F.explode(_ancestors(F.col("_b0"), fanout, levels)).alias("_a"), "n")
-            .groupBy(F.col("_a.level").alias("level"), F.col("_a.block").alias("block")).agg(F.sum("n").alias("n")))
-
-
-def _prefix_counts(rows: DataFrame, shapes: DataFrame, id_col: str, width: int) -> DataFrame:
-    """(bucket, _x, _c): for every query point x of an edge shape (hi and lo - 1), the
-    number of ids of that bucket that are <= x.
-
-    Ids of the edge buckets and the query points are merged per bucket and a
-    running sum counts the ids (ids sort before a point at the same place). A
-    bucket holds at most ``width`` ids and ``width + 1`` points, so every
-    window partition is bounded, and no id is paired with a shape.
-    """
-    points = (shapes.select("bucket", F.col("hi").alias("_x"))
-              .unionByName(shapes.select("bucket", (F.col("lo") - 1).alias("_x"))).distinct())
-    ids = (rows.select(floor_div(F.col(id_col), width).alias("bucket"), F.col(id_col).cast("long").alias("_x"))
-           .join(shapes.select("bucket").distinct(), "bucket", "left_semi"))
-    merged = ids.withColumn("_w", F.lit(1)).unionByName(points.withColumn("_w", F.lit(0)))
-    w = (Window.partitionBy("bucket").orderBy(F.col("_x"), F.col("_w").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (merged.withColumn("_c", F.sum("_w").over(w)).filter(F.col("_w") == 0)
-            .select("bucket", "_x", F.col("_c").cast("long").alias("_c")))
+
+def _placed(query: str) -> str:
+    return f"SELECT shiftright(x, {BLOCK_BITS}) AS b, x FROM {query}"
 
 
 def count_in_ranges(ranges: DataFrame, rows: DataFrame, key: str = "id", start: str = "feedback_id_start",
-                    end: str = "feedback_id_end", id_col: str = "id", out: str = "covered_count",
-                    width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
-                    levels: int = DEFAULT_LEVELS) -> DataFrame:
+                    end: str = "feedback_id_end", id_col: str = "id", out: str = "covered_count") -> DataFrame:
     """For every range row, the number of ``rows`` with start <= id <= end (0 when none).
 
-    Returns (key, out) for every row of ``ranges`` (left outer semantics).
-    Identical ranges are counted once.
+    Returns (key, out) for every row of ``ranges`` (left outer semantics). Equal ranges are counted once. An end that very
+    many ranges share is one join key; adaptive execution splits it.
     """
-    distinct_ranges = ranges.select(F.col(start).cast("long").alias("_s"),
-                                    F.col(end).cast("long").alias("_e")).distinct()
-    edges, blocks = decompose(distinct_ranges, ["_s", "_e"], "_s", "_e", width, fanout, levels)
-    shapes = edges.select("bucket", "lo", "hi").distinct()
-    # one map point -> count per edge bucket (at most width + 1 entries), met once per shape
-    prefix = (_prefix_counts(rows, shapes, id_col, width).groupBy("bucket")
-              .agg(F.map_from_entries(F.collect_list(F.struct("_x", "_c"))).alias("_cmap")))
-    edge = (edges.join(prefix, "bucket")
-            .select("_s", "_e", (F.try_element_at("_cmap", F.col("hi")) - F.try_element_at("_cmap", F.col("lo") - 1))
-                    .alias("n")))
-    whole = blocks.join(block_counts(rows, id_col, width, fanout, levels), ["level", "block"]).select("_s", "_e", "n")
-    per_range = edge.unionByName(whole).groupBy("_s", "_e").agg(F.sum("n").cast("long").alias(out))
-    return (ranges.select(key, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
-            .join(per_range, ["_s", "_e"], "left")
-            .select(key, F.coalesce(F.col(out), F.lit(0)).cast("long").alias(out)))
+    own = ranges.select(F.col(key).alias("key"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    counted = ranges.sparkSession.sql(f"""
+WITH spans AS (SELECT DISTINCT s, e FROM {{own}} WHERE s <= e),
+ends AS (SELECT s, e, shiftright(x, {BLOCK_BITS}) AS b, x, sign
+         FROM spans LATERAL VIEW stack(2, s - 1, -1, e, 1) v AS x, sign),
+{_ranks("SELECT b, x FROM ends", _placed("{ids}"))},
+total AS (SELECT s, e, sum(sign * rank) AS n FROM ends JOIN ranks USING (b, x) GROUP BY s, e)
+SELECT key, coalesce(n, 0L) AS n FROM {{own}} LEFT JOIN total USING (s, e)
+""", own=own, ids=rows.select(F.col(id_col).cast("long").alias("x")))
+    return counted.select(F.col("key").alias(key), F.col("n").alias(out))
+
+
+def _nodes(a: Column, b: Column) -> Column:
+    """The dyadic nodes (level, node of 2**level ranks) that tile the ranks [a, b) exactly, at most two per level:
+    on the way up one is cut off where the left bound is odd and one where the right bound is."""
+    def level(k):
+        up = lambda x: F.call_function("shiftright", x, k)
+        right = up(b)
+        left = -up(-a)  # rounded up
+        odd = F.pmod(left, 2) == 1
+        inner = left + F.pmod(left, 2)
+        return F.array(F.when(odd & (left < right), F.struct(k.alias("level"), left.alias("node"))),
+                       F.when((F.pmod(right, 2) == 1) & (inner < right), F.struct(k.alias("level"), (right - 1).alias("node"))))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TOP_LEVEL)), level)), lambda p: p.isNotNull())
+
+
+def owner_steps(ranges: DataFrame, owner: Column, start: str = "feedback_id_start", end: str = "feedback_id_end") -> DataFrame:
+    """(_x, _rank, _own): from id ``_x`` up to the next row's, ``_own`` is the least owner of the ranges that cover it
+    (NULL where none does). One row per distinct start or end + 1."""
+    from ..session import shared_dir
+
+    spark = ranges.sparkSession
+    shared_dir(spark)  # the cluster's checkpoint folder
+    keyed = (ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), owner.alias("_own"))
+             .filter("_s <= _e").groupBy("_s", "_e").agg(F.min("_own").alias("_own")))
+    ends = keyed.select("_s", "_e", "_own", F.explode(F.array("_s", F.col("_e") + 1)).alias("_x"))
+    points = ends.select(F.col("_x").alias("x")).distinct()
+    ranks = (spark.sql(f"WITH {_ranks(_placed('{points}'), _placed('{points}'))} SELECT x AS _x, rank AS _rank FROM ranks", points=points)
+             .checkpoint(eager=True))  # 1, 2, ...; of the ranges' side, met four times below
+    spans = (ends.join(ranks, "_x").groupBy("_s", "_e")
+             .agg(F.min("_rank").alias("_a"), F.max("_rank").alias("_z"), F.first("_own").alias("_own")))
+    nodes = (spans.select(F.explode(_nodes(F.col("_a"), F.col("_z"))).alias("_p"), "_own")
+             .groupBy("_p.level", "_p.node").agg(F.min("_own").alias("_own")))
+
+    def least(of: DataFrame, col: str, low: int, high: int, out: str) -> DataFrame:
+        """The least owner of the nodes of levels low to high above each place of ``col``, counted in 2**low ranks."""
+        up = F.call_function("shiftright", F.col(col), F.col("level") - low)
+        return (of.select(col, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level"))
+                .select(col, "level", up.alias("node")).join(nodes, ["level", "node"]).groupBy(col).agg(F.min("_own").alias(out)))
+
+    placed = ranks.withColumn("_chunk", F.shiftright("_rank", NODE_BITS))
+    low = least(placed, "_rank", 0, NODE_BITS - 1, "_low")
+    high = least(placed.select("_chunk").distinct(), "_chunk", NODE_BITS, TOP_LEVEL, "_high")
+    return (placed.join(low, "_rank", "left").join(high, "_chunk", "left")
+            .select("_x", "_rank", F.least("_low", "_high").alias("_own")).checkpoint(eager=True))
 
 
 def first_owner(rows: DataFrame, ranges: DataFrame, owner: Column, start: str = "feedback_id_start",
-                end: str = "feedback_id_end", id_col: str = "id", out: str = "owner",
-                width: int = DEFAULT_WIDTH, fanout: int = DEFAULT_FANOUT,
-                levels: int = DEFAULT_LEVELS) -> DataFrame:
+                end: str = "feedback_id_end", id_col: str = "id", out: str = "owner") -> DataFrame:
     """Every row of ``rows`` (ids unique) with the least ``owner`` value among the ranges
     covering its id (NULL when none covers it). ``owner`` is an orderable expression over
     ``ranges`` (e.g. struct(purged_at, mr_id)).
-
-    Block owners (least per (level, block)) are folded into one owner per
-    occupied level-0 bucket through the bucket's ancestors; edge owners are
-    reduced per distinct (bucket, lo, hi) and then to one id -> owner map per
-    edge bucket. The rows are shuffled once, on the bucket, and meet one row
-    of each table per bucket: no row is paired with the shapes of its bucket.
     """
-    keyed = (ranges.select(F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
-                           owner.alias("_own"))
-             .groupBy("_s", "_e").agg(F.min("_own").alias("_own")))
-    edges, blocks = decompose(keyed, ["_own"], "_s", "_e", width, fanout, levels)
-    block_owner = blocks.groupBy("level", "block").agg(F.min("_own").alias("_own_blk"))
-    edge_owner = (edges.groupBy(F.col("bucket").alias("_b0"), "lo", "hi")
-                  .agg(F.min("_own").alias("_own_e")))
-    base = (rows.withColumn("_rid", F.col(id_col).cast("long"))
-            .withColumn("_b0", floor_div(F.col("_rid"), width)))
-    occupied = base.select("_b0").distinct()
-    bucket_owner = (occupied.select("_b0", F.explode(_ancestors(F.col("_b0"), fanout, levels)).alias("_a"))
-                    .select("_b0", "_a.level", "_a.block")
-                    .join(block_owner, ["level", "block"])
-                    .groupBy("_b0").agg(F.min("_own_blk").alias("_own_b")))
-    edge_map = _edge_owner_map(edge_owner, width)
-    parted = base.repartition("_b0")
-    j = parted.join(bucket_owner, "_b0", "left").join(edge_map, "_b0", "left")
-    best = j.withColumn(out, F.least("_own_b", F.try_element_at(F.col("_own_map"), F.col("_rid"))))
-    return best.drop("_rid", "_b0", "_own_b", "_own_map")
-
-
-def _dyadic_pieces(shapes: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """(keys..., level, block): the aligned dyadic blocks (``2**level`` ids) that tile each
-    [lo, hi] exactly, at most two per level. Bottom-up walk of l = lo and r = hi + 1:
-    a piece is cut where l or r is odd, then both halve. The bounds of each level
-    are kept as columns, so every expression stays small."""
-    df = shapes.select(*keys, F.col("lo").cast("long").alias("_l0"), (F.col("hi").cast("long") + 1).alias("_r0"))
-    steps = max(1, (int(width) - 1).bit_length() + 1)
-    items = []
-    for k in range(steps):
-        lk, rk = F.col(f"_l{k}"), F.col(f"_r{k}")
-        left_odd, right_odd = F.pmod(lk, 2) == 1, F.pmod(rk, 2) == 1
-        items.append((left_odd & (lk < rk), F.struct(F.lit(k).alias("level"), lk.alias("block"))))
-        l_in = lk + F.pmod(lk, 2)
-        items.append((right_odd & (l_in < rk), F.struct(F.lit(k).alias("level"), (rk - 1).alias("block"))))
-        df = df.withColumn(f"_l{k + 1}", F.shiftright(l_in, 1)).withColumn(f"_r{k + 1}",
-                                                                          F.shiftright(rk - F.pmod(rk, 2), 1))
-    pieces = compact(items, "struct<level:int,block:bigint>")
-    return df.select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.level", "_p.block")
-
-
-def _edge_owner_map(edge_owner: DataFrame, width: int) -> DataFrame:
-    """(_b0, _own_map): per edge bucket, a map id -> least owner among its edge shapes.
-
-    Each shape [lo, hi] (inside one bucket) is cut into dyadic pieces (at most
-    two per size), the least owner is kept per piece (at most 2 * width - 1
-    pieces per bucket), and the pieces are spread to their ids (at most
-    width * (log2(width) + 1) rows per bucket). So the map holds at most
-    ``width`` entries, and the rows meet it with one equi-join row per bucket.
+    return owner_at(rows, owner_steps(ranges, owner, start, end), id_col, out)
+
+
+def owner_at(rows: DataFrame, steps: DataFrame, id_col: str = "id", out: str = "owner") -> DataFrame:
+    """``rows`` with the owner that the steps give at their ids.
+
+    The rows meet one row per block, by equality of the block: where the ranges are few that table is broadcast (by its
+    measured size) and the rows are not shuffled at all. A block holds at most 2**BLOCK_BITS rows.
     """
-    per_block = (_dyadic_pieces(edge_owner, ["_own_e"], width)
-                 .groupBy("level", "block").agg(F.min("_own_e").alias("_own_e")))
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
-    spread = per_block.select(F.explode(F.sequence(F.col("block") * size, (F.col("block") + 1) * size - 1))
-                              .alias("_id"), "_own_e")
-    # one shuffle on the bucket serves both the least owner per id and the map per bucket
-    per_id = (spread.withColumn("_b0", floor_div(F.col("_id"), width)).repartition("_b0")
-              .groupBy("_b0", "_id").agg(F.min("_own_e").alias("_own_e")))
-    return per_id.groupBy("_b0").agg(F.map_from_entries(F.collect_list(F.struct("_id", "_own_e"))).alias("_own_map"))
+    steps = steps.select(_block(F.col("_x")).alias("_b"), "_x", "_own")
+    listed = (steps.groupBy(F.col("_b").alias("b")).agg(F.sort_array(F.collect_list(F.struct("_x", "_own"))).alias("l"),
+                                                        F.max_by(F.struct("_own"), F.col("_x")).alias("last"))
+              .select("b", "last", F.col("l._x").alias("xs"), F.col("l._own").alias("owns")))
+    base = rows.withColumn("_b", _block(F.col(id_col).cast("long")))
+    table = rows.sparkSession.sql(f"""
+WITH blocks AS (SELECT b, last, xs, owns, shiftright(b, {GROUP_BITS}) AS g
+                FROM (SELECT DISTINCT _b AS b FROM {{occupied}}) FULL JOIN {{listed}} USING (b)),
+outside AS (SELECT g, last(last, true) OVER (PARTITION BY 0 ORDER BY g {_EARLIER}) AS carried
+            FROM (SELECT g, max_by(last, CASE WHEN last IS NOT NULL THEN b END) AS last FROM blocks GROUP BY g)),
+inside AS (SELECT b, g, xs, owns, last(last, true) OVER (PARTITION BY g ORDER BY b {_EARLIER}) AS carried FROM blocks)
+SELECT b AS _b, xs AS _xs, owns AS _owns, coalesce(inside.carried, outside.carried)._own AS _before
+FROM inside JOIN outside USING (g) WHERE xs IS NOT NULL OR coalesce(inside.carried, outside.carried)._own IS NOT NULL
+""", occupied=base.select("_b"), listed=listed)
+    found = base.join(table, "_b", "left").withColumn("_at", search(F.col("_xs"), F.col(id_col).cast("long"), 1 << BLOCK_BITS))
+    own = F.when(F.col("_at") > 0, F.get("_owns", F.col("_at") - 1)).otherwise(F.col("_before"))
+    return found.withColumn(out, own).drop("_b", "_xs", "_owns", "_at", "_before")
+
+
+def count_by_owner(ids: DataFrame, steps: DataFrame, id_col: str = "id", out: str = "n") -> DataFrame:
+    """A10: (_own, out): the number of ``ids`` each owner of the steps has, from ranks alone: a step adds the ids below it to the
+    owner that ends there and takes them from the one that begins."""
+    return ids.sparkSession.sql(f"""
+WITH moved AS (
+  SELECT s._x - 1 AS x, shiftright(s._x - 1, {BLOCK_BITS}) AS b, own, sign
+  FROM {{steps}} AS s LEFT JOIN {{steps}} AS p ON s._rank = p._rank + 1
+       LATERAL VIEW stack(2, p._own, 1, s._own, -1) v AS own, sign
+  WHERE own IS NOT NULL),
+{_ranks("SELECT b, x FROM moved", _placed("{ids}"))}
+SELECT own AS _own, CAST(sum(sign * rank) AS BIGINT) AS {out} FROM moved JOIN ranks USING (b, x) GROUP BY own
+""", steps=steps, ids=ids.select(F.col(id_col).cast("long").alias("x")))

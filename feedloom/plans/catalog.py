@@ -431,51 +431,68 @@ def q_stream_windows(spark, d):
     return read_windows(spark, sink)
 
 
-@query("purge_committed")
-def q_purge_committed(spark, d):
-    """M3-M5 through the versioned store: fixtures committed as version 1, purge commits
-    version 2; the surviving corrections are read back from the store."""
-    from ..operators.purge import purge_version
-    from ..schemas import CORRECTIONS
+def _purged_store(spark, d, requests=None):
+    """The fixtures stored, purged; (base, refused requests)."""
+    from ..operators.purge import purge_stored
     from ..session import scratch_path
     from ..sources import sinks
 
     base = scratch_path(spark, "purge-store")
-    sinks.commit(spark, base, {"corrections": _cor(spark, d), "merge_requests": _mrs(spark, d),
-                               "invocations": _inv(spark, d)})
-    purge_version(spark, base, PURGED_AT)
-    return sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id", "skill_name")
+    sinks.append_blocks(_cor(spark, d), base, "corrections")
+    sinks.append_blocks(_mrs(spark, d), base, "merge_requests")
+    return base, purge_stored(spark, base, PURGED_AT, requests)
 
 
-def _purged_store(spark, d):
-    from ..operators.purge import purge_version
-    from ..session import scratch_path
+def _some_requests(spark, d):
+    return fx.table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("id")).distinct()
+
+
+@query("purge_committed")
+def q_purge_committed(spark, d):
+    """M3-M5 over the stored tables; the surviving corrections are read back."""
+    from ..schemas import CORRECTIONS
     from ..sources import sinks
 
-    base = scratch_path(spark, "purge-store")
-    sinks.commit(spark, base, {"corrections": _cor(spark, d), "merge_requests": _mrs(spark, d)})
-    requests = fx.table(spark, d, "orders").select((F.col("o_orderkey") % 150).alias("id")).distinct()
-    return base, purge_version(spark, base, PURGED_AT, requests)
+    base, _ = _purged_store(spark, d)
+    return sinks.read_blocks(spark, base, "corrections", CORRECTIONS).select("id", "skill_name")
 
 
 @query("purge_refusals")
 def q_purge_refusals(spark, d):
-    """F10 per requested MR, from the versioned purge; ids that name no MR are ``not_found``."""
-    return _purged_store(spark, d)[1].refused
+    """F10 per requested MR, from the stored purge; ids that name no MR are ``not_found``."""
+    return _purged_store(spark, d, _some_requests(spark, d))[1]
 
 
 @query("purge_audit_committed")
 def q_purge_audit_committed(spark, d):
-    """The audit rows of the versioned purge, read back from the store after a vacuum."""
-    from ..schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
+    """The audit rows of the stored purge, read back."""
+    from ..schemas import PURGE_AUDIT
     from ..sources import sinks
 
-    base, _ = _purged_store(spark, d)
-    sinks.vacuum(spark, base, {"corrections": CORRECTIONS, "merge_requests": MERGE_REQUESTS, "purge_audit": PURGE_AUDIT})
-    return sinks.read_table(spark, base, "purge_audit", PURGE_AUDIT).select(
+    base, _ = _purged_store(spark, d, _some_requests(spark, d))
+    return sinks.read_stored(spark, base, "purge_audit", PURGE_AUDIT).select(
         "merge_request_id", "feedback_id_start", "feedback_id_end", "deleted_count")
 
 
+def _purge_wide(spark, d):
+    from ..operators.purge import purge
+
+    mrs = fx.fx_wide_mrs(spark, d)
+    requests = mrs.select("id", (F.lit(PURGED_AT).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id") % 5)).alias("purged_at"))
+    return purge(_cor(spark, d), mrs, PURGED_AT, requests.filter("id % 3 < 2"))
+
+
+@query("purge_wide_survivors")
+def q_purge_wide_survivors(spark, d):
+    """One MR per order, wide overlapping ranges up to the largest valid id, purged at five times."""
+    return _purge_wide(spark, d).survivors.select("id", "skill_name")
+
+
+@query("purge_wide_audit")
+def q_purge_wide_audit(spark, d):
+    return _purge_wide(spark, d).audit
+
+
 @query("mr_by_id")
 def q_mr_by_id(spark, d):
     from ..operators.upgrades import by_id
@@ -487,8 +504,12 @@ def _stream_changes(spark, d):
     from ..streaming.changes import start_mr_feed
 
     src, sink, ck = _stream_dirs(spark, "stream-mr-status")
-    fx.fx_mr_changes(spark, d).write.parquet(src)
-    start_mr_feed(spark, src, sink, ck).awaitTermination()
+    changes = fx.fx_mr_changes(spark, d)
+    quarters = changes.agg(F.percentile_approx("arrival", [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
+    for low, high in zip([None, *quarters], [*quarters, None]):  # four batches, in arrival order
+        part = changes.filter(F.lit(True) if low is None else F.col("arrival") > low)
+        part.filter(F.lit(True) if high is None else F.col("arrival") <= high).coalesce(1).write.mode("append").parquet(src)
+    start_mr_feed(spark, src, sink, ck, max_files_per_trigger=1).awaitTermination()
     return sink
 
 

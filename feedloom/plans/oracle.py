@@ -426,6 +426,19 @@ register("covered_counts_wide", ["fx_corrections"], """
 SELECT r.id, CAST(count(c.id) AS BIGINT) AS covered_count
 FROM r LEFT JOIN fx_corrections c ON c.id BETWEEN r.s AND r.e GROUP BY r.id""")
 
+_WIDE = f"""
+, _wide AS (SELECT o_orderkey + 1 AS id, s, CASE o_orderkey % 20 WHEN 0 THEN 9007199254740991 WHEN 1 THEN s + 100000 ELSE s + o_orderkey % 60 END AS e,
+              {_PURGED} + INTERVAL 1 HOUR * ((o_orderkey + 1) % 5) AS purged
+            FROM (SELECT *, CASE WHEN o_orderkey % 20 < 2 THEN 1500 + o_orderkey * 7 % 5000 ELSE 1 + o_orderkey * 7 % 50 * 100 END AS s FROM orders)
+            WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'F' AND (o_orderkey + 1) % 3 < 2),
+_wide_own AS (SELECT c.id AS cid, struct_extract(min({{'p': purged, 'i': w.id}}), 'i') AS owner FROM fx_corrections c JOIN _wide w ON c.id BETWEEN w.s AND w.e GROUP BY c.id)
+"""
+register("purge_wide_survivors", ["fx_corrections"], _WIDE + "SELECT id, skill_name FROM fx_corrections WHERE id NOT IN (SELECT cid FROM _wide_own)")
+register("purge_wide_audit", ["fx_corrections"], _WIDE + """
+SELECT row_number() OVER (ORDER BY purged, w.id) AS id, w.id AS merge_request_id, s AS feedback_id_start, e AS feedback_id_end,
+  CAST(coalesce(n, 0) AS BIGINT) AS deleted_count, purged AS purged_at
+FROM _wide w LEFT JOIN (SELECT owner, count(*) AS n FROM _wide_own GROUP BY owner) o ON o.owner = w.id""")
+
 SQL["url_checks"] = """
 SELECT o_orderkey AS id, w[1] = 'y' AS is_http, nullif(replace(w[2], '%s', CAST(o_orderkey AS VARCHAR)), '') AS canonical
 FROM (SELECT o_orderkey, CASE o_orderkey % 16

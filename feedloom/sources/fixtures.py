@@ -175,6 +175,26 @@ def fx_wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  end.cast("long").alias("feedback_id_end"))
 
 
+def fx_wide_mrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An MR per order with a range of its own: short (gaps stay between them below id 1500), over many blocks, or to the
+    largest valid id."""
+    k = F.col("o_orderkey")
+    typ = F.when(k % 2 == 0, F.lit("major")).otherwise(F.lit("minor"))
+    short = 1 + k * 7 % 50 * 100
+    start = F.when(k % 20 < 2, 1500 + k * 7 % 5000).otherwise(short)
+    end = F.when(k % 20 == 0, F.lit((1 << 53) - 1)).when(k % 20 == 1, start + 100_000).otherwise(start + k % 60)
+    opened = F.col("o_orderdate").cast("timestamp_ntz")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate").select(
+        (k + 1).alias("id"), F.concat(F.lit("https://example.com/wide/"), k.cast("string")).alias("mr_url"),
+        F.concat(F.lit("[skills-feedback]["), typ, F.lit("][feedback:"), start.cast("string"), F.lit("-"), end.cast("string"),
+                 F.lit("] skill updates")).alias("title"),
+        F.concat(F.lit("hash"), k.cast("string")).alias("head_commit_hash"), typ.alias("iteration_type"),
+        start.cast("long").alias("feedback_id_start"), end.cast("long").alias("feedback_id_end"),
+        F.when(F.col("o_orderstatus") == "F", "merged").otherwise("open").alias("status"), opened.alias("opened_at"),
+        F.when(F.col("o_orderstatus") == "F", opened + F.expr("INTERVAL 1 DAY")).alias("merged_at"),
+        F.lit(None).cast("timestamp_ntz").alias("purged_at"))
+
+
 # URL forms with %s for a number.
 URL_FORMS = ["http://my_host/x%s", "http://git_lab.internal:3000/mr/%s", "https://h/a b%s", "https://h/x?q={%s}", "https://h/|a%s",
              "https://例子.cn/mr/%s", "HTTP://Ex.com/a/../b/%s/", "http://h:80/./%s", "https://u:p@h:8443/%s#f", "ftp://h/%s", "http://:80/%s",

@@ -1,12 +1,11 @@
-"""Sinks: CSV export (K1), table append (K3) and versioned snapshots of
-several tables changed together (section 2.9 of the survey).
-
-A snapshot is a version folder ``<base>/v=<n>/<table>``; it becomes visible
-when its commit record ``<base>/_commits/v=<n>`` is written, last. Readers take
-the highest committed version, so a half-written version is never read. The
-commit record also carries the id high-water mark of every table, so ids are
-never reused after a purge (T7). Corrections are stored by id block, and a
-version may replace only some blocks of such a table.
+"""Sinks: CSV export (K1), appended tables (K3), and tables stored by id block.
+
+A table by id block is plain Parquet, partitioned by ``_blk`` = id div BLOCK_IDS. Changing some
+blocks is a dynamic partition overwrite: Spark writes the new files aside and puts
+them in place of those blocks' old ones when the job commits, so all other blocks
+stay as they are and replaced rows leave the disk. A block never holds more than BLOCK_IDS rows, as ids are unique.
+A block that loses its last row keeps one row without an id, because
+a partition that gets no row is not overwritten; readers skip such rows.
 """
 
 from __future__ import annotations
@@ -14,6 +13,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.arrays import floor_div
+
+BLOCK_IDS = 1 << 20
+BLOCK_COL = "_blk"
+
+
 def write_csv(corrections: DataFrame, path: str, date_from: str | None = None, date_to: str | None = None) -> None:
     """K1: the export as exact CSV text: header, then the K2 lines in id order.
 
@@ -40,262 +45,59 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     w.parquet(path)
 
 
-# Tables stored partitioned by id block (``_blk = id div block_ids``). A version
-# that changes a few id ranges (a purge) rewrites only the blocks they touch
-# instead of the whole table. A block holds at most ``block_ids`` rows (ids are
-# unique), so no block file grows with a hot key. Fixed value: the default
-# block width.
-ID_BLOCKED = {"corrections": 1 << 20}
-BLOCK_COL = "_blk"
-
-_LOG_SCHEMA = ("table string, high_water_mark long, written boolean, block_ids long, "
-               "blocks array<bigint>, filled array<bigint>")
-
-
-def committed_versions(spark: SparkSession, base: str) -> DataFrame:
-    """(v, table, high_water_mark, written, block_ids, blocks, filled) of every committed version.
-
-    ``block_ids`` is set for tables stored by id block. ``blocks`` is NULL when
-    the version wrote the table whole, else the blocks it replaced; ``filled``
-    lists those of them that hold rows in this version's folder.
-    """
+def read_stored(spark: SparkSession, base: str, table: str, schema: T.StructType) -> DataFrame:
+    """A stored table; without rows where nothing was written yet. Only a missing path counts as that."""
     try:
-        return spark.read.schema(_LOG_SCHEMA + ", v long").parquet(f"{base}/_commits")
+        return spark.read.schema(schema).parquet(f"{base}/{table}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _LOG_SCHEMA + ", v long")
-
-
-def _fs(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def claim(spark: SparkSession, base: str, version: int) -> None:
-    """Take a version number; exactly one writer can. A second one fails before it writes anything."""
-    fs, p = _fs(spark, f"{base}/_claims/v={version}")
-    fs.mkdirs(p.getParent())
-    try:
-        fs.create(p, False).close()
-    except Exception as e:
-        raise FileExistsError(f"version {version} of {base} is being written or was given up by another writer; "
-                              "read the store again, or call abandon() if that writer is gone") from e
-
-
-def abandon(spark: SparkSession, base: str, version: int) -> None:
-    """Free the number and the files of a version whose writer died before its commit."""
-    if version <= current_version(spark, base):
-        raise ValueError(f"version {version} is committed")
-    for path in (f"{base}/v={version}", f"{base}/_claims/v={version}"):
-        fs, p = _fs(spark, path)
-        fs.delete(p, True)
-
-
-def vacuum(spark: SparkSession, base: str, schemas: dict | None = None) -> int:
-    """Write all tables whole into a new version and delete all older ones, so purged rows are gone
-    from the disk and the commit log is short again. Older versions can't be read any more.
-    ``schemas`` names the schemas of tables of which no row may be left."""
-    snap = Snapshot(spark, base)
-    if snap.version == 0:
-        return 0
-    names = sorted({r["table"] for r in snap.rows if r["written"]})
-    marks = {t: snap.high_water_mark(t) for t in names}
-    widths = {t: w for t in names if (w := snap.block_ids(t)) is not None}
-    tables = {t: snap.read(t, (schemas or {}).get(t)) for t in names}
-    v = commit(spark, base, tables, marks, blocked=widths)
-    for old in range(1, v):
-        for path in (f"{base}/v={old}", f"{base}/_commits/v={old}", f"{base}/_claims/v={old}"):
-            fs, p = _fs(spark, path)
-            fs.delete(p, True)
-    return v
-
+        return spark.createDataFrame([], schema)
 
-class Snapshot:
-    """The commit log of a store, read once: versions, marks, block widths and
-    which blocks each version replaced. Metadata only (one row per table per
-    version), so it is read on the driver; table data stays in Spark."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
-        self.rows = committed_versions(spark, base).collect()
-        self.version = max((int(r["v"]) for r in self.rows), default=0)
+def block_col(df: DataFrame, block_ids: int | None = None) -> DataFrame:
+    return df.withColumn(BLOCK_COL, floor_div(F.col("id"), block_ids or BLOCK_IDS))
 
-    def record(self, table: str):
-        return next((r for r in self.rows if r["v"] == self.version and r["table"] == table), None)
 
-    def high_water_mark(self, table: str) -> int:
-        r = self.record(table)
-        return int(r["high_water_mark"]) if r and r["high_water_mark"] is not None else 0
+def _stored_blocks(spark: SparkSession, base: str, table: str, schema: T.StructType) -> DataFrame:
+    nullable = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    return read_stored(spark, base, table, T.StructType(nullable + [T.StructField(BLOCK_COL, T.LongType())]))
 
-    def block_ids(self, table: str) -> int | None:
-        r = self.record(table)
-        return int(r["block_ids"]) if r and r["block_ids"] is not None else None
 
-    def writes(self, table: str, as_of: int | None = None) -> list:
-        """Log rows of the versions (up to ``as_of``) that wrote ``table``, newest first."""
-        top = self.version if as_of is None else as_of
-        return sorted((r for r in self.rows if r["table"] == table and r["written"] and r["v"] <= top),
-                      key=lambda r: -r["v"])
+def read_blocks(spark: SparkSession, base: str, table: str, schema: T.StructType, blocks: DataFrame | None = None) -> DataFrame:
+    """A table stored by id block, or those of its blocks that ``blocks`` (column ``_blk``) names: a
+    semi-join on the partition column, so other folders are not read."""
+    rows = _stored_blocks(spark, base, table, schema)
+    if blocks is not None:
+        rows = rows.join(blocks, BLOCK_COL, "left_semi")
+    return rows.filter("id IS NOT NULL").select(*[f.name for f in schema.fields])
 
-    def table_version(self, table: str, as_of: int | None = None) -> int:
-        w = self.writes(table, as_of)
-        return int(w[0]["v"]) if w else 0
 
-    def read(self, table: str, schema=None, version: int | None = None,
-             blocks: list[int] | None = None) -> DataFrame | None:
-        return _read(self, table, schema, version, blocks)
+def replace_blocks(rows: DataFrame, blocks: DataFrame, base: str, table: str) -> None:
+    """Put ``rows`` in place of what the ``blocks`` (column ``_blk``, distinct) hold. ``rows`` may be read from the same table."""
+    columns = rows.columns
+    gone = blocks.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], BLOCK_COL)
+    (block_col(rows).unionByName(gone).repartition(BLOCK_COL).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BLOCK_COL).parquet(f"{base}/{table}"))
 
 
-def current_version(spark: SparkSession, base: str) -> int:
-    return Snapshot(spark, base).version
+def append_blocks(rows: DataFrame, base: str, table: str) -> None:
+    """K3: append rows with new ids to a table stored by id block, and keep the largest id given (T7: a purge never frees an id)."""
+    mark = rows.agg(F.max("id").alias("top")).filter("top IS NOT NULL").select(F.lit(table).alias("table_name"), "top")
+    append(mark, f"{base}/_marks")
+    append(block_col(rows).repartition(BLOCK_COL), f"{base}/{table}", [BLOCK_COL])
 
 
-def high_water_mark(spark: SparkSession, base: str, table: str) -> int:
-    return Snapshot(spark, base).high_water_mark(table)
+def high_water_mark(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """One row, ``top``: the largest id ever given in the table (0 where none was); ``.scalar()`` makes it a column."""
+    marks = read_stored(spark, base, "_marks", T.StructType([T.StructField("table_name", T.StringType()), T.StructField("top", T.LongType())]))
+    return marks.filter(F.col("table_name") == table).agg(F.coalesce(F.max("top"), F.lit(0)).alias("top"))
 
 
-def block_ids(spark: SparkSession, base: str, table: str) -> int | None:
-    """The id-block width of a table stored by id block; None for other tables."""
-    return Snapshot(spark, base).block_ids(table)
+def blocks_of_steps(spark: SparkSession, base: str, table: str, steps: DataFrame) -> DataFrame:
+    """(_blk) of the stored blocks that hold an id some owner of the ``steps`` (``operators.ranges.owner_steps``) covers.
+    Ids and block numbers are read, nothing else."""
+    from ..operators.ranges import owner_at
 
-
-def table_version(spark: SparkSession, base: str, table: str, as_of: int | None = None) -> int:
-    """The newest committed version (up to ``as_of``) that wrote ``table``; 0 when none."""
-    return Snapshot(spark, base).table_version(table, as_of)
-
-
-def write_table(df: DataFrame, path: str, block_width: int | None = None) -> None:
-    """One table into a version folder; by id block when ``block_width`` is set.
-
-    Rows are range-partitioned and sorted on id first, so each task holds a
-    contiguous id span: a block gets few files, and the id min/max statistics
-    of its row groups let id-range filters skip data.
-    """
-    if block_width is None:
-        df.write.mode("overwrite").parquet(path)
-        return
-    from ..functions.arrays import floor_div
-
-    (df.repartitionByRange("id").sortWithinPartitions("id")
-     .withColumn(BLOCK_COL, floor_div(F.col("id"), block_width))
-     .write.mode("overwrite").partitionBy(BLOCK_COL).parquet(path))
-
-
-def filled_blocks(spark: SparkSession, path: str) -> list[int]:
-    """The blocks of a by-block folder that hold rows (read from the partition column only)."""
-    rows = spark.read.schema(f"{BLOCK_COL} long").parquet(path).select(BLOCK_COL).distinct().collect()
-    return sorted(int(r[0]) for r in rows)
-
-
-def read_table(spark: SparkSession, base: str, table: str, schema=None,
-               version: int | None = None, blocks: list[int] | None = None) -> DataFrame | None:
-    """The table as of the current (or the given) committed version (None when never written).
-
-    Each version folder holds only the tables that version changed; a table is
-    read from the newest committed version that wrote it, so unchanged tables
-    are never copied. A table stored by id block takes every block from the
-    newest version that replaced it: each contributing folder is read with a
-    filter on the block column, which Spark applies as a partition filter, so
-    replaced blocks are never scanned. ``blocks`` restricts the read to those
-    blocks. Only commit metadata (block numbers) is read on the driver.
-    """
-    return Snapshot(spark, base).read(table, schema, version, blocks)
-
-
-def _read(snap: Snapshot, table: str, schema, version, blocks) -> DataFrame | None:
-    rows = snap.writes(table, version)
-    if not rows:
-        return None
-    spark, base = snap.spark, snap.base
-    r = spark.read
-    if rows[0]["block_ids"] is None:
-        if schema is not None:
-            r = r.schema(schema)
-        return r.parquet(f"{base}/v={rows[0]['v']}/{table}")
-    if schema is not None:
-        r = r.schema(T.StructType(list(schema.fields) + [T.StructField(BLOCK_COL, T.LongType())]))
-    want = None if blocks is None else set(int(b) for b in blocks)
-    blk = F.col(BLOCK_COL)
-    parts, claimed = [], set()
-    for row in rows:
-        path = f"{base}/v={row['v']}/{table}"
-        if row["blocks"] is None:  # written whole: every block not replaced later
-            df = r.parquet(path)
-            if want is not None:
-                take = sorted(want - claimed)
-                parts.append(df.filter(blk.isin(take) if take else F.lit(False)))
-            else:
-                parts.append(df.filter(~blk.isin(sorted(claimed))) if claimed else df)
-            break
-        take = set(row["filled"] or []) - claimed
-        if want is not None:
-            take &= want
-        if take:
-            parts.append(r.parquet(path).filter(blk.isin(sorted(take))))
-        claimed |= set(row["blocks"])
-    if not parts:
-        return _empty(spark, schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop(BLOCK_COL)
-
-
-def _empty(spark: SparkSession, schema) -> DataFrame:
-    if schema is None:
-        raise ValueError("an empty by-block read needs the table schema")
-    return spark.createDataFrame([], schema)
-
-
-def commit(spark: SparkSession, base: str, tables: dict[str, DataFrame],
-           high_water_marks: dict[str, int] | None = None, version: int | None = None,
-           already_written: list[str] | None = None, claimed: bool = False,
-           block_writes: dict[str, tuple[list[int], list[int]]] | None = None,
-           blocked: dict[str, int] | None = None) -> int:
-    """Write ``tables`` into a new version folder, then its commit record (last).
-
-    ``already_written`` names tables the caller wrote whole into the version
-    folder itself; ``block_writes`` maps a by-block table the caller wrote in
-    part to (replaced blocks, filled blocks). Tables named in ``blocked``
-    (default ``ID_BLOCKED``) are stored by id block of that width. The record
-    lists every table's high-water mark (carried from the previous version
-    unless given), block width, and what this version wrote. It is one file and
-    is never replaced: a version number that another writer has claimed or committed raises an
-    error. ``claimed`` says that the caller has claimed ``version`` itself.
-    """
-    snap = Snapshot(spark, base)
-    v = snap.version + 1 if version is None else version
-    if not claimed:
-        claim(spark, base, v)
-    widths = dict(ID_BLOCKED if blocked is None else blocked)
-    marks, carried = {}, {}
-    for r in snap.rows:
-        if r["v"] == v - 1:  # one row per table
-            marks[r["table"]] = r["high_water_mark"]
-            carried[r["table"]] = r["block_ids"]
-    given = high_water_marks or {}
-    for name, df in tables.items():
-        width = carried.get(name) or widths.get(name)
-        carried[name] = width
-        path = f"{base}/v={v}/{name}"
-        write_table(df, path, width)
-        if name not in given and "id" in df.columns:
-            # no mark given: at least the largest id written (one column read back)
-            top = spark.read.parquet(path).agg(F.max("id")).first()[0]
-            marks[name] = max(int(marks.get(name) or 0), int(top or 0))
-    marks.update(given)
-    block_writes = block_writes or {}
-    whole = set(tables) | set(already_written or [])
-    names = sorted(set(marks) | whole | set(block_writes))
-    rows = []
-    for t in names:
-        replaced, filled = block_writes.get(t, (None, None))
-        rows.append((t, int(marks.get(t) or 0), t in whole or t in block_writes, carried.get(t),
-                     None if replaced is None else [int(b) for b in replaced],
-                     None if filled is None else [int(b) for b in filled]))
-    rows = rows or [("", 0, False, None, None, None)]
-    (spark.createDataFrame(rows, _LOG_SCHEMA).coalesce(1)
-     .write.mode("errorifexists").parquet(f"{base}/_commits/v={v}"))
-    return v
+    ids = _stored_blocks(spark, base, table, T.StructType([T.StructField("id", T.LongType())])).filter("id IS NOT NULL")
+    return owner_at(ids, steps, out="_owner").filter("_owner IS NOT NULL").select(BLOCK_COL).distinct()

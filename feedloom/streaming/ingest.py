@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import checks
 from ..operators.ids import assign_ids
-from ..sources import sinks
 from .common import write_batch
 
 FEED_SCHEMA = "arrival long, payload string"
@@ -59,14 +58,12 @@ def start_ingest(spark: SparkSession, source: str, sink: str, checkpoint: str,
                                           F.monotonically_increasing_id().alias("pos")).alias("arrival"), "payload")
         prev = _previous_mark(s, f"{sink}/marks", batch_id, start_high_water_mark)
         valid, rejected = checks.validate(batch, fields, keep=["arrival"], reserved_skill_field="skill_name",
-                                          stage_path=f"{sink}/_stage/batch_id={batch_id}")
+                                          stage_path=f"{sink}/_stage")  # overwritten by the next batch
         valid = assign_ids(valid, ["arrival"], start_after=prev)
         write_batch(valid, f"{sink}/valid", batch_id)
         write_batch(rejected, f"{sink}/rejected", batch_id)
         n = s.read.parquet(f"{sink}/valid/batch_id={batch_id}").count()
         write_batch(s.createDataFrame([(prev + n,)], "high_water_mark long"), f"{sink}/marks", batch_id)
-        fs, staged = sinks._fs(s, f"{sink}/_stage/batch_id={batch_id}")
-        fs.delete(staged, True)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

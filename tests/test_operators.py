@@ -144,7 +144,8 @@ def brute_counts(ranges, ids):
     return {k: sum(1 for i in ids if s <= i <= e) for k, s, e in ranges}
 
 
-def test_range_counts_match_brute_force(spark):
+def test_range_counts_match_brute_force(spark, monkeypatch):
+    from feedloom.operators import ranges as ranges_module
     from feedloom.operators.ranges import count_in_ranges
 
     rnd = random.Random(7)
@@ -157,9 +158,11 @@ def test_range_counts_match_brute_force(spark):
     ranges.append((300, 10, 5))  # empty range
     rows = spark.createDataFrame([(i,) for i in ids], "id long")
     rdf = spark.createDataFrame(ranges, "id long, feedback_id_start long, feedback_id_end long")
-    # tiny buckets so edge, fine and coarse pieces all occur
-    got = dict(count_in_ranges(rdf, rows, width=4, fanout=2, levels=3).collect())
-    assert got == brute_counts(ranges, ids)
+    assert dict(count_in_ranges(rdf, rows).collect()) == brute_counts(ranges, ids)
+    # tiny blocks and groups, so both running sums matter
+    monkeypatch.setattr(ranges_module, "BLOCK_BITS", 3)
+    monkeypatch.setattr(ranges_module, "GROUP_BITS", 4)
+    assert dict(count_in_ranges(rdf, rows).collect()) == brute_counts(ranges, ids)
 
 
 def test_purge_golden_and_invariants(spark):
@@ -181,7 +184,8 @@ def test_purge_golden_and_invariants(spark):
     assert refused.survivors.count() == 2
 
 
-def test_purge_overlaps_brute_force(spark):
+def test_purge_overlaps_brute_force(spark, monkeypatch):
+    from feedloom.operators import ranges as ranges_module
     from feedloom.operators.purge import purge
     from feedloom.operators.ranges import first_owner
 
@@ -211,35 +215,44 @@ def test_purge_overlaps_brute_force(spark):
     assert sum(audit.values()) + len(surv) == len(ids)  # deleted + surviving = before
     marked = {x[0]: x[1] for x in r.marked.select("id", "purged_at").collect()}
     assert all((marked[k] is not None) == (k in audit) for k in marked)
-    # small buckets exercise coarse and fine pieces of the ownership join
-    small = first_owner(cor, mrs.filter("iteration_type = 'major' AND status = 'merged'"), F.col("id"),
-                        width=4, fanout=2, levels=3)
+    # small blocks, groups and chunks of nodes
+    for name, bits in (("BLOCK_BITS", 3), ("GROUP_BITS", 3), ("NODE_BITS", 2)):
+        monkeypatch.setattr(ranges_module, name, bits)
+    small = first_owner(cor, mrs.filter("iteration_type = 'major' AND status = 'merged'"), F.col("id"))
     got = {x[0]: x[1] for x in small.select("id", "owner").collect()}
     assert {i: o for i, o in got.items() if o is not None} == owner
 
 
-@pytest.mark.parametrize("width", [6, 16, 128])
-def test_range_edges_in_hot_buckets_brute_force(spark, width):
-    """Many short, overlapping ranges packed into a few buckets (edges dominate)."""
-    from feedloom.operators.ranges import count_in_ranges, first_owner
+@pytest.mark.parametrize("bits", [2, 5, 12])
+def test_ranges_in_hot_blocks_brute_force(spark, bits, monkeypatch):
+    """Many short, overlapping ranges packed into a few blocks; wide ones; counts per owner from ranks alone."""
+    from collections import Counter
 
-    rnd = random.Random(width)
+    from feedloom.operators import ranges as ranges_module
+    from feedloom.operators.ranges import count_by_owner, count_in_ranges, first_owner, owner_steps
+
+    monkeypatch.setattr(ranges_module, "BLOCK_BITS", bits)
+    monkeypatch.setattr(ranges_module, "NODE_BITS", bits)
+    rnd = random.Random(bits)
     ids = sorted(rnd.sample(range(0, 300), 220))
     ranges = []
     for k in range(1, 400):
         s = rnd.randint(0, 300)
         ranges.append((k, s, s + rnd.choice([0, 1, 2, 5, 9, 17, 33, 90])))
+    ranges += [(400, 290, (1 << 53) - 1), (401, 295, (1 << 53) - 1), (402, 9, 3)]
     rows = spark.createDataFrame([(i,) for i in ids], "id long")
     rdf = spark.createDataFrame(ranges, "id long, feedback_id_start long, feedback_id_end long")
-    got = dict(count_in_ranges(rdf, rows, width=width, fanout=2, levels=2).collect())
-    assert got == brute_counts(ranges, ids)
-    owners = {x[0]: x[1] for x in first_owner(rows, rdf, F.col("id"), width=width, fanout=2, levels=2)
-              .select("id", "owner").collect()}
+    assert dict(count_in_ranges(rdf, rows).collect()) == brute_counts(ranges, ids)
+    assert count_in_ranges(rdf.limit(0), rows).collect() == [] and not any(r[1] for r in count_in_ranges(rdf, rows.limit(0)).collect())
+    owners = {x[0]: x[1] for x in first_owner(rows, rdf, F.col("id")).select("id", "owner").collect()}
     expect = {}
     for i in ids:
         cover = [k for k, s, e in ranges if s <= i <= e]
         expect[i] = min(cover) if cover else None
     assert owners == expect
+    counts = {r["_own"]: r["n"] for r in count_by_owner(rows, owner_steps(rdf, F.col("id"))).collect() if r["n"]}
+    assert counts == Counter(o for o in expect.values() if o is not None)
+    assert {r["owner"] for r in first_owner(rows, rdf.limit(0), F.col("id")).collect()} == {None}
 
 
 def test_upsert_update_branch(spark):
@@ -278,9 +291,24 @@ def test_assign_ids_dense(spark):
     rnd = random.Random(1)
     keys = rnd.sample(range(10 ** 9), 5000)
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(13)
-    got = assign_ids(df, ["k"], start_after=41, num_partitions=7).select("k", "id").collect()
     expect = {k: 42 + i for i, k in enumerate(sorted(keys))}
-    assert {r["k"]: r["id"] for r in got} == expect
+    for rows_per_part in (1 << 18, 400, 3):
+        got = assign_ids(df, ["k"], start_after=41, rows_per_part=rows_per_part)
+        assert {r["k"]: r["id"] for r in got.select("k", "id").collect()} == expect
+    assert assign_ids(df.limit(0), ["k"]).collect() == []
+    text = got._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" not in text  # no sampled layout: the parts follow from the keys
+
+
+def test_assign_ids_on_several_columns_of_any_type(spark):
+    from feedloom.operators.ids import assign_ids
+
+    rnd = random.Random(2)
+    rows = [(dt.datetime(2024, 1, 1 + rnd.randrange(2)), f"url {rnd.randrange(10 ** 9)}") for _ in range(800)] + [(None, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "at timestamp_ntz, url string").repartition(5)
+    got = {(r["at"], r["url"]): r["id"] for r in assign_ids(df, ["at", "url"], rows_per_part=50).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or dt.datetime.min, r[1]))
+    assert [got[r] for r in want] == list(range(1, len(rows) + 1))
 
 
 def test_turn_pairs_with_gaps(spark):

@@ -60,11 +60,10 @@ def test_skill_stats_single_hash_shuffle(spark):
     assert text.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("name", ["covered_counts", "purge_survivors", "purge_audit"])
+@pytest.mark.parametrize("name", ["covered_counts", "covered_counts_wide", "purge_survivors", "purge_audit", "purge_wide_survivors", "purge_wide_audit"])
 def test_range_joins_are_pure_equi_joins(spark, name):
-    """Range joins meet rows by bucket / block keys only: no join compares a column
-    with another column by range, so no row is paired with the ranges of its bucket.
-    (Comparisons with literal bounds, such as the pushed-down purge span, are filters.)"""
+    """Range joins meet rows by block keys and ranks only: no join compares a column
+    with another column by range, so no row is paired with the ranges of its block."""
     import re
 
     text = plan_text(E.queries()[name](spark, SF))
@@ -91,3 +90,28 @@ def test_registered_date_query_pushes_its_bounds(spark):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(ts" in text and "LessThan(ts" in text
     assert "props" not in text
+
+
+def test_numbering_stores_nothing(spark):
+    text = plan_text(E.queries()["assigned_ids"](spark, SF))
+    assert "Scan ExistingRDD" not in text and "rangepartitioning" not in text
+
+
+def test_counting_moves_ids_of_edge_blocks_only(spark):
+    """The counts per block are summed before their exchange; ids themselves travel only where a range ends."""
+    from feedloom.operators.ranges import count_in_ranges
+
+    rows = spark.range(1000).select("id")
+    ranges = spark.createDataFrame([(1, 5, 7)], "id long, feedback_id_start long, feedback_id_end long")
+    text = plan_text(count_in_ranges(ranges, rows))
+    assert "partial_sum" in text and "LeftSemi" in text
+
+
+@pytest.mark.parametrize("name", ["covered_counts_wide", "purge_wide_survivors", "purge_wide_audit"])
+def test_range_queries_are_compiled(spark, name):
+    """No operator falls back from generated code (it did while ranges were cut into nine block levels)."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        E.queries()[name](spark, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")

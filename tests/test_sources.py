@@ -1,9 +1,10 @@
-"""File sources (S6-S8), the CSV sink (K1) and versioned snapshots."""
+"""File sources (S6-S8), the CSV sink (K1) and tables stored by id block."""
 
 import datetime as dt
 import json
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import functions as F, types as T
 
 from feedloom.schemas import CORRECTIONS
 
@@ -62,22 +63,6 @@ def test_csv_sink_text(spark, tmp_path):
     assert text.count("\n") == 2 and text.endswith("2026-06-12T00:00:00.000Z\n")
 
 
-def test_versioned_commit(spark, tmp_path):
-    from feedloom.sources import sinks
-
-    base = str(tmp_path / "store")
-    assert sinks.read_table(spark, base, "t") is None
-    v1 = sinks.commit(spark, base, {"t": spark.range(3)}, {"t": 3})
-    v2 = sinks.commit(spark, base, {"u": spark.range(1)}, {"u": 1})
-    assert (v1, v2) == (1, 2)
-    assert sinks.read_table(spark, base, "t").count() == 3  # read from version 1, never copied
-    assert sinks.table_version(spark, base, "t") == 1 and sinks.table_version(spark, base, "u") == 2
-    assert sinks.high_water_mark(spark, base, "t") == 3 and sinks.high_water_mark(spark, base, "u") == 1
-    # a version without its commit record is never read
-    spark.range(10).write.parquet(f"{base}/v=3/t")
-    assert sinks.current_version(spark, base) == 2 and sinks.read_table(spark, base, "t").count() == 3
-
-
 def test_tables_helpers(spark):
     from feedloom.sources.tables import count_in_id_range, decode_stored_rows, in_id_range
 
@@ -90,38 +75,6 @@ def test_tables_helpers(spark):
     assert count_in_id_range(df, 1, 5).first()["count"] == 2
 
 
-def test_purge_version_commits_all_three(spark, tmp_path):
-    from feedloom.operators.purge import purge_version
-    from feedloom.schemas import MERGE_REQUESTS
-    from feedloom.sources import sinks
-
-    t = dt.datetime(2026, 6, 11)
-    cor = spark.createDataFrame([(i, "s", "/r", ["ts"], "a", "u", 0.9, False, t) for i in range(1, 11)], CORRECTIONS)
-    mrs = spark.createDataFrame([
-        (1, "u1", "[skills-feedback][major][feedback:1-4] x", "h1", "major", 1, 4, "merged", t, t, None),
-        (2, "u2", "[skills-feedback][major][feedback:3-6] x", "h2", "major", 3, 6, "merged", t, t, None),
-        (3, "u3", "[skills-feedback][minor][feedback:7-9] x", "h3", "minor", 7, 9, "merged", t, t, None)],
-        MERGE_REQUESTS)
-    base = str(tmp_path / "store")
-    sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs,
-                               "invocations": spark.range(0).withColumnRenamed("id", "x")},
-                 {"corrections": 10, "merge_requests": 3})
-    v = purge_version(spark, base, dt.datetime(2026, 6, 20)).version
-    assert v == 2
-    left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections").select("id").collect())
-    assert left == [7, 8, 9, 10]
-    audit = sorted((r["merge_request_id"], r["deleted_count"], r["id"])
-                   for r in sinks.read_table(spark, base, "purge_audit").collect())
-    assert audit == [(1, 4, 1), (2, 2, 2)]  # overlap 3-4 counted for the earlier MR only
-    marked = {r["id"]: r["purged_at"] for r in sinks.read_table(spark, base, "merge_requests").collect()}
-    assert marked[1] is not None and marked[2] is not None and marked[3] is None
-    assert sinks.high_water_mark(spark, base, "corrections") == 10  # ids never come back
-    # a second purge finds nothing eligible and appends no audit rows
-    purge_version(spark, base, dt.datetime(2026, 6, 21))
-    assert sinks.read_table(spark, base, "purge_audit").count() == 2
-    assert sinks.high_water_mark(spark, base, "purge_audit") == 2
-
-
 def test_append_and_endpoint_base(spark, tmp_path):
     from feedloom.functions.scopes import endpoint_base
     from feedloom.sources.sinks import append
@@ -136,54 +89,6 @@ def test_append_and_endpoint_base(spark, tmp_path):
     assert got == ["http://x:1", "http://x:1"]
 
 
-def test_purge_rewrites_only_touched_blocks(spark, tmp_path):
-    import os
-
-    from feedloom.operators.purge import purge_version
-    from feedloom.schemas import MERGE_REQUESTS
-    from feedloom.sources import sinks
-
-    t = dt.datetime(2026, 6, 11)
-    cor = spark.createDataFrame([(i, f"s{i % 3}", "/r", ["ts"], "a", "u", 0.9, False, t) for i in range(1, 21)],
-                                CORRECTIONS)
-
-    def mr(i, lo, hi, typ="major"):
-        return (i, f"u{i}", f"[skills-feedback][{typ}][feedback:{lo}-{hi}] x", f"h{i}", typ, lo, hi, "merged", t, t,
-                None)
-
-    # block width 4: blocks 0 = ids 0-3, 1 = 4-7, 2 = 8-11, ...
-    mrs = spark.createDataFrame([mr(1, 5, 6), mr(2, 8, 11), mr(3, 18, 1000)], MERGE_REQUESTS)
-    base = str(tmp_path / "store")
-    sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs}, {"corrections": 20, "merge_requests": 3},
-                 blocked={"corrections": 4})
-    assert sinks.block_ids(spark, base, "corrections") == 4
-    v = purge_version(spark, base, dt.datetime(2026, 6, 20)).version
-    written = sorted(d for d in os.listdir(f"{base}/v={v}/corrections") if d.startswith("_blk="))
-    # block 2 lost all its rows; the range past the high-water mark stops at block 5
-    assert written == ["_blk=1", "_blk=4"]
-    rec = sinks.committed_versions(spark, base).filter(f"v = {v} AND table = 'corrections'").first()
-    assert rec["blocks"] == [1, 2, 4, 5] and rec["filled"] == [1, 4]
-    left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id").collect())
-    assert left == [1, 2, 3, 4, 7, 12, 13, 14, 15, 16, 17]
-    audit = sorted((r["merge_request_id"], r["deleted_count"]) for r in
-                   sinks.read_table(spark, base, "purge_audit").collect())
-    assert audit == [(1, 2), (2, 4), (3, 3)]
-    assert sinks.high_water_mark(spark, base, "corrections") == 20
-    # a later purge over block 1 and 3 replaces them again; the read takes each block's newest version
-    more = sinks.read_table(spark, base, "merge_requests", MERGE_REQUESTS).unionByName(
-        spark.createDataFrame([mr(4, 4, 4), mr(5, 13, 13)], MERGE_REQUESTS))
-    v3 = sinks.commit(spark, base, {"merge_requests": more})
-    purge_version(spark, base, dt.datetime(2026, 6, 21))
-    left = sorted(r[0] for r in sinks.read_table(spark, base, "corrections", CORRECTIONS).select("id").collect())
-    assert left == [1, 2, 3, 7, 12, 14, 15, 16, 17]
-    assert sinks.read_table(spark, base, "corrections", CORRECTIONS, version=v3).count() == 11
-    # a read of a few blocks scans only their folders (partition filters on the block column)
-    few = sinks.read_table(spark, base, "corrections", CORRECTIONS, blocks=[0, 3])
-    assert sorted(r[0] for r in few.select("id").collect()) == [1, 2, 3, 12, 14, 15]
-    plan = few._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "_blk" in plan
-
-
 def test_assigned_ids_unique_when_written_whole(spark, tmp_path):
     """W3 regression: numbered rows written with every column (and shuffled again) keep
     unique, dense ids. The range layout is evaluated once (checkpointed), so the
@@ -199,76 +104,114 @@ def test_assigned_ids_unique_when_written_whole(spark, tmp_path):
     assert (got["d"], got["lo"], got["hi"]) == (got["n"], 1, got["n"])
 
 
-def test_purge_that_empties_every_touched_block(spark, tmp_path):
-    from feedloom.operators.purge import purge_version
+def _stored(spark, base, n=20, mr_rows=()):
+    """Corrections 1..n and MRs (id, type, status, start, end), stored by id block."""
     from feedloom.schemas import MERGE_REQUESTS
     from feedloom.sources import sinks
 
     t = dt.datetime(2026, 6, 11)
-    cor = spark.createDataFrame([(i, "s", "/r", ["ts"], "a", "u", 0.9, False, t) for i in range(1, 9)], CORRECTIONS)
-    mrs = spark.createDataFrame([(1, "u1", "[skills-feedback][major][feedback:1-8] x", "h1", "major", 1, 8, "merged",
-                                  t, t, None)], MERGE_REQUESTS)
+    cor = spark.createDataFrame([(i, "s", "/r", ["ts"], f"secret {i}", "u", 0.9, False, t) for i in range(1, n + 1)], CORRECTIONS)
+    mrs = spark.createDataFrame([(i, f"u{i}", "x", f"h{i}", typ, s, e, status, t, t, None) for i, typ, status, s, e in mr_rows], MERGE_REQUESTS)
+    sinks.append_blocks(cor, base, "corrections")
+    sinks.append_blocks(mrs, base, "merge_requests")
+
+
+def _left(spark, base):
+    from feedloom.sources import sinks
+
+    return sorted(r.id for r in sinks.read_blocks(spark, base, "corrections", CORRECTIONS).collect())
+
+
+def _audit(spark, base):
+    from feedloom.schemas import PURGE_AUDIT
+    from feedloom.sources import sinks
+
+    return sorted((r.id, r.merge_request_id, r.deleted_count) for r in sinks.read_stored(spark, base, "purge_audit", PURGE_AUDIT).collect())
+
+
+MRS = [(1, "major", "merged", 1, 4), (2, "major", "merged", 3, 6), (3, "minor", "merged", 7, 9), (4, "major", "open", 1, 20), (5, "major", "merged", 30, 40)]
+
+
+def test_stored_purge_changes_all_three_tables(spark, tmp_path):
+    from feedloom.operators.purge import purge_stored
+    from feedloom.schemas import MERGE_REQUESTS
+    from feedloom.sources import sinks
+
     base = str(tmp_path / "store")
-    sinks.commit(spark, base, {"corrections": cor, "merge_requests": mrs}, blocked={"corrections": 4})
-    v = purge_version(spark, base, dt.datetime(2026, 6, 20)).version
-    rec = sinks.committed_versions(spark, base).filter(f"v = {v} AND table = 'corrections'").first()
-    assert rec["blocks"] == [0, 1, 2] and rec["filled"] == []
-    assert sinks.read_table(spark, base, "corrections", CORRECTIONS).count() == 0
-    assert [r["deleted_count"] for r in sinks.read_table(spark, base, "purge_audit").collect()] == [8]
-    assert sinks.high_water_mark(spark, base, "corrections") == 8
+    _stored(spark, base, 10, MRS)
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (9,)], "id long")
+    refused = purge_stored(spark, base, dt.datetime(2026, 6, 20), asked)
+    assert sorted(map(tuple, refused.collect())) == [(3, "not_major"), (4, "not_merged"), (9, "not_found")]
+    assert _left(spark, base) == [7, 8, 9, 10]
+    assert _audit(spark, base) == [(1, 1, 4), (2, 2, 2), (3, 5, 0)]  # the overlap counts for the earlier MR only
+    marked = {r.id: r.purged_at for r in sinks.read_blocks(spark, base, "merge_requests", MERGE_REQUESTS).collect()}
+    assert sorted(i for i in marked if marked[i]) == [1, 2, 5]
+    assert sinks.high_water_mark(spark, base, "corrections").first()[0] == 10  # ids never come back
+    purge_stored(spark, base, dt.datetime(2026, 6, 21))  # nothing is eligible any more
+    assert len(_audit(spark, base)) == 3 and _left(spark, base) == [7, 8, 9, 10]
+
+
+def test_stored_purge_replaces_only_the_blocks_it_reaches(spark, tmp_path, monkeypatch):
+    from feedloom.operators.purge import purge_stored
+    from feedloom.sources import sinks
 
+    monkeypatch.setattr(sinks, "BLOCK_IDS", 4)
+    base = tmp_path / "store"
+    _stored(spark, str(base), 20, [(1, "major", "merged", 5, 6), (2, "major", "merged", 11, (1 << 53) - 1)])
+    files = lambda: {p.parent.name: {q.name for q in p.parent.glob("part-*")} for p in base.glob("corrections/_blk=*/part-*")}
+    before = files()
+    purge_stored(spark, str(base), dt.datetime(2026, 6, 20), spark.createDataFrame([(1,)], "id long"))
+    after = files()
+    assert _left(spark, str(base)) == [1, 2, 3, 4, *range(7, 21)]
+    assert {b for b in before if before[b] != after[b]} == {"_blk=1"}
+    purge_stored(spark, str(base), dt.datetime(2026, 6, 21))
+    assert _left(spark, str(base)) == [1, 2, 3, 4, 7, 8, 9, 10] and files()["_blk=0"] == before["_blk=0"]
+    assert _audit(spark, str(base)) == [(1, 1, 2), (2, 2, 10)]
+
+
+def test_stored_purge_that_empties_every_block_leaves_no_text(spark, tmp_path, monkeypatch):
+    from feedloom.operators.purge import purge_stored
+    from feedloom.sources import sinks
+
+    monkeypatch.setattr(sinks, "BLOCK_IDS", 4)
+    base = tmp_path / "store"
+    _stored(spark, str(base), 8, [(7, "major", "merged", 1, 100)])
+    purge_stored(spark, str(base), dt.datetime(2026, 6, 20))
+    assert _left(spark, str(base)) == [] and _audit(spark, str(base)) == [(1, 7, 8)]
+    assert not any(b"secret" in p.read_bytes() for p in base.rglob("*") if p.is_file())
+    assert sinks.high_water_mark(spark, str(base), "corrections").first()[0] == 8
 
-def test_store_refuses_two_writers_and_reads_no_error_as_empty(spark, tmp_path):
-    import pytest
 
+@pytest.mark.parametrize("stop", ["corrections", "merge_requests"])
+def test_stored_purge_goes_on_where_it_stopped(spark, tmp_path, monkeypatch, stop):
+    from feedloom.operators.purge import purge_stored
     from feedloom.sources import sinks
 
-    base = str(tmp_path / "s")
-    one = spark.createDataFrame([(1, "a")], "id long, x string")
-    assert sinks.commit(spark, base, {"t": one}) == 1
-    assert len(list((tmp_path / "s" / "_commits" / "v=1").glob("part-*"))) == 1
-    with pytest.raises(FileExistsError):
-        sinks.commit(spark, base, {"t": one.limit(0)}, version=1)
-    sinks.claim(spark, base, 2)
-    with pytest.raises(FileExistsError):
-        sinks.commit(spark, base, {"t": one})
-    sinks.abandon(spark, base, 2)
-    assert sinks.commit(spark, base, {"t": one}) == 2
-    # a log that can't be read is an error, not an empty store
-    for f in (tmp_path / "s" / "_commits" / "v=2").glob("part-*"):
-        f.write_bytes(b"damaged")
-    with pytest.raises(Exception):
-        sinks.commit(spark, base, {"t": one})
-    assert not (tmp_path / "s" / "v=1" / "gone").exists() and (tmp_path / "s" / "v=1" / "t").exists()
+    base = str(tmp_path / "store")
+    _stored(spark, base, 10, MRS)
+    real = sinks.replace_blocks
 
+    def broken(rows, blocks, base, table):
+        if table == stop:
+            raise RuntimeError("lost")
+        real(rows, blocks, base, table)
 
-def test_vacuum_removes_purged_text(spark, tmp_path):
-    import datetime as dt
+    monkeypatch.setattr(sinks, "replace_blocks", broken)
+    with pytest.raises(RuntimeError):
+        purge_stored(spark, base, dt.datetime(2026, 6, 20), spark.createDataFrame([(2,)], "id long"))
+    monkeypatch.setattr(sinks, "replace_blocks", real)
+    purge_stored(spark, base, dt.datetime(2026, 6, 25))  # takes up MR 2 with its time, then MRs 1 and 5
+    assert _left(spark, base) == [7, 8, 9, 10]
+    assert _audit(spark, base) == [(1, 2, 4), (2, 1, 2), (3, 5, 0)]
 
-    import pyarrow.dataset as ds
 
-    from feedloom.operators.purge import purge_version
-    from feedloom.schemas import CORRECTIONS, MERGE_REQUESTS, PURGE_AUDIT
+def test_only_a_missing_path_counts_as_an_empty_table(spark, tmp_path):
     from feedloom.sources import sinks
 
-    base = str(tmp_path / "s")
-    T0 = dt.datetime(2026, 6, 1)
-    kinds = {f.name: f.dataType.simpleString() for f in CORRECTIONS.fields}
-
-    def correction(i):
-        made = {"string": f"SECRET{i}", "bigint": i, "double": 0.5, "boolean": False, "timestamp_ntz": T0, "array<string>": [f"SECRET{i}"]}
-        return tuple(i if n == "id" else made[k] for n, k in kinds.items())
-
-    cor = spark.createDataFrame([correction(i) for i in range(1, 11)], CORRECTIONS)
-    values = {"id": 7, "iteration_type": "major", "status": "merged", "merged_at": T0, "feedback_id_start": 3, "feedback_id_end": 6, "purged_at": None}
-    mr = [tuple(values.get(f.name, T0 if "timestamp" in f.dataType.simpleString() else "x") for f in MERGE_REQUESTS.fields)]
-    sinks.commit(spark, base, {"corrections": cor, "merge_requests": spark.createDataFrame(mr, MERGE_REQUESTS)})
-    requests = spark.createDataFrame([(7,), (99,)], "id long")
-    done = purge_version(spark, base, dt.datetime(2026, 6, 20), requests)
-    assert [tuple(r) for r in done.refused.collect()] == [(99, "not_found")]
-    assert not (tmp_path / "s" / f"v={done.version}" / "_owned").exists()
-    v = sinks.vacuum(spark, base, {"corrections": CORRECTIONS, "merge_requests": MERGE_REQUESTS, "purge_audit": PURGE_AUDIT})
-    assert sorted(r.id for r in sinks.read_table(spark, base, "corrections", CORRECTIONS).collect()) == [1, 2, 7, 8, 9, 10]
-    assert sinks.high_water_mark(spark, base, "corrections") == 10 and sinks.current_version(spark, base) == v
-    text = "".join(str(ds.dataset(str(f)).to_table().to_pydict()) for f in (tmp_path / "s").rglob("*.parquet"))
-    assert "SECRET1" in text and "SECRET4" not in text
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    assert sinks.read_stored(spark, str(tmp_path), "none", schema).count() == 0
+    assert sinks.high_water_mark(spark, str(tmp_path), "none").first()[0] == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet file")
+    with pytest.raises(Exception):
+        sinks.read_stored(spark, str(tmp_path), "bad", schema).collect()
