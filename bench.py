@@ -75,8 +75,8 @@ def main() -> None:
     queries = {
         "skill_stats": lambda: stats.skill_stats(inv(), cor()),
         "covered_counts": lambda: count_in_ranges(spark.read.parquet(f"{work}/ranges"), cor()),
-        "date_range_filter": lambda: in_date_range(cor(), "2024-01-05", "2024-01-12"),
-        "export_csv_lines": lambda: export_lines(cor(), "2024-01-01", "2024-01-30"),
+        "date_range_filter": lambda: in_date_range(spark.read.parquet(f"{work}/corrections"), "2024-01-05", "2024-01-12"),
+        "export_csv_lines": lambda: export_lines(spark.read.parquet(f"{work}/corrections"), "2024-01-01", "2024-01-30"),
         "purge": lambda: purge(cor(), mrs(), dt.datetime(2024, 6, 1)).survivors,
         "purge_audit": lambda: purge(cor(), mrs(), dt.datetime(2024, 6, 1)).audit,
         "validate_ingest": lambda: validate_corrections(spark.read.parquet(f"{work}/raw_posts"))[0],

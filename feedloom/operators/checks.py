@@ -152,11 +152,35 @@ def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = Non
     """Split raw JSON rows into (valid, rejected).
 
     ``valid`` keeps ``keep`` columns plus the typed fields; ``rejected`` keeps
-    ``keep``, the payload and ``errors``. Rules run only on rows whose fields
-    all pass, and the reserved-skill check only on rows that pass everything
-    else, as the service answers one error class at a time. With ``stage_path`` the
+    ``keep``, the payload and ``errors``. With ``stage_path`` the
     checked rows are written there once and both results read them, so no payload is
-    parsed twice; the caller removes the folder after use.
+    parsed twice.
+    """
+    typed = check(raw, fields, rules, payload_col, keep, reserved_skill_field)
+    if stage_path:
+        typed.write.mode("overwrite").parquet(stage_path)
+        typed = raw.sparkSession.read.schema(typed.schema).parquet(stage_path)
+    return split(typed, fields, payload_col, keep)
+
+
+def split(checked: DataFrame, fields: list[Field], payload_col: str = "payload", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) of checked rows."""
+    valid = checked.filter(F.size("errors") == 0).select(*(keep or []), *[f.name for f in fields])
+    return valid, checked.filter(F.size("errors") > 0).select(*(keep or []), payload_col, "errors")
+
+
+def add_errors(checked: DataFrame, errors: Column) -> DataFrame:
+    """``checked`` with further ``errors`` on the rows that have none."""
+    return checked.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(errors))
+
+
+def check(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = None, payload_col: str = "payload",
+          keep: list[str] | None = None, reserved_skill_field: str | None = None) -> DataFrame:
+    """``keep``, the payload, the typed fields and ``errors`` (V18; empty: valid) of every raw row, each payload parsed once.
+
+    Rules run only on rows whose fields
+    all pass, and the reserved-skill check only on rows that pass everything
+    else, as the service answers one error class at a time.
     """
     keep = keep or []
     # Stage 1: parse once. Stage 2: split the object into its fields. Stage 3:
@@ -195,13 +219,7 @@ def validate(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = Non
         reserved = error_list([(reserved_skill_field,
                                 F.when(is_reserved_skill(F.col(reserved_skill_field)), F.lit("reserved")))])
         typed = typed.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(reserved))
-    typed = typed.drop("_not_object", *[f"_e_{n}" for n, _ in errs])
-    if stage_path:
-        typed.write.mode("overwrite").parquet(stage_path)
-        typed = raw.sparkSession.read.schema(typed.schema).parquet(stage_path)
-    valid = typed.filter(F.size("errors") == 0).select(*keep, *[f.name for f in fields])
-    rejected = typed.filter(F.size("errors") > 0).select(*keep, payload_col, "errors")
-    return valid, rejected
+    return typed.drop("_not_object", *[f"_e_{n}" for n, _ in errs])
 
 
 # The three payload schemas of the service.
@@ -262,13 +280,6 @@ STATUS_RULES = [
 ]
 
 
-def review_flag_mismatches(corrections: DataFrame) -> DataFrame:
-    """Rows whose needs_batch_review differs from 0.6 <= confidence < 0.8."""
-    from ..functions.routing import review_flag
-
-    return corrections.filter(F.col("needs_batch_review") != review_flag(F.col("classification_confidence")))
-
-
 def at_rest_violations(mrs: DataFrame) -> DataFrame:
     """V14 over a merge-request table: (id, check) for each failed constraint, plus
     one row per duplicated ``mr_url`` (check ``unique_mr_url``)."""

@@ -47,8 +47,13 @@ def summary(corrections: DataFrame, anchor: dt.date, interval_days: int = DEFAUL
     Rows are first reduced per (window, skill) (A9), so the skill list is
     collected from at most one row per distinct skill, never from raw rows.
     """
-    g = skill_groups(corrections, anchor, interval_days, major_every)
-    s = (g.groupBy("iteration_slot", "iteration_type")
+    return summary_of(skill_groups(corrections, anchor, interval_days, major_every), anchor, interval_days, major_every)
+
+
+def summary_of(groups: DataFrame, anchor: dt.date, interval_days: int = DEFAULT_INTERVAL_DAYS,
+               major_every: int = DEFAULT_MAJOR_EVERY) -> DataFrame:
+    """A7 from the per-skill groups (A9), one row per iteration and skill."""
+    s = (groups.groupBy("iteration_slot", "iteration_type")
          .agg(F.sum("feedback_count").cast("long").alias("feedback_count"),
               F.min("feedback_id_start").alias("feedback_id_start"),
               F.max("feedback_id_end").alias("feedback_id_end"),

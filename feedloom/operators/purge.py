@@ -147,7 +147,13 @@ def purge_stored(spark, base: str, purged_at: dt.datetime, requests: DataFrame |
     last = F.coalesce(audit.agg(F.max("id")).scalar(), F.lit(0))
     sinks.append(_audit_rows(chosen.filter(~F.col("_begun")).drop("_begun"), _deleted(corrections, steps), last), f"{base}/purge_audit")
     touched = sinks.blocks_of_steps(spark, base, "corrections", steps)
-    sinks.replace_blocks(_survivors(sinks.read_blocks(spark, base, "corrections", CORRECTIONS, touched), steps), touched, base, "corrections")
+    rows = sinks.read_blocks(spark, base, "corrections", CORRECTIONS, touched)
+    days = sinks.read_days(spark, base, "corrections_by_day", CORRECTIONS)
+    if days.inputFiles():  # the copy by day goes first: a purge called again finds its days from the blocks
+        gone = owner_at(rows, steps, out="_owner").filter("_owner IS NOT NULL").select(F.to_date("created_at").alias(sinks.DAY_COL)).distinct()
+        left = owner_at(days.join(gone, sinks.DAY_COL, "left_semi"), steps, out="_owner").filter("_owner IS NULL").drop("_owner")
+        sinks.replace_days(left, gone, base, "corrections_by_day")
+    sinks.replace_blocks(_survivors(rows, steps), touched, base, "corrections")
     marked = sinks.block_col(chosen).select(sinks.BLOCK_COL).distinct()
     sinks.replace_blocks(_marked(sinks.read_blocks(spark, base, "merge_requests", MERGE_REQUESTS, marked), chosen), marked, base, "merge_requests")
     return refused

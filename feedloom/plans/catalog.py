@@ -525,3 +525,215 @@ def q_stream_mr_status_errors(spark, d):
     from ..streaming.changes import read_status_errors
 
     return read_status_errors(spark, _stream_changes(spark, d))
+
+
+# ---- ingest in one pass: checked rows are written once, valid and rejected apart, and read back ----
+
+def _fanned(spark, checked, name, outcome):
+    from ..session import scratch_path
+    from ..sources.ingest import fan_out, read_outcome
+
+    path = scratch_path(spark, name)
+    fan_out(checked, path)
+    return read_outcome(spark, path, outcome)
+
+
+def _rejects(rows):
+    from ..operators.checks import errors_text
+
+    return rows.select("arrival", "payload", errors_text(F.col("errors")).alias("error_fields"))
+
+
+def _checked_invocations(spark, d):
+    from ..sources.ingest import checked_invocations
+
+    return checked_invocations(fx.fx_raw_invocations(spark, d))
+
+
+def _checked_mr_posts(spark, d):
+    from ..sources.ingest import checked_mr_posts
+
+    return checked_mr_posts(fx.fx_raw_mr_posts(spark, d))
+
+
+def _checked_status(spark, d):
+    from ..sources.ingest import checked_status_updates
+
+    return checked_status_updates(fx.fx_raw_status(spark, d), _mrs(spark, d))
+
+
+@query("ingest_invocations")
+def q_ingest_invocations(spark, d):
+    """S1 with ids (W3) over the stored valid rows."""
+    from ..operators.ids import assign_ids
+
+    valid = _fanned(spark, _checked_invocations(spark, d), "invocations", "valid")
+    return assign_ids(valid, ["arrival"], start_after=ASSIGN_HWM).select("arrival", "id", "skill_name", "status", "finished_at")
+
+
+@query("rejected_invocations")
+def q_rejected_invocations(spark, d):
+    return _rejects(_fanned(spark, _checked_invocations(spark, d), "invocations", "rejected"))
+
+
+@query("ingest_mr_posts")
+def q_ingest_mr_posts(spark, d):
+    return _fanned(spark, _checked_mr_posts(spark, d), "mr-posts", "valid").select(
+        "arrival", "iteration_type", "feedback_id_start", "feedback_id_end", "status", "merged_at")
+
+
+@query("rejected_mr_posts")
+def q_rejected_mr_posts(spark, d):
+    return _rejects(_fanned(spark, _checked_mr_posts(spark, d), "mr-posts", "rejected"))
+
+
+@query("ingest_status_updates")
+def q_ingest_status_updates(spark, d):
+    return _fanned(spark, _checked_status(spark, d), "status", "valid").select("arrival", "id", "status", "merged_at")
+
+
+@query("rejected_status_updates")
+def q_rejected_status_updates(spark, d):
+    return _rejects(_fanned(spark, _checked_status(spark, d), "status", "rejected"))
+
+
+@query("constraint_violations")
+def q_constraint_violations(spark, d):
+    """V14 and V15 over tables with a defect of every kind."""
+    from ..operators.constraints import violations
+
+    return violations(fx.fx_broken(spark, d))
+
+
+# ---- the copy of the corrections by created day ----
+
+def _by_day(spark, d):
+    from ..schemas import CORRECTIONS
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    base = scratch_path(spark, "by-day")
+    sinks.append_days(_cor(spark, d), base, "corrections_by_day")
+    return sinks.read_days(spark, base, "corrections_by_day", CORRECTIONS)
+
+
+@query("corrections_by_day")
+def q_corrections_by_day(spark, d):
+    """P1 on the day layout: the bounds prune day folders."""
+    from ..operators.export import in_date_range
+
+    return in_date_range(_by_day(spark, d), RANGE_FROM, RANGE_TO).select("id", "skill_name", "created_at")
+
+
+@query("export_by_day")
+def q_export_by_day(spark, d):
+    from ..operators.export import export_lines
+
+    return export_lines(_by_day(spark, d), EXPORT_FROM, EXPORT_TO)
+
+
+@query("purge_by_day")
+def q_purge_by_day(spark, d):
+    """The day copy after a stored purge: only days that lost rows are replaced."""
+    from ..operators.purge import purge_stored
+    from ..schemas import CORRECTIONS
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    base = scratch_path(spark, "purge-store")
+    sinks.append_blocks(_cor(spark, d), base, "corrections")
+    sinks.append_days(_cor(spark, d), base, "corrections_by_day")
+    sinks.append_blocks(_mrs(spark, d), base, "merge_requests")
+    purge_stored(spark, base, PURGED_AT)
+    return sinks.read_days(spark, base, "corrections_by_day", CORRECTIONS).select("id", "skill_name")
+
+
+@query("stored_rows")
+def q_stored_rows(spark, d):
+    """P5 and back (P3): arrays as JSON text and flags as 0/1, decoded."""
+    from ..operators.export import tech_stack_json
+    from ..sources.tables import decode_stored_rows
+
+    stored = _cor(spark, d).select("id", tech_stack_json(F.col("tech_stack")).alias("tech_stack_json"), F.col("needs_batch_review").cast("int").alias("needs_batch_review"))
+    return decode_stored_rows(stored).select("id", F.array_join("tech_stack", "|").alias("tech_stack"), "needs_batch_review")
+
+
+@query("corrections_in_id_range")
+def q_corrections_in_id_range(spark, d):
+    """P7."""
+    from ..sources.tables import in_id_range
+
+    return in_id_range(_cor(spark, d), 20, 120).select("id", "skill_name")
+
+
+@query("count_in_id_range")
+def q_count_in_id_range(spark, d):
+    """A5."""
+    from ..sources.tables import count_in_id_range
+
+    return count_in_id_range(_cor(spark, d), 20, 120)
+
+
+@query("reportable_turns")
+def q_reportable_turns(spark, d):
+    """Turns classified by role and length; mixed ones count only with a signal."""
+    from ..functions.routing import correction_signals, is_reportable_type
+
+    t = fx.fx_turn_source(spark, d)
+    kind = F.when(F.col("role") != "user", "task").when(F.col("turn") % 3 == 0, "correction").otherwise("mixed")
+    return t.filter(is_reportable_type(kind, correction_signals(F.col("text"), TEXT_SIGNALS))).select("conv_id", "turn")
+
+
+@query("stream_iterations")
+def q_stream_iterations(spark, d):
+    """Minor and major iterations from a stream of three batches."""
+    from ..streaming.iterations import read_iterations, start_iterations
+
+    src, sink, ck = _stream_dirs(spark, "stream-iterations")
+    for k in range(3):
+        _cor(spark, d).select("id", "skill_name", "created_at").filter(F.col("id") % 3 == k).write.mode("append").parquet(src)
+    start_iterations(spark, src, sink, ck, ANCHOR, INTERVAL_DAYS, MAJOR_EVERY, max_files_per_trigger=1).awaitTermination()
+    return read_iterations(spark, sink, ANCHOR, INTERVAL_DAYS, MAJOR_EVERY)
+
+
+@query("skill_files")
+def q_skill_files(spark, d):
+    """S8 over a folder tree: one skill file per source, read back with its path."""
+    from ..session import scratch_path
+    from ..sources.registry import skill_names
+
+    root = scratch_path(spark, "skills")
+    fx.fx_skill_files(spark, d).repartition("source").write.partitionBy("source").option("lineSep", "\n").text(root)
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", "source=([^/]+)/", 1).alias("path"), F.col("value").alias("content"))
+    return skill_names(files)
+
+
+@query("scope_manifests")
+def q_scope_manifests(spark, d):
+    """One manifest file per scope, read back with its path."""
+    from ..session import scratch_path
+    from ..sources.registry import read_scopes
+
+    root = scratch_path(spark, "manifests")
+    scopes = fx.fx_scopes(spark, d)
+    (scopes.select(F.col("feedback_scope").alias("file"), F.to_json(F.struct("feedback_scope", "feedback_server_url", "reportable_skills")).alias("value"))
+     .repartition("file").write.partitionBy("file").text(root))
+    return read_scopes(spark, f"{root}/*/*").select("feedback_scope", "feedback_server_url", F.array_join("reportable_skills", ",").alias("skills"),
+                                                    F.regexp_extract("file_path", "file=([^/]+)/", 1).alias("file"))
+
+
+@query("skill_list_files")
+def q_skill_list_files(spark, d):
+    """One list file per nation, as an array, as an object, or as something else (NULL)."""
+    from ..session import scratch_path
+    from ..sources.registry import read_skill_lists
+
+    root = scratch_path(spark, "lists")
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit('"skill-'), k.cast("string"), F.lit('"'))
+    text = (F.when(k % 4 == 0, F.concat(F.lit('["a",'), name, F.lit("]"))).when(k % 4 == 1, F.concat(F.lit('{"skills":['), name, F.lit("]}")))
+            .when(k % 4 == 2, F.concat(F.lit("["), name, F.lit(",5]"))).otherwise(F.lit("[]")))
+    fx.table(spark, d, "nation").select(k.alias("list"), text.alias("value")).repartition("list").write.partitionBy("list").text(root)
+    return read_skill_lists(spark, f"{root}/*/*").select(F.regexp_extract("file_path", "list=([^/]+)/", 1).cast("long").alias("list"),
+                                                         F.array_join("skills", ",").alias("skills"))

@@ -61,7 +61,7 @@ FROM nation""",
     "fx_raw_posts": """
 SELECT event_id AS arrival,
   concat('{"skill_name":',
-    CASE WHEN event_id % 17 = 0 THEN '""' WHEN event_id % 19 = 0 THEN '"feedback-rules-moon"'
+    CASE WHEN event_id % 17 = 0 THEN '""' WHEN event_id % 19 = 0 THEN '"feedback-rules-zeta"'
          WHEN event_id % 23 = 0 THEN '123' ELSE concat('"skill-', CAST(user_id % 20 AS STRING), '"') END,
     ',"working_directory":"/repo/project","tech_stack":',
     CASE WHEN event_id % 11 = 0 THEN '"typescript"' WHEN event_id % 7 = 0 THEN '[]' ELSE '["typescript","fastify"]' END,
@@ -480,3 +480,93 @@ SELECT m.id, m.mr_url, m.title, coalesce(f.status, m.status) AS status,
   CASE WHEN f.id IS NULL THEN m.merged_at ELSE f.merged_at END AS merged_at
 FROM fx_mrs m LEFT JOIN _final f ON f.id = m.id""")
 register("stream_mr_status_errors", ["fx_upgrade_posts"], _CHANGES + "SELECT arrival, id, 'not_found' AS error FROM _placed WHERE NOT found")
+
+
+
+# ---- ingest, constraints, layouts: forms and defects restated from the fixtures' definition ----
+
+def _case(expr: str, values: list[str | None]) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None) + " END"
+
+
+_INVOCATION_ERRORS = [None, None, "status:enum", "finished_at:format", "skill_name:reserved", "skill_name:empty", "skill_name:missing", "tech_stack:element",
+                      "$:type", "started_at:format", "$:type", "working_directory:missing,status:type"]
+SQL["ingest_invocations"] = f"""
+SELECT arrival, {ASSIGN_HWM} + row_number() OVER (ORDER BY arrival) AS id, 's' || arrival AS skill_name,
+  CASE arrival % 12 WHEN 0 THEN 'success' ELSE 'failed' END AS status,
+  CASE arrival % 12 WHEN 1 THEN TIMESTAMP '2024-01-05 07:00:00.5' END AS finished_at
+FROM (SELECT event_id + 1 AS arrival FROM events) WHERE arrival % 12 < 2"""
+
+
+def _payload(name: str, forms: int) -> str:
+    from ..sources import fixtures
+
+    texts = getattr(fixtures, name)
+    return "replace(CASE arrival % {} {} END, '%s', CAST(arrival AS VARCHAR))".format(
+        forms, " ".join("WHEN {} THEN '{}'".format(i, t) for i, t in enumerate(texts)))
+
+
+SQL["rejected_invocations"] = f"""
+SELECT arrival, {_payload("INVOCATION_FORMS", 12)} AS payload, {_case("arrival % 12", _INVOCATION_ERRORS)} AS error_fields
+FROM (SELECT event_id + 1 AS arrival FROM events) WHERE arrival % 12 >= 2"""
+
+_MR_ERRORS = [None, None, "feedback_id_end:range_order", "merged_at:merged_at_status", "merged_at:merged_at_status", "title:title_payload_mismatch",
+              "title:invalid_title", "title:range_order", "feedback_id_start:range", "feedback_id_start:type", "feedback_id_start:type", "mr_url:url",
+              "iteration_type:enum,status:missing", "feedback_id_end:type"]
+SQL["ingest_mr_posts"] = """
+SELECT arrival, CASE arrival % 14 WHEN 0 THEN 'major' ELSE 'minor' END AS iteration_type, arrival AS feedback_id_start,
+  arrival * 10 + 9 AS feedback_id_end, CASE arrival % 14 WHEN 0 THEN 'open' ELSE 'merged' END AS status,
+  CASE arrival % 14 WHEN 1 THEN TIMESTAMP '2024-01-06 00:00:00' END AS merged_at
+FROM (SELECT o_orderkey + 1 AS arrival FROM orders) WHERE arrival % 14 < 2"""
+SQL["rejected_mr_posts"] = f"""
+SELECT arrival, {_payload("MR_FORMS", 14)} AS payload, {_case("arrival % 14", _MR_ERRORS)} AS error_fields
+FROM (SELECT o_orderkey + 1 AS arrival FROM orders) WHERE arrival % 14 >= 2"""
+_STATUS_ERRORS = [None, None, "merged_at:merged_at_status", None, "id:invalid_id", "id:not_found", "status:enum", "id:invalid_id", "merged_at:merged_at_status"]
+SQL["ingest_status_updates"] = """
+SELECT arrival, 1 + arrival % 90 AS id, CASE arrival % 9 WHEN 0 THEN 'merged' WHEN 1 THEN 'closed' ELSE 'open' END AS status,
+  CASE arrival % 9 WHEN 0 THEN TIMESTAMP '2024-01-06 00:00:00' END AS merged_at
+FROM (SELECT o_orderkey + 1 AS arrival FROM orders) WHERE arrival % 9 IN (0, 1, 3)"""
+SQL["rejected_status_updates"] = f"""
+SELECT arrival, {_payload("STATUS_FORMS", 9)} AS payload, {_case("arrival % 9", _STATUS_ERRORS)} AS error_fields
+FROM (SELECT o_orderkey + 1 AS arrival FROM orders) WHERE arrival % 9 NOT IN (0, 1, 3)"""
+
+# Mandatory columns of the stored tables after the id, in order; failed checks by id % 101.
+_MANDATORY = {
+    "invocations": "skill_name working_directory tech_stack started_at status",
+    "corrections": "skill_name working_directory tech_stack ai_output user_correction_input classification_confidence needs_batch_review created_at",
+    "merge_requests": "mr_url title head_commit_hash iteration_type feedback_id_start feedback_id_end status opened_at",
+    "purge_audit": "merge_request_id feedback_id_start feedback_id_end deleted_count purged_at",
+}
+_BROKEN = {"invocations": {50: "check:status"}, "corrections": {51: "check:confidence_range", 52: "check:confidence_range"},
+           "merge_requests": {50: "check:status", 53: "check:iteration_type", 54: "check:range_order"}, "purge_audit": {80: "references:merge_request_id"}}
+
+
+def _violations_sql() -> str:
+    parts = []
+    for t, cols in _MANDATORY.items():
+        ids = "SELECT event_id + 1 AS id FROM events" if t in ("invocations", "corrections") else "SELECT o_orderkey + 1 AS id FROM orders"
+        found = {i + 1: f"not_null:{c}" for i, c in enumerate(cols.split())} | _BROKEN[t] | {70: "unique:id"}
+        for m, check in found.items():
+            parts.append(f"SELECT '{t}' AS table_name, id, '{check}' AS \"check\" FROM ({ids}) WHERE id % 101 = {m}")
+        if t == "merge_requests":
+            parts.append(f"SELECT '{t}', min(id), 'unique:mr_url' FROM ({ids}) WHERE id % 101 = 60 HAVING count(*) > 1")
+            parts.append(f"SELECT '{t}', id, 'unique:mr_url' FROM ({ids}) WHERE id % 101 = 70")
+    return "\nUNION ALL ".join(parts)
+
+
+SQL["constraint_violations"] = _violations_sql()
+SQL["corrections_by_day"] = SQL["corrections_in_range"]
+SQL["export_by_day"] = SQL["export_csv_lines"]
+SQL["purge_by_day"] = SQL["purge_survivors"]
+SQL["stream_iterations"] = SQL["iteration_summary"]
+register("stored_rows", ["fx_corrections"], "SELECT id, array_to_string(tech_stack, '|') AS tech_stack, needs_batch_review FROM fx_corrections")
+register("corrections_in_id_range", ["fx_corrections"], "SELECT id, skill_name FROM fx_corrections WHERE id BETWEEN 20 AND 120")
+register("count_in_id_range", ["fx_corrections"], 'SELECT count(*) AS "count" FROM fx_corrections WHERE id BETWEEN 20 AND 120')
+_ANY_SIGNAL = " OR ".join(f"instr(text, '{p}') > 0" for phrases in TEXT_SIGNALS.values() for p in phrases)
+SQL["reportable_turns"] = f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND (turn % 3 = 0 OR {_ANY_SIGNAL})"
+SQL["skill_files"] = "SELECT DISTINCT source AS path, source AS name FROM documents WHERE source NOT LIKE '%3'"
+register("scope_manifests", ["fx_scopes"], """
+SELECT feedback_scope, feedback_server_url, array_to_string(reportable_skills, ',') AS skills, feedback_scope AS file FROM fx_scopes""")
+SQL["skill_list_files"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS list, CASE n_nationkey % 4 WHEN 0 THEN 'a,skill-' || n_nationkey WHEN 1 THEN 'skill-' || n_nationkey WHEN 3 THEN '' END AS skills
+FROM nation"""

@@ -7,7 +7,7 @@ the columns it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.ids import assign_ids
 
@@ -150,7 +150,7 @@ def fx_raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id")
     i = F.col("event_id")
     pad2 = lambda c: F.lpad(c.cast("string"), 2, "0")
-    skill = (F.when(i % 17 == 0, F.lit('""')).when(i % 19 == 0, F.lit('"feedback-rules-moon"'))
+    skill = (F.when(i % 17 == 0, F.lit('""')).when(i % 19 == 0, F.lit('"feedback-rules-zeta"'))
              .when(i % 23 == 0, F.lit("123"))
              .otherwise(F.concat(F.lit('"skill-'), (F.col("user_id") % 20).cast("string"), F.lit('"'))))
     tech = (F.when(i % 11 == 0, F.lit('"typescript"')).when(i % 7 == 0, F.lit("[]"))
@@ -225,3 +225,101 @@ def fx_mr_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (2 * k + 1).alias("arrival"), (1 + k * 13 % 120).alias("id"), F.when(k % 3 == 0, "closed").otherwise("merged").alias("status"),
         F.when(k % 3 != 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("merged_at"))
     return posts.unionByName(updates, allowMissingColumns=True)
+
+
+# Payload forms with %s for a number: every check of the three ingest schemas fails in some form.
+INVOCATION_FORMS = [
+    '{"skill_name":"s%s","working_directory":"/r","tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","finished_at":null,"status":"success"}',
+    '{"skill_name":"s%s","working_directory":"/r","tech_stack":[],"started_at":"2024-01-05T06:07:08Z","finished_at":"2024-01-05T07:00:00.5Z","status":"failed"}',
+    '{"skill_name":"s%s","working_directory":"/r","tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","status":"done"}',
+    '{"skill_name":"s%s","working_directory":"/r","tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","finished_at":"yesterday","status":"unknown"}',
+    '{"skill_name":"feedback-rules-%s","working_directory":"/r","tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","status":"success"}',
+    '{"skill_name":"","working_directory":"/r%s","tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","status":"success"}',
+    '{"working_directory":"/r%s","tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","status":"success"}',
+    '{"skill_name":"s%s","working_directory":"/r","tech_stack":["a",""],"started_at":"2024-01-05T06:07:08Z","status":"success"}',
+    '[%s]',
+    '{"skill_name":"s%s","working_directory":"/r","tech_stack":["a"],"started_at":"2024-01-05T06:07:08+08:00","status":"success"}',
+    '{"skill_name":"s%s",',
+    '{"skill_name":"s%s","working_directory":null,"tech_stack":["a"],"started_at":"2024-01-05T06:07:08Z","status":5}']
+_MR = ('{"mr_url":"https://h/%s","title":"[skills-feedback][major][feedback:%s-%s9] x","head_commit_hash":"h%s","iteration_type":"major",'
+       '"feedback_id_start":%s,"feedback_id_end":%s9,"status":"open","opened_at":"2024-01-05T06:07:08Z"}')
+MR_FORMS = [
+    _MR,
+    _MR.replace("major", "minor").replace('"open"', '"merged","merged_at":"2024-01-06T00:00:00Z"'),
+    _MR.replace('"feedback_id_start":%s,', '"feedback_id_start":%s99,'),
+    _MR.replace('"open"', '"merged"'),
+    _MR.replace('"open"', '"open","merged_at":"2024-01-06T00:00:00Z"'),
+    _MR.replace("[major]", "[minor]"),
+    _MR.replace("[skills-feedback]", "skills"),
+    _MR.replace("feedback:%s-%s9", "feedback:%s9-%s"),
+    _MR.replace('"feedback_id_start":%s', '"feedback_id_start":0'),
+    _MR.replace('"feedback_id_start":%s', '"feedback_id_start":1.5'),
+    _MR.replace('"feedback_id_start":%s', '"feedback_id_start":"3"'),
+    _MR.replace("https://", "ftp://"),
+    _MR.replace('"iteration_type":"major"', '"iteration_type":"huge"').replace('"status":"open",', ""),
+    _MR.replace('"feedback_id_end":%s9', '"feedback_id_end":9007199254740992')]
+STATUS_FORMS = ['{"status":"merged","merged_at":"2024-01-06T00:00:00Z"}', '{"status":"closed"}', '{"status":"merged"}',
+                '{"status":"open","merged_at":null}', '{"status":"open"}', '{"status":"closed"}', '{"status":"done"}', '{"status":"open"}',
+                '{"status":"closed","merged_at":"2024-01-06T00:00:00Z"}']
+
+
+def _forms(forms: list[str], k) -> Column:
+    return F.replace(F.element_at(F.array(*[F.lit(x) for x in forms]), (k % len(forms) + 1).cast("int")), F.lit("%s"), k.cast("string"))
+
+
+def fx_raw_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") + 1
+    return table(spark, sf_dir, "events").select(k.alias("arrival"), _forms(INVOCATION_FORMS, k).alias("payload"))
+
+
+def fx_raw_mr_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") + 1
+    return table(spark, sf_dir, "orders").select(k.alias("arrival"), _forms(MR_FORMS, k).alias("payload"))
+
+
+def fx_raw_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status updates; forms 4, 5 and 7 ask for ids that are none or name no MR."""
+    k = F.col("o_orderkey") + 1
+    form = k % len(STATUS_FORMS)
+    mr = F.when(form == 4, F.lit(0)).when(form == 5, 1_000_000 + k).when(form != 7, 1 + k % 90)
+    return table(spark, sf_dir, "orders").select(k.alias("arrival"), mr.cast("long").alias("id"), _forms(STATUS_FORMS, k).alias("payload"))
+
+
+BREAK_EVERY = 101  # of the ids, one breaks each constraint
+
+
+def fx_broken(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four stored tables with one defect in every 101st row: a NULL in the n-th mandatory column (after the id) where
+    id % 101 is n, a failed check from 50 on, a repeated key at 60 and 70, a lost reference at 80."""
+    from ..operators.constraints import SCHEMAS
+
+    ev = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("id"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("id"))
+    m = F.col("id") % BREAK_EVERY
+    values = {
+        "status": F.when(m == 50, "weird").otherwise(F.lit("failed")), "classification_confidence": F.when(m == 51, 1.5).when(m == 52, -0.1).otherwise(0.5),
+        "iteration_type": F.when(m == 53, "huge").otherwise(F.lit("major")), "feedback_id_start": F.when(m == 54, F.col("id") + 9).otherwise(F.col("id")),
+        "feedback_id_end": F.col("id"), "mr_url": F.when(m == 60, "again").otherwise(F.concat(F.lit("u"), F.col("id").cast("string"))),
+        "merge_request_id": F.when(m == 80, -F.col("id")).otherwise(F.col("id"))}
+    plain = {"string": F.lit("x"), "bigint": F.lit(1), "array<string>": F.array(F.lit("x")), "boolean": F.lit(True),
+             "timestamp_ntz": F.lit("2024-01-05 00:00:00")}
+    out = {}
+    for name, schema in SCHEMAS.items():
+        own = values | ({"status": F.when(m == 50, "weird").otherwise(F.lit("open"))} if name == "merge_requests" else {})
+        if name == "purge_audit":
+            own = own | {"feedback_id_start": F.lit(1), "feedback_id_end": F.lit(1)}
+        cols, n = [F.col("id")], 0
+        for f in schema.fields[1:]:
+            n += 0 if f.nullable else 1
+            col = own.get(f.name, plain.get(f.dataType.simpleString(), F.lit(None)))
+            cols.append(F.when((m == n) & F.lit(not f.nullable), F.lit(None)).otherwise(col).cast(f.dataType).alias(f.name))
+        rows = (ev if name in ("invocations", "corrections") else orders).select(*cols)
+        out[name] = rows.unionByName(rows.filter(m == 70))
+    return out
+
+
+def fx_skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, content) of one skill file per source of the documents: its header, then the smallest document id."""
+    name = F.when(F.col("source").endswith("3"), F.concat(F.lit("feedback-rules-"), F.col("source"))).otherwise(F.col("source"))
+    return (table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
+            .select("source", F.concat(F.lit("---\nname:  "), name, F.lit("\n---\n"), F.col("first").cast("string")).alias("content")))

@@ -7,7 +7,7 @@ log offset, or (file modification time, file path, position) for files).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import checks
 from ..operators.ids import assign_ids
@@ -41,32 +41,47 @@ def validate_corrections(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checks.validate(raw, checks.CORRECTION_FIELDS, keep=["arrival"], reserved_skill_field="skill_name")
 
 
+def checked_mr_posts(raw: DataFrame) -> DataFrame:
+    """S3: schema checks, range order and merged_at rules, then the title checks (V11, V12), in one pass."""
+    titled = check_titles(checks.check(raw, checks.MR_FIELDS, rules=checks.MR_RULES, keep=["arrival"]))
+    return checks.add_errors(titled, checks.error_list([("title", F.col("title_error"))])).drop("title_error")
+
+
 def validate_mr_posts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3: schema checks, range order and merged_at rules, then the title checks."""
-    sent = raw.withColumn("_sent", F.col("payload"))  # every rejected row keeps its payload, so it can be replayed
-    valid, rejected = checks.validate(sent, checks.MR_FIELDS, rules=checks.MR_RULES, keep=["arrival", "_sent"])
-    titled = check_titles(valid)
-    bad_title = titled.filter(F.col("title_error").isNotNull()).select(
-        "arrival", F.col("_sent").alias("payload"),
-        F.array(F.struct(F.lit("title").alias("field"), F.col("title_error").alias("message"))).alias("errors"))
-    good = titled.filter(F.col("title_error").isNull()).drop("title_error", "_sent")
-    return good, rejected.drop("_sent").unionByName(bad_title)
+    """S3 as (valid, rejected); every rejected row keeps its payload, so it can be replayed."""
+    return checks.split(checked_mr_posts(raw), checks.MR_FIELDS, keep=["arrival"])
 
 
-def validate_status_updates(raw: DataFrame, mrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def checked_status_updates(raw: DataFrame, mrs: DataFrame) -> DataFrame:
     """Raw rows carry ``id`` (the MR id of the request) and ``payload``; an id that
-    names no MR is an error row (J5)."""
-    sent = raw.withColumn("_sent", F.col("payload"))
-    valid, rejected = checks.validate(sent, checks.STATUS_FIELDS, rules=checks.STATUS_RULES, keep=["arrival", "id", "_sent"])
-    rejected = rejected.drop("_sent")
-    bad_id = (valid.filter(~F.coalesce(F.col("id") > 0, F.lit(False)))
-              .select("arrival", "id", F.col("_sent").alias("payload"),
-                      F.array(F.struct(F.lit("id").alias("field"), F.lit("invalid_id").alias("message")))
-                      .alias("errors")))
-    valid = valid.filter(F.col("id") > 0)
-    unknown = (valid.join(mrs.select("id"), "id", "left_anti")
-               .select("arrival", "id", F.col("_sent").alias("payload"),
-                       F.array(F.struct(F.lit("id").alias("field"), F.lit("not_found").alias("message")))
-                       .alias("errors")))
-    known = valid.join(mrs.select("id"), "id", "left_semi").drop("_sent")
-    return known, rejected.unionByName(bad_id).unionByName(unknown)
+    is none, or that names no MR, is an error (J5)."""
+    typed = checks.check(raw, checks.STATUS_FIELDS, rules=checks.STATUS_RULES, keep=["arrival", "id"])
+    known = mrs.select(F.col("id").alias("_known")).distinct()
+    typed = typed.join(known, typed["id"] == known["_known"], "left")
+    of_id = (F.when(~F.coalesce(F.col("id") > 0, F.lit(False)), F.lit("invalid_id")).when(F.col("_known").isNull(), F.lit("not_found")))
+    return checks.add_errors(typed, checks.error_list([("id", of_id)])).drop("_known")
+
+
+def validate_status_updates(raw: DataFrame, mrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S4 as (valid, rejected)."""
+    return checks.split(checked_status_updates(raw, mrs), checks.STATUS_FIELDS, keep=["arrival", "id"])
+
+
+def checked_invocations(raw: DataFrame) -> DataFrame:
+    return checks.check(raw, checks.INVOCATION_FIELDS, keep=["arrival"], reserved_skill_field="skill_name")
+
+
+def fan_out(checked: DataFrame, path: str) -> dict[str, int]:
+    """Write checked rows once, as ``<path>/outcome=valid`` and ``<path>/outcome=rejected``; returns the counts of both, observed
+    while writing. Valid rows lose their payload (their fields hold it), rejected rows keep it."""
+    good = F.size("errors") == 0
+    seen = Observation()
+    (checked.withColumn("outcome", F.when(good, "valid").otherwise("rejected")).withColumn("payload", F.when(~good, F.col("payload")))
+     .observe(seen, F.count_if(good).alias("valid"), F.count_if(~good).alias("rejected"))
+     .write.mode("overwrite").partitionBy("outcome").parquet(path))
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def read_outcome(spark: SparkSession, path: str, outcome: str) -> DataFrame:
+    """The valid or the rejected rows of a fan-out: one folder, by partition pruning."""
+    return spark.read.parquet(path).filter(F.col("outcome") == outcome).drop("outcome")

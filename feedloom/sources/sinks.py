@@ -4,7 +4,7 @@ A table by id block is plain Parquet, partitioned by ``_blk`` = id div BLOCK_IDS
 blocks is a dynamic partition overwrite: Spark writes the new files aside and puts
 them in place of those blocks' old ones when the job commits, so all other blocks
 stay as they are and replaced rows leave the disk. A block never holds more than BLOCK_IDS rows, as ids are unique.
-A block that loses its last row keeps one row without an id, because
+A copy by created day serves date ranges and is replaced in the same way, by day. A block or day that loses its last row keeps one row without an id, because
 a partition that gets no row is not overwritten; readers skip such rows.
 """
 
@@ -17,6 +17,7 @@ from ..functions.arrays import floor_div
 
 BLOCK_IDS = 1 << 20
 BLOCK_COL = "_blk"
+DAY_COL = "created_day"
 
 
 def write_csv(corrections: DataFrame, path: str, date_from: str | None = None, date_to: str | None = None) -> None:
@@ -73,19 +74,24 @@ def read_blocks(spark: SparkSession, base: str, table: str, schema: T.StructType
     return rows.filter("id IS NOT NULL").select(*[f.name for f in schema.fields])
 
 
+def _replace(rows: DataFrame, parts: DataFrame, part_col: str, path: str) -> None:
+    columns = [c for c in rows.columns if c != part_col]
+    gone = parts.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], part_col)
+    # a range of (partition, id) per task: a hot partition is spread over tasks, and files are ordered by id
+    (rows.unionByName(gone).repartitionByRange(part_col, "id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path))
+
+
 def replace_blocks(rows: DataFrame, blocks: DataFrame, base: str, table: str) -> None:
     """Put ``rows`` in place of what the ``blocks`` (column ``_blk``, distinct) hold. ``rows`` may be read from the same table."""
-    columns = rows.columns
-    gone = blocks.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], BLOCK_COL)
-    (block_col(rows).unionByName(gone).repartition(BLOCK_COL).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BLOCK_COL).parquet(f"{base}/{table}"))
+    _replace(block_col(rows), blocks, BLOCK_COL, f"{base}/{table}")
 
 
 def append_blocks(rows: DataFrame, base: str, table: str) -> None:
     """K3: append rows with new ids to a table stored by id block, and keep the largest id given (T7: a purge never frees an id)."""
     mark = rows.agg(F.max("id").alias("top")).filter("top IS NOT NULL").select(F.lit(table).alias("table_name"), "top")
     append(mark, f"{base}/_marks")
-    append(block_col(rows).repartition(BLOCK_COL), f"{base}/{table}", [BLOCK_COL])
+    append(block_col(rows).repartitionByRange(BLOCK_COL, "id"), f"{base}/{table}", [BLOCK_COL])
 
 
 def high_water_mark(spark: SparkSession, base: str, table: str) -> DataFrame:
@@ -101,3 +107,21 @@ def blocks_of_steps(spark: SparkSession, base: str, table: str, steps: DataFrame
 
     ids = _stored_blocks(spark, base, table, T.StructType([T.StructField("id", T.LongType())])).filter("id IS NOT NULL")
     return owner_at(ids, steps, out="_owner").filter("_owner IS NOT NULL").select(BLOCK_COL).distinct()
+
+
+def append_days(rows: DataFrame, base: str, table: str) -> None:
+    """K3: append rows to a copy partitioned by created day, for date ranges (P1): bounds on the day prune folders."""
+    days = rows.withColumn(DAY_COL, F.to_date("created_at"))
+    append(days.repartitionByRange(DAY_COL, "id"), f"{base}/{table}", [DAY_COL])
+
+
+def read_days(spark: SparkSession, base: str, table: str, schema: T.StructType) -> DataFrame:
+    """The copy by created day, with its column ``created_day`` (``operators.export.in_date_range`` uses it)."""
+    nullable = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    rows = read_stored(spark, base, table, T.StructType(nullable + [T.StructField(DAY_COL, T.DateType())]))
+    return rows.filter("id IS NOT NULL")
+
+
+def replace_days(rows: DataFrame, days: DataFrame, base: str, table: str) -> None:
+    """Put ``rows`` (with ``created_day``) in place of what the ``days`` (column ``created_day``, distinct) hold."""
+    _replace(rows, days, DAY_COL, f"{base}/{table}")

@@ -215,3 +215,56 @@ def test_only_a_missing_path_counts_as_an_empty_table(spark, tmp_path):
     (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet file")
     with pytest.raises(Exception):
         sinks.read_stored(spark, str(tmp_path), "bad", schema).collect()
+
+
+def test_fan_out_writes_each_row_once_and_counts(spark, tmp_path):
+    from feedloom.operators.checks import errors_text
+    from feedloom.sources.ingest import checked_mr_posts, checked_status_updates, fan_out, read_outcome
+
+    good = {"mr_url": "https://h/1", "title": "[skills-feedback][major][feedback:1-2] x", "head_commit_hash": "h", "iteration_type": "major",
+            "feedback_id_start": 1, "feedback_id_end": 2, "status": "open", "opened_at": "2026-06-11T18:02Z"}
+    cases = [good, good | {"title": "x"}, good | {"title": "[skills-feedback][minor][feedback:1-2] x"}, good | {"feedback_id_start": 3}, good | {"status": "merged"}, [1]]
+    raw = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "arrival long, payload string")
+    path = str(tmp_path / "mr")
+    assert fan_out(checked_mr_posts(raw), path) == {"valid": 1, "rejected": 5}
+    assert [r.arrival for r in read_outcome(spark, path, "valid").collect()] == [0]
+    bad = read_outcome(spark, path, "rejected").select("arrival", "payload", errors_text(F.col("errors")).alias("e")).collect()
+    assert {r.arrival: r.e for r in bad} == {1: "title:invalid_title", 2: "title:title_payload_mismatch", 3: "feedback_id_end:range_order",
+                                             4: "merged_at:merged_at_status", 5: "$:type"}
+    assert all(json.loads(r.payload) == cases[r.arrival] for r in bad)  # can be replayed
+    known = spark.createDataFrame([(7,), (7,)], "id long")
+    ups = spark.createDataFrame([(0, 7, '{"status":"open"}'), (1, 8, '{"status":"open"}'), (2, None, '{"status":"open"}'), (3, -1, '{"status":"x"}')],
+                                "arrival long, id long, payload string")
+    assert fan_out(checked_status_updates(ups, known), str(tmp_path / "st")) == {"valid": 1, "rejected": 3}
+
+
+def test_day_copy_prunes_folders_and_is_purged(spark, tmp_path):
+    from feedloom.operators.export import in_date_range
+    from feedloom.operators.purge import purge_stored
+    from feedloom.sources import sinks
+
+    base = tmp_path / "store"
+    _stored(spark, str(base), 12, [(1, "major", "merged", 4, 6), (2, "major", "merged", 11, 40)])
+    rows = sinks.read_blocks(spark, str(base), "corrections", CORRECTIONS)
+    dated = rows.withColumn("created_at", F.expr("created_at + make_dt_interval(cast(id div 4 as int))"))  # days 0: 1-3, 1: 4-7, 2: 8-11, 3: 12
+    sinks.replace_blocks(dated, rows.select(F.lit(0).cast("long").alias("_blk")).distinct(), str(base), "corrections")
+    sinks.append_days(sinks.read_blocks(spark, str(base), "corrections", CORRECTIONS), str(base), "corrections_by_day")
+    days = lambda: sinks.read_days(spark, str(base), "corrections_by_day", CORRECTIONS)
+    text = in_date_range(days(), "2026-06-12", "2026-06-12").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_day" in text
+    assert sorted(r.id for r in in_date_range(days(), "2026-06-12", "2026-06-12").collect()) == [4, 5, 6, 7]
+    files = lambda: {p.parent.name: {q.name for q in p.parent.glob("part-*")} for p in (base / "corrections_by_day").glob("*/part-*")}
+    before = files()
+    purge_stored(spark, str(base), dt.datetime(2026, 6, 20))
+    assert sorted(r.id for r in days().collect()) == [1, 2, 3, 7, 8, 9, 10] == _left(spark, str(base))
+    assert {d for d in before if files()[d] == before[d]} == {"created_day=2026-06-11"}
+
+
+def test_every_constraint_of_the_schema_can_fail(spark):
+    from feedloom.operators.constraints import CHECKS, SCHEMAS, UNIQUE, violations
+    from feedloom.sources.fixtures import fx_broken
+
+    got = {(r.table_name, r.check) for r in violations(fx_broken(spark, "/root/testdata/sf0.001")).select("table_name", "check").distinct().collect()}
+    want = {(t, f"not_null:{f.name}") for t, s in SCHEMAS.items() for f in s.fields[1:] if not f.nullable}
+    want |= {(t, f"check:{c}") for t, cs in CHECKS.items() for c in cs} | {(t, f"unique:{k}") for t, ks in UNIQUE.items() for k in ks}
+    assert got == want | {("purge_audit", "references:merge_request_id")}

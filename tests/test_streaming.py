@@ -155,3 +155,53 @@ def test_stats_changelog_over_batches(spark, tmp_path):
     all_cor = reduce(lambda x, y: x.unionByName(y), cor)
     want = {tuple(r) for r in skill_stats(all_inv, all_cor, ordered=False).collect()}
     assert got == want
+
+
+def test_iterations_of_a_stream_keep_late_rows_aside(spark, tmp_path):
+    import datetime as dt
+
+    from feedloom.operators.iterations import summary
+    from feedloom.streaming.iterations import read_iterations, read_late, start_iterations
+
+    t = dt.datetime
+    schema = "id long, skill_name string, created_at timestamp_ntz"
+    batches = [spark.createDataFrame([(1, "b", t(2024, 1, 2)), (2, "a", t(2024, 2, 20))], schema),
+               spark.createDataFrame([(4, "a", t(2024, 2, 21)), (5, "c", t(2024, 2, 12)), (6, "a", t(2024, 2, 10)), (7, "a", t(2024, 2, 9, 23, 59))], schema),
+               spark.createDataFrame([(3, "b", t(2024, 1, 3)), (8, "b", t(2024, 3, 1))], schema)]
+    _files_in_order(spark, batches, str(tmp_path / "src"))
+    args = (dt.date(2024, 1, 1), 7, 4)
+    start_iterations(spark, str(tmp_path / "src"), str(tmp_path / "all"), str(tmp_path / "ck"), *args, max_files_per_trigger=1).awaitTermination()
+    every = batches[0].unionByName(batches[1]).unionByName(batches[2])
+    got = sorted(map(tuple, read_iterations(spark, str(tmp_path / "all"), *args).collect()))
+    assert got == sorted(map(tuple, summary(every, *args).collect())) and {r[1] for r in got} == {"minor", "major"}
+    assert read_late(spark, str(tmp_path / "all")).count() == 0
+    start_iterations(spark, str(tmp_path / "src"), str(tmp_path / "some"), str(tmp_path / "ck2"), *args, lateness=dt.timedelta(days=10),
+                     max_files_per_trigger=1).awaitTermination()
+    # ten days before Feb 20 is Feb 10 (not late itself); before Feb 21, Feb 11
+    assert sorted(r.id for r in read_late(spark, str(tmp_path / "some")).collect()) == [3, 7]
+    got = sorted(map(tuple, read_iterations(spark, str(tmp_path / "some"), *args).collect()))
+    assert got == sorted(map(tuple, summary(every.filter("id NOT IN (3, 7)"), *args).collect()))
+
+
+def test_mr_state_is_kept_per_bucket(spark, tmp_path):
+    """A batch writes its buckets only, a retried one the same again, and every n-th version holds all."""
+    import datetime as dt
+
+    from feedloom.operators.upgrades import empty_merge_requests, upsert
+    from feedloom.streaming import changes
+
+    t = dt.datetime(2024, 1, 1)
+    post = lambda a, u, h: (a, u, "x", h, "major", a, a + 1, "open", t, None, None)
+    batches = [spark.createDataFrame([post(1, "u1", "a"), post(2, "u2", "b"), post(3, "u3", "c")], changes.POST_SCHEMA),
+               spark.createDataFrame([post(4, "u2", "d")], changes.POST_SCHEMA),
+               spark.createDataFrame([post(5, "u4", "e"), (6, None, None, None, None, None, None, "merged", None, t, 1), (7, None, None, None, None, None, None, "closed", None, None, 99)], changes.POST_SCHEMA)]
+    src, base = str(tmp_path / "src"), tmp_path / "base"
+    _files_in_order(spark, batches, src)
+    changes.start_mr_feed(spark, src, str(base), str(tmp_path / "ck"), max_files_per_trigger=1, buckets=16, compact_every=3).awaitTermination()
+    held = {v: len(list((base / "merge_requests" / f"v={v}").glob("bucket=*"))) for v in (1, 2, 3)}
+    assert held[2] == 1 and held[3] >= held[1]
+    state = {r.mr_url: (r.id, r.head_commit_hash, r.status) for r in changes.read_merge_requests(spark, str(base)).collect()}
+    assert state == {"u1": (1, "a", "merged"), "u2": (2, "d", "open"), "u3": (3, "c", "open"), "u4": (4, "e", "open")}
+    assert [tuple(r) for r in changes.read_status_errors(spark, str(base)).collect()] == [(7, 99, "not_found")]
+    posts = batches[0].unionByName(batches[1]).unionByName(batches[2]).filter("mr_url IS NOT NULL").drop("id")
+    assert {r.id for r in upsert(empty_merge_requests(spark), posts).collect()} == {1, 2, 3, 4}
