@@ -737,3 +737,82 @@ def q_skill_list_files(spark, d):
     fx.table(spark, d, "nation").select(k.alias("list"), text.alias("value")).repartition("list").write.partitionBy("list").text(root)
     return read_skill_lists(spark, f"{root}/*/*").select(F.regexp_extract("file_path", "list=([^/]+)/", 1).cast("long").alias("list"),
                                                          F.array_join("skills", ",").alias("skills"))
+
+
+@query("turn_pairs_long")
+def q_turn_pairs_long(spark, d):
+    """W1 on two conversations of many thousand turns: pairs across bucket edges too."""
+    from ..operators.routing import turn_pairs
+
+    return turn_pairs(fx.fx_long_turns(spark, d))
+
+
+def _hot_corrections(spark, d):
+    """The corrections, a third of them with one skill."""
+    return _cor(spark, d).withColumn("skill_name", F.when(F.col("id") % 3 == 0, "skill-07").otherwise(F.col("skill_name")))
+
+
+@query("scope_routing_hot")
+def q_scope_routing_hot(spark, d):
+    from ..operators.routing import route
+
+    return route(_hot_corrections(spark, d), fx.fx_scopes(spark, d)).select("id", "feedback_scope")
+
+
+@query("allow_list_hot")
+def q_allow_list_hot(spark, d):
+    from ..operators.routing import allow_list, invoked_only
+
+    return allow_list(invoked_only(_hot_corrections(spark, d), _inv(spark, d)), fx.fx_scopes(spark, d)).select("feedback_scope", "id")
+
+
+@query("upgrade_decisions_all")
+def q_upgrade_decisions_all(spark, d):
+    """Every decision and the state after it, half of the syncs failing, against five newest MRs: none, one
+    without a hash, an open one, a merged one already seen by some, a closed one."""
+    from ..operators.scopes import decisions, record_last_seen
+
+    seen = fx.fx_last_seen(spark, d)
+    newest = {"none": (None, None, False), "no_hash": ("", "merged", True), "open": ("hash1", "open", True), "merged": ("hash2", "merged", True),
+              "closed": ("hash4", "closed", True)}
+    out = None
+    for name, (commit, status, there) in newest.items():
+        mr = fx.table(spark, d, "orders").limit(1).select(F.lit(commit).cast("string").alias("head_commit_hash"), F.lit(status).cast("string").alias("status"))
+        dec = decisions(seen, mr.filter(F.lit(there)))
+        synced = seen.filter(F.length("scope") == 7).select("scope")
+        new = record_last_seen(seen, dec, synced).withColumnRenamed("head_commit_hash", "new_hash")
+        part = dec.join(new, "scope").select(F.lit(name).alias("newest"), "scope", "decision", "new_hash")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("purge_reasons")
+def q_purge_reasons(spark, d):
+    """F8, F10, F11 over every combination of type, status, merge time and purge time."""
+    from ..functions.purge_rules import display_reason, purge_eligible, refusal_reason
+
+    k = F.col("o_orderkey")
+    t = F.lit(PURGED_AT).cast("timestamp_ntz")
+    args = [F.when(k % 2 == 0, "major").otherwise("minor"), F.element_at(F.array(F.lit("open"), F.lit("merged"), F.lit("closed")), (k % 3 + 1).cast("int")),
+            F.when(k % 5 < 3, t), F.when(k % 7 < 2, t)]
+    return fx.table(spark, d, "orders").select(k.alias("id"), purge_eligible(*args).alias("eligible"), refusal_reason(*args).alias("refusal_reason"),
+                                               display_reason(*args).alias("display_reason"))
+
+
+@query("tech_stack_empty")
+def q_tech_stack_empty(spark, d):
+    """F14 on missing, empty and filled stacks."""
+    from ..functions.routing import tech_stack_or_unknown
+
+    k = F.col("event_id")
+    stack = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("a"), F.lit("b")))
+    return fx.table(spark, d, "events").select(k.alias("id"), F.array_join(tech_stack_or_unknown(stack), "|").alias("tech_stack"))
+
+
+@query("review_flags")
+def q_review_flags(spark, d):
+    """V16, F12, F13 with sent flags that are wrong in every seventh row."""
+    from ..operators.routing import tag_confidence
+
+    wrong = F.col("id") % 7 == 0
+    return tag_confidence(_cor(spark, d).withColumn("needs_batch_review", F.col("needs_batch_review") != wrong)).select("id", "flag_consistent")

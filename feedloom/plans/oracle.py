@@ -570,3 +570,34 @@ SELECT feedback_scope, feedback_server_url, array_to_string(reportable_skills, '
 SQL["skill_list_files"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS list, CASE n_nationkey % 4 WHEN 0 THEN 'a,skill-' || n_nationkey WHEN 1 THEN 'skill-' || n_nationkey WHEN 3 THEN '' END AS skills
 FROM nation"""
+
+SQL["turn_pairs_long"] = """
+SELECT conv_id, turn, prev_text AS ai_output, text AS user_input
+FROM (SELECT *, lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text
+      FROM (SELECT CAST(conv_id AS BIGINT) % 2 AS conv_id, CAST(conv_id AS BIGINT) * 64 + turn AS turn, role, text FROM conversations)
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user' AND prev_role = 'assistant'"""
+_HOT = _SS + """, _hot AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'skill-07' ELSE skill_name END AS skill_name FROM fx_corrections)
+"""
+register("scope_routing_hot", ["fx_scopes", "fx_corrections"], _HOT + """
+, _owners AS (SELECT skill_name, min(feedback_scope) AS feedback_scope FROM _ss GROUP BY skill_name HAVING count(DISTINCT feedback_scope) = 1)
+SELECT c.id, o.feedback_scope FROM _hot c JOIN _owners o ON o.skill_name = c.skill_name""")
+register("allow_list_hot", ["fx_scopes", "fx_corrections", "fx_invocations"], _HOT + """
+SELECT s.feedback_scope, c.id FROM _hot c JOIN _ss s ON s.skill_name = c.skill_name WHERE c.skill_name IN (SELECT skill_name FROM fx_invocations)""")
+register("upgrade_decisions_all", ["fx_last_seen"], """
+, n(newest, hash, status) AS (VALUES ('none', NULL, NULL), ('no_hash', '', 'merged'), ('open', 'hash1', 'open'), ('merged', 'hash2', 'merged'), ('closed', 'hash4', 'closed')),
+_d AS (SELECT newest, scope, hash, head_commit_hash,
+         CASE WHEN newest = 'none' THEN 'none' WHEN hash = '' THEN 'error_missing_hash' WHEN head_commit_hash = hash THEN 'skip'
+              WHEN status <> 'merged' THEN 'refuse' ELSE 'sync' END AS decision FROM fx_last_seen, n)
+SELECT newest, scope, decision, CASE WHEN decision = 'sync' AND length(scope) = 7 THEN hash ELSE head_commit_hash END AS new_hash FROM _d""")
+SQL["purge_reasons"] = """
+SELECT id, major AND status = 'merged' AND merged AND NOT purged AS eligible,
+  CASE WHEN NOT major THEN 'not_major' WHEN status <> 'merged' THEN 'not_merged' WHEN NOT merged THEN 'missing_merged_at' WHEN purged THEN 'already_purged' END
+    AS refusal_reason,
+  CASE WHEN purged THEN 'already_purged' WHEN status = 'closed' THEN 'closed' WHEN status <> 'merged' THEN 'not_merged' WHEN NOT merged THEN 'missing_merged_at'
+       WHEN NOT major THEN 'not_major' ELSE 'eligible' END AS display_reason
+FROM (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS major, CASE o_orderkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'merged' ELSE 'closed' END AS status,
+        o_orderkey % 5 < 3 AS merged, o_orderkey % 7 < 2 AS purged FROM orders)"""
+SQL["tech_stack_empty"] = "SELECT event_id AS id, CASE WHEN event_id % 4 = 1 THEN 'a|b' ELSE 'unknown' END AS tech_stack FROM events"
+register("review_flags", ["fx_corrections"], """
+SELECT id, (needs_batch_review <> (id % 7 = 0)) = (classification_confidence >= 0.6 AND classification_confidence < 0.8) AS flag_consistent FROM fx_corrections""")

@@ -323,3 +323,9 @@ def fx_skill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("source").endswith("3"), F.concat(F.lit("feedback-rules-"), F.col("source"))).otherwise(F.col("source"))
     return (table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
             .select("source", F.concat(F.lit("---\nname:  "), name, F.lit("\n---\n"), F.col("first").cast("string")).alias("content")))
+
+
+def fx_long_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as two long ones: turn = conversation * 64 + turn, so buckets begin and end inside, with gaps."""
+    c = F.col("conv_id").cast("long")
+    return table(spark, sf_dir, "conversations").select((c % 2).alias("conv_id"), (c * 64 + F.col("turn")).alias("turn"), "role", "text")

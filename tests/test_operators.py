@@ -384,3 +384,28 @@ def test_instants_ignore_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == [dt.datetime(2024, 3, 10, 2, 30), None]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_salted_join_equals_a_join_and_splits_hot_keys(spark, how):
+    from feedloom.operators.routing import hot_keys, salted_join
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("skill"))
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("gone", 3)] + [(f"k{i}", i) for i in range(0, 997, 2)], "skill string, scope long")
+    hot = spark.range(1).select(hot_keys(rows, "skill", 24)).first()[0]
+    assert hot == {"hot": 8}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = salted_join(rows, small, "skill", how=how, parts=24)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in text and "NestedLoop" not in text
+        assert sorted(map(str, got.select(*rows.join(small, "skill", how).columns).collect())) == sorted(map(str, rows.join(small, "skill", how).collect()))
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+        plain = sorted(r["count"] for r in rows.join(small, "skill", how).groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 3 * sizes[len(sizes) // 2] and sizes[-1] < plain[-1]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)

@@ -115,3 +115,20 @@ def test_range_queries_are_compiled(spark, name):
         E.queries()[name](spark, SF).collect()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_turn_pairs_exchange_the_texts_once(spark):
+    """The whole texts go through one exchange; the edges of the buckets reuse it."""
+    import re
+
+    from feedloom.operators.routing import turn_pairs
+    from feedloom.sources.fixtures import fx_turn_source
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan_text(turn_pairs(fx_turn_source(spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    whole = [ln for ln in text.splitlines() if re.search(r"Exchange hashpartitioning\(conv_id#\d+L?, _b#", ln)]
+    assert ["ReusedExchange" in ln for ln in whole] == [False, True, True]
