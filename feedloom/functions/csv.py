@@ -26,7 +26,7 @@ def js_number_text(x: Column) -> Column:
                          F.lit("e"), exp.cast("string"))
     # 1e7 <= |x| < 1e21, not an integer: move the point right
     big_plain = F.concat(sign, lead, F.substr(frac, F.lit(1), exp), F.lit("."),
-                         F.substr(frac, exp + 1, F.lit(1000)))
+                         F.substr(frac, exp + 1))
     big_exp = F.concat(sign, lead, F.when(F.length(frac) > 0, F.concat(F.lit("."), frac)).otherwise(""),
                        F.lit("e+"), exp.cast("string"))
     is_int = (x == F.floor(x)) & (F.abs(x) < F.lit(1e21))

@@ -175,8 +175,9 @@ def add_errors(checked: DataFrame, errors: Column) -> DataFrame:
 
 
 def check(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = None, payload_col: str = "payload",
-          keep: list[str] | None = None, reserved_skill_field: str | None = None) -> DataFrame:
+          keep: list[str] | None = None, reserved_skill_field: str | None = None, keep_sent: bool = False) -> DataFrame:
     """``keep``, the payload, the typed fields and ``errors`` (V18; empty: valid) of every raw row, each payload parsed once.
+    With ``keep_sent`` each instant also stands as it was sent, in ``<field>_sent``: the typed one holds microseconds.
 
     Rules run only on rows whose fields
     all pass, and the reserved-skill check only on rows that pass everything
@@ -204,6 +205,8 @@ def check(raw: DataFrame, fields: list[Field], rules: list[Rule] | None = None,
         e, val = field_rule(f)
         errs.append((f.name, e))
         vals[f.name] = val
+    if keep_sent:
+        vals |= {f"{f.name}_sent": F.col(f"_s_{f.name}") for f in fields if f.kind == "iso_datetime"}
     typed = once(once(parsed, reads).drop("_o"), {**vals, **{f"_e_{n}": e for n, e in errs}}).drop(*raw_cols)
     field_errors = error_list([(n, F.col(f"_e_{n}")) for n, _ in errs])
     field_errors = F.when(F.col("_not_object"), F.array(F.struct(F.lit("$").alias("field"),

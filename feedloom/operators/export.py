@@ -15,7 +15,7 @@ EXPORT_COLUMNS = ["id", "skill_name", "working_directory", "tech_stack", "ai_out
                   "classification_confidence", "needs_batch_review", "created_at"]
 
 _DATE_ONLY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
-_INSTANT = re.compile(r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(\.\d{1,6})?Z$")
+_INSTANT = re.compile(r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2})(:\d{2})?(\.\d+)?Z$")
 
 
 def _ntz_literal(value: dt.datetime) -> Column:
@@ -41,9 +41,12 @@ def normalize_bounds(date_from: str, date_to: str) -> tuple[dt.datetime, dt.date
         m = _INSTANT.match(v)
         if not m:
             raise ValueError(f"unparsable bound: {v!r}")
-        frac = (m.group(3) or ".0")[1:].ljust(6, "0")
-        return dt.datetime.strptime(f"{m.group(1)} {m.group(2)}", "%Y-%m-%d %H:%M:%S").replace(
-            microsecond=int(frac)), True
+        if m.group(4) and not m.group(3):
+            raise ValueError(f"unparsable bound: {v!r}")
+        # digits below microseconds: stored instants have none, so a lower bound that has them lies before the next microsecond
+        frac = (m.group(4) or ".0")[1:].ljust(6, "0")
+        at = dt.datetime.strptime(f"{m.group(1)} {m.group(2)}{m.group(3) or ':00'}", "%Y-%m-%d %H:%M:%S").replace(microsecond=int(frac[:6]))
+        return (at + dt.timedelta(microseconds=1) if not upper and frac[6:].strip("0") else at), True
 
     lo, _ = parse(date_from, False)
     hi, inclusive = parse(date_to, True)
@@ -76,7 +79,10 @@ def iso_instant(ts: Column) -> Column:
 
 
 def export_projection(corrections: DataFrame) -> DataFrame:
-    """The nine export columns as text, array joined by ``;`` (lossy for ``;`` in an element)."""
+    """The nine export columns as text, array joined by ``;`` (lossy for ``;`` in an element). An instant is given as it was
+    sent where the rows carry that text (``created_at_sent``), else rendered."""
+    rendered = iso_instant(F.col("created_at"))
+    created = F.coalesce("created_at_sent", rendered) if "created_at_sent" in corrections.columns else rendered
     return corrections.select(
         F.col("id").cast("string").alias("id"),
         "skill_name",
@@ -86,7 +92,7 @@ def export_projection(corrections: DataFrame) -> DataFrame:
         "user_correction_input",
         js_number_text(F.col("classification_confidence")).alias("classification_confidence"),
         F.col("needs_batch_review").cast("string").alias("needs_batch_review"),
-        iso_instant(F.col("created_at")).alias("created_at"),
+        created.alias("created_at"),
     )
 
 

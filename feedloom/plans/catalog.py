@@ -392,7 +392,7 @@ def q_stream_ingest(spark, d):
     from ..streaming.ingest import start_ingest
 
     src, sink, ck = _stream_dirs(spark, "stream-ingest")
-    fx.fx_raw_posts(spark, d).repartitionByRange(4, "arrival").write.json(src)
+    fx.fx_raw_posts(spark, d).write.json(src)
     start_ingest(spark, src, sink, ck).awaitTermination()
     valid = spark.read.parquet(f"{sink}/valid")
     return valid.select("arrival", "skill_name", "working_directory", F.to_json("tech_stack").alias("tech_stack_json"),
@@ -406,7 +406,7 @@ def q_stream_stats(spark, d):
 
     src, sink, ck = _stream_dirs(spark, "stream-stats")
     _inv(spark, d).select("skill_name").write.parquet(f"{src}/invocations")
-    _cor(spark, d).select("skill_name").write.parquet(f"{src}/corrections")
+    _plain(spark, d).select("skill_name").write.parquet(f"{src}/corrections")
     start_stats(spark, f"{src}/invocations", f"{src}/corrections", sink, ck).awaitTermination()
     return read_stats(spark, sink)
 
@@ -816,3 +816,13 @@ def q_review_flags(spark, d):
 
     wrong = F.col("id") % 7 == 0
     return tag_confidence(_cor(spark, d).withColumn("needs_batch_review", F.col("needs_batch_review") != wrong)).select("id", "flag_consistent")
+
+
+@query("export_as_sent")
+def q_export_as_sent(spark, d):
+    """Ingest that keeps instants as sent, exported: the text of ``created_at`` comes out unchanged."""
+    from ..operators.checks import CORRECTION_FIELDS, check
+    from ..operators.export import csv_lines
+
+    checked = check(fx.fx_posts_of_many_instants(spark, d), CORRECTION_FIELDS, keep=["arrival"], keep_sent=True)
+    return csv_lines(checked.filter(F.size("errors") == 0).withColumnRenamed("arrival", "id"))

@@ -601,3 +601,6 @@ FROM (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS major, CASE o_orderkey % 3
 SQL["tech_stack_empty"] = "SELECT event_id AS id, CASE WHEN event_id % 4 = 1 THEN 'a|b' ELSE 'unknown' END AS tech_stack FROM events"
 register("review_flags", ["fx_corrections"], """
 SELECT id, (needs_batch_review <> (id % 7 = 0)) = (classification_confidence >= 0.6 AND classification_confidence < 0.8) AS flag_consistent FROM fx_corrections""")
+SQL["export_as_sent"] = """
+SELECT event_id AS id, event_id || ',s' || event_id || ',/r,a;b,"x, y",no,0.5,false,2024-01-05T06:07' || CASE event_id % 5 WHEN 0 THEN 'Z' WHEN 1 THEN ':08Z' WHEN 2 THEN ':08.5Z'
+  WHEN 3 THEN ':08.123456789Z' ELSE ':08.000Z' END AS line FROM events"""

@@ -329,3 +329,13 @@ def fx_long_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as two long ones: turn = conversation * 64 + turn, so buckets begin and end inside, with gaps."""
     c = F.col("conv_id").cast("long")
     return table(spark, sf_dir, "conversations").select((c % 2).alias("conv_id"), (c * 64 + F.col("turn")).alias("turn"), "role", "text")
+
+
+INSTANT_FORMS = ["2024-01-05T06:07Z", "2024-01-05T06:07:08Z", "2024-01-05T06:07:08.5Z", "2024-01-05T06:07:08.123456789Z", "2024-01-05T06:07:08.000Z"]
+
+
+def fx_posts_of_many_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = ('{"skill_name":"s%s","working_directory":"/r","tech_stack":["a","b"],"ai_output":"x, y","user_correction_input":"no",'
+            '"classification_confidence":0.5,"needs_batch_review":false,"created_at":"')
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(k.alias("arrival"), _forms([form + x + '"}' for x in INSTANT_FORMS], k).alias("payload"))

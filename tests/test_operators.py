@@ -131,6 +131,12 @@ def test_date_range_and_export(spark, tmp_path):
             raise AssertionError("should raise")
         except ValueError:
             pass
+    assert normalize_bounds("2026-06-11T10:00Z", "2026-06-11T10:00:00.1234567Z") == (
+        dt.datetime(2026, 6, 11, 10), dt.datetime(2026, 6, 11, 10, 0, 0, 123456), True)
+    assert normalize_bounds("2026-06-11T10:00:00.1234567Z", "2026-06-12")[0] == dt.datetime(2026, 6, 11, 10, 0, 0, 123457)
+    sent = cor.withColumn("created_at_sent", F.when(F.col("id") == 1, "2026-06-11T18:02Z"))
+    assert sorted(r["line"].rsplit(",", 1)[1] for r in export_lines(sent, "2026-06-11", "2026-06-11").collect()) == [
+        "2026-06-11T18:02Z", "2026-06-11T23:59:59.999500Z"]
     line = export_lines(cor, "2026-06-11", "2026-06-11").filter("id = 1").first()["line"]
     assert line == "1,s,/repo,typescript;fastify,out,fix,0.9,false,2026-06-11T18:02:00.000Z"
     out = str(tmp_path / "csv")
