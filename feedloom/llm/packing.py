@@ -38,6 +38,10 @@ MEMO_WORDS = 400_000  # words whose ids a task remembers; then it starts anew
 JOINED = 256  # unseen words given to the tokenizer as one text
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE
 
+# Of Latin-1: lower case, and 1 for a letter, 2 for white space, 3 for a comma or full stop.
+LOWER = "".join(c.lower() if len(c.lower().encode("latin-1", "replace")) == 1 and ord(c.lower()) < 256 else c for c in map(chr, range(256))).encode("latin-1")
+KIND = np.array([1 if c.isalpha() else 2 if c.isspace() else 3 if c in ",." else 0 for c in map(chr, range(256))], np.uint8)
+
 _LOADED: dict[str, "WordIds"] = {}
 
 
@@ -57,9 +61,9 @@ class WordIds:
     """Ids of texts by a lower-casing tokenizer whose words never cross white space.
 
     A text's ids are those of its white-space separated words in turn, so each
-    distinct word goes through the library once and its ids are remembered. A
-    word that ends in a letter and then one comma or full stop has the ids of the
-    two parts. A text with a character that Python takes for white space and
+    distinct word goes through the library once and its ids are remembered. A comma or
+    full stop between a letter and white space is a word of its own (checked on the vocabulary), so far
+    fewer words are distinct. A text with a character that Python takes for white space and
     the tokenizer doesn't is encoded whole.
     """
 
@@ -89,30 +93,18 @@ class WordIds:
     def _learn(self) -> None:
         """Ids of the words met since the last call."""
         new, self.code.new = self.code.new, []
-        plain, ended = [], []
-        for w in new:
-            (ended if self.splits and len(w) > 1 and w[-1] in ",." and w[-2] < "\u0100" and w[-2].isalpha() else plain).append(w)
-        halves = [(self.code[w], self.code[w[:-1]], self.code[w[-1]]) for w in ended]
-        plain += self.code.new
-        self.code.new = []
-        more = np.zeros(len(self.code) - len(self.start), np.int64)
-        self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
-        flat, at = [self.flat], len(self.flat)
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        first = len(self.start)  # the new words' numbers follow each other
+        flat, size = [self.flat], []
+        groups = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
         for group, e in zip(groups, self.tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            begin = np.array([a for a, _ in e.offsets], np.int64)
-            ends = np.searchsorted(begin, np.cumsum([len(w) + 1 for w in group]), "left")
-            codes = [self.code[w] for w in group]
-            self.size[codes] = np.diff(ends, prepend=0)
-            self.start[codes] = at + ends - self.size[codes]
+            begin = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2]
+            width = np.fromiter(map(len, group), np.int64, len(group)) + 1
+            size.append(np.diff(np.searchsorted(begin, np.cumsum(width), "left"), prepend=0))
             flat.append(np.array(e.ids, np.uint32))
-            at += len(e.ids)
+        self.size = np.concatenate([self.size, *size])
+        self.start = np.cumsum(self.size) - self.size
         self.flat = np.concatenate(flat)
-        if halves:
-            word, stem, mark = np.array(halves, np.int64).T
-            self.size[word] = self.size[stem] + self.size[mark]
-            self.start[word] = at + np.cumsum(self.size[word]) - self.size[word]
-            self.flat = np.concatenate([self.flat, self._gather(np.stack([stem, mark], 1).ravel())[0]])
+        assert len(self.size) == first + len(new)
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words in turn, and where each word's ids end."""
@@ -120,20 +112,32 @@ class WordIds:
         upto = np.concatenate([[0], np.cumsum(n)])
         return self.flat[np.repeat(self.start[codes] - upto[:-1], n) + np.arange(upto[-1])], upto
 
-    def _lower(self, text: str) -> str:
-        """Lower case where that changes no id: Latin-1 texts without a special token's opening."""
+    def _words(self, text: str) -> list[str]:
+        """The white-space separated words; in Latin-1 texts without a special token's opening in lower case, where that
+        changes no id, and with commas and full stops between a letter and white space apart."""
         if not self.lowers or "<|" in text:
-            return text
+            return text.split()
         try:
-            text.isascii() or text.encode("latin-1")
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return text
-        return text.lower()
+            return text.split()
+        raw = raw.translate(LOWER)
+        if self.splits and raw:
+            x = np.frombuffer(raw, np.uint8)
+            kind = KIND[x]
+            mark = kind == 3
+            mark[1:] &= kind[:-1] == 1
+            mark[:-1] &= kind[1:] == 2
+            mark[0] = False
+            apart = np.full(len(x) + int(mark.sum()), 32, np.uint8)
+            apart[np.arange(len(x)) + np.cumsum(mark)] = x
+            raw = apart.tobytes()
+        return raw.decode("latin-1").split()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, without special tokens."""
         odd = {i: np.array(self._whole(t), np.uint32) for i, t in enumerate(texts) if any(c in t for c in self.odd)}
-        words = [[] if i in odd else self._lower(t).split() for i, t in enumerate(texts)]
+        words = [[] if i in odd else self._words(t) for i, t in enumerate(texts)]
         counts = [len(w) for w in words]
         if len(self.code) > MEMO_WORDS:
             self._clear()
