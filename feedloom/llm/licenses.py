@@ -1,7 +1,7 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block (a line, or as many words in a row as the template has, over line breaks) matches a
-template if it holds at least ``THRESHOLD`` of the template's distinct tokens. For lines, tokens are put in one global order, rarest in the
+template if it holds at least ``THRESHOLD`` of the template's distinct tokens, and all of those that name a license. For lines, tokens are put in one global order, rarest in the
 corpus first. If a block holds ``need`` tokens of a template, then the two
 share a token among the template's first ``size - need + 1`` (its prefix), so
 only these are joined; block length and the places of the shared token in
@@ -44,6 +44,8 @@ TEMPLATES = {
                    "released under the mit license"],
     "rights-reserved": ["all rights reserved"],
 }
+# The words that tell licenses apart; a block must hold all those of the template it matches.
+NAMES = {"apache", "attribution", "bsd", "by", "cc", "commons", "creative", "gnu", "mit", "nc", "noncommercial"}
 THRESHOLD = 0.8
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words of a lower-cased text
@@ -115,8 +117,9 @@ def matches(docs: DataFrame, key: list[str], text_col: str, templates: dict[str,
     for n, (label, tokens) in enumerate(sets):
         ranks = sorted(rank[t] for t in tokens)
         need = math.ceil(threshold * len(ranks) - 1e-9)
-        rows += [(r, place, n, label, ranks, need) for place, r in enumerate(ranks[:len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(rows, "token int, place int, template int, label string, t_ranks array<int>, need int")
+        named = sorted(rank[t] for t in tokens if t in NAMES)
+        rows += [(r, place, n, label, ranks, need, named) for place, r in enumerate(ranks[:len(ranks) - need + 1])]
+    prefixes = spark.createDataFrame(rows, "token int, place int, template int, label string, t_ranks array<int>, need int, named array<int>")
     seeds = F.array(*[F.lit(order[r]) for r in sorted({r[0] for r in rows})])
     ranked = F.map_from_arrays(F.array(*[F.lit(t) for t in order]), F.array(*[F.lit(i) for i in range(len(order))]))
     blocks = (docs.filter(F.arrays_overlap(words_of(F.col(text_col)), seeds))
@@ -131,7 +134,7 @@ def matches(docs: DataFrame, key: list[str], text_col: str, templates: dict[str,
     # the first shared token of a pair decides, so each pair is counted once
     first = F.array_min(F.array_intersect("_ranks", "t_ranks")) == F.col("token")
     shared = F.size(F.array_intersect("_ranks", "t_ranks"))
-    return (pairs.filter(first & (shared >= F.col("need")))
+    return (pairs.filter(first & (shared >= F.col("need")) & (F.size(F.array_except("named", "_ranks")) == 0))
             .select(*key, "block", "label", "template", (shared / F.size("t_ranks")).alias("containment")))
 
 
@@ -141,18 +144,23 @@ def wrapped(docs: DataFrame, key: list[str], text_col: str, templates: dict[str,
     sets = [(label, sorted(set(t.split(" "))), len(t.split(" "))) for label, ts in templates.items() for t in ts]
     words = lambda ts: F.array(*[F.lit(t) for t in ts])
     every = F.array(*[F.struct(F.lit(label).alias("label"), words(ts).alias("tokens"), F.lit(math.ceil(threshold * len(ts) - 1e-9)).alias("need"),
-                               F.lit(n).alias("length")) for label, ts, n in sets])
+                               F.lit(n).alias("length"), words([t for t in ts if t in NAMES]).cast("array<string>").alias("named"))
+                      for label, ts, n in sets])
     own = F.array_intersect(words_of(F.col(text_col)), words(sorted({t for _, ts, _ in sets for t in ts})))
-    maybe = let(own, lambda o: F.filter(every, lambda t: F.size(F.array_intersect(o, t["tokens"])) >= t["need"]))
+    maybe = let(own, lambda o: F.filter(every, lambda t: (F.size(F.array_intersect(o, t["tokens"])) >= t["need"])
+                                        & (F.size(F.array_except(t["named"], o)) == 0)))
     pairs = (docs.select(*key, text_col, maybe.alias("_maybe")).filter(F.size("_maybe") > 0)
              .select(*key, text_col, F.explode("_maybe").alias("_t")))
     places = F.filter(F.transform(words_of(F.col(text_col)), lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
                       lambda x: F.array_contains(F.col("_t.tokens"), x["w"]))
 
+    def worth(run: Column) -> Column:
+        return F.when(F.size(F.array_except("_t.named", run)) == 0, F.size(F.array_distinct(run))).otherwise(0)
+
     def held(p: Column) -> Column:
-        """The most distinct tokens in a run that begins with a token of the template."""
-        return F.array_max(F.transform(p, lambda x, k: F.size(F.array_distinct(F.transform(
-            F.filter(F.slice(p, k + 1, F.col("_t.length")), lambda y: y["i"] < x["i"] + F.col("_t.length")), lambda y: y["w"])))))
+        """The most distinct tokens in a run that begins with a token of the template and holds all its names."""
+        return F.array_max(F.transform(p, lambda x, k: worth(F.transform(
+            F.filter(F.slice(p, k + 1, F.col("_t.length")), lambda y: y["i"] < x["i"] + F.col("_t.length")), lambda y: y["w"]))))
 
     found = pairs.select(*key, "_t", let(places, held).alias("_held")).filter(F.col("_held") >= F.col("_t.need"))
     return found.select(*key, F.col("_t.label").alias("label"), (F.col("_held") / F.size("_t.tokens")).alias("containment"))

@@ -2,7 +2,7 @@
 
 import math
 
-from .licenses import PHRASES, TEMPLATES, THRESHOLD
+from .licenses import NAMES, PHRASES, TEMPLATES, THRESHOLD
 from .quality_rules import (BOILERPLATE, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAV_SEPARATORS, PLATE_CHARS,
                             WINDOW)
 
@@ -27,8 +27,9 @@ SELECT p.page_id, payload_bytes, payload_digest,
 FROM p JOIN o ON p.html = o.html
 """
 
-_templates = [(label, sorted(set(t.split(" ")))) for label, ts in TEMPLATES.items() for t in ts]
-_template_rows = ", ".join(f"('{label}', {_sql_list(t)}, {math.ceil(THRESHOLD * len(t) - 1e-9)})" for label, t in _templates)
+_templates = [(label, sorted(set(t.split(" "))), len(t.split(" "))) for label, ts in TEMPLATES.items() for t in ts]
+_template_rows = ", ".join(f"('{label}', {_sql_list(t)}, {math.ceil(THRESHOLD * len(t) - 1e-9)}, {_sql_list(x for x in t if x in NAMES)}::VARCHAR[], {n})"
+                           for label, t, n in _templates)
 _phrase_rows = ", ".join(f"({_sql_list(p.split(' '))}, '{label}')" for p, label in PHRASES.items())
 
 SQL["op3_license_scan"] = f"""
@@ -37,7 +38,7 @@ WITH d AS (
          string_split({LOWER}, chr(10)) AS lines
   FROM documents
 ), phrases(p, label) AS (VALUES {_phrase_rows}),
-templates(label, t, need) AS (VALUES {_template_rows}),
+templates(label, t, need, named, width) AS (VALUES {_template_rows}),
 places AS (
   SELECT doc_id, label, i - 1 AS pos
   FROM d, phrases, unnest(range(1, len(words) + 1)) AS u(i)
@@ -47,12 +48,18 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
   FROM places GROUP BY doc_id
 ),
+runs AS (
+  SELECT doc_id, label, t, need, named, list_distinct(words[i:i + width - 1]) AS b
+  FROM (SELECT * FROM d, templates WHERE len(list_intersect(words, t)) >= need), unnest(range(1, len(words) + 1)) AS u(i)
+  WHERE list_contains(t, words[i])
+),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_split_to_array(line, '{BREAK}')) AS b FROM d, unnest(lines) AS u(line)
+  SELECT doc_id, label, t, need, named, list_distinct(regexp_split_to_array(line, '{BREAK}')) AS b FROM d, unnest(lines) AS u(line), templates
+  UNION ALL SELECT * FROM runs
 ),
 own AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(b, t)) / len(t)) AS best
-  FROM blocks, templates WHERE len(list_intersect(b, t)) >= need GROUP BY doc_id
+  FROM blocks WHERE len(list_intersect(b, t)) >= need AND list_has_all(b, named) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

@@ -130,7 +130,7 @@ def test_rows_in_another_order_are_noticed(spark):
 # ---- license scan
 
 def test_license_report(docs, rows):
-    from feedloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, license_report
+    from feedloom.llm.licenses import NAMES, PHRASES, TEMPLATES, THRESHOLD, license_report
 
     sets = [(label, set(t.split())) for label, ts in TEMPLATES.items() for t in ts]
     want = Counter()
@@ -141,7 +141,7 @@ def test_license_report(docs, rows):
         for block in (t or "").split("\n"):
             b = set(ALNUM_WORD.findall(low(block)))
             for label, s in sets:
-                if len(b & s) >= THRESHOLD * len(s) - 1e-9:
+                if len(b & s) >= THRESHOLD * len(s) - 1e-9 and NAMES & s <= b:
                     own.add(label)
                     best = max(best, len(b & s) / len(s))
         first, last = (min(k for k, _ in at), max(k for k, _ in at)) if at else (None, None)
@@ -167,6 +167,30 @@ def test_license_notices_over_several_lines(make):
     assert (out[90].labels, out[90].score, out[91].labels, out[91].score) == ("", 0.0, "", 0.0)
 
 
+def test_license_sql_knows_names_and_runs(make):
+    import duckdb
+
+    from feedloom.llm.licenses import TEMPLATES, license_report
+    from feedloom.llm.oracle import SQL
+
+    mit, apache = TEMPLATES["mit-notice"][0], TEMPLATES["apache-notice"][0]
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split(" ")[k:k + n]) for k in range(0, len(t.split(" ")), n))
+    texts = {1: "It is released under the apache license", 2: "Code released under the GPL license.", 3: "x\n" + wrap(mit, 6) + "\ny", 4: "all\nrights\nreserved",
+             5: "This is RELEASED under the MIT License!", 6: "released under the\nmit\nlicense", 7: wrap(apache, 4).replace("apache", "other"),
+             8: wrap(apache.replace(" may", " can"), 5), 9: "licensed under cc by nc 4 0", 10: "licensed under cc 4 0", 11: None, 12: "mit " + "z " * 9 + "released under the license"}
+    got_rows = {r.doc_id: r.asDict() for r in license_report(make(list(texts.items()), "probes")).collect()}
+    labels = {k: r["labels"] for k, r in got_rows.items()}
+    assert labels == {1: "apache", 2: "", 3: "mit-notice", 4: "rights-reserved", 5: "mit,mit-notice", 6: "mit,mit-notice", 7: "", 8: "apache,apache-notice",
+                      9: "cc-by,cc-by-nc-notice,cc-by-notice", 10: "", 11: "", 12: "mit-notice"}  # a line is a set of words
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
+    res = con.execute(SQL["op3_license_scan"])
+    names = [d[0] for d in res.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in res.fetchall()}
+    assert {k: {c: r[c] for c in names} for k, r in got_rows.items()} == want
+
+
 # ---- quality classifier
 
 def test_trees_learn_and_walk():
