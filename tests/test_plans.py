@@ -15,7 +15,11 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
+# Queries that run their jobs while they are built and return a stored result; other queries hold the same plans.
+STORED = ("stream_", "ingest_", "rejected_i", "rejected_m", "rejected_s", "purge_committed", "purge_by_day", "purge_refusals", "purge_audit_committed")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(STORED)))
 def test_plan_shape(spark, name):
     text = plan_text(E.queries()[name](spark, SF))
     bad = [op for op in FORBIDDEN if op in text]
