@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import by_bytes, mix64, text_bytes
 from .components import components, stored
@@ -38,7 +38,7 @@ from .shingles import shingle_hashes, word_hashes
 
 BAND = 4
 MISS = 1e-6
-MIDDLE = 25  # classes of a family that vote on its middle
+VOTERS = 25  # classes of a family that vote on its middle, at most
 BATCH_BYTES = 1 << 20
 
 
@@ -135,68 +135,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``f, key, n, slack, size, gone, own, lost``: how each class of a family differs from the family's middle.
+    """``f, key, n, slack, size, first, bits``: how each class of a family differs from the family's middle.
 
-    The middle is the set of shingles that most of ``MIDDLE`` classes of the family hold; any reference set gives right
-    results, this one makes the differences small and rare. With D the symmetric difference of a class
-    and the middle, two classes differ by |D1| + |D2| - 2 |D1 and D2| shingles. So:
+    The middle is the set of shingles that most of at most ``VOTERS`` classes of the family hold; any reference set gives
+    right results, this one makes the differences small and rare. With D the symmetric difference of a class
+    and the middle (``size`` elements), two classes differ by |D1| + |D2| - 2 |D1 and D2| shingles. So:
 
     - classes whose ``slack`` (100 - percent) n - (100 + percent) |D| add up to 0 or more are linked for sure;
-    - all others are linked only if their D share (-slack1 - slack2) / 2 (100 + percent) elements or more. D is
-      ordered: first the shingles that the middle lacks (mostly a class's own), then the ``gone`` ones that the class lacks.
-      A class shares at least |D| - s elements with one that it is linked to, s being the largest difference
-      of two linked classes, so the first s + 1 elements of both D meet. They meet in ``own``, or else (both have
-      fewer than s + 1 shingles of their own and share none) in ``lost``, and then no more than ``gone`` are shared.
+    - all others are linked only if their D share (-slack1 - slack2) / 2 (100 + percent) elements or more.
+
+    ``first`` are the leading elements of D, those that fewest voters have in their D first (then by value: one order for the
+    whole family). A class shares at least |D| - s elements with one that it is linked to, s being the largest difference of
+    two linked classes, so no more than s + 1 are kept. ``bits`` are the parities of D in 256 cells: two classes
+    differ by at least as many shingles as their parities do.
     """
-    w = Window.partitionBy("f").orderBy(F.col("root") != F.col("f"), F.xxhash64("key"), "key")
-    some = family.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= MIDDLE).select("f", "key").join(sets, "key")
+    slot = F.pmod(F.xxhash64("key"), F.lit(VOTERS))
+    voters = (family.groupBy("f", slot.alias("slot")).agg(F.min(F.struct(F.col("root") != F.col("f"), F.xxhash64("key"), "key")).alias("v"))
+              .select("f", F.col("v.key").alias("key")))
 
     def middle(table: pa.Table) -> pa.Table:
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         value, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.table({"f": table.column("f").slice(0, 1), "middle": pa.array([value[2 * n > len(held)].tobytes()], pa.binary())})
+        known = (n > 1) | (2 * n > len(held))
+        return pa.table({"f": table.column("f").slice(0, 1), "common": pa.array([value[known].tobytes()], pa.binary()),
+                         "times": pa.array([n[known].astype(np.uint8).tobytes()], pa.binary()), "voters": pa.array([len(held)], pa.int64())})
 
-    middles = some.select("f", "shingles").groupBy("f").applyInArrow(middle, "f binary, middle binary")
+    middles = (voters.join(sets, "key").select("f", "shingles").groupBy("f")
+               .applyInArrow(middle, "f binary, common binary, times binary, voters long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slack, size, gone, own, lost = [], [], [], [], []
-            for n, x, m in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
-                x, m = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(m.as_buffer(), np.uint64)
-                more, less = np.setdiff1d(x, m, assume_unique=True), np.setdiff1d(m, x, assume_unique=True)
-                first = (100 - percent) * (n + 100 * n // percent) // (100 + percent) + 1
-                size.append(len(more) + len(less))
-                slack.append((100 - percent) * n - (100 + percent) * size[-1])
-                gone.append(len(less))
-                own.append(more[:first].view(np.int64))
-                lost.append(less[:max(0, first - len(more))].view(np.int64))
+            slack, size, first, bits = [], [], [], []
+            for n, x, common, times, voters in zip(b.column(2).to_pylist(), *(b.column(i) for i in range(3, 6)), b.column(6).to_pylist()):
+                x, common = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(common.as_buffer(), np.uint64)
+                times = np.frombuffer(times.as_buffer(), np.uint8).astype(np.int64)
+                inside = 2 * times > voters
+                more = np.setdiff1d(x, common[inside], assume_unique=True)
+                less = np.setdiff1d(common[inside], x, assume_unique=True)
+                d = np.concatenate([more, less])
+                seen = np.zeros(len(d), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, d), len(common) - 1)
+                    seen = np.where(common[at] == d, np.minimum(times, voters - times)[at], 0)
+                most = (100 - percent) * (n + 100 * n // percent) // (100 + percent) + 1
+                size.append(len(d))
+                slack.append((100 - percent) * n - (100 + percent) * len(d))
+                first.append(d[np.lexsort((d, seen))][:most].view(np.int64))
+                bits.append(np.packbits(np.bincount((d >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], *(pa.array(c, pa.int64()) for c in (slack, size, gone)), pa.array(own, longs), pa.array(lost, longs)],
-                names=["f", "key", "n", "slack", "size", "gone", "own", "lost"])
+                [*b.columns[:3], pa.array(slack, pa.int64()), pa.array(size, pa.int64()), pa.array(first, longs), pa.array(bits, longs)],
+                names=["f", "key", "n", "slack", "size", "first", "bits"])
+
+    return (family.join(sets, "key").join(middles, "f").select("f", "key", "n", "shingles", "common", "times", "voters")
+            .mapInArrow(run, "f binary, key binary, n long, slack long, size long, first array<bigint>, bits array<bigint>"))
 
-    return (family.join(sets, "key").join(middles, "f").select("f", "key", "n", "shingles", "middle")
-            .mapInArrow(run, "f binary, key binary, n long, slack long, size long, gone long, own array<bigint>, lost array<bigint>"))
 
+def sharing(diffs: DataFrame, best: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of unconnected classes of a family that may be linked (``best``: the largest slack per family).
 
-def sharing(diffs: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of unconnected classes of a family whose differences meet. Of each meeting place's classes, those of
-    the largest component are not compared with each other."""
-    rooted = diffs.join(root, F.col("key") == F.col("node"), "left").withColumn("root", F.xxhash64(F.coalesce("root", "key")))
-    places = F.concat(F.transform("own", lambda e: F.struct(e.alias("e"), F.lit(True).alias("mine"))),
-                      F.transform("lost", lambda e: F.struct(e.alias("e"), F.lit(False).alias("mine"))))
-    rows = rooted.select("f", "key", "n", "root", "slack", "gone", F.explode(places).alias("e")).select(
-        F.xxhash64("f", "e.e").alias("place"), "key", "n", "root", "slack", "gone", "e.mine")
+    Exact filters, all applied inside the join: the classes share one of their rarest differences (so many that a linked
+    class can't lie beyond them, given the largest slack of those it isn't connected to), enough differences are left
+    behind the place where they meet, their sizes allow the threshold, and so do the parities of their differences.
+    Of each meeting place's classes, those of the largest component are not compared with each other.
+    """
+    unit = 2 * (100 + percent)
+    sure = F.col("slack") + F.col("best.slack") >= 0  # connected to the best class
+    loose = diffs.join(best, "f").groupBy("f").agg(F.max(F.when(~sure, F.col("slack"))).alias("loose")).filter("loose is not null")
+    short = -(F.col("slack") + F.when(sure, F.col("loose")).otherwise(F.col("best.slack")))
+    needed = F.greatest(F.lit(1), F.ceil(short / F.lit(unit))).cast("int")
+    rooted = (diffs.join(best, "f").join(loose, "f")
+              .withColumn("first", F.slice("first", 1, F.greatest(F.lit(0), F.least(F.size("first"), F.col("size").cast("int") - needed + 1))))
+              .join(root, F.col("key") == F.col("node"), "left").withColumn("root", F.xxhash64(F.coalesce("root", "key"))))
+    bits = [f"b{i}" for i in range(4)]
+    about = ["key", "n", "root", "slack", "left", *bits]
+    rows = (rooted.select("f", "key", "n", "root", "slack", "size", *[F.col("bits")[i].alias(c) for i, c in enumerate(bits)],
+                          F.posexplode("first").alias("at", "e"))
+            .withColumn("left", F.col("size") - F.col("at")).select(F.xxhash64("f", "e").alias("place"), *about))
     open_ = (rows.groupBy("place", "root").count().groupBy("place")
              .agg(F.max(F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
              .select("place", F.col("main.root").alias("main")))
     there = rows.join(open_, "place")
-    other = there.filter("root <> main").select("place", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "root", "slack", "gone")])
-    short = -(F.col("slack") + F.col("slack2"))  # 2 (100 + percent) times the elements that must be shared
-    enough = F.col("mine") | (short <= 2 * (100 + percent) * F.least("gone", "gone2"))
-    near = (100 + percent) * F.abs(F.col("n") - F.col("n2")) <= (100 - percent) * (F.col("n") + F.col("n2"))
-    return (there.join(other, "place").filter((F.col("root") != F.col("root2")) & (short > 0) & enough & near)
-            .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct())
+    other = there.filter("root <> main").select("place", *[F.col(c).alias(f"{c}2") for c in about])
+    lacking = -(F.col("slack") + F.col("slack2"))  # ``unit`` times the elements that must be shared
+    enough = lacking <= unit * F.least("left", "left2")
+    most = (100 - percent) * (F.col("n") + F.col("n2"))  # 100 + percent times the shingles by which linked classes differ at most
+    near = (100 + percent) * F.abs(F.col("n") - F.col("n2")) <= most
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in bits), F.lit(0))
+    meet = ((there["place"] == other["place"]) & (F.col("root") != F.col("root2")) & (lacking > 0) & enough & near
+            & ((100 + percent) * apart <= most))
+    return there.join(other, meet).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5, id_col: str = "doc_id",
@@ -212,8 +240,10 @@ def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5
     shared = (in_bands.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n")).alias("pivot"))
               .filter("c > 1").select("band", "hash", "pivot"))
     members, _ = stored(in_bands.join(shared, ["band", "hash"]), f"{path}/members")
+    # stored, so that its size is known: while the ids are few they are broadcast and no text is exchanged
+    reps, _ = stored(members.select("rep").distinct(), f"{path}/reps")
     of_members = (docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-                  .join(members.select("rep").distinct(), F.col("_i").eqNullSafe(F.col("rep")), "left_semi"))
+                  .join(reps, F.col("_i").eqNullSafe(F.col("rep")), "left_semi"))
     sets, _ = stored(sets_of(of_members, size, "_t"), f"{path}/sets")
 
     stars = (members.filter((F.col("key") != F.col("pivot.key")) & near(F.col("n"), F.col("pivot.n")))
@@ -235,7 +265,7 @@ def near_duplicates(docs: DataFrame, path: str, percent: int = 80, size: int = 5
                 .select(F.col("best.key").alias("a"), F.col("key").alias("b")))
         known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
         root = components(known.unionAll(sure), f"{path}/components2")
-        more, found = stored(confirmed(sharing(diffs, root, percent), sets, percent), f"{path}/links2", n=F.count(F.lit(1)))
+        more, found = stored(confirmed(sharing(diffs, best, root, percent), sets, percent), f"{path}/links2", n=F.count(F.lit(1)))
         if found["n"]:
             known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
             root = components(known.unionAll(more), f"{path}/components3")
