@@ -5,7 +5,9 @@ documents), the sorted positions of each term. ``search`` looks up every
 window of a test item in every segment: starting from the window's rarest term
 there, the posting lists of its other terms, shifted by their offsets, are
 intersected in order of rarity. With ``slop`` 0 that finds exact phrases; a
-larger slop lets every term stand that many places off (proximity).
+larger slop lets every term stand that many places off (proximity). ``decontaminate``
+reports both from one pass over the index: exact phrases decide, ``near_items`` tells which
+items are close. Every word of the corpus is indexed, whatever the size of the benchmark.
 
 A segment holds whole documents, so neither the index nor the search shuffles
 and a passage that a third of all documents share is only a longer posting
@@ -15,7 +17,8 @@ size (``BLOCK_BYTES``); a larger benchmark takes several passes over the index.
 Defined results: a null or empty text has no words and no hits; a null or
 wordless item has no window; items with a null id count as items but carry no id;
 repeated documents are reported one by one, repeated items count once; an
-empty corpus or benchmark gives no hits; other columns are not read.
+empty corpus or benchmark gives no hits; other columns are not read. A window and twice the slop
+are at most ``GAP`` words together; more is an error.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: every byte of
 WINDOW = 10
 SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20  # of test items in one pass; bounds what the tasks are sent
+NEAR = 2  # places that a term may be off in the registered query's proximity matches
 GAP = 64  # unused positions between documents, so no match crosses them
 
 
@@ -42,9 +46,8 @@ def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text",
-                segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """One row per segment: its documents and the positions of its terms (of ``vocabulary`` only, if given)."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """One row per segment: its documents and the positions of its terms."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,19 +56,15 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: s
             texts = [words(t) for t in text_bytes(b.column(1))]
             counts = np.array([len(w) for w in texts], np.int64)
             starts = np.concatenate([[0], np.cumsum(counts + GAP)[:-1]])
-            code: dict[bytes, int] = {w: i for i, w in enumerate(vocabulary)} if vocabulary is not None else {}
-            find = (lambda w: code.get(w, -1)) if vocabulary is not None else (lambda w: code.setdefault(w, len(code)))
-            codes = np.fromiter((find(w) for t in texts for w in t), np.int64, int(counts.sum()))
+            code: dict[bytes, int] = {}
+            codes = np.fromiter((code.setdefault(w, len(code)) for t in texts for w in t), np.int64, int(counts.sum()))
             place = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(codes))
-            known = codes >= 0
-            codes, place = codes[known], place[known]
             order = np.argsort(codes, kind="stable")
-            used, n = np.unique(codes, return_counts=True)
-            names = list(code)
+            n = np.bincount(codes, minlength=len(code))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type)),
                  pa.array([counts], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())),
-                 pa.array([[names[i] for i in used]], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())),
+                 pa.array([list(code)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())),
                  pa.array([np.diff(place[order], prepend=0).astype("<i4").tobytes()], pa.binary())],
                 names=["segment", "doc_ids", "doc_words", "doc_starts", "terms", "counts", "steps"])
             number += 1
@@ -86,7 +85,8 @@ def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW)
 
 
 def locate(wins: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences (window number, position of its first word) of equally long windows of term codes.
+    """Occurrences (window number, position p of its first word) of equally long windows of term codes: the window's
+    term k stands at p + k - ``slop`` to p + k + ``slop``. Which term is looked up first doesn't change the result.
 
     ``place[begin[t]:begin[t] + count[t]]`` are the sorted positions of term t.
     """
@@ -100,6 +100,10 @@ def locate(wins: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.nda
     win = np.repeat(np.arange(len(live)), n)
     at = np.repeat(begin[rarest] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     start = place[at] - order[win, 0]
+    if slop:  # the rarest term may itself be off its place
+        off = np.arange(-slop, slop + 1)
+        pairs = np.unique(np.stack([np.repeat(win, len(off)), (start[:, None] + off).ravel()]), axis=1)
+        win, start = pairs[0], pairs[1]
     span = int(place.max()) + 2 * GAP + 2
     keys = np.repeat(np.arange(len(begin)), count) * span + place  # sorted: terms in turn, positions rising
     for k in range(1, wins.shape[1]):
@@ -112,13 +116,15 @@ def locate(wins: np.ndarray, begin: np.ndarray, count: np.ndarray, place: np.nda
     return live[win], start
 
 
-def search(index: DataFrame, items: list[tuple[str | None, str | None]], window: int = WINDOW, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str | None, str | None]], window: int = WINDOW, slop: int = 0, near: int = 0) -> DataFrame:
     """One row per document of the index: ``segment, doc_no, doc_id, n_words``, the merged word ranges
-    ``runs`` inside occurrences, and the ``items`` (sorted) whose windows occur."""
-    if window + 2 * slop > GAP:
+    ``runs`` inside occurrences, the ``items`` (sorted) whose windows occur, and ``near_items`` (sorted), whose windows occur
+    with their terms at most ``near`` places off."""
+    if window + 2 * max(slop, near) > GAP:
         raise ValueError(f"window and twice the slop are at most {GAP}")
     held = windows_of(items, window)
-    by_length = {n: [w for w in held if len(w) == n] for n in {len(w) for w in held}}
+    by_length = {n: [w for w in held if len(w) == n] for n in sorted({len(w) for w in held})}
+    every = [held[w] for wins in by_length.values() for w in wins]
     kind = dict(index.dtypes)["doc_ids"][len("array<"):-1]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,40 +139,47 @@ def search(index: DataFrame, items: list[tuple[str | None, str | None]], window:
         number = {t: i + 1 for i, t in enumerate(terms.as_py())}
         count = np.concatenate([[0], count])  # term 0 is any that the segment lacks
         begin = np.cumsum(count) - count
-        first, last, hit_doc, hit_item = [], [], [], []
-        for length, wins in by_length.items():
-            if not len(place):
-                break
-            m = np.array([[number.get(t, 0) for t in w] for w in wins], np.int64)
-            w, start = locate(m, begin, count, place, slop)
-            doc = np.searchsorted(starts, start + slop, "right") - 1
-            first.append(np.maximum(start - slop, starts[doc]) - starts[doc])
-            last.append(np.minimum(start + length + slop - starts[doc], n_words[doc]))
-            hit_doc.append(doc)
-            hit_item.append(w + sum(len(by_length[k]) for k in by_length if k < length))
-        runs, found = [[] for _ in n_words], [[] for _ in n_words]
-        if hit_doc and len(doc := np.concatenate(hit_doc)):
-            first, last, item = np.concatenate(first), np.concatenate(last), np.concatenate(hit_item)
-            for i in np.lexsort((first, doc)):
-                own = runs[doc[i]]
-                if own and first[i] <= own[-1]["last"]:
-                    own[-1]["last"] = max(own[-1]["last"], int(last[i]))
-                else:
-                    own.append({"first": int(first[i]), "last": int(last[i])})
-            every = [held[w] for n in sorted(by_length) for w in by_length[n]]
-            for d, k in set(zip(doc.tolist(), item.tolist())):
-                found[d].extend(every[k])
+        coded = [np.array([[number.get(t, 0) for t in w] for w in wins], np.int64) for wins in by_length.values()]
+
+        def occurrences(off: int) -> tuple[np.ndarray, ...]:
+            """Document, first and last word (exclusive) and window of every occurrence."""
+            out, upto = [np.zeros((4, 0), np.int64)], 0
+            for length, wins in zip(by_length, coded):
+                if len(place):
+                    w, start = locate(wins, begin, count, place, off)
+                    doc = np.searchsorted(starts, start + off, "right") - 1
+                    out.append(np.stack([doc, np.maximum(start - off, starts[doc]) - starts[doc],
+                                         np.minimum(start + length + off - starts[doc], n_words[doc]), w + upto]))
+                upto += len(wins)
+            return tuple(np.concatenate(out, axis=1))
+
+        def names(doc: np.ndarray, win: np.ndarray) -> pa.Array:
+            found: list[set] = [set() for _ in n_words]
+            for d, k in set(zip(doc.tolist(), win.tolist())):
+                found[d] |= every[k]
+            return pa.array([sorted(x for x in f if x is not None) for f in found], pa.list_(pa.string()))
+
+        doc, first, last, win = occurrences(slop)
+        runs: list[list] = [[] for _ in n_words]
+        for i in np.lexsort((first, doc)):
+            own = runs[doc[i]]
+            if own and first[i] <= own[-1]["last"]:
+                own[-1]["last"] = max(own[-1]["last"], int(last[i]))
+            else:
+                own.append({"first": int(first[i]), "last": int(last[i])})
+        items_found = names(doc, win)
+        if near != slop:
+            doc, _, _, win = occurrences(near)
         run = pa.struct([("first", pa.int64()), ("last", pa.int64())])
         n = len(n_words)
         return pa.RecordBatch.from_arrays(
             [pa.array([b.column(0)[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), ids.values,
-             pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(run)),
-             pa.array([sorted({x for x in f if x is not None}) for f in found], pa.list_(pa.string()))],
-            names=["segment", "doc_no", "doc_id", "n_words", "runs", "items"])
+             pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(run)), items_found, names(doc, win)],
+            names=["segment", "doc_no", "doc_id", "n_words", "runs", "items", "near_items"])
 
     return index.select("segment", "doc_ids", "doc_words", "doc_starts", "terms", "counts", "steps").mapInArrow(
         look_up, f"segment long, doc_no long, doc_id {kind}, n_words long, "
-                 "runs array<struct<first:bigint,last:bigint>>, items array<string>")
+                 "runs array<struct<first:bigint,last:bigint>>, items array<string>, near_items array<string>")
 
 
 def covered(runs: Column) -> Column:
@@ -179,27 +192,24 @@ def covered(runs: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, index_path: str, window: int = WINDOW,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, contaminated`` per document. The index is stored at ``index_path``."""
+                  block_bytes: int = BLOCK_BYTES, near: int = 0) -> DataFrame:
+    """``doc_id, n_words, n_hit, items, near_items, contaminated`` per document; ``near`` is the slop of ``near_items``. The index
+    is stored at ``index_path``."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    part = F.pmod(F.xxhash64("t"), F.lit(blocks))
-    held = [tuple(r) for r in items.collect()] if blocks == 1 else None  # at most block_bytes
-    terms = {w for _, t in held for w in words((t or "").encode())} if held is not None else None
-    build_index(docs, terms).write.option("compression", "zstd").parquet(index_path)
+    part = F.pmod(F.xxhash64("t", "i"), F.lit(blocks))
+    build_index(docs).write.option("compression", "zstd").parquet(index_path)
     index = spark.read.parquet(index_path)
-    if held is not None:
-        found = search(index, held, window)
-    else:  # a larger benchmark: one pass over the index for each block of items
-        found = None
-        for k in range(blocks):
-            one = search(index, [tuple(r) for r in items.filter(part == k).collect()], window)
-            found = one if found is None else found.unionAll(one)
+    found = None
+    for k in range(blocks):
+        one = search(index, [tuple(r) for r in items.filter(part == k).collect()], window, near=near)
+        found = one if found is None else found.unionAll(one)
+    if blocks > 1:
+        merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
         found = found.groupBy("segment", "doc_no").agg(
             F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("runs")).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select("doc_id", "n_words", covered(F.col("runs")).alias("n_hit"), "items",
+            F.flatten(F.collect_list("runs")).alias("runs"), merged("items"), merged("near_items"))
+    return found.select("doc_id", "n_words", covered(F.col("runs")).alias("n_hit"), "items", "near_items",
                         (F.size("runs") > 0).alias("contaminated"))

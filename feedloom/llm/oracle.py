@@ -2,6 +2,7 @@
 
 import math
 
+from .decontaminate import NEAR
 from .licenses import NAMES, PHRASES, TEMPLATES, THRESHOLD
 from .quality_rules import (BOILERPLATE, MAX_LOST_PERCENT, MAX_REPEAT_PERCENT, MIN_WORDS, NAV_SEPARATORS, PLATE_CHARS,
                             WINDOW)
@@ -138,10 +139,18 @@ sizes AS (SELECT DISTINCT len(g) AS n FROM win),
 found AS (SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, words[i:i + n - 1] AS g FROM d, sizes, unnest(range(1, len(words) - n + 2)) AS u(i)) x
           JOIN win USING (g)),
 hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM found, unnest(range(0, n)) AS r(k) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
+dw AS MATERIALIZED (SELECT doc_id, i AS pos, words[i] AS word FROM d, unnest(range(1, len(words) + 1)) AS u(i)),
+freq AS (SELECT word, count(*) AS n FROM dw GROUP BY word),
+term AS MATERIALIZED (SELECT g, i AS off, g[i] AS word FROM (SELECT DISTINCT g FROM win), unnest(range(1, len(g) + 1)) AS u(i)),
+anchor AS (SELECT g, min({{'n': n, 'off': off, 'word': word}}) AS a FROM term JOIN freq USING (word) GROUP BY g HAVING count(*) = len(g)),
+cand AS (SELECT DISTINCT doc_id, g, pos - a.off + s.d AS p FROM anchor JOIN dw ON dw.word = a.word, unnest(range(-{NEAR}, {NEAR} + 1)) AS s(d)),
+close AS (SELECT c.doc_id, c.g, c.p FROM cand c JOIN term t USING (g) JOIN dw ON dw.doc_id = c.doc_id AND dw.word = t.word
+    AND dw.pos BETWEEN c.p + t.off - {NEAR} AND c.p + t.off + {NEAR} GROUP BY ALL HAVING count(DISTINCT t.off) = len(c.g)),
+near AS (SELECT doc_id, count(DISTINCT item) AS n FROM close JOIN win USING (g) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
-  sha256(coalesce(items.list, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(items.list, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated, coalesce(near.n, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 

@@ -57,11 +57,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import decontaminate
+    from .decontaminate import NEAR, decontaminate
 
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_path(spark, "postings"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_path(spark, "postings"), near=NEAR)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+                        F.size("near_items").cast("long").alias("n_near_items"))
 
 
 @query("op3_license_scan")

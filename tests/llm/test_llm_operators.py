@@ -426,10 +426,54 @@ def test_proximity(spark, make, tmp_path):
 
     docs = make([(1, "alpha beta gamma delta"), (2, "alpha beta xx gamma delta"), (3, "alpha beta xx yy zz gamma delta"), (4, "delta gamma beta alpha"),
                  (5, "alpha beta"), (6, "gamma delta")], "near")
-    for vocabulary in (None, {b"alpha", b"beta", b"gamma", b"delta"}):
-        index = build_index(docs, vocabulary)
-        find = lambda slop: {r.doc_id for r in search(index, [("q", "alpha beta gamma delta")], slop=slop).collect() if r["items"]}  # noqa: E731, B023
-        assert find(0) == {1} and find(1) == {1, 2} and find(3) >= {1, 2, 3}
+    index = build_index(docs)
+    find = lambda slop: {r.doc_id for r in search(index, [("q", "alpha beta gamma delta")], slop=slop).collect() if r["items"]}
+    assert find(0) == {1} and find(1) == {1, 2} and find(3) >= {1, 2, 3}
+
+
+def brute_proximity(rows, items, slop, window=10):
+    wins = defaultdict(set)
+    for i, t in items:
+        w = ALNUM_WORD.findall(low(t))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins[tuple(w[k:k + window])].add(i)
+    out = Counter()
+    for i, t in rows:
+        w, found = ALNUM_WORD.findall(low(t)), set()
+        at = defaultdict(set)
+        for p, x in enumerate(w):
+            at[x] |= {p + d for d in range(-slop, slop + 1)}
+        for win, of in wins.items():
+            if set.intersection(*({p - k for p in at.get(x, ())} for k, x in enumerate(win))):
+                found |= of
+        out[i, tuple(sorted(x for x in found if x is not None))] += 1
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_columns(spark, make, tmp_path, slop):
+    """``near_items`` against brute force: passages with words put in, left out and exchanged; exact columns stay."""
+    import random
+
+    from feedloom.llm.decontaminate import decontaminate
+
+    rnd = random.Random(slop)
+    text = [f"w{rnd.randrange(25)}" for _ in range(60)]
+    items = ITEMS + [("p", " ".join(text)), ("q", " ".join(text[20:45])), ("r", "w1 w2 w3")]
+    rows = [(0, None), (1, ""), (2, "one xx two"), (3, "two one"), (4, " ".join(text))]
+    for i in range(5, 60):
+        t = [f"w{rnd.randrange(25)}" for _ in range(rnd.randrange(9))] + text[rnd.randrange(30):][:rnd.randrange(8, 30)]
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(t))
+            t[k:k + rnd.randrange(2)] = [f"z{i}"] * rnd.randrange(2)
+        if i % 4 == 0:
+            k = rnd.randrange(len(t) - 1)
+            t[k], t[k + 1] = t[k + 1], t[k]
+        rows.append((i, " ".join(t)))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = decontaminate(make(rows, "close"), bench, str(tmp_path / "i"), near=slop, block_bytes=200).collect()
+    assert Counter((r.doc_id, tuple(r.near_items)) for r in found) == brute_proximity(rows, items, slop)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in found) == brute_leaks(rows, items)
 
 
 # ---- web archive
