@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = [words(t) for t in text_bytes(b.column(1))]
             counts = np.array([len(w) for w in texts], np.int64)
             starts = np.concatenate([[0], np.cumsum(counts + GAP)[:-1]])
-            code: dict[bytes, int] = {}
-            codes = np.fromiter((code.setdefault(w, len(code)) for t in texts for w in t), np.int64, int(counts.sum()))
+            code: dict[bytes, int] = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+            codes = np.fromiter(map(code.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
             place = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(codes))
             order = np.argsort(codes, kind="stable")
             n = np.bincount(codes, minlength=len(code))
