@@ -7,10 +7,12 @@ a phrase. Phrases overlap by ``SPAN - 1`` bytes, so every ``SPAN``-byte string l
 exactly one phrase (the parse is prefix-free), and equal strings always have equal
 triggers. Repetitive text therefore shrinks to few distinct phrases (the dictionary).
 
-Order: equal phrases are settled as wholes. Only where a trigger occurs with
-different phrases around it (the ends of repeated passages) do the suffixes of the
-dictionary's phrases have to be compared; they are ordered by a 64-bit hash of their
-first ``SPAN`` bytes, since equality of that many bytes is all that is asked.
+Order: the phrases of triggers that more than one document holds form the dictionary, one part per hash bucket of triggers.
+Equal phrases are one entry; the parse is the list of an entry's places with their documents. The suffixes of a part's entries are
+sorted by their first ``SPAN`` bytes. As no string goes beyond its phrase, suffixes of equal rank have equal parses too,
+so the rank of a string in the corpus is its rank in the dictionary; the parse says which documents hold it.
+
+Hashes only choose where bytes are compared: equality is always decided on the bytes, in a section and in a part of the dictionary.
 
 Work is shipped as packed arrays per section of the input (``SECTION_BYTES``) and
 hash bucket. Inside a section, copies of a phrase are reduced to the smallest
@@ -46,6 +48,8 @@ CHUNK_BYTES = 1 << 20  # texts handled together in numpy
 # much memory; on large executors both are raised together, so that a section has many entries for each bucket.
 SECTION_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
+GROUPS = 16  # parts of a bucket's dictionary that are sorted one by one
+PIECE = 1024  # strings of a phrase that are one entry of the dictionary; longer phrases are several
 LAST = np.iinfo(np.int64).max  # order of a null id
 
 _POWERS = Powers(0xD1342543DE82EF95)
@@ -76,14 +80,13 @@ class Parse:
         self.span = span
         empty = np.zeros(0, np.int64)
         self.begin = self.count = self.doc = empty
-        self.trigger = self.phrase = np.zeros(0, np.uint64)
+        self.trigger = np.zeros(0, np.uint64)
         if n < span:
             return
         up, down = _POWERS.to(n + 1)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * up[:-1], out=self.total[1:])
-        self.down = down
-        low = mix64((self.total[trigger:] - self.total[:-trigger]) * down[:n + 1 - trigger])
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * up[:-1], out=total[1:])
+        low = mix64((total[trigger:] - total[:-trigger]) * down[:n + 1 - trigger])
         wide, have = span - trigger + 1, 1
         while have * 2 <= wide:
             low, have = np.minimum(low[:-have], low[have:]), have * 2
@@ -97,11 +100,6 @@ class Parse:
         first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
         last = np.append(first[1:], len(at))
         self.begin, self.count, self.doc, self.trigger = at[first], last - first, doc[first], low[first]
-        self.phrase = self.hashes(self.begin, self.begin + self.count + span - 1)
-
-    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from a to b."""
-        return mix64((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
 
     def strings(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and phrase of every ``span``-byte string of the phrases."""
@@ -110,6 +108,18 @@ class Parse:
         start = np.repeat(self.begin[phrases] - (upto - n), n) + np.arange(int(n.sum()))
         return start, np.repeat(phrases, n)
 
+    def pieces(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, number of strings and phrase of the pieces of the phrases."""
+        n = -(-self.count[phrases] // PIECE)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(phrases, n)
+        return self.begin[own] + step * PIECE, np.minimum(PIECE, self.count[own] - step * PIECE), own
+
+    def strings_from(self, begin: np.ndarray) -> np.ndarray:
+        """The number of strings of the pieces that begin there."""
+        own = np.searchsorted(self.begin, begin, "right") - 1
+        return np.minimum(PIECE, self.begin[own] + self.count[own] - begin)
+
 
 def _order(ids: list) -> np.ndarray:
     return np.array([LAST if i is None else i for i in ids], np.int64)
@@ -141,76 +151,90 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parse_sections(docs: DataFrame, buckets: int, section_bytes: int) -> DataFrame:
-    """``bucket, section, chunks, checks, kind, ...``: a section's triggers per bucket.
+    """``bucket, head, chunks, at, docs, triggers, mixed, gone, open``: a section's triggers per bucket.
 
     For every trigger hash of a section: if all its phrases are equal, the smallest document's places of the
     phrase; else a mark that they differ. Phrases that a smaller document of the section holds too are settled
     here (``gone``); the remaining phrases of mixed triggers are listed as ``open``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, Parse, np.ndarray]] = []
+        held: list[tuple[int, bytes, Parse, np.ndarray, bytes]] = []
         size = 0
         for number, order, _, texts in chunks(batches):
-            p = Parse(texts)
-            p.total = p.down = p.count = None  # not used here
-            held.append((number, _check(order, texts), p, order))
-            size += sum(map(len, texts))
+            held.append((number, _check(order, texts), Parse(texts), order, b"".join(texts)))
+            size += len(held[-1][4])
             if size >= section_bytes:
-                yield section(held)
+                yield section(held, buckets)
                 held, size = [], 0
         if held:
-            yield section(held)
-
-    def section(held: list) -> pa.RecordBatch:
-        starts = np.cumsum([0] + [len(p.begin) for _, _, p, _ in held])
-        trigger = np.concatenate([p.trigger for _, _, p, _ in held])
-        phrase = np.concatenate([p.phrase for _, _, p, _ in held])
-        doc = np.concatenate([ids[p.doc] for _, _, p, ids in held])
-        order, first = _first_of(trigger, phrase, doc)
-        t, x, d = trigger[order], phrase[order], doc[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])]) if len(t) else np.zeros(0, bool)
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(t) else d
-        gone, own_ = order[d > least], d == least  # a document may hold a phrase several times
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
-        several = (np.bincount(group[new], minlength=len(first)) > 1)[group]
-        open_ = order[own_ & several]
-        head = np.zeros(len(t), bool)
-        head[first] = True
-        ship = np.where(several, head, own_)
-        single, mixed = order[ship], several[ship]
-        bucket = (trigger[single] >> np.uint64(40)) % np.uint64(buckets)
-        by = np.lexsort((single, bucket))
-        single, mixed, bucket = single[by], mixed[by], bucket[by]
-        own = np.array([hash_bucket(n, buckets) for n, _, _, _ in held])
-        rows = []
-        for b in range(buckets) if buckets < len(single) else np.unique(np.concatenate([bucket.astype(np.int64), own])):
-            lo, hi = np.searchsorted(bucket, [b, b + 1])
-            if hi > lo:
-                s, m = single[lo:hi], mixed[lo:hi]
-                low5 = trigger[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((int(b), _pack(starts[:-1]), _pack(np.array([h[0] for h in held])), _pack(s), _pack(doc[s]), low5.tobytes(),
-                             phrase[s].astype("<u8").tobytes(), np.packbits(m).tobytes(), None, None))
-        for k, (number, check, _, _) in enumerate(held):
-            inside = lambda a: np.sort(a[(a >= starts[k]) & (a < starts[k + 1])]) - starts[k]  # noqa: B023, E731
-            rows.append((int(own[k]), check, _pack(np.array([number])), None, None, None, None, None, _pack(inside(gone)), _pack(inside(open_))))
-        kinds_ = [pa.int32()] + [pa.binary()] * 9
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_)], names=PARTS)
+            yield section(held, buckets)
 
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PARTS[1:]))
 
 
-PARTS = ["bucket", "head", "chunks", "at", "docs", "triggers", "phrases", "mixed", "gone", "open"]
+PARTS = ["bucket", "head", "chunks", "at", "docs", "triggers", "mixed", "gone", "open"]
+
+
+def section(held: list[tuple[int, bytes, Parse, np.ndarray, bytes]], buckets: int) -> pa.RecordBatch:
+    """The rows of one section; ``held`` lists its chunks: number, check, parse, order of the ids, bytes."""
+    starts = np.cumsum([0] + [len(p.begin) for _, _, p, _, _ in held])
+    trigger = np.concatenate([p.trigger for _, _, p, _, _ in held])
+    doc = np.concatenate([ids[p.doc] for _, _, p, ids, _ in held])
+    order, first = _first_of(trigger)
+    n = np.diff(np.append(first, len(order)))
+    again = np.sort(order[np.repeat(n > 1, n)])  # phrases whose trigger is met more than once: told apart by their bytes
+    names: dict[bytes, int] = {}
+    phrase = np.zeros(len(trigger), np.int64)
+    for k, (_, _, p, _, raw) in enumerate(held):
+        own = again[slice(*np.searchsorted(again, starts[k:k + 2]))]
+        begin = p.begin[own - starts[k]]
+        end = begin + p.count[own - starts[k]] + p.span - 1
+        phrase[own] = [names.setdefault(raw[a:b], len(names)) for a, b in zip(begin.tolist(), end.tolist())]
+    del names
+    order, first = _first_of(trigger, phrase, doc)
+    t, x, d = trigger[order], phrase[order], doc[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])]) if len(t) else np.zeros(0, bool)
+    least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(t) else d
+    gone, own_ = order[d > least], d == least  # a document may hold a phrase several times
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    several = (np.bincount(group[new], minlength=len(first)) > 1)[group]
+    open_ = order[own_ & several]
+    head = np.zeros(len(t), bool)
+    head[first] = True
+    ship = np.where(several, head, own_)
+    single, mixed = order[ship], several[ship]
+    bucket = (trigger[single] >> np.uint64(40)) % np.uint64(buckets)
+    by = np.lexsort((single, bucket))
+    single, mixed, bucket = single[by], mixed[by], bucket[by]
+    own = np.array([hash_bucket(h[0], buckets) for h in held])
+    rows = []
+    for b in range(buckets) if buckets < len(single) else np.unique(np.concatenate([bucket.astype(np.int64), own])):
+        lo, hi = np.searchsorted(bucket, [b, b + 1])
+        if hi > lo:
+            s, m = single[lo:hi], mixed[lo:hi]
+            low5 = trigger[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append((int(b), _pack(starts[:-1]), _pack(np.array([h[0] for h in held])), _pack(s), _pack(doc[s]), low5.tobytes(),
+                         np.packbits(m).tobytes(), None, None))
+    for k, (number, check, _, _, _) in enumerate(held):
+        inside = lambda a: np.sort(a[(a >= starts[k]) & (a < starts[k + 1])]) - starts[k]  # noqa: B023, E731
+        rows.append((int(own[k]), check, _pack(np.array([number])), None, None, None, None, _pack(inside(gone)), _pack(inside(open_))))
+    kinds = [pa.int32()] + [pa.binary()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=PARTS)
 
 
 def hash_bucket(number: int, buckets: int) -> int:
     return int(mix64(np.array([number], np.uint64))[0] % np.uint64(buckets))
 
 
+def _settled(out: list[tuple[int, bytes | None, str, bytes]]) -> pa.Table:
+    return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "check": pa.array([o[1] for o in out], pa.binary()),
+                     "kind": pa.array([o[2] for o in out], pa.string()), "places": pa.array([o[3] for o in out], pa.binary())})
+
+
 def settle_triggers(table: pa.Table) -> pa.Table:
-    """A bucket's entries -> ``chunk, check, kind, places``: phrases that are gone, and phrases whose strings have to be compared."""
+    """A bucket's entries -> ``chunk, check, kind, places``: phrases that are gone, and phrases that have to be compared (``open``)."""
     out: list[tuple[int, bytes | None, str, bytes]] = []
-    t_, x_, d_, m_, c_, p_ = [], [], [], [], [], []
+    t_, d_, m_, c_, p_ = [], [], [], [], []
     for r in table.to_pylist():
         if r["at"] is None:
             chunk = int(_unpack(r["chunks"])[0])
@@ -222,22 +246,20 @@ def settle_triggers(table: pa.Table) -> pa.Table:
         low = np.zeros((len(at), 8), np.uint8)
         low[:, :5] = np.frombuffer(r["triggers"], np.uint8).reshape(-1, 5)
         t_.append(low.view("<u8").ravel())
-        x_.append(np.frombuffer(r["phrases"], "<u8"))
         d_.append(_unpack(r["docs"]))
         m_.append(np.unpackbits(np.frombuffer(r["mixed"], np.uint8), count=len(at)).astype(bool))
         c_.append(numbers[which])
         p_.append(at - starts[which])
     if t_:
-        t, x, d, m, c, p = (np.concatenate(a) for a in (t_, x_, d_, m_, c_, p_))
-        order, first = _first_of(t, d)
-        t, x, d, m, c, p = (a[order] for a in (t, x, d, m, c, p))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
-        odd = np.logical_or.reduceat(m, first) | (np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first))
-        one_doc = np.minimum.reduceat(d, first) == np.maximum.reduceat(d, first)
-        for kind, pick in (("gone", (~odd & ~one_doc)[group] & (d > d[first][group])), ("open", (odd & ~one_doc)[group] & ~m)):
-            out += _by_chunk(c[pick], p[pick], kind)
-    return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "check": pa.array([o[1] for o in out], pa.binary()),
-                     "kind": pa.array([o[2] for o in out], pa.string()), "places": pa.array([o[3] for o in out], pa.binary())})
+        t, d, m, c, p = (np.concatenate(a) for a in (t_, d_, m_, c_, p_))
+        order, first = _first_of(t)
+        d, m, c, p = (a[order] for a in (d, m, c, p))
+        n = np.diff(np.append(first, len(order)))
+        # a mixed trigger stands for documents that are not named
+        shared = np.logical_or.reduceat(m, first) | (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
+        pick = np.repeat(shared, n) & ~m
+        out += _by_chunk(c[pick], p[pick], "open")
+    return _settled(out)
 
 
 def _by_chunk(chunk: np.ndarray, place: np.ndarray, kind: str) -> list[tuple[int, None, str, bytes]]:
@@ -273,8 +295,8 @@ def _texts(r: dict) -> list[bytes]:
     return [raw[e - n:e] for e, n in zip(ends, r["sizes"])]
 
 
-def compare_strings(joined: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, chunk, strings, docs, at``: the strings of open phrases; the smallest document of each in its chunk."""
+def open_phrases(joined: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, chunk, cuts, strings, docs, begins, raw``: the bytes of the open phrases of a chunk, by bucket and group of triggers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -282,59 +304,96 @@ def compare_strings(joined: DataFrame, buckets: int) -> DataFrame:
                 todo = _places(r["found"], "open")
                 if not len(todo):
                     continue
-                p = Parse(_texts(r))
-                at, phrase = p.strings(todo)
-                h, doc = p.hashes(at, at + p.span), _order(r["ids"])[p.doc[phrase]]
-                order, first = _first_of(h, doc)
-                least = np.empty(len(h), np.int64)
-                least[order] = np.repeat(doc[order[first]], np.diff(np.append(first, len(h))))
-                rest, least = np.flatnonzero(doc > least), doc == least
-                at_, h_, doc_ = at[least], h[least], doc[least]
-                bucket = (h_ >> np.uint64(40)) % np.uint64(buckets)
-                by = np.lexsort((at_, bucket))
-                at_, h_, doc_, bucket = at_[by], h_[by], doc_[by], bucket[by]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                rows = [(int(bucket[s]), r["chunk"], h_[s:e].astype("<u8").tobytes(), _pack(doc_[s:e]), _pack(at_[s:e]))
-                        for s, e in zip(cuts, cuts[1:])]
-                if len(rest):
-                    rows.append((hash_bucket(r["chunk"], buckets), r["chunk"], None, None, _pack(np.sort(at[rest]))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)],
-                                                 names=["bucket", "chunk", "strings", "docs", "at"])
-
-    return joined.mapInArrow(run, "bucket int, chunk long, strings binary, docs binary, at binary")
-
-
-KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
-
-def settle_strings(table: pa.Table) -> pa.Table:
-    """A bucket's strings -> ``chunk, kind, places``: starts of strings that a smaller document holds too."""
-    out, h_, d_, c_, p_ = [], [], [], [], []
-    for r in table.to_pylist():
-        if r["strings"] is None:
-            out.append((r["chunk"], None, "string", r["at"]))
-            continue
-        h_.append(np.frombuffer(r["strings"], "<u8"))
-        d_.append(_unpack(r["docs"]))
-        p_.append(_unpack(r["at"]))
-        c_.append(np.full(len(p_[-1]), r["chunk"], np.int64))
-    if h_:
-        h, d, c, p = (np.concatenate(a) for a in (h_, d_, c_, p_))
-        order, first = _first_of(h, d)
-        least = np.repeat(d[order[first]], np.diff(np.append(first, len(h))))
-        pick = order[d[order] > least]
-        out += _by_chunk(c[pick], p[pick], "string")
-    return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "check": pa.array([None] * len(out), pa.binary()),
-                     "kind": pa.array([o[2] for o in out], pa.string()), "places": pa.array([o[3] for o in out], pa.binary())})
+                texts = _texts(r)
+                rows = phrase_rows(r["chunk"], Parse(texts), _order(r["ids"]), b"".join(texts), todo, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=ENTRIES)
+
+    return joined.mapInArrow(run, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in ENTRIES[2:]))
 
 
-def removed_runs(p: Parse, phrases: np.ndarray, strings: np.ndarray, size: int) -> np.ndarray:
-    """Marks the chunk's bytes that are covered."""
+ENTRIES = ["bucket", "chunk", "cuts", "strings", "docs", "begins", "raw"]
+KINDS = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+
+
+def phrase_rows(chunk: int, p: Parse, order: np.ndarray, raw: bytes, phrases: np.ndarray, buckets: int) -> list[tuple]:
+    begin, count, own = p.pieces(phrases)
+    doc, trigger = order[p.doc[own]], p.trigger[own]
+    bucket = (trigger >> np.uint64(40)) % np.uint64(buckets)
+    group = (trigger >> np.uint64(20)) % np.uint64(GROUPS)
+    by = np.lexsort((begin, group, bucket))
+    begin, count, doc, bucket, group = (a[by] for a in (begin, count, doc, bucket, group))
+    ends = (begin + count + p.span - 1).tolist()
+    starts = begin.tolist()
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+    rows = []
+    for s, e in zip(cuts, cuts[1:]):
+        joined = b"".join([raw[a:z] for a, z in zip(starts[s:e], ends[s:e])])
+        rows.append((int(bucket[s]), chunk, _pack(np.searchsorted(group[s:e], np.arange(GROUPS + 1))), _pack(count[s:e]), _pack(doc[s:e]),
+                     _pack(begin[s:e]), pa.compress(joined, codec="zstd", asbytes=True)))
+    return rows
+
+
+def settle_phrases(table: pa.Table) -> pa.Table:
+    """A bucket's phrases -> ``chunk, check, kind, places``: starts of pieces (``piece``) and of strings (``string``) that a smaller document holds too."""
+    rows = []
+    for r in table.to_pylist():
+        count = _unpack(r["strings"])
+        ends = np.cumsum(count + SPAN - 1)
+        raw = pa.decompress(r["raw"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
+        rows.append((r["chunk"], _unpack(r["cuts"]).tolist(), count, ends, _unpack(r["docs"]), _unpack(r["begins"]), raw))
+    out = []
+    for g in range(GROUPS):
+        names: dict[bytes, int] = {}
+        entry, c_, d_, p_ = [], [], [], []
+        for chunk, cuts, count, ends, docs, begins, raw in rows:
+            own = slice(cuts[g], cuts[g + 1])
+            entry += [names.setdefault(raw[e - n:e], len(names)) for e, n in zip(ends[own].tolist(), (count[own] + SPAN - 1).tolist())]
+            c_.append(np.full(cuts[g + 1] - cuts[g], chunk, np.int64))
+            d_.append(docs[own])
+            p_.append(begins[own])
+        if entry:
+            out += settle_dictionary(list(names), np.array(entry), *(np.concatenate(a) for a in (c_, d_, p_)))
+    return _settled(out)
+
+
+def suffix_ranks(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of at least ``SPAN`` bytes of all entries, sorted by their first ``SPAN`` bytes: entry and offset of each suffix, the
+    sorted order, and where in that order a new string begins."""
+    size = np.array([len(e) for e in entries], np.int64)
+    count = size - SPAN + 1
+    owner = np.repeat(np.arange(len(entries)), count)
+    offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    text = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(entries), np.uint8), SPAN)
+    suffix = np.ascontiguousarray(text[(np.cumsum(size) - size)[owner] + offset]).view(f"S{SPAN}").ravel()
+    order = np.argsort(suffix, kind="stable")
+    suffix = suffix[order]
+    return owner, offset, order, np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]]))
+
+
+def settle_dictionary(entries: list[bytes], entry: np.ndarray, chunk: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> list[tuple]:
+    """What goes of a part of the dictionary. ``entry, chunk, doc, begin`` is its parse: where which entry stands."""
+    least = np.full(len(entries), LAST)
+    np.minimum.at(least, entry, doc)
+    whole = doc > least[entry]
+    out = _by_chunk(chunk[whole], begin[whole], "piece")
+    owner, offset, order, first = suffix_ranks(entries)
+    holder = least[owner]
+    low = np.repeat(np.minimum.reduceat(holder[order], first), np.diff(np.append(first, len(order))))
+    gone = np.sort(order[holder[order] > low])
+    n_gone = np.bincount(owner[gone], minlength=len(entries))
+    rest = np.flatnonzero(~whole)
+    n = n_gone[entry[rest]]
+    at = np.repeat(rest, n)
+    k = np.arange(int(n.sum())) + np.repeat((np.cumsum(n_gone) - n_gone)[entry[rest]] - (np.cumsum(n) - n), n)
+    return out + _by_chunk(chunk[at], begin[at] + offset[gone[k]], "string")
+
+
+def removed_runs(p: Parse, phrases: np.ndarray, pieces: np.ndarray, strings: np.ndarray, size: int) -> np.ndarray:
+    """Marks the chunk's bytes that are covered by whole phrases, pieces of phrases (by their starts) and strings."""
     step = np.zeros(size + 1, np.int64)
-    np.add.at(step, p.begin[phrases], 1)
-    np.add.at(step, p.begin[phrases] + p.count[phrases] + p.span - 1, -1)
-    np.add.at(step, strings, 1)
-    np.add.at(step, strings + p.span, -1)
+    for begin, count in ((p.begin[phrases], p.count[phrases]), (pieces, p.strings_from(pieces)), (strings, 1)):
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + count + p.span - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -347,8 +406,7 @@ def cut(joined: DataFrame, id_col: str, kind: str, with_text: bool) -> DataFrame
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
                 texts = _texts(r)
-                gone, strings = _places(r["found"], "gone"), _places(r["found"], "string")
-                mark = removed_runs(Parse(texts), gone, strings, sum(r["sizes"]))
+                mark = removed_runs(Parse(texts), *(_places(r["found"], k) for k in ("gone", "piece", "string")), sum(r["sizes"]))
                 rows, end = [], 0
                 for key, t in zip(r["ids"], texts):
                     m, end = mark[end:end + len(t)], end + len(t)
@@ -380,6 +438,6 @@ def substring_dedup(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     listed = lambda f: f.groupBy("chunk").agg(F.collect_list(F.struct("check", "kind", "places")).alias("found"))  # noqa: E731  bounded by the chunk
     # both joins keep every chunk, so the one exchange of the texts serves both
     todo = own.join(listed(first.filter("kind = 'open'")), "chunk", "left")
-    second = compare_strings(todo.select("chunk", "check", "ids", "sizes", "texts", "found"), buckets).groupBy("bucket").applyInArrow(settle_strings, settled)
+    second = open_phrases(todo.select("chunk", "check", "ids", "sizes", "texts", "found"), buckets).groupBy("bucket").applyInArrow(settle_phrases, settled)
     every = listed(first.filter("kind = 'gone'").unionByName(second))
     return cut(own.join(every, "chunk", "left").select("chunk", "check", "ids", "sizes", "texts", "found"), id_col, "long", with_text)

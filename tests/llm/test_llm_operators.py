@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,6 +121,45 @@ def test_parse_is_prefix_free(rows):
         assert trigger.setdefault(whole[a:a + SPAN], p.trigger[ph]) == p.trigger[ph]
 
 
+@pytest.mark.parametrize("values", [256, 3, 1])
+def test_substrings_with_equal_hashes(rows, monkeypatch, values):
+    """Bytes decide, also where the rolling hash tells few or no strings apart; long phrases are cut into pieces."""
+    from feedloom.llm import substrings as sub
+
+    monkeypatch.setattr(sub, "_BYTE", sub._BYTE[np.arange(256) % values])
+    monkeypatch.setattr(sub, "PIECE", 40)
+    rows = [r for r in rows if len(r[1] or "") < 3000][:60] + [(3, "ab" * 400), (9, "x" + "ab" * 300), (None, "ab" * 60), (12, "a" * 300), (4, "a" * 70)]
+    rows += [(200, rows[0][1]), (7, "c" * 49), (8, "c" * 49), (None, None)]
+    buckets, chunks, held = 3, {}, []
+    for k in range(0, len(rows), 4):
+        ids, texts = [i for i, _ in rows[k:k + 4]], [(t or "").encode() for _, t in rows[k:k + 4]]
+        chunks[k] = (ids, texts, sub.Parse(texts))
+        held.append((k, b"", chunks[k][2], sub._order(ids), b"".join(texts)))
+    parts = [r for k in range(0, len(held), 3) for r in sub.section(held[k:k + 3], buckets).to_pylist()]
+    tables = [pa.Table.from_pylist([r for r in parts if r["bucket"] == b], pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in sub.PARTS[1:]]))
+              for b in range(buckets)]
+    found = [r for t in tables for r in sub.settle_triggers(t).to_pylist()]
+    entries = []
+    for k, (ids, texts, p) in chunks.items():
+        todo = sub._places([r for r in found if r["chunk"] == k], "open")
+        if len(todo):
+            entries += [dict(zip(sub.ENTRIES, r)) for r in sub.phrase_rows(k, p, sub._order(ids), b"".join(texts), todo, buckets)]
+    for b in range(buckets):
+        mine = [r for r in entries if r["bucket"] == b]
+        if mine:
+            found += sub.settle_phrases(pa.Table.from_pylist(mine)).to_pylist()
+    out = Counter()
+    for k, (ids, texts, p) in chunks.items():
+        own = [r for r in found if r["chunk"] == k]
+        mark = sub.removed_runs(p, *(sub._places(own, kind) for kind in ("gone", "piece", "string")), sum(map(len, texts)))
+        end = 0
+        for i, t in zip(ids, texts):
+            m, end = mark[end:end + len(t)], end + len(t)
+            out[i, len(t), int(m.sum()), int((np.diff(m.astype(int), prepend=0) == 1).sum()),
+                hashlib.sha256(np.frombuffer(t, np.uint8)[~m].tobytes()).hexdigest()] += 1
+    assert out == brute_substrings(rows)
+
+
 def test_rows_in_another_order_are_noticed(spark):
     from feedloom.llm.substrings import _texts
 
