@@ -341,7 +341,7 @@ def settle_phrases(table: pa.Table) -> pa.Table:
         ends = np.cumsum(count + SPAN - 1)
         raw = pa.decompress(r["raw"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
         rows.append((r["chunk"], _unpack(r["cuts"]).tolist(), count, ends, _unpack(r["docs"]), _unpack(r["begins"]), raw))
-    out = []
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"piece": [], "string": []}
     for g in range(GROUPS):
         names: dict[bytes, int] = {}
         entry, c_, d_, p_ = [], [], [], []
@@ -352,8 +352,9 @@ def settle_phrases(table: pa.Table) -> pa.Table:
             d_.append(docs[own])
             p_.append(begins[own])
         if entry:
-            out += settle_dictionary(list(names), np.array(entry), *(np.concatenate(a) for a in (c_, d_, p_)))
-    return _settled(out)
+            for kind, places in zip(found, settle_dictionary(list(names), np.array(entry), *(np.concatenate(a) for a in (c_, d_, p_)))):
+                found[kind].append(places)
+    return _settled([row for kind, f in found.items() if f for row in _by_chunk(*(np.concatenate(a) for a in zip(*f)), kind)])
 
 
 def suffix_ranks(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -370,12 +371,13 @@ def suffix_ranks(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return owner, offset, order, np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]]))
 
 
-def settle_dictionary(entries: list[bytes], entry: np.ndarray, chunk: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> list[tuple]:
-    """What goes of a part of the dictionary. ``entry, chunk, doc, begin`` is its parse: where which entry stands."""
+def settle_dictionary(entries: list[bytes], entry: np.ndarray, chunk: np.ndarray, doc: np.ndarray,
+                      begin: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Chunk and start of the pieces, and of the strings of other pieces, that go of a part of the dictionary. ``entry, chunk, doc, begin``
+    is its parse: where which entry stands."""
     least = np.full(len(entries), LAST)
     np.minimum.at(least, entry, doc)
     whole = doc > least[entry]
-    out = _by_chunk(chunk[whole], begin[whole], "piece")
     owner, offset, order, first = suffix_ranks(entries)
     holder = least[owner]
     low = np.repeat(np.minimum.reduceat(holder[order], first), np.diff(np.append(first, len(order))))
@@ -385,7 +387,7 @@ def settle_dictionary(entries: list[bytes], entry: np.ndarray, chunk: np.ndarray
     n = n_gone[entry[rest]]
     at = np.repeat(rest, n)
     k = np.arange(int(n.sum())) + np.repeat((np.cumsum(n_gone) - n_gone)[entry[rest]] - (np.cumsum(n) - n), n)
-    return out + _by_chunk(chunk[at], begin[at] + offset[gone[k]], "string")
+    return (chunk[whole], begin[whole]), (chunk[at], begin[at] + offset[gone[k]])
 
 
 def removed_runs(p: Parse, phrases: np.ndarray, pieces: np.ndarray, strings: np.ndarray, size: int) -> np.ndarray:
