@@ -692,6 +692,64 @@ def test_copies_are_paired_beside_a_smaller_holder_of_their_values(make):
     assert found == want
 
 
+def test_passages_that_nearly_repeat_share_a_class(make):
+    """Variants of one passage, each near to some others only, copies of whole texts, and near lists of few short lines: whatever
+    ``compare`` links, all pairs tried, has one class."""
+    import random
+
+    from feedloom.llm.passages import compare, near_passages
+    from feedloom.llm.shingles import shingle_hashes, word_hashes
+
+    rnd = random.Random(23)
+    new = lambda n: ["w" + str(rnd.randrange(10 ** 9)) for _ in range(n)]
+    out = []
+    for _ in range(3):
+        passage = new(64)
+        for k in range(14):  # two variants with the same changes are near, others may not be
+            changed = {rnd.choice((9, 20, 31, 42, 53)) for _ in range(rnd.randrange(3))}
+            out.append(new(20) + ["x" + str(i) if i in changed else w for i, w in enumerate(passage)] + new(20))
+    out += [out[k] for k in (3, 3, 20)]
+    lines = [new(5) for _ in range(5)]
+    for _ in range(5):
+        out.append(new(9) + [w for _ in range(60) for w in rnd.choice(lines)] + new(9))
+    out.append(new(200))
+    texts = list(enumerate(" ".join(t) for t in out))
+    h, n = shingle_hashes(*word_hashes([t.encode() for _, t in texts]), 5)
+    tokens = np.split(h, np.cumsum(n)[:-1])
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if want[a] != want[b] and compare(tokens[a], tokens[b], 46):
+                low, high = sorted((want[a], want[b]))
+                want = [low if c == high else c for c in want]
+    found = list(range(len(texts)))
+    for r in near_passages(make(texts, "variants")).collect():
+        found[r.doc_id] = found[r.partner_id] = r.class_id
+    assert found == want and len(set(want)) < len(want) - 40
+
+
+def test_common_words_of_near_passages():
+    """Every near duplicate of 50 words, by changes of words, has a common run of so many words; each run has a common root."""
+    from feedloom.llm.passages import common_words, compare, long_tokens, roots
+    from feedloom.llm.shingles import shingle_hashes
+
+    rnd = np.random.default_rng(4)
+    words = common_words(46)
+    assert words == 24 and sum(long_tokens(46)) == words + 1
+    size, run = long_tokens(46)
+    for _ in range(60):
+        a = rnd.integers(1, 1 << 60, int(rnd.integers(50, 160)), dtype=np.uint64)
+        b = a.copy()
+        at = rnd.integers(0, len(a), int(rnd.integers(1, 5)))
+        b[at] = rnd.integers(1, 1 << 60, len(at), dtype=np.uint64)
+        x, y = (shingle_hashes(t, np.array([len(t)]), 5)[0] for t in (a, b))
+        if not compare(x, y, 46):
+            continue
+        assert np.diff(np.concatenate([[-1], np.unique(at), [len(a)]])).max() - 1 >= words
+        p, q = (shingle_hashes(t, np.array([len(t)]), size)[0] for t in (a, b))
+        assert set(p[roots(p, np.array([len(p)]), run)[1]].tolist()) & set(q[roots(q, np.array([len(q)]), run)[1]].tolist())
+
+
 def test_functions_of_passages_keep_the_chance_of_a_miss():
     from feedloom.llm import passages as P
 
