@@ -728,6 +728,29 @@ def test_passages_that_nearly_repeat_share_a_class(make):
     assert found == want and len(set(want)) < len(want) - 40
 
 
+def test_connected_documents_are_not_compared_again(make, monkeypatch):
+    """Two documents that passages of a third one connect share a line too: one class, and no comparison of the two."""
+    import random
+
+    from feedloom.llm import passages
+
+    rnd = random.Random(31)  # every token that 1 and 2 share stands for a common run in 0 too
+    new = lambda n: ["w" + str(rnd.randrange(10 ** 9)) for _ in range(n)]
+    line, one, two = new(24), new(60), new(60)
+    parts = [[*new(20), *one, *new(60), *line, *new(60), *two, *new(20)], [*new(20), *one, *new(70), *line, *new(20)],
+             [*new(20), *line, *new(70), *two, *new(20)], new(200)]
+    plain, seen = passages.compared, []
+
+    def compared(pairs, texts, least):
+        seen.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return plain(pairs, texts, least)
+
+    monkeypatch.setattr(passages, "compared", compared)
+    found = passages.near_passages(make([(k, " ".join(t)) for k, t in enumerate(parts)], "connected")).collect()
+    assert {(r.doc_id, r.partner_id, r.class_id) for r in found} == {(1, 0, 0), (2, 0, 0)}
+    assert sorted(seen) == [(0, 1), (0, 2)]
+
+
 def test_common_words_of_near_passages():
     """Every near duplicate of 50 words, by changes of words, has a common run of so many words; each run has a common root."""
     from feedloom.llm.passages import common_words, compare, long_tokens, roots
