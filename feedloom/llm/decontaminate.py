@@ -9,6 +9,9 @@ larger slop lets every term stand that many places off (proximity). ``decontamin
 reports both from one pass over the index: exact phrases decide, ``near_items`` tells which
 items are close. Every word of the corpus is indexed, whatever the size of the benchmark.
 
+The postings of a segment are one compressed value, which only the task that looks them up unpacks, one segment at a time: Spark
+and the stored files (row groups of ``GROUP_BYTES``) never hold the terms of many segments as rows or arrays.
+
 A segment holds whole documents, so neither the index nor the search shuffles
 and a passage that a third of all documents share is only a longer posting
 list in every segment. Test items travel to the tasks in blocks of bounded
@@ -41,12 +44,32 @@ SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20  # of test items in one pass; bounds what the tasks are sent
 NEAR = 2  # places that a term may be off in the registered query's proximity matches
 GAP = 64  # unused positions between documents, so no match crosses them
+GROUP_BYTES = 4 << 20  # of a row group of the stored index; a reader holds a whole one
+#: The values are compressed already; the writer looks at its size after every row, not after the first hundred.
+STORED = {"compression": "none", "parquet.block.size": GROUP_BYTES, "parquet.enable.dictionary": "false",
+          "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+def packed_postings(terms: list[bytes], counts: np.ndarray, steps: np.ndarray) -> bytes:
+    """The terms (words, so none holds a line break), how many positions each has, and the differences of these in turn."""
+    raw = b"".join((len(terms).to_bytes(8, "little"), counts.astype("<i4").tobytes(), steps.astype("<i4").tobytes(), b"\n".join(terms)))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def postings(z: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What ``packed_postings`` was given."""
+    raw = pa.decompress(memoryview(z)[8:], decompressed_size=int.from_bytes(z[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    counts = np.frombuffer(raw, "<i4", n, 8).astype(np.int64)
+    total = int(counts.sum())
+    steps = np.frombuffer(raw, "<i4", total, 8 + 4 * n).astype(np.int64)
+    return raw[8 + 4 * (n + total):].split(b"\n") if n else [], counts, steps
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """One row per segment: its documents and the positions of its terms."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -65,14 +88,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type)),
                  pa.array([counts], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())),
-                 pa.array([list(code)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64())),
-                 pa.array([np.diff(place[order], prepend=0).astype("<i4").tobytes()], pa.binary())],
-                names=["segment", "doc_ids", "doc_words", "doc_starts", "terms", "counts", "steps"])
+                 pa.array([packed_postings(list(code), n, np.diff(place[order], prepend=0))], pa.binary())],
+                names=["segment", "doc_ids", "doc_words", "doc_starts", "postings"])
             number += 1
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
         segments, f"segment long, doc_ids array<{kind}>, doc_words array<bigint>, doc_starts array<bigint>, "
-                  "terms array<binary>, counts array<bigint>, steps binary")
+                  "postings binary")
 
 
 def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str | None]]:
@@ -134,10 +156,11 @@ def search(index: DataFrame, items: list[tuple[str | None, str | None]], window:
                 yield one(b.slice(row, 1))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, n_words, starts, terms, count, steps = (b.column(i)[0] for i in range(1, 7))
-        n_words, starts, count = (np.array(x.values, np.int64) for x in (n_words, starts, count))
-        place = np.cumsum(np.frombuffer(steps.as_py(), "<i4").astype(np.int64))
-        number = {t: i + 1 for i, t in enumerate(terms.as_py())}
+        ids, n_words, starts, z = (b.column(i)[0] for i in range(1, 5))
+        n_words, starts = (np.array(x.values, np.int64) for x in (n_words, starts))
+        terms, count, steps = postings(z.as_py())
+        place = np.cumsum(steps)
+        number = {t: i + 1 for i, t in enumerate(terms)}
         count = np.concatenate([[0], count])  # term 0 is any that the segment lacks
         begin = np.cumsum(count) - count
         coded = [np.array([[number.get(t, 0) for t in w] for w in wins], np.int64) for wins in by_length.values()]
@@ -178,7 +201,7 @@ def search(index: DataFrame, items: list[tuple[str | None, str | None]], window:
              pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(run)), items_found, names(doc, win)],
             names=["segment", "doc_no", "doc_id", "n_words", "runs", "items", "near_items"])
 
-    return index.select("segment", "doc_ids", "doc_words", "doc_starts", "terms", "counts", "steps").mapInArrow(
+    return index.select("segment", "doc_ids", "doc_words", "doc_starts", "postings").mapInArrow(
         look_up, f"segment long, doc_no long, doc_id {kind}, n_words long, "
                  "runs array<struct<first:bigint,last:bigint>>, items array<string>, near_items array<string>")
 
@@ -201,7 +224,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, index_path: str, window
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     part = F.pmod(F.xxhash64("t", "i"), F.lit(blocks))
-    build_index(docs).write.option("compression", "zstd").parquet(index_path)
+    build_index(docs).write.options(**STORED).parquet(index_path)
     index = spark.read.parquet(index_path)
     found = None
     for k in range(blocks):

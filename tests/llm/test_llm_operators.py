@@ -516,6 +516,31 @@ def test_proximity_columns(spark, make, tmp_path, slop):
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in found) == brute_leaks(rows, items)
 
 
+def test_stored_index_is_read_in_small_parts(spark, tmp_path):
+    """A task's segments go to row groups of a few MB and one value each: nothing holds the postings of all of them as rows."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    from feedloom.llm.decontaminate import GROUP_BYTES, build_index, decontaminate, packed_postings, postings
+
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.getrandbits(40):x}" for _ in range(20_000)) for _ in range(90)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path).coalesce(1)
+    assert {"terms", "counts", "steps"}.isdisjoint(build_index(docs).columns)
+    bench = spark.createDataFrame([("p", " ".join(texts[41].split()[50:70]))], "item_id string, text string")
+    found = decontaminate(docs, bench, str(tmp_path / "i"), near=2).filter("contaminated").collect()
+    assert [(r.doc_id, r.n_hit, r["items"], r.near_items) for r in found] == [(41, 20, ["p"], ["p"])]
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "i").glob("*.parquet")]
+    sizes = [(m.row_group(g).num_rows, m.row_group(g).total_byte_size) for m in groups for g in range(m.num_row_groups)]
+    assert sum(b for _, b in sizes) > 2 * GROUP_BYTES and all(b < GROUP_BYTES or n <= 3 for n, b in sizes) and len(sizes) > 1
+    for terms, n, steps in (([], [], []), ([b"a", "\u7684é".encode()], [1, 2], [5, 4, 9])):
+        a, b, c = postings(packed_postings(terms, np.array(n, np.int64), np.array(steps, np.int64)))
+        assert (a, b.tolist(), c.tolist()) == (terms, n, steps)
+
+
 # ---- web archive
 
 def test_archive_round_trip(spark, tmp_path):
