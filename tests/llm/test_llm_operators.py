@@ -776,6 +776,77 @@ def test_connected_documents_are_not_compared_again(make, monkeypatch):
     assert sorted(seen) == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("holders", [0, 12])
+def test_passages_of_connected_documents_are_found(make, holders):
+    """Two documents that other passages connect over a third share a passage of which the third has the common run only (so do
+    ``holders`` more, which makes it a run of many): the passage has a row."""
+    import random
+
+    from feedloom.llm.passages import near_passages
+
+    rnd = random.Random(holders)
+    new = lambda n: ["w" + str(rnd.randrange(10 ** 9)) for _ in range(n)]
+    out, want, places = [], set(), {}
+
+    def add(*parts):
+        out.append((len(out), " ".join(w for p in parts for w in (*new(30), *p))))
+        return out[-1][0]
+
+    for _ in range(4):
+        one, two, head, line = new(60), new(60), new(20), new(29)
+        a = add(one, two, line)
+        b, c = add(one, [*head, "x", *line]), add(two, [*head, "y", *line])
+        want |= {(a, b), (a, c), (b, c)}
+        places[b, c] = 30 + 60 + 30
+        for _ in range(holders):
+            add(line)
+    found = near_passages(make(out, "connected")).collect()
+    assert {(r.partner_id, r.doc_id) for r in found} == want
+    for r in found:
+        if (r.partner_id, r.doc_id) in places:
+            assert r.first_word <= places[r.partner_id, r.doc_id] + 20 and r.n_words >= 50
+
+
+def test_near_passages_lie_in_rows(make):
+    """Of every passage that ``compare`` names, all pairs tried, both middles lie in rows: of the two documents, or of each with one
+    smaller document."""
+    import random
+
+    from feedloom.llm.passages import compare, near_passages
+    from feedloom.llm.shingles import shingle_hashes, word_hashes
+
+    rnd = random.Random(41)
+    new = lambda n: ["w" + str(rnd.randrange(10 ** 9)) for _ in range(n)]
+    stock = [new(rnd.choice((26, 30, 52, 70))) for _ in range(9)]
+    out = []
+    for _ in range(45):
+        t = []
+        for p in rnd.sample(stock, 4):
+            p = list(p)
+            for _ in range(rnd.randrange(3)):
+                p[rnd.randrange(len(p))] = new(1)[0]
+            t += [*p, *new(rnd.choice((0, 1, 25)))]
+        out.append(t)
+    texts = list(enumerate(" ".join(t) for t in out))
+    h, n = shingle_hashes(*word_hashes([t.encode() for _, t in texts]), 5)
+    tokens = np.split(h, np.cumsum(n)[:-1])
+    rows = defaultdict(list)
+    for r in near_passages(make(texts, "stock")).collect():
+        rows[r.doc_id].append((r.partner_id, r.first_word, r.first_word + r.n_words))
+        rows[r.partner_id, r.doc_id].append((r.partner_first, r.partner_first + r.partner_words))
+    assert rows
+    tried = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            for lo, hi, first, end, _ in compare(tokens[a], tokens[b], 46):
+                at, to = (lo + hi + 4) // 2, (first + end + 4) // 2
+                over_b = {p for p, f, e in rows[b] if f <= to < e}
+                over_a = {p for p, f, e in rows[a] if f <= at < e}
+                tried += 1
+                assert a in over_b or over_a & over_b, (a, b, lo, hi, first, end)
+    assert tried > 100
+
+
 def test_common_words_of_near_passages():
     """Every near duplicate of 50 words, by changes of words, has a common run of so many words; each run has a common root."""
     from feedloom.llm.passages import common_words, compare, long_tokens, roots
