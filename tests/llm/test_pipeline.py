@@ -125,6 +125,18 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, make, tmp_path):
     assert Counter(pairs(P.substring(spark, docs, sf))) == brute_cut(rows)
 
 
+def test_the_stage_of_leaks_stores_its_index_as_values(spark, make, rows, tmp_path):
+    """The stored postings of a segment are one value, no array of terms that a reader holds for all segments of a task."""
+    from feedloom.session import shared_dir
+
+    sf = folder(spark, tmp_path, make(rows, "index"))
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("pipeline-postings-*"))
+    assert P.leaks(spark, spark.read.parquet(sf + "/documents.parquet"), sf).count() > 0
+    path, = set(Path(shared_dir(spark).removeprefix("file:")).glob("pipeline-postings-*")) - before
+    assert dict(spark.read.parquet(str(path)).dtypes) == {"segment": "bigint", "doc_ids": "array<string>", "doc_words": "array<bigint>",
+                                                          "doc_starts": "array<bigint>", "postings": "binary"}
+
+
 def test_empty_documents(spark, empty, tmp_path):
     sf = folder(spark, tmp_path, empty)
     assert P.run(spark, sf).collect() == []
