@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom.llm import decontaminate, near_duplicates, packing, quality_rules, substrings
+from feedloom.llm.components import stored
 from feedloom.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,7 +58,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(*COLUMNS, *_key())
     found = decontaminate.decontaminate(keyed.select(named.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
                                         scratch_path(spark, "pipeline-postings"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    # stored, so that its size is known when the join is planned: while it is small, no text is exchanged
+    bad, _ = stored(found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), scratch_path(spark, "pipeline-leaks"))
     return keyed.join(bad, named == F.col("_bad"), "left_anti").select(*COLUMNS)
 
 

@@ -137,6 +137,15 @@ def test_the_stage_of_leaks_stores_its_index_as_values(spark, make, rows, tmp_pa
                                                           "doc_starts": "array<bigint>", "postings": "binary"}
 
 
+def test_the_stage_of_leaks_exchanges_no_text(spark, make, rows, tmp_path):
+    """Which documents go is known, and small, when the join with the texts is planned."""
+    sf = folder(spark, tmp_path, make(rows + [(400, "It is " + ITEMS[2][1])], "exchange"))
+    out = P.leaks(spark, spark.read.parquet(sf + "/documents.parquet"), sf)
+    assert out.filter("doc_id = 400").count() == 0 and out.filter("doc_id = 30").count() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_empty_documents(spark, empty, tmp_path):
     sf = folder(spark, tmp_path, empty)
     assert P.run(spark, sf).collect() == []
